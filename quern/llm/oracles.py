@@ -36,3 +36,45 @@ from ranked r
 left join summed s on r.doc_id = s.doc_id
 left join extra e on r.source is not distinct from e.source
 """
+
+
+def _cut(kind: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+  select rid, {kind} as kind, n, hit, sum(gap + hit) over (partition by rid order by n) as upto, counted >= {least} as ok from (
+    select rid, unnest(generate_series(1, len(hits))) as n, unnest(list_transform(hits, lambda x: length(x))) as hit,
+      unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) as gap, unnest(list_transform(counts, lambda x: length(x))) as counted
+    from (select rid, regexp_extract_all(text, '{quoted}') as hits, regexp_extract_all(text, '{quoted}', {group}) as counts, string_split_regex(text, '{quoted}') as gaps from docs)
+    where len(hits) > 0)"""
+
+
+SECRETS = f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+cuts as ({" union all ".join([
+    _cut(0, r'''((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)''', 2, 12),
+    _cut(1, "AKIA[A-Z0-9]+", 0, 18),
+    _cut(2, "[0-9a-f]+", 0, 16),
+    _cut(3, r'''(?i:client_?id|key_?id|user_?id|user_?name|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]+''', 0, 0),
+    _cut(4, "[A-Za-z0-9+/_=-]+", 0, 24),
+    _cut(5, "[a-z][a-z0-9+]*://[A-Za-z0-9.:@/_-]+", 0, 0),
+])}),
+found as (select rid, kind, (upto - hit)::bigint as s, upto::bigint as e from cuts where ok),
+base as (select * from found where kind < 3),
+parts as (
+  select * from base union all
+  select * from found w where kind >= 3 and not exists (select 1 from base b where b.rid = w.rid and b.s < w.e and w.s < b.e)),
+meets as (
+  select x.*, max((y.kind in (1, 3))::int) as named, max((y.kind in (0, 2, 4))::int) as held
+  from parts x join parts y on x.rid = y.rid and x.s <= y.e + 200 and y.s <= x.e + 200 where x.kind >= 3 group by all),
+said as (
+  select * from base union all
+  select rid, kind, s, e from meets where case kind when 3 then held = 1 when 4 then named = 1 else named + held = 2 end),
+per as (
+  select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind > 2) as n_linked,
+    string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) filter (kind < 3) as base,
+    string_agg(['assign', 'access', 'hex', 'ident', 'part', 'endpoint'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind, e) as spans
+  from said group by rid)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0)::bigint as n_linked
+from docs left join per using (rid)
+"""

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracles
+from . import mixing, oracles, secrets
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing}
-ORACLES = {"op2_mixing": oracles.MIXING}
+QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets}
+ORACLES = {"op2_mixing": oracles.MIXING, "op5_secrets": oracles.SECRETS}
