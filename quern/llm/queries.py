@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, oracles, secrets
+from . import mixing, nbsvm, oracles, secrets
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets}
+QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets, "op6_quality": op6_quality}
 ORACLES = {"op2_mixing": oracles.MIXING, "op5_secrets": oracles.SECRETS}
