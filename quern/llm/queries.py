@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, nbsvm, oracles, secrets, toxicity
+from . import jaccard, mixing, nbsvm, oracles, secrets, toxicity
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -27,5 +31,5 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op10_toxicity": op10_toxicity}
 ORACLES = {"op2_mixing": oracles.MIXING, "op5_secrets": oracles.SECRETS}
