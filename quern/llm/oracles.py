@@ -78,3 +78,25 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0)::bigint as n_linked
 from docs left join per using (rid)
 """
+
+DECONTAMINATION = r"""
+with words as (
+  select row_number() over () as rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from documents),
+items as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where item_id is not null),
+tests as (
+  select distinct item_id, least(len(w), 10) as need, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as gram
+  from (select item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) as i from items where len(w) > 0)),
+spots as (
+  select rid, i, need, array_to_string(w[i : i + need - 1], ' ') as gram
+  from (select rid, w, need, unnest(generate_series(1, len(w) - need + 1)) as i from words, (select distinct need from tests) where len(w) >= need)),
+hits as (select rid, i, item_id, need from spots join tests using (need, gram)),
+covered as (
+  select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + need - 1)) as p from hits) group by rid),
+named as (
+  select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct rid, item_id from hits) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (rid) left join named using (rid)
+"""

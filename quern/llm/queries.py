@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, nbsvm, oracles, secrets, toxicity
+from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, toxicity
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op10_toxicity": op10_toxicity}
-ORACLES = {"op2_mixing": oracles.MIXING, "op5_secrets": oracles.SECRETS}
+QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op10_toxicity": op10_toxicity}
+ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS}
