@@ -100,3 +100,12 @@ named as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from words left join covered using (rid) left join named using (rid)
 """
+
+WARC = """
+with page as (select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as payload_digest from pages),
+sized as (select page_id, octet_length(payload)::bigint as payload_bytes, payload_digest, max(page_id) over (partition by payload_digest) as kept from page)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id is distinct from kept and kept is not null then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id is distinct from kept and kept is not null then kept end as refers_to
+from sized
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, tokens, toxicity
+from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, tokens, toxicity, warc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op10_toxicity": op10_toxicity}
-ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS}
+QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}
