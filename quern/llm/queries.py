@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, tokens, toxicity, warc
+from quern.plans.ship import ship
+
+from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +18,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
@@ -43,8 +49,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_vectors": op4_vectors, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.ship import ship
+
 #: Most rows that a side may have, by count, to be broadcast; wider rows divide it.
 BROADCAST_ROWS = 2_000_000
 
@@ -34,6 +36,7 @@ class Stages:
     """Named intermediate tables of one operator call, each in a folder of its own."""
 
     def __init__(self, spark: SparkSession, what: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
         self.made = 0
