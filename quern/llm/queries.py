@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans.ship import ship
 
-from . import decontaminate, jaccard, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
+from . import decontaminate, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +57,5 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_vectors": op4_vectors, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language": op1_language, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_vectors": op4_vectors, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}
