@@ -51,7 +51,7 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int
     per = per.withColumn("left", F.col("all_size") - F.coalesce(F.sum("cap").over(full), F.lit(0)))
     per = per.withColumn("weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(full), F.lit(0)))
     per = per.withColumn("level", F.col("left").cast("double") / F.col("weight_left"))
-    level = F.min(F.when(F.col("fills_at") >= F.col("level"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("fills_at") >= F.col("level"), F.col("level"))).over(every)  # past the first it falls
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     return per.withColumn("whole", whole).select("source", "source_size", "n_docs", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
@@ -106,7 +106,9 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` (ids must be unique), each as often as it is taken."""
-    copies = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    """The mix itself: rows of ``docs``, each as often as it is taken; rows that share an id are taken alike."""
+    stages = Stages(docs.sparkSession, "mix")
+    copies = mix(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
+    copies = small_side(stages.put(copies, "copies"))
     kept = docs.join(copies, F.col("_id").eqNullSafe(docs["doc_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -13,7 +13,7 @@ levels as (
   select *, (all_size - coalesce(sum(cap) over before, 0))::double / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
   from filled window before as (order by fills_at, source asc nulls last rows between unbounded preceding and 1 preceding)),
 aimed as (
-  select *, least(cap::double, coalesce(min(case when fills_at >= level then level end) over (), 'infinity'::double) * weight) as target from levels),
+  select *, least(cap::double, coalesce(max(case when fills_at >= level then level end) over (), 'infinity'::double) * weight) as target from levels),
 plan as (
   select source, source_size, n_docs, target, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from aimed),
 drawn as (
