@@ -1,15 +1,15 @@
 """N-gram Jaccard join by grouped prefixes, and the groups of near copies that it implies.
 
-Shingles are hashed to 64 bits and ordered once for all documents: by the count of the hash's bucket in a sketch of
+Shingles are hashed to 64 bits and ordered once for all documents: by the (logarithmic) count of the hash's bucket in a sketch of
 all shingles, rarest first, then by hash. A document of n shingles can only reach the threshold with one that shares a shingle of its
 prefix, its first n - ceil(t n) + 1. Documents with equal sets are one class; classes with the same size and the
 same prefix are one group, and only groups are joined.
 
 Pairs are made in two rounds, so that a large family of near copies costs its size and not its square. First each group meets its
-neighbour under every prefix shingle, in order of size, and each class the next of its group; the pairs that pass the size and
+neighbour and the first group under every prefix shingle, in order of its place, and each class the next of its group; the pairs that pass the size and
 position filters are verified on whole sets, and links merged into components. Then all other group pairs that pass the filters and
 are not yet in one component are expanded to their classes and verified. Pairs inside a component need no
-check: they could not change it. Frequent shingles are salted by their sketch count in the first round; in the second
+check: they could not change it. Before whole sets are read, whole prefixes of a pair bound its overlap. Frequent shingles are salted by their sketch count in the first round; in the second
 the join is one that adaptive execution splits.
 
 Defined cases: null and empty texts have no shingles, stand alone and have their own id as component; texts of fewer words than a
@@ -86,6 +86,15 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
+def _keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Order keys of shingles: the logarithm of the sketch count, then the hash. Non-negative, rarest first.
+
+    Keys that collide only add candidates and weaken a bound; whole hashes are compared in the end.
+    """
+    rare = np.minimum(np.log2(counts[_bucket(h)] + 1.0) * 64, (1 << 12) - 1).astype(np.uint64)
+    return ((rare << np.uint64(51)) | (mix(h) >> np.uint64(13))).view(np.int64)
+
+
 def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each document's set; zeros for empty ones."""
     sums = []
@@ -97,7 +106,7 @@ def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2, prefix (array of shingle, salts) for every row."""
+    """doc_id, n, d1, d2, prefix (order keys), salts for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +119,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 n = np.diff(first)
                 d1, d2 = _digests(h, first)
-                often = counts[_bucket(h)]
-                order = np.lexsort((often, doc))
+                often, keys = counts[_bucket(h)], _keys(h, counts)
+                order = np.lexsort((h, keys, doc))
                 take = n - (n * percent + 99) // 100 + (n > 0)
                 place = np.arange(len(h)) - first[:-1][doc]
                 chosen = order[place < take[doc]]
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 salts = np.ceil(often[chosen] / full).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(h[chosen].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(salts))],
+                    [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(keys[chosen])), pa.ListArray.from_arrays(ends, pa.array(salts))],
                     ["doc_id", "n", "d1", "d2", "prefix", "salts"],
                 )
 
@@ -126,10 +135,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
 
 
 def _fits(percent: int) -> Column:
-    """Size and position filters for a prefix shingle that two groups (n, at; n2, at2) share."""
-    size = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    most = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1)
+    """Size and position filters for a prefix shingle that two groups (n, at; n2, at2) share.
+
+    What comes before the first shingle that a pair shares is in neither overlap, so that shingle passes for every pair that
+    reaches the threshold; others need not.
+    """
+    n, n2 = F.col("n").cast("long"), F.col("n2").cast("long")
+    size = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
+    need = F.ceil((n + n2) * percent / (100 + percent))
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     return size & (most >= need)
 
 
@@ -148,18 +162,34 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> Dat
 
     read = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(made, "id long, d1 long, d2 long, set array<long>")
     known = classes.join(small_side(ids), "id", "left_semi").select("id", "d1", "d2", "n")
-    return read.join(small_side(known), ["id", "d1", "d2"]).select("id", "n", "set").dropDuplicates(["id"])
+    return read.join(small_side(known), ["id", "d1", "d2"]).select("id", "n", "set")
+
 
+def _survive(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """The pairs that whole prefixes don't rule out.
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
+    A prefix key of one side that comes before the other side's last and is not among its keys is in no part of the other set,
+    so each side's overlap is at most its size less the number of those.
+    """
+    ids = stages.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "n", "d1", "d2"), "id"), "ids")
+    known = rows.withColumnRenamed("doc_id", "id").join(small_side(ids), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "prefix")
+    left, right = (known.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "ab")
+    alone = lambda x, y: F.size(F.array_except(F.filter(f"prefix_{x}", lambda t: t < F.element_at(f"prefix_{y}", -1)), f"prefix_{y}"))
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    need = F.ceil((F.col("n_a").cast("long") + F.col("n_b")) * percent / (100 + percent))
+    return pairs.join(left, "a").join(right, "b").where(most >= need).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
     """The pairs (a, b) of class ids whose sets reach the threshold."""
     pairs = stages.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    pairs = stages.put(_survive(pairs, rows, classes, percent, stages).distinct(), "survivors")
     ids = stages.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = stages.put(_sets(docs, classes, ids, size), "sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     linked = pairs.join(left, "a").join(right, "b").withColumn("both", both).where((F.col("n_a").cast("long") + F.col("n_b") - F.col("both")) * percent <= F.col("both") * 100)
-    out = stages.put(linked.select("a", "b"), "links")
+    out = stages.put(linked.select("a", "b").distinct(), "links")
     stages.drop(sets)
     return out
 
@@ -168,23 +198,24 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     """doc_id, n_shingles, component_id for every row."""
     stages = Stages(docs.sparkSession, "jaccard")
     rows = stages.put(prefixes(docs, sketch(docs, size), size, percent), "prefixes")
-    real = rows.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    classes = classes.withColumn("group", F.xxhash64("n", "prefix"))
-    groups = classes.groupBy("n", "group").agg(F.min("id").alias("g"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
+    real = rows.where("n > 0 and doc_id is not null").withColumn("group", F.xxhash64("n", "prefix"))
+    classes = real.groupBy("n", "d1", "d2", "group").agg(F.min("doc_id").alias("id"))
     inside = Window.partitionBy("n", "group").orderBy("id")
-    kept = stages.put(classes.drop("prefix", "salts").withColumn("before", F.lag("id").over(inside)).withColumn("g", F.first("id").over(inside)), "classes")
+    kept = stages.put(classes.withColumn("before", F.lag("id").over(inside)).withColumn("g", F.first("id").over(inside)).drop("group"), "classes")
 
+    heads = small_side(stages.put(kept.where("id = g").select(F.col("g").alias("doc_id"), "n", "d1", "d2"), "heads"))
+    groups = rows.join(heads, ["doc_id", "n", "d1", "d2"], "left_semi").withColumnRenamed("doc_id", "g")
     each = groups.select("g", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select("g", "n", "at", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"))
     each = each.withColumn("salt", F.pmod(F.xxhash64("g"), F.col("salts").cast("long")).cast("int"))
     part = Window.partitionBy("token", "salt")
-    order = part.orderBy("n", "g")
-    each = each.withColumn("near", F.lag(F.struct("g", "n", "at")).over(order)).withColumn("members", F.count("*").over(part)).where("members > 1 or salts > 1")
+    order = part.orderBy("at", "n", "g")
+    each = each.withColumn("near", F.array(F.lag(F.struct("g", "n", "at")).over(order), F.first(F.struct("g", "n", "at")).over(order))).withColumn("members", F.count("*").over(part)).where("members > 1 or salts > 1")
     shared = stages.put(each.drop("members"), "shared")
-    heads = shared.where("salts > 1 and near is null").withColumn("near", F.lag(F.struct("g", "n", "at")).over(Window.partitionBy("token").orderBy("n", "g")))
-    chained = shared.unionByName(heads).where("near is not null").select("g", "n", "at", F.col("near.g").alias("g2"), F.col("near.n").alias("n2"), F.col("near.at").alias("at2")).where(_fits(percent))
+    leads = shared.where("salts > 1 and near[0] is null").withColumn("near", F.array(F.lag(F.struct("g", "n", "at")).over(Window.partitionBy("token").orderBy("at", "n", "g"))))
+    met = shared.unionByName(leads).select("g", "n", "at", F.explode(F.array_distinct("near")).alias("near")).where("near is not null and near.g != g")
+    chained = met.select("g", "n", "at", F.col("near.g").alias("g2"), F.col("near.n").alias("n2"), F.col("near.at").alias("at2")).where(_fits(percent))
     first = chained.select(F.col("g").alias("a"), F.col("g2").alias("b")).union(kept.where("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b")))
-    tried = _verified(first, docs, kept, size, percent, stages)
+    tried = _verified(first, docs, rows, kept, size, percent, stages)
     found = stages.put(components(tried, stages), "components")
 
     label = lambda df, key: df.join(small_side(found).select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
@@ -202,10 +233,25 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     wide = pairs.join(members, "g").join(members.select(F.col("g").alias("g2"), F.col("a").alias("b"), F.col("c").alias("c2")), "g2").where("c != c2").select("a", "b")
     wide = stages.put(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "others")
     if not wide.isEmpty():
-        more = _verified(wide, docs, kept, size, percent, stages)
+        more = _verified(wide, docs, rows, kept, size, percent, stages)
         if not more.isEmpty():
             found = stages.put(components(tried.union(more), stages), "components")
 
     final = label(kept.select("id", "n", "d1", "d2"), "id").select("n", "d1", "d2", "component")
     out = rows.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents that have the least id of their component, once each, with the columns they came with."""
+    stages = Stages(docs.sparkSession, "distinct")
+    found = stages.put(join(docs, size, percent), "joined")
+    dropped = small_side(stages.put(found.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped"))
+    kept = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
+    again = stages.put(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1 and _id is not null").select("_id"), "again")
+    if again.isEmpty():
+        return kept
+    # rows that share an id: one of each distinct id and text
+    again = small_side(again)
+    once = kept.join(again, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == F.col("_id"), "left_anti").unionByName(once)
