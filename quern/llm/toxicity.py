@@ -227,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: in
     listed = [(t, whole, k, w) for (t, whole), (k, w) in sorted(entries.items())]
     listed += [(w, True, k, 0.0) for k, kind in ((TARGET, "target"), (NEGATION, "negation"), (REPORT, "report")) for w in SEEDS[kind].split() if (w, True) not in entries]
     lexicon = Lexicon(listed)
-    seen = matches(rows.withColumnRenamed("label", "doc_id"), lexicon).select(F.col("doc_id").alias("label"), "total").toPandas()
+    seen = matches(rows, lexicon, "label").select("label", "total").toPandas()
     margin, label = np.log1p(seen["total"].to_numpy()), seen["label"].to_numpy().astype(np.int64)
     if not len(label) or label.min() == label.max():
         return lexicon, float(np.log1p(2.0)), 4.0
@@ -277,8 +277,8 @@ def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -
     return chosen
 
 
-def matches(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, total, most, clauses for every row."""
+def matches(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id") -> DataFrame:
+    """``key``, total, most, clauses for every row; the key may be a struct of all columns."""
     known, machine = tables(lexicon), grammar()
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +286,9 @@ def matches(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             data, at = utf8(batch.column("text"))
             parts = [totals(data, at[lo : hi + 1], known, machine) for lo, hi in chunks(at)]
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0), np.empty(0), np.empty(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, cols)], ["doc_id", "total", "most", "clauses"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, cols)], [key, "total", "most", "clauses"])
 
-    return docs.select("doc_id", "text").mapInArrow(matched, "doc_id long, total double, most double, clauses long")
+    return docs.select(key, "text").mapInArrow(matched, f"{key} {docs.schema[key].dataType.simpleString()}, total double, most double, clauses long")
 
 
 def _logistic(cut: float, a: float, at: float) -> F.Column:
@@ -301,3 +301,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, a
     lexicon, cut, a = learn(docs, labels, held_out, train_rows)
     out = matches(docs, lexicon).withColumn("score", _logistic(cut, a, at))
     return out.select("doc_id", (L.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "clauses", "most")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: float = CUT) -> DataFrame:
+    """The documents that score below ``at``, with the columns they came with."""
+    lexicon, cut, a = learn(docs, labels, L.fold("doc_id", 3) == 1, train_rows)
+    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text")
+    kept = matches(carried, lexicon, "doc").where(_logistic(cut, a, at) < at)
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
