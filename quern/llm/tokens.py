@@ -42,6 +42,7 @@ MAGIC = b"QRNS"
 HEAD, HEAD_BYTES = "<4sIII32s", 48
 TAIL, TAIL_BYTES = "<QI", 12
 BATCH = 64
+MARKS = ".,;:!?"
 #: A space after another white-space character, and the places before a space that follows a non-space.
 SPACED, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -137,7 +138,7 @@ class Encoder:
     spaces has the ids of its parts. About ``MOST`` parts are remembered, the first that come, which are the commonest.
     """
 
-    MOST = 500_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,13 +149,15 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[list(vocabulary.values())] = list(map(len, vocabulary))  # one character a byte
+        self.kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
+        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
         stage = json.loads(self.library.to_str())
         self.cuts = stage.get("normalizer") is None and (stage.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not stage["pre_tokenizer"].get("add_prefix_space")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of ``kind``."""
         if not self.cuts:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         cut = [CUT.split(t) if SPACED.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else CUT.split(t) for t in texts]
         got = [list(map(self.parts.get, parts)) for parts in cut]
         new = dict.fromkeys(p for parts, found in zip(cut, got, strict=True) if None in found for p, x in zip(parts, found, strict=True) if x is None)
@@ -167,16 +170,20 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Encodes parts that start with a space and end with none as one text, and tells them apart by the bytes of their ids."""
-        joined = [p for p in new if p[:1] == " " and not p[-1:].isspace()]
-        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, "<u4")
+        marked = {p: p[:-1] for p in new if p[-1:] in MARKS and p[1:-1].isalpha() and p[:1] == " "}  # a word and a mark are cut apart
+        lacking = dict.fromkeys(w for w in marked.values() if w not in self.parts)
+        joined = list(lacking | dict.fromkeys(p for p in new if p not in marked and p[:1] == " " and not p[-1:].isspace()))
+        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, self.kind)
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in joined]), "left") + 1
-        raw, lo, out = ids.tobytes(), 0, {}
+        raw, lo, out, size = ids.tobytes(), 0, {}, ids.itemsize
         for p, hi in zip(joined, ends.tolist(), strict=True):
-            out[p] = raw[4 * lo : 4 * hi]
+            out[p] = raw[size * lo : size * hi]
             lo = hi
+        for p, w in marked.items():
+            out[p] = (out.get(w) or self.parts[w]) + self.marks[p[-1]]
         for p in new:
             if p not in out:
-                out[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                out[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
         return out
 
 
@@ -187,32 +194,37 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned 32-bit) for every row."""
+    """doc_id, n, ids (little-endian unsigned integers of the tokenizer's ``kind``) for every row."""
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        known = encoder(tokenizer)
+        tail = np.array([end], known.kind).tobytes()
         for batch in batches:
             texts = batch.column("text")
             for lo in range(0, batch.num_rows, BATCH):
                 ids = [x + tail for x in known.encode([t or "" for t in texts[lo : lo + BATCH].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo : lo + BATCH], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo : lo + BATCH], pa.array([len(x) // len(tail) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tokenized, "doc_id long, n long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
+def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; its length is the vocabulary's."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                found = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            column = batch.column("ids")
+            if not len(column):
+                continue
+            _, ends, data = column.buffers()
+            ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+            found = np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind))
+            if len(found) > len(total):
+                found[: len(total)] += total
+                total = found
+            else:
+                total[: len(found)] += found
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
@@ -222,9 +234,9 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write(tokens: DataFrame, folder: str, partitions: int, scale: int = SCALE) -> DataFrame:
-    """Writes the files; the manifest: path, first (least doc_id), n_docs, n_ids, bytes, order."""
-    freq = frequencies(id_counts(tokens), scale)
+def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int = SCALE) -> DataFrame:
+    """Writes the files; the manifest: path, first (least doc_id), n_docs, n_ids, bytes."""
+    freq = frequencies(id_counts(tokens, kind), scale)
     coder = Coder(freq, scale)
     write_bytes(f"{folder}/{coder.digest.hex()}.table", freq.astype("<u4").tobytes())
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
@@ -253,7 +265,7 @@ def write(tokens: DataFrame, folder: str, partitions: int, scale: int = SCALE) -
             names = batch.column("doc_id").to_pylist()
             first = names[0] if first is None and names else first
             for name, x in zip(names, batch.column("ids"), strict=True):
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), kind))
                 docs.append((name, len(ids[-1])))
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
@@ -323,7 +335,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     stages = Stages(spark, "tokens")
     tokens = stages.put(tokenize(docs, tokenizer, end), "ids")
     folder = stages.folder("files")
-    manifest = stages.put(write(tokens, folder, _partitions(tokens)), "manifest")
+    manifest = stages.put(write(tokens, folder, _partitions(tokens), encoder(tokenizer).kind), "manifest")
     stages.drop(tokens)
     return read(manifest, folder)
 
