@@ -1,4 +1,4 @@
 """All named queries of the library and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quern.plans import relational  # noqa: F401
+from quern.plans.registry import ORACLES, QUERIES  # noqa: F401
