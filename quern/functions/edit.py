@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # Runs of these marks may be seven long, of other tokens five.
 LOOSE = ("-", "~", "–", "—", "*", ".")
@@ -24,7 +25,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_levenshtein(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([word_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")
@@ -57,7 +58,7 @@ def cut_repetitions(text: str | None, most: int = 5) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_repetitions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield texts.map(cut_repetitions, na_action="ignore")
