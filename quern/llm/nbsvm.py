@@ -105,8 +105,7 @@ def fit(features: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Model:
         counts[label[i]][features[i]] += 1
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum())).astype(np.float32)
     w = np.zeros(1 << BITS, np.float64)
-    rows = [(features[i], ratio[features[i]].astype(np.float64)) for i in train]
-    rows = [(f, x / max(np.sqrt((x * x).sum()), 1e-9)) for f, x in rows]
+    size = [max(float(np.sqrt(np.square(ratio[features[i]]).sum())), 1e-9) for i in train]
     y = np.where(label[train] == 1, 1.0, -1.0)
     share = np.array([(y < 0).mean(), (y > 0).mean()]).clip(1e-3)
     upper = np.where(y > 0, COST * 0.5 / share[1], COST * 0.5 / share[0])
@@ -114,7 +113,8 @@ def fit(features: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            f, x = rows[i]
+            f = features[train[i]]
+            x = ratio[f] / size[i]
             slack = y[i] * (w[f] @ x + bias) - 1.0
             new = min(max(alpha[i] - slack / 2.0, 0.0), upper[i])  # a unit row and a unit bias: curvature 2
             if step := (new - alpha[i]) * y[i]:
@@ -128,8 +128,7 @@ def fit(features: list[np.ndarray], label: np.ndarray, seed: int = 7) -> Model:
     w = np.where(counts[0] + counts[1] > 2 * SMOOTH, (1 - BETA) * mean * np.sign(w) + BETA * w, 0.0)
     model = Model(ratio, (w * ratio).astype(np.float32), bias, 0.0, 1.0)
     held = kept_back if len(kept_back) and label[kept_back].min() != label[kept_back].max() else order
-    doc = np.repeat(np.arange(len(held)), [len(features[i]) for i in held])
-    m = margins(model, doc, np.concatenate([features[i] for i in held]) if len(held) else doc, len(held))
+    m = np.concatenate([margins(model, np.zeros(len(features[i]), np.int64), features[i], 1) for i in held])
     cut = L.balanced_cut(m, label[held])
     return model._replace(cut=cut, slope=L.slope(m, label[held], cut))
 
@@ -154,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, tr
         return fit([], label_of)
     ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
     order = np.lexsort([[values[ends[i] : ends[i + 1]].sum() for i in range(len(label_of))], np.diff(ends), label_of])  # the same whatever order rows arrive in
-    return fit([values[ends[i] : ends[i + 1]].astype(np.int64) for i in order], label_of[order])
+    return fit([values[ends[i] : ends[i + 1]] for i in order], label_of[order])
 
 
 def score(docs: DataFrame, model: Model, held_out: F.Column, at: float = CUT) -> DataFrame:
