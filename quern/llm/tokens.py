@@ -12,7 +12,7 @@ is new for every task attempt, and only those that a finished task reports are l
 
 Files go through pyarrow's file systems, which reach any shared folder that pyarrow has a scheme for.
 
-Defined cases: null and empty texts are the end id alone; null ids come first, equal ids in order of their ids' bytes; an empty
+Defined cases: null and empty texts are the end id alone; null ids come first, equal ids in order of a hash of their token ids; an empty
 table writes no file and reads back empty; other columns are ignored. A block with a wrong checksum raises.
 """
 
@@ -235,7 +235,7 @@ def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
 
 
 def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int = SCALE) -> DataFrame:
-    """Writes the files; the manifest: path, first (least doc_id), n_docs, n_ids, bytes."""
+    """Writes the files; the manifest: path, first and last doc_id, n_docs, n_ids, bytes."""
     freq = frequencies(id_counts(tokens, kind), scale)
     coder = Coder(freq, scale)
     write_bytes(f"{folder}/{coder.digest.hex()}.table", freq.astype("<u4").tobytes())
@@ -244,7 +244,7 @@ def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, scale)
         path = f"{folder}/{uuid.uuid4().hex}.rans"
-        blocks, docs, ids, held, offset, n_ids, first = [], [], [], 0, HEAD_BYTES, 0, None
+        blocks, docs, ids, held, offset, n_ids, first, last = [], [], [], 0, HEAD_BYTES, 0, None, None
         stream = None
 
         def flush():
@@ -263,7 +263,7 @@ def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            first = names[0] if first is None and names else first
+            first, last = (names[0] if first is None and names else first), (names[-1] if names else last)
             for name, x in zip(names, batch.column("ids"), strict=True):
                 ids.append(np.frombuffer(x.as_buffer(), kind))
                 docs.append((name, len(ids[-1])))
@@ -276,18 +276,19 @@ def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int
             directory = json.dumps(blocks).encode()
             stream.write(directory + struct.pack(TAIL, len(directory), zlib.crc32(directory)))
             stream.close()
-            rows = {"path": [path], "first": [first], "n_docs": [sum(len(b["docs"]) for b in blocks)], "n_ids": [n_ids], "bytes": [offset + len(directory) + TAIL_BYTES]}
+            rows = {"path": [path], "first": [first], "last": [last], "n_docs": [sum(len(b["docs"]) for b in blocks)], "n_ids": [n_ids], "bytes": [offset + len(directory) + TAIL_BYTES]}
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "path" else pa.int64()) for k, v in rows.items()], list(rows))
 
-    dealt = tokens.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(written, "path string, first long, n_docs long, n_ids long, bytes long")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # ranges are sampled in the driver: of numbers, not of ids
+    dealt = tokens.repartitionByRange(partitions, *order).sortWithinPartitions(*order, "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(written, "path string, first long, last long, n_docs long, n_ids long, bytes long")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, block by block."""
-    # files hold disjoint ranges in order; rows of one id that fill whole files are told apart by the order of their counts
-    files = manifest.select("path", "first", "n_ids").toArrow().sort_by([("first", "ascending", ), ("n_ids", "ascending")]).to_pylist()
-    files = [f for f in files if f["first"] is None] + [f for f in files if f["first"] is not None]
+    # files hold ranges in order; only files that one id fills may share their ends
+    low = -(1 << 63)
+    files = sorted(manifest.select("path", "first", "last", "n_ids").toArrow().to_pylist(), key=lambda f: (low if f["first"] is None else f["first"], low if f["last"] is None else f["last"], f["n_ids"]))
     start, units = 0, []
     for f in files:
         units.append((f["path"], start))
