@@ -9,8 +9,9 @@ Pairs are made in two rounds, so that a large family of near copies costs its si
 neighbour and the first group under every prefix shingle, in order of its place, and each class the next of its group; the pairs that pass the size and
 position filters are verified on whole sets, and links merged into components. Then all other group pairs that pass the filters and
 are not yet in one component are expanded to their classes and verified. Pairs inside a component need no
-check: they could not change it. Before whole sets are read, whole prefixes of a pair bound its overlap. Frequent shingles are salted by their sketch count in the first round; in the second
-the join is one that adaptive execution splits.
+check: they could not change it. Before whole sets are read, whole prefixes of a pair bound its overlap. Frequent shingles are
+salted by their sketch count in the first round. In the second, groups under a shingle of more than ``SMALL`` are compared block by
+block, bounded by signatures (counts of a set's shingles in ``SIGNATURE`` buckets), and only pairs that pass leave the task.
 
 Defined cases: null and empty texts have no shingles, stand alone and have their own id as component; texts of fewer words than a
 shingle are one shingle; rows that repeat an id are separate rows of that id; a null id is never linked and gets a null
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ PERCENT = 80
 SKETCH_BITS = 18
 #: A shingle is salted into as many parts as its sketch count holds this many mean counts.
 SALT_AT = 4
+#: Shingles of more groups than this are paired block by block in Python, under a signature bound, instead of by a join.
+SMALL = 32
+BLOCK = 512
+#: A signature counts a set's shingles in so many buckets; larger sets than its counters hold have none.
+SIGNATURE, COUNTED = 128, 60_000
 BLANK = word_bytes("blank")
 
 
@@ -106,7 +113,7 @@ def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2, prefix (order keys), salts for every row."""
+    """doc_id, n, d1, d2, prefix (order keys), salts, signature for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +133,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 chosen = order[place < take[doc]]
                 ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 salts = np.ceil(often[chosen] / full).astype(np.int32)
+                slot = (mix(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(57)).astype(np.int64)
+                marks = np.bincount(doc * SIGNATURE + slot, minlength=(hi - lo) * SIGNATURE).astype("<u2").reshape(hi - lo, SIGNATURE)
+                signature = pa.array([m.tobytes() if k <= COUNTED else None for m, k in zip(marks, n, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(keys[chosen])), pa.ListArray.from_arrays(ends, pa.array(salts))],
-                    ["doc_id", "n", "d1", "d2", "prefix", "salts"],
+                    [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(keys[chosen])), pa.ListArray.from_arrays(ends, pa.array(salts)), signature],
+                    ["doc_id", "n", "d1", "d2", "prefix", "salts", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n int, d1 long, d2 long, prefix array<long>, salts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n int, d1 long, d2 long, prefix array<long>, salts array<int>, signature binary")
 
 
 def _fits(percent: int) -> Column:
@@ -147,6 +157,46 @@ def _fits(percent: int) -> Column:
     return size & (most >= need)
 
 
+def _blocks(percent: int):
+    """Pairs of two blocks of the groups under one shingle, under the size, position and signature bounds."""
+
+    def paired(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        a, b = rows[rows["block"] == i], rows[rows["block"] == j]
+        cols = {k: (a[k].to_numpy(), b[k].to_numpy()) for k in ("g", "n", "at", "lo", "hi", "classes")}
+        marks = [np.stack([np.frombuffer(m, "<u2") if m is not None else np.full(SIGNATURE, 65535, np.uint16) for m in x["signature"]]) if len(x) else np.empty((0, SIGNATURE), np.uint16) for x in (a, b)]
+        exact = [np.array([m is not None for m in x["signature"]], bool) for x in (a, b)]
+        out = []
+        for r in range(len(a)):
+            (g, n, at, lo, hi, classes) = (cols[k][0][r] for k in ("g", "n", "at", "lo", "hi", "classes"))
+            g2, n2, at2, lo2, hi2, classes2 = (cols[k][1] for k in ("g", "n", "at", "lo", "hi", "classes"))
+            need = -((n + n2) * -percent // (100 + percent))
+            ok = (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent) & (np.minimum(n - at, n2 - at2) >= need)
+            ok &= ~((lo == hi) & (lo2 == hi2) & (lo == lo2)) & ((g < g2) if i == j else (g != g2))
+            k = np.flatnonzero(ok)
+            most = np.minimum(marks[0][r], marks[1][k]).sum(axis=1, dtype=np.int64)
+            sure = exact[0][r] & exact[1][k] & (classes == 1) & (classes2[k] == 1)  # a signature is that of one class
+            k = k[~sure | (most >= need[k])]
+            out.append(np.stack([np.full(len(k), g), g2[k]]))
+        found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        return pd.DataFrame({"g": found[0].astype(np.int64), "g2": found[1].astype(np.int64)})
+
+    return paired
+
+
+def _crossing(entries: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """g, g2 of the group pairs not yet in one component that pass the filters."""
+    other = entries.where(F.col("members") <= SMALL).select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "at", "lo", "hi")])
+    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("g") < F.col("g2")))
+    few = entries.where(F.col("members") <= SMALL).join(other, "token").where(ordered & apart & _fits(percent)).select("g", "g2")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    many = entries.where(F.col("members") > SMALL).join(signatures, "g", "left").withColumn("block", F.pmod(F.xxhash64("g"), blocks).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    many = many.select("token", "i", "j", "block", "g", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "lo", "hi", "classes", "signature")
+    return few.union(many.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "g long, g2 long"))
+
+
 def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, n, set) of the classes in ``ids``, whose texts alone are read again."""
     wanted = small_side(ids).withColumnRenamed("id", "_id")
@@ -220,14 +270,11 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
     label = lambda df, key: df.join(small_side(found).select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
     labelled = stages.put(label(kept.select("id", "n", "g"), "id"), "labelled")
-    mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("classes"))
     entries = shared.drop("near", "salts", "salt").join(mixed, "g")
-    open_tokens = entries.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("token")
-    entries = stages.put(entries.join(open_tokens, "token", "left_semi"), "entries")
-    other = entries.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "at", "lo", "hi")])
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
-    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("g") < F.col("g2")))
-    pairs = entries.join(other, "token").where(ordered & apart & _fits(percent)).select("g", "g2").distinct()
+    open_tokens = entries.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("token", "members")
+    entries = stages.put(entries.join(open_tokens, "token"), "entries")
+    pairs = _crossing(entries, groups.select("g", "signature"), percent).distinct()
     pairs = pairs.union(mixed.where("lo != hi").select("g", F.col("g").alias("g2")))
     members = labelled.select("g", F.col("id").alias("a"), F.col("component").alias("c"))
     wide = pairs.join(members, "g").join(members.select(F.col("g").alias("g2"), F.col("a").alias("b"), F.col("c").alias("c2")), "g2").where("c != c2").select("a", "b")
