@@ -1,6 +1,5 @@
 """Every query with SQL gives the rows of its SQL on the smallest tables."""
 
-import math
 import os
 
 import duckdb
@@ -16,8 +15,10 @@ def rows(frame):
     def cell(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{round(v, 4) + 0.0:.4f}"
+        if v is None or str(v) in ("nan", "<NA>", "NaT"):
+            return "null"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):  # a column with nulls is read as floats by one side
+            return f"{round(float(v), 4) + 0.0:.4f}"
         return str(v)
 
     return sorted(tuple(cell(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
