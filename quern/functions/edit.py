@@ -32,10 +32,16 @@ def word_levenshtein(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def short_word_levenshtein(a: Column, b: Column) -> Column:
-    """The same without Python, for pairs of at most 120 distinct words: each word becomes one character."""
-    known = F.array_distinct(F.concat(a, b))
-    letters = lambda ws: F.array_join(F.transform(ws, lambda w: F.chr(F.array_position(known, w))), "")
-    return F.levenshtein(letters(a), letters(b))
+    """The same without Python: each distinct word of the pair becomes one character, those of the surrogates left out.
+
+    More words than Unicode has characters fail to decode, and raise. Both sides begin with one more common character, so that no word's is read as a byte order mark.
+    """
+    # bound by lambdas, words are split and listed once a pair and not once a word
+    pair = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("known")))
+    code = lambda at: F.lpad(F.hex(at + F.when(at < 0xD800, 0).otherwise(0x800)), 8, "0")
+    codes = lambda ws, known: F.transform(F.transform(ws, lambda w: F.array_position(known, w) + 1), code)
+    letters = lambda ws, known: F.decode(F.unhex(F.concat(F.lit("00000001"), F.array_join(codes(ws, known), ""))), "UTF-32")
+    return F.transform(pair, lambda p: F.levenshtein(letters(p["a"], p["known"]), letters(p["b"], p["known"])))[0]
 
 
 def cut_repetitions(text: str | None, most: int = 5) -> str | None:

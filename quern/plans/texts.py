@@ -138,15 +138,15 @@ CODES = "array_to_string(list_transform({0}, lambda w: chr(list_position(known,
 WORDED = f"""(select conv_id, turn, levenshtein({CODES.format('a')}, {CODES.format('b')}) as edits, len(a) as length from (select *, list_distinct(a || b) as known from (select conv_id, turn, {SHORT} from ({PAIR}))) where len(known) <= 120)"""
 
 
-def _few(t: Tables):
-    both = pairs(t).select("conv_id", "turn", T.words(F.col("ref")).alias("a"), T.words(F.col("pred")).alias("b"))
-    return both.where(F.size(F.array_distinct(F.concat("a", "b"))) <= 120)
+def _worded(t: Tables):
+    """All pairs with their words; the SQL above stops at 120 distinct words, as its distance is one of bytes."""
+    return pairs(t).select("*", T.words(F.col("ref")).alias("a"), T.words(F.col("pred")).alias("b"))
 
 
 @query("word_errors", f"select conv_id, turn, edits, length from {WORDED}")
 def word_errors(t: Tables):
-    """Word edit distances of the pairs with at most 120 distinct words, without Python."""
-    return _few(t).select("conv_id", "turn", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"))
+    """Word edit distances of all pairs, without Python."""
+    return _worded(t).select("conv_id", "turn", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"))
 
 
 @query("wer")
@@ -162,9 +162,8 @@ SCORED = f"(select conv_id, sum(edits) / greatest(sum(length), 1)::double as wer
 
 
 def _rates(t: Tables):
-    few = _few(t).select("conv_id", "turn", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"))
-    chars = pairs(t).select("conv_id", "turn", F.levenshtein("ref", "pred").alias("ce"), F.length("ref").alias("cl"))
-    return few.join(chars, ["conv_id", "turn"]).groupBy("conv_id").agg(D.micro(F.col("edits"), F.col("length")).alias("wer"), D.micro(F.col("ce"), F.col("cl")).alias("cer"))
+    each = _worded(t).select("conv_id", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"), F.levenshtein("ref", "pred").alias("ce"), F.length("ref").alias("cl"))
+    return each.groupBy("conv_id").agg(D.micro(F.col("edits"), F.col("length")).alias("wer"), D.micro(F.col("ce"), F.col("cl")).alias("cer"))
 
 
 @query("competition_score", f"select conv_id, round(wer, 6) as wer, round(cer, 6) as cer, round(0.5 * wer + 0.5 * cer, 6) as score, round(0.7 * cer + 0.3 * wer, 6) as weighted from {SCORED}")
