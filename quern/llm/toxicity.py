@@ -42,7 +42,6 @@ STEMS = (4, 5, 6, 7)
 LEAST_TOXIC = 8
 LEAST_NEW = 3
 MOST_CLEAN_SHARE = 0.002
-MOST_ENTRIES = 2000
 PRIOR = 2.0
 
 SEEDS = {
@@ -211,8 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: in
         counts = _evidence(rows)
         clean_most = max(1.0, MOST_CLEAN_SHARE * n_clean)
         wanted = (F.col("toxic") >= LEAST_TOXIC) & (F.col("clean") <= F.least(F.lit(clean_most), F.col("toxic") * 0.1)) | (F.col("whole") & F.col("term").isin(*seeds))
-        found = counts.where(wanted).orderBy(F.desc("toxic"), "clean", F.desc("whole"), "term").limit(MOST_ENTRIES).collect()
-        known = {(r.term, r.whole): (r.toxic, r.clean) for r in found}
+        # every term, and the counts of all seeds: the labelled sample bounds them
+        found = counts.where(wanted).toPandas().sort_values(["toxic", "clean", "whole", "term"], ascending=[False, True, False, True])
+        known = {(term, whole): (toxic, clean) for term, whole, toxic, clean in zip(*(found[c].tolist() for c in ("term", "whole", "toxic", "clean")), strict=True)}
     weight = lambda toxic, clean, prior: float(np.log((toxic + prior + 0.5) / (n_toxic + prior + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
     entries = {}
     for w, k in seeds.items():
@@ -257,24 +257,30 @@ def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -
                     docs.append(w.doc[some][number > 0])
                     ids.append(number[number > 0].astype(np.int64) - 1)
                 pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(ids)]), axis=1)
+                # a document with a seed is explained
+                pairs = pairs[:, ~np.isin(pairs[0], pairs[0, pairs[1] < n_seeds])] - np.array([[0], [n_seeds]])
                 ends = np.searchsorted(pairs[0], np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pairs[1].astype(np.int32))], ["found"])
 
     toxic = rows.where("label = 1").select("text").mapInArrow(present, "found array<int>").toArrow()
-    docs = [set(x) for x in toxic["found"].to_pylist()]
-    left = [d for d in docs if d and min(d) >= n_seeds]
-    chosen = []
-    while left:
-        counts: dict[int, int] = {}
-        for d in left:
-            for k in d:
-                counts[k] = counts.get(k, 0) + 1
-        best = max(counts, key=lambda k: (counts[k], len(candidates[k - n_seeds][0]), -k))
+    found = toxic["found"].combine_chunks()
+    ids = found.flatten().to_numpy().astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64)
+    # each candidate's documents; of the most frequent, the longest and then the first is taken
+    doc = np.repeat(np.arange(len(found)), np.diff(starts))[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids, minlength=len(candidates))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    preferred = np.lexsort((np.arange(len(candidates)), [-len(t) for t, _ in candidates]))
+    left, chosen = np.ones(len(found), bool), []
+    while True:
+        best = int(preferred[np.argmax(counts[preferred])])
         if counts[best] < LEAST_NEW:
-            break
-        chosen.append(candidates[best - n_seeds])
-        left = [d for d in left if best not in d]
-    return chosen
+            return chosen
+        chosen.append(candidates[best])
+        for d in doc[ends[best] : ends[best + 1]]:
+            if left[d]:
+                left[d] = False
+                counts[ids[starts[d] : starts[d + 1]]] -= 1
 
 
 def matches(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id") -> DataFrame:
