@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import physics as P
 
+#: Edges that one task of ``accumulate_down`` holds, and that ``stars`` gathers before it joins them.
+BLOCK = 2_000_000
+
 
 def within(nodes: DataFrame, reach: float, pair: Column | None = None) -> DataFrame:
     """Ordered pairs of nodes (id, x, y, ...) nearer than ``reach``: a, b prefixes the columns of each side.
@@ -56,6 +64,63 @@ def accumulate(nodes: DataFrame, edges: DataFrame, value: str, most: int = 1000)
     return every.groupBy("id").agg(F.sum("v").alias("total"))
 
 
+def accumulate_down(nodes: DataFrame, edges: DataFrame, value: str, height: str) -> DataFrame:
+    """The same for edges that all lead to a lower ``height`` (a_height, b_height), however long the paths are.
+
+    Heights are cut into bands of about ``BLOCK`` edges by their source. From the top band down, a task walks its nodes by height and
+    hands sums on to lower bands, so that each edge is used once.
+    """
+    top, low = f"a_{height}", f"b_{height}"
+    seen = edges.agg(F.count("*").alias("n"), F.percentile_approx(top, [k / 1000 for k in range(1, 1000)], 10000).alias("q")).first()
+    n = min(-(-seen["n"] // BLOCK), 1000)
+    bounds = [*sorted({seen["q"][round(k * 1000 / n) - 1] for k in range(1, n)}, reverse=True), None]
+    rows = nodes.select(F.lit(0).alias("k"), "id", F.col(height).cast("double").alias("h"), F.col(value).cast("double").alias("v"))
+    links = edges.select(F.lit(0).alias("k"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col(top).alias("top"), F.col(low).alias("low"))
+    done, carried, upper = [], [], None
+    for lower in bounds:
+
+        def band(h: str, upper=upper, lower=lower) -> Column:
+            above = F.lit(True) if lower is None else F.col(h) >= lower
+            return F.coalesce(above, F.lit(True)) if upper is None else above & (F.col(h) < upper)
+
+        here = rows.where(band("h"))
+        for c in carried:
+            here = here.union(c.where(band("h")))
+        walked = here.groupBy("k").cogroup(links.where(band("top")).groupBy("k")).applyInPandas(_walk(lower), "k int, id long, h double, v double, own boolean")
+        walked = cut(walked)
+        done.append(walked.where("own").select("id", F.col("v").alias("total")))
+        carried.append(walked.where("not own").drop("own"))
+        upper = lower
+    every = done[0]
+    for d in done[1:]:
+        every = every.union(d)
+    return every
+
+
+def _walk(lower: float | None):
+    """Totals of a band's nodes, and summed by node what leaves it."""
+
+    def walk(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        ids, first, at = np.unique(nodes["id"].to_numpy(), return_index=True, return_inverse=True)
+        height = nodes["h"].to_numpy()[first]
+        total = np.bincount(at, nodes["v"].to_numpy(), len(ids))
+        a, b, low = np.searchsorted(ids, links["a"].to_numpy()), links["b"].to_numpy(), links["low"].to_numpy()
+        inside = np.full(len(b), True) if lower is None else low >= lower
+        rank = np.empty(len(ids), np.int64)
+        rank[np.argsort(-height, kind="stable")] = np.arange(len(ids))
+        order = np.argsort(rank[a[inside]], kind="stable")
+        src, dst = a[inside][order], np.searchsorted(ids, b[inside][order])
+        starts = np.flatnonzero(np.diff(src, prepend=-1))
+        for lo, hi in zip(starts, np.append(starts, len(src))[1:], strict=True):
+            np.add.at(total, dst[lo:hi], total[src[lo]])
+        out, at_out, to = np.unique(b[~inside], return_index=True, return_inverse=True)
+        sums = np.bincount(to, total[a[~inside]], len(out))
+        own = pd.DataFrame({"k": 0, "id": ids, "h": height, "v": total, "own": True})
+        return pd.concat([own, pd.DataFrame({"k": 0, "id": out, "h": low[~inside][at_out], "v": sums, "own": False})]) if len(out) else own
+
+    return walk
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a checkpoint in the shared folder."""
     import tempfile
@@ -78,9 +143,39 @@ def balance(nodes: DataFrame, edges: DataFrame, flow: str) -> DataFrame:
     return both.withColumn("residual", gap).withColumn("relative", gap / (F.col("inflow") + F.col("outflow") + 1e-6))
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """a, b: the same components by fewer edges, each node of a partition to the least id it reaches there."""
+    most = BLOCK
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def reduced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+            while (label[x] != label[y]).any():
+                least = np.minimum(label[x], label[y])
+                np.minimum.at(label, label[x], least)
+                np.minimum.at(label, label[y], least)
+                while (label[label] != label).any():
+                    label = label[label]
+            some = label != np.arange(len(ids))
+            return ids[some], ids[label[some]]
+
+        kept, parts, n = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                kept, parts, n = reduced(*(np.concatenate(c) for c in zip(kept, *parts, strict=True))), [], 0
+        a, b = reduced(*(np.concatenate(c) for c in zip(kept, *parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(joined, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id) by least-label propagation with shortcuts."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    few = cut(stars(edges))
+    both = cut(few.select("a", "b").union(few.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))

@@ -203,30 +203,30 @@ def flow_balance(t: Tables):
     return G.balance(nodes(t), e, "distance").select("id", F.round("inflow", 4).alias("inflow"), F.round("outflow", 4).alias("outflow"), F.round("relative", 5).alias("relative"))
 
 
-# A sparse downhill graph: each node to the nearest lower one of its ring of ids.
+# A sparse downhill graph, each node to the nearest lower ones of its ring of ids: less than the river graph of the queries.
 CHAIN = f"(select a.id as src, b.id as dst from {NODES} a join {NODES} b on b.elevation < a.elevation and b.id // 20 = a.id // 20 qualify row_number() over (partition by a.id order by {DIST}, b.id) <= 2)"
 
 
-def chain(t: Tables):
-    n = nodes(t).withColumn("ring", F.floor(F.col("id") / 20))
-    pairs = n.select("ring", *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "elevation")]).join(n.select("ring", *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "elevation")]), "ring").where("b_elevation < a_elevation")
-    d = P.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))
-    near = Window.partitionBy("a_id").orderBy(d, "b_id")
-    return pairs.withColumn("n", F.row_number().over(near)).where("n <= 2").select("a_id", "b_id")
-
-
 @query("accumulate", f"""
 with recursive e as (select * from {CHAIN}), walk as (select id, area as v from {NODES} union all select e.dst, w.v from walk w join e on e.src = w.id)
 select id, round(sum(v), 3) as total from walk group by id""")
 def accumulate(t: Tables):
-    return G.accumulate(nodes(t), chain(t), "area").select("id", F.round("total", 3).alias("total"))
+    """Over the whole river graph, once a path."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    return G.accumulate_down(nodes(t), G.river(nodes(t), 5.0), "area", "elevation").select("id", F.round("total", 3).alias("total"))
 
 
 @query("components", f"""
 with recursive e as (select src, dst from {CHAIN} union select dst, src from {CHAIN}), walk as (select id, id as c from (select distinct src as id from e) union select e.dst, w.c from walk w join e on e.src = w.id)
 select id, min(c) as component from walk group by id""")
 def components(t: Tables):
-    return G.components(chain(t).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    """Of the whole river graph."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    return G.components(G.river(nodes(t), 5.0).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 @query("graph_stats", f"select (select count(*) from {NODES}) as n_nodes, count(*) as n_edges, round(2 * count(*) / (select count(*) from {NODES})::double, 6) as mean_degree, round(count(*) / ((select count(*) from {NODES}) * ((select count(*) from {NODES}) - 1))::double, 6) as density from (select distinct src, dst from {RIVER})")

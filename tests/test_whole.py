@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import catalog
 from quern.llm import toxicity
+from quern.operators import graph as G
 
 
 def distance(a, b):
@@ -60,3 +61,26 @@ def test_a_family_of_copies_takes_no_places(spark):
     assert any("zurblic".startswith(t) for t, _ in weights) and any(t in family for t, _ in weights)
     assert ("hurt", True) not in weights  # 4 toxic and 146 clean documents
     assert len(weights) < 60
+
+
+@pytest.mark.parametrize("block", [2_000_000, 60])
+def test_the_whole_river(spark, tmp_path, monkeypatch, block):
+    """Flow and components along every river edge, whatever the ids, in one band of heights and in many."""
+    monkeypatch.setattr(G, "BLOCK", block)
+    rng = random.Random(23)
+    at = {7 * i: [rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), rng.uniform(-0.3, 0.3), *(rng.uniform(0, 0.2) for _ in range(3))] for i in range(300)}
+    spark.createDataFrame(list(at.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    far = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 * 200
+    edges = {i: [j for j, b in at.items() if b[2] < a[2] and far(a, b) < 5 and 1e-4 < (a[2] - b[2]) / far(a, b) < 0.1] for i, a in at.items()}
+    total, least = {i: 10 + a[4] * 1000 for i, a in at.items()}, {i: i for i in at}
+    for i in sorted(at, key=lambda i: -at[i][2]):
+        for j in edges[i]:
+            total[j] += total[i]
+    for _ in at:
+        for i, to in edges.items():
+            for j in to:
+                least[i] = least[j] = min(least[i], least[j])
+    got = {r.id: r.total for r in catalog.QUERIES["accumulate"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(total, abs=1e-3) and sum(map(len, edges.values())) > 300
+    joined = {i for i, to in edges.items() if to} | {j for to in edges.values() for j in to}
+    assert {r.id: r.component for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()} == {i: least[i] for i in joined}
