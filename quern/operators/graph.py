@@ -44,19 +44,22 @@ def karst(nodes: DataFrame, reach: float, least: float) -> DataFrame:
     return within(nodes.where(F.col("karst") > least), reach)
 
 
-def accumulate(nodes: DataFrame, edges: DataFrame, value: str, most: int = 1000) -> DataFrame:
+def accumulate(nodes: DataFrame, edges: DataFrame, value: str, most: int | None = None) -> DataFrame:
     """id, total: each node's value, and everything that flows into it, once a path.
 
-    Level by level: what arrived in one round moves on along the edges in the next, summed by node.
+    Level by level: what arrived in one round moves on along the edges in the next, summed by node, until nothing moves. With ``most``,
+    flow that moves on after so many levels is an error.
     """
     moving = nodes.select("id", F.col(value).alias("v"))
     rounds = [moving]
     out = edges.select(F.col("a_id").alias("id"), F.col("b_id").alias("to"))
-    for _ in range(most):
+    while True:
         moving = moving.join(out, "id").groupBy(F.col("to").alias("id")).agg(F.sum("v").alias("v"))
         moving = cut(moving)
         if moving.isEmpty():
             break
+        if most is not None and len(rounds) > most:
+            raise RuntimeError(f"flow still moves after {most} levels")
         rounds.append(moving)
     every = rounds[0]
     for r in rounds[1:]:

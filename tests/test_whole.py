@@ -84,3 +84,11 @@ def test_the_whole_river(spark, tmp_path, monkeypatch, block):
     assert got == pytest.approx(total, abs=1e-3) and sum(map(len, edges.values())) > 300
     joined = {i for i, to in edges.items() if to} | {j for to in edges.values() for j in to}
     assert {r.id: r.component for r in catalog.QUERIES["components"](spark, str(tmp_path)).collect()} == {i: least[i] for i in joined}
+
+
+def test_no_level_is_left_out(spark):
+    nodes = spark.createDataFrame([(k, 1.0) for k in range(5)], "id long, v double")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(4)], "a_id long, b_id long")
+    assert {r.id: r.total for r in G.accumulate(nodes, edges, "v", most=4).collect()} == {k: k + 1.0 for k in range(5)}
+    with pytest.raises(RuntimeError):
+        G.accumulate(nodes, edges, "v", most=2)
