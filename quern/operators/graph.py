@@ -178,6 +178,7 @@ def stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component (least id) by least-label propagation with shortcuts."""
     few = cut(stars(edges))
+    few = cut(stars(few.coalesce(max(1, few.rdd.getNumPartitions() // 16))))
     both = cut(few.select("a", "b").union(few.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
     while True:
