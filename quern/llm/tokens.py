@@ -18,6 +18,7 @@ table writes no file and reads back empty; other columns are ignored. A block wi
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stages
+from .text import chunks, mix, utf8
 
 END = 2
 LANES = 1024
@@ -41,10 +43,6 @@ LOW = np.uint64(1 << 31)
 MAGIC = b"QRNS"
 HEAD, HEAD_BYTES = "<4sIII32s", 48
 TAIL, TAIL_BYTES = "<QI", 12
-BATCH = 64
-MARKS = ".,;:!?"
-#: A space after another white-space character, and the places before a space that follows a non-space.
-SPACED, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
 def frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -72,7 +70,7 @@ class Coder:
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.mask = np.uint64((1 << scale) - 1)
-        self.digest = zlib.crc32(freq.astype("<u4").tobytes()).to_bytes(4, "little") * 8
+        self.digest = hashlib.sha256(freq.astype("<u4").tobytes()).digest()
 
     def encode(self, ids: np.ndarray) -> bytes:
         """n, lanes, words; states at the start of decoding; words in decoding order."""
@@ -131,79 +129,251 @@ def read_bytes(uri: str) -> bytes:
 _loaded: dict[str, Encoder] = {}
 
 
+def _classes() -> np.ndarray:
+    """Classes of ASCII bytes; what is not listed, and every other byte at first, is ``UNKNOWN``."""
+    c = np.full(256, UNKNOWN, np.uint8)
+    c[33:127] = PUNCTUATION
+    for lo, hi, kind in (("A", "Z", LETTER), ("a", "z", LETTER), ("0", "9", DIGIT), ("'", "'", APOSTROPHE), (" ", " ", SPACE), ("\t", "\r", BLANK)):
+        c[ord(lo) : ord(hi) + 1] = kind
+    return c
+
+
+UNKNOWN, LETTER, DIGIT, PUNCTUATION, APOSTROPHE, SOLID, SPACE, BLANK = range(8)
+CLASSES = _classes()
+
+
+def pieces(data: np.ndarray) -> np.ndarray:
+    """Whether a text may be cut before each of its bytes without any token reaching across.
+
+    Byte-level tokenizers first split a text into contractions, runs of letters, of digits, of other marks, each with a space before it, and
+    white space. A cut is made only where the bytes around it leave no doubt; ``UNKNOWN`` ones may be white space, letters or marks.
+    """
+    kind = CLASSES[data]
+    lead = np.flatnonzero((data >= 0xC3) & ~((data >= 0xE1) & (data <= 0xE3)))  # the others' characters may be white space
+    for k in range(4):
+        some = lead[(data[lead] >= (0, 0xC3, 0xE0, 0xF0)[k]) & (lead + k < len(data))]
+        kind[some + k] = SOLID
+    latin = lead[(data[lead] <= 0xC9) & (lead + 1 < len(data))]
+    latin = latin[(data[latin] != 0xC3) | ((data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7))]  # but for the signs of times and division
+    kind[latin] = kind[latin + 1] = LETTER
+    return RULES[np.concatenate([[UNKNOWN, UNKNOWN], kind[:-2]])[: len(kind)], np.concatenate([[UNKNOWN], kind[:-1]])[: len(kind)], kind]
+
+
+def _rules() -> np.ndarray:
+    """Whether to cut between the second and the third of three classes."""
+    out = np.zeros((8, 8, 8), bool)
+    full = (LETTER, DIGIT, PUNCTUATION, APOSTROPHE, SOLID)
+    for before in range(8):
+        for p in range(8):
+            for c in range(8):
+                white = p in full and c in (SPACE, BLANK)
+                after = p == BLANK and before in full and c in full
+                other = {p, c} <= {LETTER, DIGIT, PUNCTUATION, APOSTROPHE} and p != c and p != APOSTROPHE and (p, c) != (PUNCTUATION, APOSTROPHE)
+                out[before, p, c] = white or after or other
+    return out
+
+
+RULES = _rules()
+
+
 class Encoder:
-    """A byte-level tokenizer that remembers what the library made of each space-delimited part of a text.
+    """A byte-level tokenizer that remembers what the library made of the pieces of texts.
 
-    Such a tokenizer never lets a token reach across a space that follows a non-space, so a text cut before those
-    spaces has the ids of its parts. About ``MOST`` parts are remembered, the first that come, which are the commonest.
+    Pieces of up to 24 bytes are looked up by their bytes, as three 64-bit words and a length, in an open-addressed table of a fixed
+    size; the first ``MOST`` that come, which are the commonest, are kept. The others go to the library, many at once and once a chunk.
+    Tokenizers of another kind encode whole texts by the library.
     """
 
-    MOST = 800_000
+    SLOT_BITS, MOST, PROBES = 20, 600_000, 8
+    CHUNK = 1 << 20
+    GROUP = 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[list(vocabulary.values())] = list(map(len, vocabulary))  # one character a byte
         self.kind = "<u2" if len(self.width) <= 1 << 16 else "<u4"
-        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         stage = json.loads(self.library.to_str())
-        self.cuts = stage.get("normalizer") is None and (stage.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not stage["pre_tokenizer"].get("add_prefix_space")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of ``kind``."""
+        split = stage.get("pre_tokenizer") or {}
+        self.cuts = stage.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.pool, self.used, self.kept, self.held = np.full(1 << 16, end, self.kind), 1, 1, 0
+        if self.cuts:
+            slots = 1 << self.SLOT_BITS
+            self.words = [np.zeros(slots, np.uint64) for _ in range(3)]
+            self.bytes, self.at, self.count = np.zeros(slots, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.uint16)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a chunk's texts one after another, each with the end id, and how many each has."""
+        size = int(at[-1] - at[0])
         if not self.cuts:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        cut = [CUT.split(t) if SPACED.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else CUT.split(t) for t in texts]
-        got = [list(map(self.parts.get, parts)) for parts in cut]
-        new = dict.fromkeys(p for parts, found in zip(cut, got, strict=True) if None in found for p, x in zip(parts, found, strict=True) if x is None)
-        if new:
-            learnt = self._learn(list(new))
-            got = [[learnt[p] if x is None else x for p, x in zip(parts, found, strict=True)] if None in found else found for parts, found in zip(cut, got, strict=True)]
-            if len(self.parts) < self.MOST:
-                self.parts |= learnt
-        return [b"".join(x) for x in got]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encodes parts that start with a space and end with none as one text, and tells them apart by the bytes of their ids."""
-        marked = {p: p[:-1] for p in new if p[-1:] in MARKS and p[1:-1].isalpha() and p[:1] == " "}  # a word and a mark are cut apart
-        lacking = dict.fromkeys(w for w in marked.values() if w not in self.parts)
-        joined = list(lacking | dict.fromkeys(p for p in new if p not in marked and p[:1] == " " and not p[-1:].isspace()))
-        ids = np.array(self.library.encode("".join(joined), add_special_tokens=False).ids, self.kind)
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in joined]), "left") + 1
-        raw, lo, out, size = ids.tobytes(), 0, {}, ids.itemsize
-        for p, hi in zip(joined, ends.tolist(), strict=True):
-            out[p] = raw[size * lo : size * hi]
-            lo = hi
-        for p, w in marked.items():
-            out[p] = (out.get(w) or self.parts[w]) + self.marks[p[-1]]
-        for p in new:
-            if p not in out:
-                out[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+            texts = [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+            ids = [np.append(np.array(e.ids, self.kind), self.pool[0]) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
+        if len(at) == 2 and size > 2 * self.CHUNK:
+            return self._long(data[at[0] : at[1]])
+        return self._chunk(data[at[0] : at[-1]], at - at[0])
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One long text by stretches that end at a cut."""
+        ids, lo, step = [], 0, self.CHUNK
+        whole = any(t in data.tobytes() for t in self.added)
+        while lo < len(data):
+            hi = len(data) if whole else min(lo + step, len(data))
+            if hi < len(data):
+                cut = np.flatnonzero(pieces(data[lo:hi]))
+                if not len(cut):
+                    step *= 2
+                    continue
+                hi = lo + int(cut[-1])
+            ids.append(self._chunk(data[lo:hi], np.array([0, hi - lo]))[0][:-1])
+            lo, step = hi, self.CHUNK
+        ids.append(self.pool[:1])
+        return np.concatenate(ids), np.array([sum(map(len, ids))])
+
+    def _chunk(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, n = len(data), len(at) - 1
+        cut = pieces(data) if size else np.zeros(0, bool)
+        for token in self.added:  # a text that spells an added token is one piece
+            raw, k = data.tobytes(), -1
+            while (k := raw.find(token, k + 1)) >= 0:
+                d = int(np.searchsorted(at, k, "right")) - 1
+                cut[at[d] : at[d + 1]] = False
+        cut[at[:-1][at[:-1] < size]] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(np.append(start, size))
+        padded = np.zeros(size + 32, np.uint8)
+        padded[:size] = data
+        place, count = self._known(padded, start, length)
+        doc = np.searchsorted(at, start, "right") - 1
+        slot = np.arange(len(start)) + doc
+        places, counts = np.zeros(len(start) + n, np.int64), np.ones(len(start) + n, np.int64)
+        places[slot], counts[slot] = place, count
+        ends = np.cumsum(counts)
+        ids = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(places - (ends - counts), counts)]
+        self.used = self.kept
+        last = ends[np.cumsum(np.bincount(doc, minlength=n)) + np.arange(n)]
+        return ids, np.diff(last, prepend=0)
+
+    def _known(self, padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``pool`` the ids of each piece are, and how many; new pieces are learnt."""
+        view = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        key = [view[np.minimum(start + 8 * k, len(view) - 1)] & MASK[np.clip(length - 8 * k, 0, 8)] for k in range(3)]
+        size = np.minimum(length, 255).astype(np.uint8)
+        h = mix(key[0] ^ mix(key[1] + mix(key[2] + length.astype(np.uint64))))
+        short = length <= 24
+        place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        todo = np.flatnonzero(short)
+        slot = (h[todo] >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        missed = []
+        for _ in range(self.PROBES):
+            hit = (self.bytes[slot] == size[todo]) & (self.words[0][slot] == key[0][todo]) & (self.words[1][slot] == key[1][todo]) & (self.words[2][slot] == key[2][todo])
+            place[todo[hit]], count[todo[hit]] = self.at[slot[hit]], self.count[slot[hit]]
+            empty = self.bytes[slot] == 0
+            missed.append(todo[empty])
+            todo, slot = todo[~hit & ~empty], (slot[~hit & ~empty] + 1) & ((1 << self.SLOT_BITS) - 1)
+            if not len(todo):
+                break
+        todo = np.concatenate([*missed, todo])
+        # one of each: by hash, and by all bytes among equal hashes
+        todo = todo[np.argsort(h[todo], kind="stable")]
+        new = np.ones(len(todo), bool)
+        new[1:] = h[todo[1:]] != h[todo[:-1]]
+        lead = todo[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(todo) else todo
+        same = (size[todo] == size[lead]) & (key[0][todo] == key[0][lead]) & (key[1][todo] == key[1][lead]) & (key[2][todo] == key[2][lead])
+        first = todo[new]
+        alone = np.concatenate([todo[~same], np.flatnonzero(~short)])
+        texts = {}
+        for i in alone.tolist():
+            texts.setdefault(padded[start[i] : start[i] + length[i]].tobytes(), []).append(i)
+        p, c = self._learn([padded[a : a + n].tobytes() for a, n in zip(start[first].tolist(), length[first].tolist(), strict=True)])
+        of = np.cumsum(new) - 1
+        place[todo[same]], count[todo[same]] = p[of[same]], c[of[same]]
+        if self.held < self.MOST:
+            self._hold(first, h, key, size, p, c)
+            self.kept = self.used
+        p, c = self._learn(list(texts))
+        for k, some in enumerate(texts.values()):
+            place[some], count[some] = p[k], c[k]
+        return place, count
+
+    def _hold(self, first: np.ndarray, h: np.ndarray, key: list[np.ndarray], size: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
+        """Puts pieces into the table, each in the first free slot from its own."""
+        todo = np.flatnonzero(count < 1 << 16)
+        self.held += len(todo)
+        slot = (h[first[todo]] >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        for _ in range(self.PROBES):
+            free = np.flatnonzero(self.bytes[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            mine = free[one]
+            at, k = slot[mine], todo[mine]
+            for w, x in zip(self.words, key, strict=True):
+                w[at] = x[first[k]]
+            self.bytes[at], self.at[at], self.count[at] = size[first[k]], place[k], count[k]
+            left = np.ones(len(todo), bool)
+            left[mine] = False
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.SLOT_BITS) - 1)
+            if not len(todo):
+                break
+
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces into ``pool``: those of one word many at once, told apart by the bytes of their ids, and others one by one."""
+        place, count = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        texts = [x.decode() for x in raw]
+        plain = [i for i, t in enumerate(texts) if PLAIN.fullmatch(t)]
+        if plain:
+            groups = ["".join(texts[i] + "\n" for i in plain[k : k + self.GROUP]) for k in range(0, len(plain), self.GROUP)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(groups, add_special_tokens=False)])
+            ends = np.concatenate([[0], np.cumsum(self.width[ids])])
+            stop = np.cumsum([len(raw[i]) + 1 for i in plain]) - 1
+            lo = np.searchsorted(ends, np.concatenate([[0], stop[:-1] + 1]))
+            hi = np.searchsorted(ends, stop)
+            exact = (ends[np.minimum(hi, len(ends) - 1)] == stop) & (ends[lo] == np.concatenate([[0], stop[:-1] + 1]))
+            if not exact.all():
+                raise ValueError("a token reaches across a line end")
+            at = self._put(ids)
+            place[plain], count[plain] = at + lo, hi - lo
+        rest = sorted(set(range(len(raw))) - set(plain)) if len(plain) < len(raw) else []
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            place[i], count[i] = self._put(np.array(e.ids, self.kind)), len(e.ids)
+        return place, count
+
+    def _put(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        at, self.used = self.used, self.used + len(ids)
+        self.pool[at : self.used] = ids
+        return at
+
+
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: A piece with white space at its head only, one space, and no character that tokenizers may take for white space.
+PLAIN = re.compile(r" ?[^\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]+")
+
+
+def encoder(path: str, end: int = END) -> Encoder:
+    if (path, end) not in _loaded:
+        _loaded.clear()
+        _loaded[path, end] = Encoder(path, end)
+    return _loaded[path, end]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, n, ids (little-endian unsigned integers of the tokenizer's ``kind``) for every row."""
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(tokenizer)
-        tail = np.array([end], known.kind).tobytes()
+        known = encoder(tokenizer, end)
         for batch in batches:
-            texts = batch.column("text")
-            for lo in range(0, batch.num_rows, BATCH):
-                ids = [x + tail for x in known.encode([t or "" for t in texts[lo : lo + BATCH].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo : lo + BATCH], pa.array([len(x) // len(tail) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            data, at = utf8(batch.column("text"))
+            for lo, hi in chunks(at, known.CHUNK):
+                ids, n = known.encode(data, at[lo : hi + 1])
+                ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+                rows = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n), rows], ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(tokenized, "doc_id long, n long, ids binary")
 
@@ -336,12 +506,12 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     stages = Stages(spark, "tokens")
     tokens = stages.put(tokenize(docs, tokenizer, end), "ids")
     folder = stages.folder("files")
-    manifest = stages.put(write(tokens, folder, _partitions(tokens), encoder(tokenizer).kind), "manifest")
+    manifest = stages.put(write(tokens, folder, _partitions(tokens), encoder(tokenizer, end).kind), "manifest")
     stages.drop(tokens)
     return read(manifest, folder)
 
 
-def _partitions(tokens: DataFrame, ids: int = 8_000_000) -> int:
+def _partitions(tokens: DataFrame, ids: int = 32_000_000) -> int:
     """Files of about so many ids, as many as the session shuffles at least."""
     total = tokens.agg(F.sum("n")).first()[0] or 0
     return max(int(total // ids) + 1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
