@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import Stages, small_side
+from .staging import Stages, small_side, unused
 from .text import chunks, mix, utf8, word_bytes, words
 
 WORDS = 5
@@ -290,15 +290,24 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that have the least id of their component, once each, with the columns they came with."""
+    """One document of each component, the one of least id, with the columns they came with, whatever their names.
+
+    Rows without text or words, or without id, stay. Rows that share an id are told apart by their texts: of those with the same text one
+    stays, if its component has no other document before it.
+    """
     stages = Stages(docs.sparkSession, "distinct")
-    found = stages.put(join(docs, size, percent), "joined")
-    dropped = small_side(stages.put(found.where("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped"))
-    kept = docs.join(dropped, docs["doc_id"] == F.col("_id"), "left_anti")
-    again = stages.put(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1 and _id is not null").select("_id"), "again")
+    key, many, gone = (unused(c, docs) for c in ("row_key", "shares_id", "dropped_key"))
+    again = stages.put(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(key)), "again")
     if again.isEmpty():
-        return kept
-    # rows that share an id: one of each distinct id and text
-    again = small_side(again)
-    once = kept.join(again, kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == F.col("_id"), "left_anti").unionByName(once)
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:
+        # an id of several rows is replaced by one of the id and the text, greater than any other
+        rows = docs.join(small_side(again).withColumn(many, F.lit(True)), F.col("doc_id") == F.col(key), "left")
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+        keyed = stages.put(rows.withColumn(key, F.when(F.col(many), own).otherwise(F.col("doc_id"))), "keyed")
+    found = stages.put(join(keyed.select(F.col(key).alias("doc_id"), "text"), size, percent), "joined")
+    dropped = small_side(stages.put(found.where("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped"))
+    kept = keyed.join(dropped, F.col(key) == F.col(gone), "left_anti")
+    if not again.isEmpty():
+        kept = kept.where(f"{many} is null").unionByName(kept.where(many).dropDuplicates([key]))
+    return kept.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
-from .text import chunks, mix, powers, utf8, word_bytes, words
+from .text import BLOCK, Words, chunks, mix, powers, utf8, word_bytes, words
 
 BITS = 20
 TRAIN_ROWS = 20_000
@@ -31,6 +31,8 @@ SMOOTH = 1.0
 #: Share of the fitted weights against their mean magnitude.
 BETA = 0.75
 CUT = 0.3
+#: Words of a long text whose indicators are made at once.
+SEGMENT = 1 << 18
 BLANK = word_bytes("blank")
 
 
@@ -46,35 +48,52 @@ def _shapes() -> np.ndarray:
 SHAPE = _shapes()
 
 
+def shapes(data: np.ndarray, lo: int, w: Words) -> np.ndarray:
+    """A hash of each word's shape, the classes of its bytes with repeats dropped."""
+    power, inverse = powers()
+    out, i = np.zeros(len(w.start), np.uint64), 0
+    while i < len(w.start):
+        j = max(i + 1, int(np.searchsorted(w.end, w.start[i] + BLOCK, "right")))
+        base, place, last = int(w.start[i]), 0, -1
+        for b in range(base, int(w.end[j - 1]), BLOCK):  # more than one block only inside a single word
+            kind = SHAPE[data[lo + b : lo + min(b + BLOCK, int(w.end[j - 1]))]]
+            new = np.ones(len(kind), bool)
+            new[1:] = kind[1:] != kind[:-1]
+            new[w.start[i:j][w.start[i:j] >= b] - b] = True
+            new[0] = new[0] and (b == base or int(kind[0]) != last)
+            at = np.cumsum(new)
+            total = np.zeros(len(kind) + 1, np.uint64)
+            np.cumsum(np.where(new, kind * power[at], np.uint64(0)), out=total[1:])
+            if j > i + 1 or w.end[i] - w.start[i] <= BLOCK:
+                out[i:j] = (total[w.end[i:j] - base] - total[w.start[i:j] - base]) * inverse[at[w.start[i:j] - base]]
+            else:
+                out[i] = (int(out[i]) + int(total[-1]) * pow(int(power[1]), place - 1, 1 << 64)) & ((1 << 64) - 1)
+                place, last = place + int(at[-1]), int(kind[-1])
+        i = j
+    return mix(out)
+
+
 def indicators(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (document, bucket) pairs of a chunk, as two arrays."""
     w = words(data, at, BLANK)
-    if not len(w.start):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    kind = SHAPE[data[at[0] : at[-1]]]
-    new = np.ones(len(kind), bool)
-    new[1:] = kind[1:] != kind[:-1]
-    new[w.start] = True
-    place = np.cumsum(new)
-    power, inverse = powers(len(kind) + 1)
-    total = np.zeros(len(kind) + 1, np.uint64)
-    np.cumsum(np.where(new, kind * power[place], np.uint64(0)), out=total[1:])
-    shape = mix((total[w.end] - total[w.start]) * inverse[place[w.start]])
-    joined = np.zeros(len(w.doc), bool)
-    joined[1:] = w.doc[1:] == w.doc[:-1]
-    same = np.zeros(len(w.doc), np.uint64)
-    same[1:] = w.hash[1:] == w.hash[:-1]
-    k = np.flatnonzero(joined)
-    found = [
-        (w.doc, w.hash),
-        (w.doc, shape + np.uint64(1)),
-        (w.doc[k], mix(w.hash[k - 1] * np.uint64(3) + w.hash[k])),
-        (w.doc[k], mix(shape[k - 1] * np.uint64(5) + shape[k] + same[k])),
-        (w.doc[k], mix(same[k] + np.uint64(77))),
-    ]
-    keys = np.concatenate([(d.astype(np.uint64) << np.uint64(BITS)) | (mix(h) >> np.uint64(64 - BITS)) for d, h in found])
-    keys.sort()
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    shape = shapes(data, int(at[0]), w)
+    all_keys = [np.empty(0, np.uint64)]
+    for lo in range(0, len(w.start), SEGMENT):
+        hi = min(lo + SEGMENT, len(w.start))
+        k = np.arange(max(lo, 1), hi)
+        k = k[w.doc[k] == w.doc[k - 1]]
+        same = (w.hash[k] == w.hash[k - 1]).astype(np.uint64)
+        found = [
+            (w.doc[lo:hi], w.hash[lo:hi]),
+            (w.doc[lo:hi], shape[lo:hi] + np.uint64(1)),
+            (w.doc[k], mix(w.hash[k - 1] * np.uint64(3) + w.hash[k])),
+            (w.doc[k], mix(shape[k - 1] * np.uint64(5) + shape[k] + same)),
+            (w.doc[k], mix(same + np.uint64(77))),
+        ]
+        keys = np.concatenate([(d.astype(np.uint64) << np.uint64(BITS)) | (mix(h) >> np.uint64(64 - BITS)) for d, h in found])
+        keys.sort()
+        all_keys.append(keys[np.concatenate([[True], keys[1:] != keys[:-1]])])
+    keys = all_keys[-1] if len(all_keys) <= 2 else np.unique(np.concatenate(all_keys))
     return (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.plans.ship import ship
 
 from . import decontaminate, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
+from .staging import bounded
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

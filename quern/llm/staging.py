@@ -10,13 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from quern.plans.ship import ship
 
-#: Most rows that a side may have, by count, to be broadcast; wider rows divide it.
-BROADCAST_ROWS = 2_000_000
+#: Most bytes that a side may have to be broadcast, and of an Arrow batch, each where the user has set none.
+BROADCAST_BYTES = 64 << 20
+ARROW_BYTES, ARROW_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession, what: str):
         ship(spark)
+        bounded(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
         self.made = 0
@@ -62,9 +65,37 @@ class Stages:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a staged table) with a broadcast hint if its counted rows are within ``rows``.
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a staged table) with a broadcast hint if its rows, measured, take at most ``most`` bytes.
 
     Above that the join shuffles, and adaptive execution splits skewed keys.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(sum((_width(F.col(f.name), f.dataType) for f in df.schema), F.lit(32)))).first()
+    return F.broadcast(df) if not rows or held <= most else df
+
+
+def _width(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda a, x: a + _width(x, kind.elementType).cast("long"))
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(kind, StructType):
+        return sum((_width(column.getField(f.name), f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows, unless the session already does."""
+    if ARROW_SETTING not in spark.conf.getAll:
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,7 +1,8 @@
 """Vectorised text handling on UTF-8 bytes: whole Arrow columns become arrays of word positions and hashes.
 
-A text stays bytes throughout. Words are maximal runs of word bytes inside one document; the hash of a
-word is a polynomial in its bytes modulo 2**64, read off one prefix sum per chunk and then mixed.
+A text stays bytes throughout. Words are maximal runs of word bytes inside one document; the hash of a word is a polynomial in
+its bytes modulo 2**64, mixed at the end. Bytes are read in blocks of ``BLOCK``, and a word that crosses a block's end is put together from
+its parts, so what is held beside the words themselves does not grow with a text.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ALL = (1 << 64) - 1
+_powers: list[np.ndarray] = []
 
 
 def word_bytes(pattern: str) -> np.ndarray:
@@ -37,14 +40,13 @@ def word_bytes(pattern: str) -> np.ndarray:
     return np.where(word, value + np.uint64(1), np.uint64(0))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 4096)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, 0 to ``BLOCK``."""
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(BLOCK + 1, base, np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p)
+            _powers.append(np.cumprod(p))
     return _powers[0], _powers[1]
 
 
@@ -63,7 +65,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if column.null_count:
         column = pc.fill_null(column, b"")
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)), at
 
 
@@ -88,23 +90,59 @@ class Words(NamedTuple):
 
 def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> Words:
     """``at``: offsets of the chunk's documents in ``data``."""
-    lo, hi = int(at[0]), int(at[-1])
-    value = table[data[lo:hi]]
+    lo, size = int(at[0]), int(at[-1] - at[0])
     at = at - lo
-    inside = np.zeros(len(value) + 2, bool)
-    inside[1:-1] = value != 0
-    edge = inside[1:] != inside[:-1]
-    starts, ends = np.flatnonzero(edge)[::2], np.flatnonzero(edge)[1::2]
-    cuts = at[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(value))])
-    cuts = cuts[inside[cuts] & inside[cuts + 1]]  # a word that runs on from one document into the next
-    if len(cuts):
-        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
-    power, inverse = powers(len(value))
-    total = np.empty(len(value) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value * power[: len(value)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    cuts = np.unique(at[1:-1])
+    power, inverse = powers()
+    found: list[list[np.ndarray]] = []
+    for b in range(0, size, BLOCK):
+        value = table[data[lo + b : lo + min(b + BLOCK, size)]]
+        inside = np.zeros(len(value) + 2, bool)
+        inside[1:-1] = value != 0
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        own = cuts[np.searchsorted(cuts, b, "right") : np.searchsorted(cuts, b + len(value))] - b
+        own = own[inside[own] & inside[own + 1]]  # a word that runs on from one document into the next
+        if len(own):
+            starts, ends = np.sort(np.concatenate([starts, own])), np.sort(np.concatenate([ends, own]))
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * power[: len(value)], out=total[1:])
+        raw = (total[ends] - total[starts]) * inverse[starts]
+        starts, ends = starts + b, ends + b
+        last = found[-1] if found else None
+        if last and len(starts) and starts[0] == b == last[1][-1] and not _has(cuts, b):
+            # the last word of the block before goes on
+            more = pow(_BASE, int(last[1][-1] - last[0][-1]), 1 << 64)
+            last[2][-1] = (int(last[2][-1]) + int(raw[0]) * more) & _ALL
+            last[1][-1] = ends[0]
+            starts, ends, raw = starts[1:], ends[1:], raw[1:]
+        if len(starts):
+            found.append([starts, ends, raw])
+    starts, ends, raw = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     first = np.searchsorted(starts, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    return Words(starts, ends, doc, hashes, first)
+    return Words(starts, ends, doc, mix(raw), first)
+
+
+def _has(ordered: np.ndarray, x: int) -> bool:
+    k = int(np.searchsorted(ordered, x))
+    return k < len(ordered) and ordered[k] == x
+
+
+def starts_hash(data: np.ndarray, at: np.ndarray, w: Words, table: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size in rising order: it, the words of at least so many bytes, and the hashes of their first bytes."""
+    some, raw, done = np.arange(len(w.start)), np.zeros(len(w.start), np.uint64), 0
+    place = w.start + at[0]
+    for size in sorted(sizes):
+        keep = (w.end - w.start)[some] >= size
+        some, raw = some[keep], raw[keep]
+        for k in range(done, size):
+            raw = raw + table[data[place[some] + k]] * np.uint64(pow(_BASE, k, 1 << 64))
+        done = size
+        yield size, some, mix(raw)
+
+
+def hash_of(text: str, table: np.ndarray) -> int:
+    """The hash that ``words`` and ``starts_hash`` give to a text."""
+    raw = sum(int(table[b]) * pow(_BASE, k, 1 << 64) for k, b in enumerate(text.encode())) & _ALL
+    return int(mix(np.array([raw], np.uint64))[0])

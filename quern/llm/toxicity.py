@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
-from .text import chunks, powers, utf8, word_bytes, words
+from .staging import Stages
+from .text import Words, chunks, hash_of, starts_hash, utf8, word_bytes, words
 
 ALNUM = word_bytes("alnum")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,6 +54,7 @@ SEEDS = {
 }
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 QUOTED, NEGATED, AIMED = 8, 16, 32
+STOPS = np.isin(np.arange(256), np.frombuffer(b".!?;:\n", np.uint8))
 
 
 class Transducer(NamedTuple):
@@ -113,12 +115,6 @@ def grammar() -> tuple[np.ndarray, np.ndarray]:
     return compose(reported(), within(NEGATED, NEGATION, False, some), within(AIMED, TARGET, True, some + [x | NEGATED for x in some]), scorer())
 
 
-def hash_of(text: str) -> int:
-    data = np.frombuffer(text.encode(), np.uint8)
-    power, _ = powers(len(data))
-    return int((ALNUM[data] * power[: len(data)]).sum(dtype=np.uint64))
-
-
 class Lexicon(NamedTuple):
     """Entries: text, whole word or stem, label, weight."""
 
@@ -126,7 +122,7 @@ class Lexicon(NamedTuple):
 
 
 class Tables(NamedTuple):
-    """By byte length of a stem (0: whole words), sorted raw hashes with labels and weights."""
+    """By byte length of a stem (0: whole words), sorted hashes with labels and weights."""
 
     by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -134,17 +130,29 @@ class Tables(NamedTuple):
 def tables(lexicon: Lexicon) -> Tables:
     by: dict[int, list] = {}
     for text, whole, label, weight in lexicon.entries:
-        by.setdefault(0 if whole else len(text.encode()), []).append((hash_of(text), label, weight))
+        by.setdefault(0 if whole else len(text.encode()), []).append((hash_of(text, ALNUM), label, weight))
     return Tables({k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64, np.float64), strict=True)) for k, v in by.items()})
 
 
-def _looked_up(raw: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
+def _looked_up(hashes: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
     known, label, weight = table
-    at = np.minimum(np.searchsorted(known, raw), len(known) - 1)
-    hit = known[at] == raw
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[at] == hashes
     return np.where(hit, label[at], OTHER), np.where(hit, weight[at], 0.0)
 
 
+def _found(data: np.ndarray, at: np.ndarray, w: Words, known: Tables) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words that an entry matches with its label and weight: by whole words, then by stems from short to long."""
+    if 0 in known.by:
+        label, weight = _looked_up(w.hash, known.by[0])
+        hit = np.flatnonzero(label != OTHER)
+        yield hit, label[hit], weight[hit]
+    for size, some, h in starts_hash(data, at, w, ALNUM, [k for k in known.by if k]):
+        label, weight = _looked_up(h, known.by[size])
+        hit = np.flatnonzero(label != OTHER)
+        yield some[hit], label[hit], weight[hit]
+
+
 def totals(data: np.ndarray, at: np.ndarray, known: Tables, machine: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each document of a chunk: summed clause weights, greatest clause weight, matched clauses."""
     n = len(at) - 1
@@ -152,33 +160,29 @@ def totals(data: np.ndarray, at: np.ndarray, known: Tables, machine: tuple[np.nd
     w = words(data, at, ALNUM)
     if not len(w.start):
         return total, most, clauses
-    chunk = data[at[0] : at[-1]]
-    value = ALNUM[chunk]
-    power, inverse = powers(len(value))
-    summed = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(value * power[: len(value)], out=summed[1:])
-    label, weight = np.zeros(len(w.start), np.int64), np.zeros(len(w.start))
-    for size, table in sorted(known.by.items(), reverse=True):  # whole words last: they have the last word
-        end = w.end if size == 0 else w.start + size
-        some = np.flatnonzero(end <= w.end) if size else slice(None)
-        start = w.start[some]
-        lab, wei = _looked_up((summed[end[some]] - summed[start]) * inverse[start], table)
-        label[some], weight[some] = np.where(lab > 0, lab, label[some]), np.where(lab > 0, wei, weight[some])
+    label, weight = np.zeros(len(w.start), np.int8), np.zeros(len(w.start))
+    for some, lab, wei in _found(data, at, w, known):  # the first that matches decides
+        new = label[some] == OTHER
+        label[some[new]], weight[some[new]] = lab[new], wei[new]
     hits = np.flatnonzero((label == INSULT) | (label == THREAT))
     if not len(hits):
         return total, most, clauses
-    stop = np.flatnonzero(np.isin(chunk, np.frombuffer(b".!?;:\n", np.uint8)))
+    chunk = data[at[0] : at[-1]]
+    stop = np.flatnonzero(STOPS[chunk])
     bounds = np.unique(np.concatenate([stop, at[:-1] - at[0], at[1:] - at[0]]))
     clause = np.searchsorted(bounds, w.start[hits], "right")
     after, gain = machine
     for c in np.unique(clause):
         lo, hi = np.searchsorted(w.start, [bounds[c - 1], bounds[c] if c < len(bounds) else len(chunk)])
-        state, got = 0, 0.0
-        last = 0.0
-        for x, y in zip(label[lo:hi].tolist(), weight[lo:hi].tolist(), strict=True):
-            g = gain[state, x]
+        some = lo + np.flatnonzero(label[lo:hi])
+        # tokens between labelled ones change nothing after SPAN of them
+        gaps = np.minimum(np.diff(some, prepend=lo - 1) - 1, SPAN)
+        state, got, last = 0, 0.0, 0.0
+        for gap, x, y in zip(gaps.tolist(), label[some].tolist(), weight[some].tolist(), strict=True):
+            for _ in range(gap):
+                state = after[state, OTHER]
             last = y if y else last
-            got += g * (last if x == TARGET else y)
+            got += gain[state, x] * (last if x == TARGET else y)
             state = after[state, x]
         d = w.doc[lo]
         total[d] += got
@@ -199,10 +203,12 @@ def _evidence(sampled: DataFrame) -> DataFrame:
     return once.groupBy("term", "whole").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: int = TRAIN_ROWS) -> tuple[Lexicon, float, float]:
-    """The lexicon, and the cut and slope of the margin."""
+def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """Fits the lexicon, and the cut and slope of the margin."""
     some = L.sample(labels, "toxic", ~held_out, train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label")
+    # the bounded sample, staged once for all that reads it
+    stages = Stages(docs.sparkSession, "toxicity")
+    rows = stages.put(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label"), "sample")
     n_toxic, n_clean = (some.where(F.col("label") == k).count() for k in (1, 0))
     seeds = {w: k for k, kind in ((INSULT, "insult"), (THREAT, "threat")) for w in SEEDS[kind].split()}
     known = {}
@@ -227,12 +233,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: in
     listed = [(t, whole, k, w) for (t, whole), (k, w) in sorted(entries.items())]
     listed += [(w, True, k, 0.0) for k, kind in ((TARGET, "target"), (NEGATION, "negation"), (REPORT, "report")) for w in SEEDS[kind].split() if (w, True) not in entries]
     lexicon = Lexicon(listed)
-    seen = matches(rows, lexicon, "label").select("label", "total").toPandas()
+    seen = matches(rows, Scorer(lexicon, 0.0, 1.0), key="label").select("label", "total").toArrow()
+    stages.drop(rows)
     margin, label = np.log1p(seen["total"].to_numpy()), seen["label"].to_numpy().astype(np.int64)
     if not len(label) or label.min() == label.max():
-        return lexicon, float(np.log1p(2.0)), 4.0
+        return Scorer(lexicon, float(np.log1p(2.0)), 4.0)
     cut = L.balanced_cut(margin, label)
-    return lexicon, cut, max(L.slope(margin, label, cut), 3.0)
+    return Scorer(lexicon, cut, max(L.slope(margin, label, cut), 3.0))
 
 
 def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
@@ -245,17 +252,10 @@ def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -
             data, at = utf8(batch.column("text"))
             for lo, hi in chunks(at):
                 w = words(data, at[lo : hi + 1], ALNUM)
-                value = ALNUM[data[at[lo] : at[hi]]]
-                power, inverse = powers(len(value))
-                summed = np.zeros(len(value) + 1, np.uint64)
-                np.cumsum(value * power[: len(value)], out=summed[1:])
                 docs, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for size, table in known.by.items():
-                    end = w.end if size == 0 else w.start + size
-                    some = np.flatnonzero(end <= w.end)
-                    _, number = _looked_up((summed[end[some]] - summed[w.start[some]]) * inverse[w.start[some]], table)
-                    docs.append(w.doc[some][number > 0])
-                    ids.append(number[number > 0].astype(np.int64) - 1)
+                for some, _, number in _found(data, at[lo : hi + 1], w, known):
+                    docs.append(w.doc[some])
+                    ids.append(number.astype(np.int64) - 1)
                 pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(ids)]), axis=1)
                 # a document with a seed is explained
                 pairs = pairs[:, ~np.isin(pairs[0], pairs[0, pairs[1] < n_seeds])] - np.array([[0], [n_seeds]])
@@ -283,35 +283,53 @@ def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -
                 counts[ids[starts[d] : starts[d + 1]]] -= 1
 
 
-def matches(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id") -> DataFrame:
-    """``key``, total, most, clauses for every row; the key may be a struct of all columns."""
-    known, machine = tables(lexicon), grammar()
+class Scorer(NamedTuple):
+    """What decides a text: the lexicon, and the cut and slope of the margin."""
+
+    lexicon: Lexicon
+    cut: float
+    slope: float
+
+    def __call__(self, texts: pa.Array, at: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """score, total, most, clauses of each text."""
+        known, machine = tables(self.lexicon), grammar()
+        data, ends = utf8(texts)
+        parts = [totals(data, ends[lo : hi + 1], known, machine) for lo, hi in chunks(ends)]
+        total, most, clauses = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0), np.empty(0, np.int64))
+        return L.probability(np.log1p(total), self.cut, self.slope, at), total, most, clauses
+
+
+def matches(docs: DataFrame, scorer: Scorer, at: float = CUT, key: str = "doc_id") -> DataFrame:
+    """``key``, score, total, most, clauses for every row."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            parts = [totals(data, at[lo : hi + 1], known, machine) for lo, hi in chunks(at)]
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0), np.empty(0), np.empty(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, cols)], [key, "total", "most", "clauses"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scorer(batch.column(1), at))], ["key", "score", "total", "most", "clauses"])
 
-    return docs.select(key, "text").mapInArrow(matched, f"{key} {docs.schema[key].dataType.simpleString()}, total double, most double, clauses long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(matched, f"key {kind}, score double, total double, most double, clauses long").withColumnRenamed("key", key)
 
 
-def _logistic(cut: float, a: float, at: float) -> F.Column:
-    return 1 / (1 + F.exp(-(F.lit(a) * (F.log1p("total") - F.lit(cut)) + F.lit(float(np.log(at / (1 - at)))))))
+def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
+    return learn(docs, labels, L.fold("doc_id", 3) == 1, train_rows)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses, most for every row."""
-    held_out = L.fold("doc_id", 3) == 1
-    lexicon, cut, a = learn(docs, labels, held_out, train_rows)
-    out = matches(docs, lexicon).withColumn("score", _logistic(cut, a, at))
+    out = matches(docs, trained(docs, labels, train_rows), at)
     return out.select("doc_id", (L.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "clauses", "most")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: float = CUT) -> DataFrame:
-    """The documents that score below ``at``, with the columns they came with."""
-    lexicon, cut, a = learn(docs, labels, L.fold("doc_id", 3) == 1, train_rows)
-    carried = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "text")
-    kept = matches(carried, lexicon, "doc").where(_logistic(cut, a, at) < at)
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    """The documents that score below ``at``, with the columns they came with, whatever their names.
+
+    Each row is judged by its own text: null and empty texts match nothing and stay, rows that share an id or a text are judged one by
+    one, ties at ``at`` go; without labels the seeds decide; an empty table stays empty.
+    """
+    scorer, place = trained(docs, labels, train_rows), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(place), at)[0] < at))
+
+    return docs.mapInArrow(kept, docs.schema)
