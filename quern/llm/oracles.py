@@ -2,7 +2,8 @@
 
 MIXING = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select row_number() over () as rid, doc_id, source, case when doc_id is null then 'null|' || md5(coalesce(text, '')) else doc_id::varchar end as drawn_by,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 per as (
   select source, sum(size)::bigint as source_size, count(*) as n_docs from sized group by source),
 weighted as (
@@ -16,24 +17,35 @@ aimed as (
   select *, least(cap::double, coalesce(max(case when fills_at >= level then level end) over (), 'infinity'::double) * weight) as target from levels),
 plan as (
   select source, source_size, n_docs, target, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from aimed),
-drawn as (
-  select s.doc_id, s.source, s.size, p.source_size, p.n_docs, p.target, p.whole, p.target - p.whole * p.source_size as rest,
-    (('0x' || substr(md5(coalesce(s.doc_id::varchar, 'null') || '|42'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+sources as (
+  select s.rid, s.doc_id, s.drawn_by, s.source, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size as rest,
+    case when s.size > 0 and p.source_size > 0 then pow(2.0::double, least(8.0::double, greatest(-8.0::double, round(log2(s.size::double * p.n_docs / p.source_size) * 4))) / 4) end as measure
   from sized s join plan p on s.source is not distinct from p.source),
+measures as (
+  select source, measure, sum(size) as words, any_value(rest) as rest from sources where rest > 0 and size > 0 group by source, measure),
+tried as (
+  select *, coalesce(sum(words) over (partition by source order by measure desc rows between unbounded preceding and 1 preceding), 0) as before,
+    (rest - before) / sum(measure * words) over (partition by source order by measure desc rows between current row and unbounded following) as c from measures),
+odds as (
+  select source, coalesce(arg_max(c, measure) filter (c * measure < 1), 'infinity'::double) as c, coalesce(arg_max(before, measure) filter (c * measure < 1), sum(words)) as certain
+  from tried group by source),
 ranked as (
-  select *, case when source_size > 0 then u / (1 - u) / least(4.0::double, greatest(0.25::double, size::double * n_docs / source_size)) else 0 end as rank from drawn),
+  select s.*, s.rest - coalesce(o.certain, 0) as left_over, case when s.rest > 0 and s.size > 0 then least(1.0::double, o.c * s.measure) else 0 end as p,
+    (('0x' || substr(md5(s.drawn_by || '|42'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u,
+    case when p > 0 and p < 1 then u / (1 - u) * (1 - p) / p end as rank
+  from sources s left join odds o on s.source is not distinct from o.source),
 summed as (
-  select *, sum(size) over (partition by source order by rank, doc_id, size) as upto from ranked where rest > 0 and size > 0),
+  select *, sum(size) over (partition by source order by rank, doc_id nulls first, size) as upto from ranked where rank is not null and left_over > 0),
 got as (
-  select source, coalesce(max(case when upto <= rest then upto end), 0) as got from summed group by source),
+  select source, coalesce(max(case when upto <= left_over then upto end), 0) as got from summed group by source),
 extra as (
-  select s.source, arg_min(s.doc_id, (abs(s.rest - g.got - s.size), s.rank, s.doc_id)) as extra
+  select s.source, arg_min({'k': s.rank, 'id': s.doc_id, 'n': s.size}, (abs(s.left_over - g.got - s.size), s.rank, s.doc_id, s.size)) as extra
   from summed s join got g on s.source is not distinct from g.source
-  where s.upto > s.rest and abs(s.rest - g.got - s.size) < s.rest - g.got group by s.source)
+  where s.upto > s.left_over and abs(s.left_over - g.got - s.size) < s.left_over - g.got group by s.source)
 select r.doc_id, r.size, r.source_size, r.target,
-  (r.size * (r.whole + case when r.whole < 3 and s.upto is not null and (s.upto <= r.rest or coalesce(r.doc_id = e.extra, false)) then 1 else 0 end))::bigint as taken
+  (r.size * (r.whole + case when r.whole < 3 and (r.p >= 1 or s.upto <= r.left_over or (s.upto is not null and e.extra is not null and {'k': r.rank, 'id': r.doc_id, 'n': r.size} is not distinct from e.extra)) then 1 else 0 end))::bigint as taken
 from ranked r
-left join summed s on r.doc_id = s.doc_id
+left join summed s on r.rid = s.rid
 left join extra e on r.source is not distinct from e.source
 """
 
