@@ -1,47 +1,64 @@
-"""Edit distances and error rates."""
+"""Edit distances, error rates and repetitions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-# Runs of these marks may be seven long, of other tokens five.
-LOOSE = ("-", "~", "–", "—", "*", ".")
+# Runs of these marks may be seven long, whatever the limit of other tokens.
+LOOSE, LOOSE_MOST = ("-", "~", "–", "—", "*", "."), 7
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
-    """Edit distance of two token lists, in memory of the shorter."""
+def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Edit distance of two sequences, of characters or words.
+
+    The differences along a column of the table are two integers of as many bits as the longer sequence has members, so a step costs a few
+    operations on whole columns and memory is linear.
+    """
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+    if not b:
+        return len(a)
+    where: dict[Hashable, list[int]] = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    equal = {x: _bits(where[x], len(a)) for x in set(b) if x in where}
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, total = full, 0, len(a)  # where the column rises and falls
+    for y in b:
+        same = equal.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(across | up)), up & across
+        total += (rises >> top & 1) - (falls >> top & 1)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = falls | (full & ~(same | down | rises)), rises & (same | down)
+    return total
+
+
+def _bits(places: list[int], n: int) -> int:
+    out = bytearray(n // 8 + 1)
+    for i in places:
+        out[i >> 3] |= 1 << (i & 7)
+    return int.from_bytes(out, "little")
+
+
+def _measured(parts: Iterator[tuple[pd.Series, pd.Series]], cut: Callable[[str], Sequence]) -> Iterator[pd.Series]:
+    for a, b in parts:
+        yield pd.Series([distance(cut(x or ""), cut(y or "")) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(LongType())
-def word_levenshtein(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([word_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")
+def char_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from _measured(parts, str)
 
 
-def short_word_levenshtein(a: Column, b: Column) -> Column:
-    """The same without Python: each distinct word of the pair becomes one character, those of the surrogates left out.
-
-    More words than Unicode has characters fail to decode, and raise. Both sides begin with one more common character, so that no word's is read as a byte order mark.
-    """
-    # bound by lambdas, words are split and listed once a pair and not once a word
-    pair = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("known")))
-    code = lambda at: F.lpad(F.hex(at + F.when(at < 0xD800, 0).otherwise(0x800)), 8, "0")
-    codes = lambda ws, known: F.transform(F.transform(ws, lambda w: F.array_position(known, w) + 1), code)
-    letters = lambda ws, known: F.decode(F.unhex(F.concat(F.lit("00000001"), F.array_join(codes(ws, known), ""))), "UTF-32")
-    return F.transform(pair, lambda p: F.levenshtein(letters(p["a"], p["known"]), letters(p["b"], p["known"])))[0]
+@F.pandas_udf(LongType())
+def word_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from _measured(parts, str.split)
 
 
 def cut_repetitions(text: str | None, most: int = 5) -> str | None:
@@ -59,7 +76,7 @@ def cut_repetitions(text: str | None, most: int = 5) -> str | None:
             if tokens[i : i + size] == tokens[i + size : i + 2 * size]:
                 run[i] = run[i + size] + 1
         for i in range(n - size * most):
-            if run[i] > (7 if size == 1 and most == 5 and tokens[i] in LOOSE else most):
+            if run[i] > (LOOSE_MOST if size == 1 and tokens[i] in LOOSE else most):
                 return " ".join(tokens[:i])
     return text
 

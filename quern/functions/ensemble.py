@@ -1,9 +1,20 @@
-"""Row-wise reductions of an ordered array of predictions."""
+"""Row-wise reductions of an ordered array of predictions.
+
+Votes by place and the least risk walk the characters of all predictions together, which columns can only do by cutting every text anew for each
+place; they are Pandas UDFs that take Arrow batches. The others are columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import zip_longest
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .edit import distance
 
 
 def _first_by(values: Column, order) -> Column:
@@ -12,13 +23,13 @@ def _first_by(values: Column, order) -> Column:
     return F.array_min(keyed)["value"]
 
 
-def mode(values: Column) -> Column:
-    """Most frequent value, the first seen on ties."""
-    return _first_by(values, lambda x: [(-F.size(F.filter(values, lambda y: y == x))).alias("n")])
+def times(values: Column, x: Column) -> Column:
+    return F.size(F.filter(values, lambda y: y == x))
 
 
 def majority(p: Column) -> Column:
-    return mode(p)
+    """Most frequent value, the first seen on ties."""
+    return _first_by(p, lambda x: [(-times(p, x)).alias("n")])
 
 
 def longest(p: Column) -> Column:
@@ -33,38 +44,71 @@ def first(p: Column) -> Column:
     return p[0]
 
 
-def _width(p: Column) -> Column:
-    return F.array_max(F.transform(p, lambda x: F.length(x)))
+def modal(values) -> str:
+    """The most frequent of some values, the first seen on ties; none gives nothing."""
+    counts: dict[str, int] = {}
+    for v in values:
+        counts[v] = counts.get(v, 0) + 1
+    return max(counts, key=counts.__getitem__) if counts else ""
 
 
-def _places(p: Column) -> Column:
-    return F.when(_width(p) > 0, F.sequence(F.lit(1), _width(p))).otherwise(F.array().cast("array<int>"))
-
-
-def char_voting(p: Column) -> Column:
+def vote(texts: list[str]) -> str:
     """Modal character of each place after padding with spaces, right-stripped."""
-    at = lambda i: F.transform(p, lambda x: F.when(F.length(x) >= i, F.substring(x, i, F.lit(1))).otherwise(" "))
-    voted = F.array_join(F.transform(_places(p), lambda i: mode(at(i))), "")
-    return F.when(F.size(p) == 1, p[0]).otherwise(F.regexp_replace(voted, r"\s+$", ""))
+    if len(texts) == 1:
+        return texts[0]
+    return "".join(x[0] if x.count(x[0]) == len(x) else modal(x) for x in zip_longest(*texts, fillvalue=" ")).rstrip()
 
 
-def rover(p: Column) -> Column:
+def align(texts: list[str]) -> str:
     """Modal character of each place among non-empty predictions; hyphens count as gaps, as do missing places."""
-    some = F.filter(p, lambda x: x != "")
-    at = lambda i: F.filter(F.transform(some, lambda x: F.substring(x, i, F.lit(1))), lambda c: (c != "") & (c != "-"))
-    voted = F.array_join(F.filter(F.transform(_places(some), lambda i: mode(at(i))), lambda c: c.isNotNull()), "")
-    return F.when(F.size(p) == 1, p[0]).when(F.size(some) == 0, "").otherwise(voted)
+    if len(texts) == 1:
+        return texts[0]
+    some = [t for t in texts if t]
+    return "".join(modal(c for c in x if c and c != "-") for x in zip_longest(*some, fillvalue=""))
+
+
+def least_risk(texts: list[str]) -> str:
+    """The non-empty prediction of least mean edit distance to those with another value; the first on ties."""
+    if len(texts) == 1:
+        return texts[0]
+    counts: dict[str, int] = {}
+    for t in texts:
+        if t:
+            counts[t] = counts.get(t, 0) + 1
+    if not counts:
+        return ""
+    values, total = list(counts), sum(counts.values())
+    risk = [0] * len(values)
+    for i, x in enumerate(values):
+        for j in range(i):
+            d = distance(x, values[j])
+            risk[i] += d * counts[values[j]]
+            risk[j] += d * counts[x]
+    mean = [r / (total - counts[v]) if total > counts[v] else 0.0 for r, v in zip(risk, values, strict=True)]
+    return values[mean.index(min(mean))]
+
+
+def _reduced(parts: Iterator[pd.Series], reduce: Callable[[list[str]], str]) -> Iterator[pd.Series]:
+    for rows in parts:
+        yield pd.Series([None if r is None or not len(r) else reduce([x or "" for x in r]) for r in rows], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def char_voting(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _reduced(parts, vote)
+
+
+@F.pandas_udf(StringType())
+def rover(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _reduced(parts, align)
 
 
 rover_mbr = rover
 
 
-def mbr(p: Column) -> Column:
-    """The non-empty prediction of least mean edit distance to those with another value; the first on ties."""
-    some = F.filter(p, lambda x: x != "")
-    others = lambda x: F.filter(some, lambda y: y != x)
-    risk = lambda x: F.when(F.size(others(x)) > 0, F.aggregate(others(x), F.lit(0), lambda a, y: a + F.levenshtein(x, y)) / F.size(others(x)).cast("double")).otherwise(0.0)
-    return F.when(F.size(p) == 1, p[0]).when(F.size(some) == 0, "").otherwise(_first_by(some, lambda x: [risk(x).alias("risk")]))
+@F.pandas_udf(StringType())
+def mbr(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _reduced(parts, least_risk)
 
 
 STRATEGIES = {"char_voting": char_voting, "rover": rover, "rover_mbr": rover_mbr, "mbr": mbr, "majority": majority, "longest": longest, "shortest": shortest, "first": first}
@@ -79,5 +123,7 @@ def ensemble(p: Column, strategy: str = "char_voting") -> Column:
 def two_model(a: Column, b: Column, strategy: str = "shortest") -> Column:
     """Equal predictions stand; majority trusts the first model."""
     both = F.array(a, b)
-    chosen = {"majority": a, "shortest": shortest(both), "longest": longest(both), "char_voting": char_voting(both)}
-    return F.when(a == b, a).otherwise(chosen.get(strategy, chosen["shortest"]))
+    if strategy == "char_voting":
+        return F.when(a == b, a).otherwise(char_voting(both))
+    chosen = {"majority": a, "longest": longest(both)}
+    return F.when(a == b, a).otherwise(chosen[strategy] if strategy in chosen else shortest(both))

@@ -7,52 +7,72 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
+from .graph import cut
+from .quantiles import with_quantiles
+from .ranks import ranked
+
+#: A word of this share of all words is common, whatever the median.
+COMMON = 1e-4
+
 
 def document_words(docs: DataFrame) -> DataFrame:
     """doc_id, word, n: words counted inside their document before anything is shuffled by word."""
-    each = docs.select("doc_id", F.explode(T.words(F.lower(T.ascii_text("text")))).alias("word"))
+    each = docs.select("doc_id", F.explode(T.words(F.lower(T.whole("text")))).alias("word"))
     return each.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
+def word_counts(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def word_frequencies(counted: DataFrame) -> DataFrame:
     """word, freq (share of all words), median (of all frequencies)."""
-    per = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    per = word_counts(counted)
     total = per.agg(F.sum("n").alias("all"))
     freq = per.crossJoin(F.broadcast(total)).select("word", (F.col("n").cast("double") / F.col("all")).alias("freq"))
-    return freq.crossJoin(F.broadcast(freq.agg(F.median("freq").alias("median"))))
+    return with_quantiles(freq, "freq", median=0.5)
 
 
 def rare_ratio(counted: DataFrame) -> DataFrame:
-    """doc_id, rare: share of words that are no boilerplate and rarer than the median word."""
-    rare = (~F.regexp_replace("word", r"[^\w\s]", "").isin(*T.BOILERPLATE)) & (F.col("freq") < F.col("median"))
-    joined = counted.join(word_frequencies(counted), "word")
-    return joined.groupBy("doc_id").agg((F.sum(F.when(rare, F.col("n")).otherwise(0)) / F.sum("n").cast("double")).alias("rare"))
+    """doc_id, rare: share of words that are no boilerplate and rarer than the median word.
+
+    A word of at least ``COMMON`` of all words, of which there are at most 1 / ``COMMON``, meets a broadcast; only rows of others, none of which
+    fills a task, are shuffled by word.
+    """
+    per = cut(word_counts(counted))
+    bounds = with_quantiles(per, "n", median=0.5)
+    bounds = bounds.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all"))))
+    common = bounds.where(F.col("n") >= F.greatest("median", F.col("all") * COMMON)).select("word")
+    rare = bounds.where((F.col("n") < F.col("median")) & ~F.regexp_replace("word", f"[^{T.LETTERS}{T.SPACE}]", "").isin(*T.BOILERPLATE)).select("word")
+    found = counted.join(F.broadcast(common), "word", "left_anti").join(rare, "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("some"))
+    total = counted.groupBy("doc_id").agg(F.sum("n").alias("every"))
+    return total.join(found, "doc_id", "left").select("doc_id", (F.coalesce("some", F.lit(0)) / F.col("every").cast("double")).alias("rare"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, text_length, word_count, the eight scores and their weighted sum."""
-    x = T.ascii_text("text")
-    rare = rare_ratio(document_words(docs))
-    out = docs.select("doc_id", x.alias("x")).join(rare, "doc_id", "left")
-    x = F.col("x")
+    """doc_id, text_length, word_count, the eight scores and their weighted sum; the words of a text are cut once."""
+    counted = cut(document_words(docs))
+    x, w, lower = F.col("x"), F.col("w"), F.col("lower")
+    out = docs.select("doc_id", T.whole("text").alias("x"))
+    out = out.select("doc_id", "x", T.words(x).alias("w"), T.words(F.lower(x)).alias("lower"))
     out = out.select(
         "doc_id",
         F.length(x).alias("text_length"),
-        F.size(T.words(x)).alias("word_count"),
-        T.vocabulary_diversity(x).alias("vocabulary_diversity"),
-        T.capped(F.coalesce("rare", F.lit(0.0)), 200).alias("rare_word_ratio"),
-        T.named_entity_score(x).alias("named_entity_score"),
-        T.number_complexity(x).alias("number_complexity"),
-        T.special_char_complexity(x).alias("special_char_complexity"),
-        T.historical_spelling(x).alias("historical_spelling"),
+        F.size(w).alias("word_count"),
+        T.vocabulary_diversity(lower).alias("vocabulary_diversity"),
+        T.named_entity_score(x, w).alias("named_entity_score"),
+        T.number_complexity(x, w).alias("number_complexity"),
+        T.special_char_complexity(x, w).alias("special_char_complexity"),
+        T.historical_spelling(x, w).alias("historical_spelling"),
         T.text_length_complexity(x).alias("text_length_complexity"),
         T.punctuation_complexity(x).alias("punctuation_complexity"),
     )
+    out = out.join(rare_ratio(counted), "doc_id", "left").withColumn("rare_word_ratio", T.capped(F.coalesce("rare", F.lit(0.0)), 200)).drop("rare")
     return out.withColumn("difficulty_score", T.difficulty())
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", T.key(T.ascii_text("text")))
+    return docs.withColumn("key", T.key(T.whole("text")))
 
 
 def keep_first(df: DataFrame, order: str) -> DataFrame:
@@ -83,5 +103,5 @@ def report(df: DataFrame, order: str, most: int = 5) -> DataFrame:
 def group_ids(df: DataFrame) -> DataFrame:
     """dup_group: from 0 in order of falling frequency, -1 for unique keys."""
     groups = df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    numbered = groups.withColumn("dup_group", (F.dense_rank().over(Window.orderBy(F.desc("n"), "key")) - 1).cast("int")).select("key", "dup_group")
+    numbered = ranked(groups, [F.desc("n"), F.col("key")]).select("key", (F.col("rank") - 1).cast("int").alias("dup_group"))
     return df.join(numbered, "key", "left").withColumn("dup_group", F.coalesce("dup_group", F.lit(-1)))

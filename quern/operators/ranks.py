@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+
+def ranked(df: DataFrame, order: list[str] | list[Column]) -> DataFrame:
     """Adds rank, from 1, in the total order of ``order``.
 
-    Rows are dealt by range and ranked inside their partition; the offsets of partitions come from their counts. Sampling for the
-    ranges is deterministic for a given plan, and partition and rank come from the same shuffle.
+    Rows are dealt by range and ranked inside their partition; the offsets of partitions come from their counts. What was dealt is
+    written to the shared folder once, so that counts and ranks speak of the same partitions even if executors are lost.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()).persist()
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
     inside = Window.partitionBy("_p").orderBy(*order)

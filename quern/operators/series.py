@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def sliding(df: DataFrame, station: str, time: str, features: list[str], target: str, past: int = 30, ahead: int = 7, inclusive: bool = True) -> DataFrame:
     """station, start, x (past rows of features), y (the next ahead targets); not inclusive drops each station's last window."""
@@ -30,9 +32,8 @@ def metrics(obs: str, pred: str) -> list[Column]:
 
 def flow_loss(df: DataFrame, obs: str, pred: str, physics: float = 0.0, weight: float = 0.1) -> DataFrame:
     """mse + half the peaks' mse + a fifth of the squared low-flow bias + the weighted physics residual."""
-    cut = df.agg(F.percentile(obs, 0.9).alias("_hi"), F.percentile(obs, 0.1).alias("_lo"))
     e = F.col(pred) - F.col(obs)
-    x = df.crossJoin(F.broadcast(cut)).agg(F.avg(e * e).alias("mse"), F.coalesce(F.avg(F.when(F.col(obs) > F.col("_hi"), e * e)), F.lit(0.0)).alias("peak"), F.coalesce(F.avg(F.when(F.col(obs) < F.col("_lo"), e)), F.lit(0.0)).alias("_bias"))
+    x = with_quantiles(df, obs, _hi=0.9, _lo=0.1).agg(F.avg(e * e).alias("mse"), F.coalesce(F.avg(F.when(F.col(obs) > F.col("_hi"), e * e)), F.lit(0.0)).alias("peak"), F.coalesce(F.avg(F.when(F.col(obs) < F.col("_lo"), e)), F.lit(0.0)).alias("_bias"))
     x = x.withColumn("low", F.col("_bias") * F.col("_bias")).drop("_bias")
     return x.withColumn("total", F.col("mse") + 0.5 * F.col("peak") + 0.2 * F.col("low") + weight * physics)
 

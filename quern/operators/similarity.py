@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import LETTERS
+
 
 def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3) -> DataFrame:
     """doc, term, w: smoothed idf, rows of unit length, the ``terms`` commonest n-grams (a limit that is the feature)."""
-    words = docs.select("doc", F.regexp_extract_all(F.lower("text"), F.lit(r"\b\w\w+\b"), F.lit(0)).alias("w"))
+    words = docs.select("doc", F.regexp_extract_all(F.lower("text"), F.lit(f"[{LETTERS}]{{2,}}"), F.lit(0)).alias("w"))
     n = F.size("w")
 
     def grams_of(k: int):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, with_quantiles
+
 
 def describe(value: str) -> list[Column]:
     """count, mean, std (sample), min, quartiles, max."""
@@ -17,17 +19,12 @@ def with_scalars(df: DataFrame, *scalars: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*scalars)))
 
 
-def edges(value: str, q: int) -> Column:
-    """Quantile edges by linear interpolation between order statistics."""
-    return F.percentile(value, F.array(*[F.expr(f"{k}d / {q}d") for k in range(q + 1)]))
-
-
 def qcut(df: DataFrame, value: str, q: int, out: str, labels: list[str] | None = None) -> DataFrame:
     """Right-closed quantile bins of exact edges, the least value in the first; duplicate edges are dropped.
 
     With labels, duplicate edges give every row the middle label; without distinct edges the bin is null.
     """
-    cut = df.agg(F.array_distinct(edges(value, q)).alias("_edges"))
+    cut = quantiles(df, value, [k / q for k in range(q + 1)]).select(F.array_distinct("q").alias("_edges"))
     with_edges = df.crossJoin(F.broadcast(cut))
     place = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(1)) - 1
     number = F.when(F.col(value).isNotNull() & (F.size("_edges") > 1), place)
@@ -38,7 +35,7 @@ def qcut(df: DataFrame, value: str, q: int, out: str, labels: list[str] | None =
 
 
 def median_fill(df: DataFrame, column: str) -> DataFrame:
-    return with_scalars(df, F.median(column).alias("_m")).withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_m"))).drop("_m")
+    return with_quantiles(df, column, _m=0.5).withColumn(column, F.coalesce(F.col(column).cast("double"), F.col("_m"))).drop("_m")
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:

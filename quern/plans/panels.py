@@ -203,12 +203,11 @@ def flow_balance(t: Tables):
     return G.balance(nodes(t), e, "distance").select("id", F.round("inflow", 4).alias("inflow"), F.round("outflow", 4).alias("outflow"), F.round("relative", 5).alias("relative"))
 
 
-# A sparse downhill graph, each node to the nearest lower ones of its ring of ids: less than the river graph of the queries.
-CHAIN = f"(select a.id as src, b.id as dst from {NODES} a join {NODES} b on b.elevation < a.elevation and b.id // 20 = a.id // 20 qualify row_number() over (partition by a.id order by {DIST}, b.id) <= 2)"
-
-
 @query("accumulate", f"""
-with recursive e as (select * from {CHAIN}), walk as (select id, area as v from {NODES} union all select e.dst, w.v from walk w join e on e.src = w.id)
+with recursive e as materialized (select src, dst from {RIVER}), walk as (
+  select id, area as v, 0 as level from {NODES}
+  union all
+  select e.dst, sum(w.v), w.level + 1 from walk w join e on e.src = w.id group by e.dst, w.level)
 select id, round(sum(v), 3) as total from walk group by id""")
 def accumulate(t: Tables):
     """Over the whole river graph, once a path."""
@@ -219,7 +218,7 @@ def accumulate(t: Tables):
 
 
 @query("components", f"""
-with recursive e as (select src, dst from {CHAIN} union select dst, src from {CHAIN}), walk as (select id, id as c from (select distinct src as id from e) union select e.dst, w.c from walk w join e on e.src = w.id)
+with recursive r as materialized (select src, dst from {RIVER}), e as (select src, dst from r union select dst, src from r), walk as (select id, id as c from (select distinct src as id from e) union select e.dst, w.c from walk w join e on e.src = w.id)
 select id, min(c) as component from walk group by id""")
 def components(t: Tables):
     """Of the whole river graph."""
@@ -427,7 +426,7 @@ def best_of_history(t: Tables):
 @query("ocr_unpack")
 def ocr_unpack(t: Tables):
     """Texts out of nested recognition results of several shapes."""
-    nested = F.concat(F.lit('[[[0,0],["'), F.regexp_replace(T.ascii_text("text"), r'["\\\x00-\x1f]', " "), F.lit('",0.9]]]'))
+    nested = F.concat(F.lit('[[[0,0],["'), F.regexp_replace(T.whole("text"), r'["\\\x00-\x1f]', " "), F.lit('",0.9]]]'))
     return t.benchmark.select("item_id", R.ocr_text(nested).alias("text"))
 
 

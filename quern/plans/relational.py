@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import quantiles as Q
 from quern.operators import stats as S
 
 from .registry import Tables, query
@@ -112,9 +113,9 @@ def value_counts_norm(t: Tables):
     return S.shares(t.documents, "lang").withColumn("share", F.round("share", 6))
 
 
-@query("having_dups", "select key, count(*) as n from (select regexp_replace(lower(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')), '^\\s+|\\s+$', '', 'g') as key from documents) group by key having count(*) > 1")
+@query("having_dups", f"select key, count(*) as n from (select regexp_replace(lower(coalesce(text, '')), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') as key from documents) group by key having count(*) > 1")
 def having_dups(t: Tables):
-    return t.documents.groupBy(T.key(T.ascii_text("text")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return t.documents.groupBy(T.key(T.whole("text")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("count_distinct", "select count(distinct source) as sources, count(distinct lang) as langs, count(distinct text) as texts from documents")
@@ -124,7 +125,8 @@ def count_distinct(t: Tables):
 
 @query("global_stats", "select round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max from events")
 def global_stats(t: Tables):
-    return t.events.agg(r6(F.avg("value"), "mean"), r6(F.median("value"), "median"), r6(F.stddev_samp("value"), "std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    middle = Q.quantiles(t.events, "value", [0.5]).select(r6(F.col("q")[0], "median"))
+    return t.events.agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "std"), F.min("value").alias("min"), F.max("value").alias("max")).crossJoin(F.broadcast(middle))  # one row each
 
 
 @query("describe", """
@@ -138,8 +140,8 @@ def describe(t: Tables):
 
 @query("quantiles", "select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as q, round(unnest(quantile_cont(n_chars::double, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) as value from documents")
 def quantiles(t: Tables):
-    qs = F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])
-    both = t.documents.agg(F.arrays_zip(qs.alias("q"), F.percentile("n_chars", qs).alias("v")).alias("z"))
+    qs = (0.05, 0.25, 0.5, 0.75, 0.95)
+    both = Q.quantiles(t.documents, "n_chars", qs, "v").select(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "v").alias("z"))
     return both.select(F.explode("z").alias("z")).select("z.q", r6(F.col("z.v"), "value"))
 
 
@@ -213,13 +215,13 @@ where o_totalprice > (select quantile_cont(o_totalprice, 0.75) from orders)
 def doubly_hard(t: Tables):
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
     both = t.orders.select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
-    cut = S.with_scalars(both, F.percentile("o_totalprice", 0.75).alias("p"), F.percentile("n_lines", 0.75).alias("q"))
+    cut = Q.with_quantiles(Q.with_quantiles(both, "o_totalprice", p=0.75), "n_lines", q=0.75)
     return cut.where("o_totalprice > p and n_lines > q").select("o_orderkey", "o_totalprice", "n_lines")
 
 
 @query("decile_filter", "select doc_id, n_chars, n_chars >= hi as top from documents, (select quantile_cont(n_chars, 0.9) as hi, quantile_cont(n_chars, 0.1) as lo from documents) where n_chars >= hi or n_chars <= lo")
 def decile_filter(t: Tables):
-    d = S.with_scalars(t.documents.select("doc_id", "n_chars"), F.percentile("n_chars", 0.9).alias("hi"), F.percentile("n_chars", 0.1).alias("lo"))
+    d = Q.with_quantiles(t.documents.select("doc_id", "n_chars"), "n_chars", hi=0.9, lo=0.1)
     return d.where("n_chars >= hi or n_chars <= lo").select("doc_id", "n_chars", (F.col("n_chars") >= F.col("hi")).alias("top"))
 
 

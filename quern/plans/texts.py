@@ -15,8 +15,9 @@ from .registry import Tables, query
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
 quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
-A = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')"
-SPLIT = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
+A = "coalesce(text, '')"
+SPLIT = f"list_filter(string_split_regex({{0}}, '[{T.SPACE}]+'), lambda w: w <> '')"
+RUNS = f"regexp_extract_all(t, '[{T.LETTERS}]+')"
 N = f"len({SPLIT.format('t')})"
 found = lambda p, o="": f"len(regexp_extract_all(t, '{p}'{o}))"
 ratio = lambda a, b: f"case when {b} > 0 then ({a})::double / {b} else 0 end"
@@ -26,12 +27,17 @@ docs as (select doc_id, {A} as t from documents),
 each as (select doc_id, word, count(*) as n from (select doc_id, unnest({SPLIT.format('lower(t)')}) as word from docs) group by all),
 freqs as (select word, sum(n)::double / (select sum(n) from each) as freq from each group by word),
 mid as (select median(freq) as m from freqs)"""
-ARCHAIC_SQL = " + ".join(found("(?i)" + p) for p in T.ARCHAIC)
-NAMES_SQL = f"len(list_filter(regexp_extract_all(t, '\\b[A-Z][a-z]+'), lambda w: w not in ({quoted(T.KNOWN_NAMES)})))"
-NUMBERS_SQL = r"regexp_extract_all(t, '\b\d+\b')"
+# Edges of words are marked by two private characters, as this SQL's own edges know ASCII words only.
+OPEN, SHUT = "\uf8fe", "\uf8ff"
+MARKED = f"regexp_replace(t, '([{T.LETTERS}]+)', '{OPEN}\\1{SHUT}', 'g')"
+ARCHAIC_SQL = " + ".join(f"len(regexp_extract_all({MARKED if E in p else 't'}, '(?i){p}'))" for E in [r"\b"] for p in [
+    x.replace("[o|i]", f"(?:[oi]|{SHUT}\\|)") for x in T.ARCHAIC])
+ARCHAIC_SQL = ARCHAIC_SQL.replace(r"(?i)\b", f"(?i){OPEN}").replace(r"\b", SHUT)
+NAMES_SQL = f"len(list_filter(list_transform({RUNS}, lambda r: regexp_extract(r, '^[A-Z][a-z]+')), lambda w: w <> '' and w not in ({quoted(T.KNOWN_NAMES)})))"
+NUMBERS_SQL = rf"list_filter({RUNS}, lambda r: regexp_full_match(r, '\p{{Nd}}+'))"
 SCORES_CTE = f"""
 rare as (
-  select doc_id, sum(n) filter (regexp_replace(word, '[^\\w\\s]', '', 'g') not in ({quoted(T.BOILERPLATE)}) and freq < m)::double / sum(n) as rare
+  select doc_id, sum(n) filter (regexp_replace(word, '[^{T.LETTERS}{T.SPACE}]', '', 'g') not in ({quoted(T.BOILERPLATE)}) and freq < m)::double / sum(n) as rare
   from each join freqs using (word), mid group by doc_id),
 scores as (
   select doc_id, length(t) as text_length, {N} as word_count,
@@ -66,31 +72,34 @@ def text_difficulty_top10(t: Tables):
     return s.orderBy(F.desc("difficulty_score"), "doc_id").limit(10)
 
 
+DIGIT, CAPITAL, LETTER = r"\p{Nd}", r"\p{Lu}", r"\p{L}"
+
+
 @query("text_densities", f"""
-select doc_id, round({found('[^A-Za-z0-9\\s]')} / greatest(length(t), 1)::double, 6) as special, round({found('[0-9]')} / greatest(length(t), 1)::double, 6) as digit,
-  round({ratio(found('[A-Z]'), found('[A-Za-z]'))}, 6) as upper, round({ratio(f"len(list_distinct({SPLIT.format('lower(t)')}))", N)}, 6) as lexical,
+select doc_id, round({found(f'[^{T.MARKLESS}]')} / greatest(length(t), 1)::double, 6) as special, round({found(DIGIT)} / greatest(length(t), 1)::double, 6) as digit,
+  round({ratio(found(CAPITAL), found(LETTER))}, 6) as upper, round({ratio(f"len(list_distinct({SPLIT.format('lower(t)')}))", N)}, 6) as lexical,
   round({ratio(f"length(array_to_string({SPLIT.format('t')}, ''))", N)}, 6) as word_length,
-  round({ratio("len(list_distinct(list_filter(string_split(t, ''), lambda c: c <> '')))", 'length(t)')}, 6) as characters
+  round({ratio("len(list_distinct(regexp_extract_all(t, '(?s).')))", 'length(t)')}, 6) as characters
 from (select doc_id, {A} as t from documents)""")
 def text_densities(t: Tables):
-    x = T.ascii_text("text")
-    return t.documents.select("doc_id", r6(T.density(x, r"[^\p{L}\p{N}\s]"), "special"), r6(T.density(x, r"\d"), "digit"), r6(T.uppercase_ratio(x), "upper"), r6(T.lexical_diversity(x), "lexical"), r6(T.avg_word_length(x), "word_length"), r6(T.char_diversity(x), "characters"))
+    x = T.whole("text")
+    return t.documents.select("doc_id", r6(T.density(x, f"[^{T.MARKLESS}]"), "special"), r6(T.density(x, DIGIT), "digit"), r6(T.uppercase_ratio(x), "upper"), r6(T.lexical_diversity(x), "lexical"), r6(T.avg_word_length(x), "word_length"), r6(T.char_diversity(x), "characters"))
 
 
 @query("proxy_difficulty", f"""
 select doc_id, round(50 * d + 30 * u + 20 * l, 5) as difficulty, round(100 * u, 6) as named, round(100 * d, 6) as number
-from (select doc_id, {found('[0-9]')} / greatest(length(t), 1)::double as d, {ratio(found('[A-Z]'), found('[A-Za-z]'))} as u, {ratio(f"len(list_distinct({SPLIT.format('lower(t)')}))", N)} as l from (select doc_id, {A} as t from documents))""")
+from (select doc_id, {found(DIGIT)} / greatest(length(t), 1)::double as d, {ratio(found(CAPITAL), found(LETTER))} as u, {ratio(f"len(list_distinct({SPLIT.format('lower(t)')}))", N)} as l from (select doc_id, {A} as t from documents))""")
 def proxy_difficulty(t: Tables):
-    x = T.ascii_text("text")
-    p = t.documents.select("doc_id", T.density(x, r"\d").alias("d"), T.uppercase_ratio(x).alias("u"), T.lexical_diversity(x).alias("l"))
+    x = T.whole("text")
+    p = t.documents.select("doc_id", T.density(x, DIGIT).alias("d"), T.uppercase_ratio(x).alias("u"), T.lexical_diversity(x).alias("l"))
     return p.select("doc_id", F.round(50 * F.col("d") + 30 * F.col("u") + 20 * F.col("l"), 5).alias("difficulty"), r6(100 * F.col("u"), "named"), r6(100 * F.col("d"), "number"))
 
 
 @query("clean_output", f"""
-select conv_id, turn, trim(regexp_replace(d, '\\s+', ' ', 'g')) as cleaned from (select conv_id, turn, string_split(c, 'Assistant:')[-1] as d from (select conv_id, turn, string_split(b, 'assistant')[-1] as c from (
+select conv_id, turn, trim(regexp_replace(d, '[{T.SPACE}]+', ' ', 'g')) as cleaned from (select conv_id, turn, string_split(c, 'Assistant:')[-1] as d from (select conv_id, turn, string_split(b, 'assistant')[-1] as c from (
   select conv_id, turn, string_split(a, '<|user|>')[-1] as b from (select conv_id, turn, string_split('<|assistant|> ' || role || ' said: ' || {A}, '<|assistant|>')[-1] as a from conversations))))""")
 def clean_output(t: Tables):
-    said = F.concat(F.lit("<|assistant|> "), "role", F.lit(" said: "), T.ascii_text("text"))
+    said = F.concat(F.lit("<|assistant|> "), "role", F.lit(" said: "), T.whole("text"))
     return t.conversations.select("conv_id", "turn", T.squeeze(T.after_artifacts(said)).alias("cleaned"))
 
 
@@ -104,90 +113,106 @@ def repetition_filter(t: Tables):
 
 
 @query("label_cleaning", f"""
-select item_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) as squeezed,
-  array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ') as lines,
+select item_id, trim(regexp_replace(t, '[{T.SPACE}]+', ' ', 'g')) as squeezed,
+  array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')), lambda x: x <> ''), ' ') as lines,
   case when length(t) > 60 then t[1:60] || '...' else t end as preview, string_split('img_' || item_id || '.tar.gz', '.')[1] as stem
 from (select item_id, {A} as t from benchmark)""")
 def label_cleaning(t: Tables):
-    x = T.ascii_text("text")
+    x = T.whole("text")
     name = F.concat(F.lit("img_"), "item_id", F.lit(".tar.gz"))
     return t.benchmark.select("item_id", T.squeeze(x).alias("squeezed"), T.clean_lines(x).alias("lines"), T.preview(x).alias("preview"), T.stem(name).alias("stem"))
 
 
 PAIR = f"select conv_id, turn, {A} as ref, regexp_replace(translate({A}, 'aeo', 'xe'), 'th', 't', 'g') as pred from conversations"
+# This SQL measures bytes: the characters of a pair, at most 127, are coded as single ones first; more raise.
+ASCII = "".join(map(chr, range(1, 128))).replace("'", "''")
+
+
+def coded(rows: str, a: str, b: str) -> str:
+    """``rows`` with edits, the edit distance of columns ``a`` and ``b``."""
+    known = f"list_distinct(regexp_extract_all({a} || {b}, '(?s).'))"
+    return f"""(select * exclude (known, k, c), levenshtein(translate({a}, k, c), translate({b}, k, c)) as edits from (
+      select *, array_to_string(known, '') as k, case when len(known) > 127 then error('more than 127 characters') else '{ASCII}'[1:len(known)] end as c from (select *, {known} as known from {rows})))"""
+
+
+CODED = coded(f"({PAIR})", "ref", "pred")
 
 
 def pairs(t: Tables):
     """References and a deterministic corruption of them."""
-    x = T.ascii_text("text")
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    x = T.whole("text")
     return t.conversations.select("conv_id", "turn", x.alias("ref"), F.regexp_replace(F.translate(x, "aeo", "xe"), "th", "t").alias("pred"))
 
 
-@query("char_errors", f"select conv_id, turn, levenshtein(ref, pred) as edits, length(ref) as length from ({PAIR})")
-def char_errors(t: Tables):
-    return pairs(t).select("conv_id", "turn", F.levenshtein("ref", "pred").alias("edits"), F.length("ref").alias("length"))
+def measured(t: Tables):
+    """Pairs with the edits of characters and of words, and the lengths that they are taken over."""
+    return pairs(t).select("conv_id", "turn", D.char_distance("ref", "pred").alias("char_edits"), F.length("ref").alias("chars"), D.word_distance("ref", "pred").alias("word_edits"), F.size(T.words(F.col("ref"))).alias("words"))
 
 
-@query("cer", f"select round(sum(levenshtein(ref, pred)) / greatest(sum(length(ref)), 1)::double, 6) as cer from ({PAIR})")
-def cer(t: Tables):
-    return pairs(t).agg(r6(D.micro(F.levenshtein("ref", "pred"), F.length("ref")), "cer"))
+@query("char_errors", f"select conv_id, turn, edits, length(ref) as length from {CODED}")
+def char_errors(t: Tables):
+    return pairs(t).select("conv_id", "turn", D.char_distance("ref", "pred").alias("edits"), F.length("ref").alias("length"))
 
 
-SHORT = f"{SPLIT.format('ref')} as a, {SPLIT.format('pred')} as b"
-CODES = "array_to_string(list_transform({0}, lambda w: chr(list_position(known, w)::int)), '')"
-WORDED = f"""(select conv_id, turn, levenshtein({CODES.format('a')}, {CODES.format('b')}) as edits, len(a) as length from (select *, list_distinct(a || b) as known from (select conv_id, turn, {SHORT} from ({PAIR}))) where len(known) <= 120)"""
+@query("cer", f"select round(sum(edits) / greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED}")
+def cer(t: Tables):
+    return pairs(t).agg(r6(D.micro(D.char_distance("ref", "pred"), F.length("ref")), "cer"))
 
 
-def _worded(t: Tables):
-    """All pairs with their words; the SQL above stops at 120 distinct words, as its distance is one of bytes."""
-    return pairs(t).select("*", T.words(F.col("ref")).alias("a"), T.words(F.col("pred")).alias("b"))
+# Word distances, row by row of the table: all cells of a row come from the row before it, and a running minimum.
+WORDED = f"""
+with recursive lists as materialized (select row_number() over () as p, conv_id, turn, {SPLIT.format('ref')} as a, {SPLIT.format('pred')} as b from ({PAIR})),
+known as materialized (select w, row_number() over () as code from (select distinct unnest(a || b) as w from lists)),
+rows_ as materialized (select p, i, code from (select p, unnest(generate_series(1, len(a))) as i, unnest(a) as w from lists) join known using (w)),
+steps as (
+  select p, 0::bigint as i, j, j as d, code from (select p, unnest(generate_series(0, len(b))) as j, unnest([''] || b) as w from lists) left join known using (w)
+  union all
+  select p, i, j, j + min(least_ - j) over (partition by p order by j), code from (
+    select s.p, s.i + 1 as i, s.j, s.code, least(s.d + 1, coalesce(lag(s.d) over (partition by s.p order by s.j) + (r.code <> s.code)::int, s.d + 1)) as least_
+    from steps s join rows_ r on s.p = r.p and r.i = s.i + 1)),
+worded as (select conv_id, turn, s.d as edits, len(l.a) as length from lists l join steps s on l.p = s.p and s.i = len(l.a) and s.j = len(l.b))"""
 
 
-@query("word_errors", f"select conv_id, turn, edits, length from {WORDED}")
+@query("word_errors", f"{WORDED} select conv_id, turn, edits, length from worded")
 def word_errors(t: Tables):
-    """Word edit distances of all pairs, without Python."""
-    return _worded(t).select("conv_id", "turn", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"))
+    """Word edit distances of all pairs, of any length."""
+    return measured(t).select("conv_id", "turn", F.col("word_edits").alias("edits"), F.col("words").alias("length"))
 
 
-@query("wer")
+@query("wer", f"{WORDED} select round(sum(edits) / greatest(sum(length), 1)::double, 6) as wer from worded")
 def wer(t: Tables):
     """Corpus word error rate over all pairs, of any length."""
-    from quern.plans.ship import ship
-
-    ship(t.spark)
-    return pairs(t).agg(r6(D.micro(D.word_levenshtein("ref", "pred"), F.size(T.words(F.col("ref")))), "wer"))
-
-
-SCORED = f"(select conv_id, sum(edits) / greatest(sum(length), 1)::double as wer, sum(ce) / greatest(sum(cl), 1)::double as cer from {WORDED} w join (select conv_id, turn, levenshtein(ref, pred) as ce, length(ref) as cl from ({PAIR})) c using (conv_id, turn) group by conv_id)"
+    return pairs(t).agg(r6(D.micro(D.word_distance("ref", "pred"), F.size(T.words(F.col("ref")))), "wer"))
 
 
-def _rates(t: Tables):
-    each = _worded(t).select("conv_id", D.short_word_levenshtein(F.col("a"), F.col("b")).alias("edits"), F.size("a").alias("length"), F.levenshtein("ref", "pred").alias("ce"), F.length("ref").alias("cl"))
-    return each.groupBy("conv_id").agg(D.micro(F.col("edits"), F.col("length")).alias("wer"), D.micro(F.col("ce"), F.col("cl")).alias("cer"))
-
-
-@query("competition_score", f"select conv_id, round(wer, 6) as wer, round(cer, 6) as cer, round(0.5 * wer + 0.5 * cer, 6) as score, round(0.7 * cer + 0.3 * wer, 6) as weighted from {SCORED}")
+@query("competition_score", f"""{WORDED}, scored as (
+select conv_id, sum(w.edits) / greatest(sum(w.length), 1)::double as wer, sum(c.edits) / greatest(sum(length(ref)), 1)::double as cer from worded w join {CODED} c using (conv_id, turn) group by conv_id)
+select conv_id, round(wer, 6) as wer, round(cer, 6) as cer, round(0.5 * wer + 0.5 * cer, 6) as score, round(0.7 * cer + 0.3 * wer, 6) as weighted from scored""")
 def competition_score(t: Tables):
     w, c = F.col("wer"), F.col("cer")
-    return _rates(t).select("conv_id", r6(w, "wer"), r6(c, "cer"), r6(0.5 * w + 0.5 * c, "score"), r6(0.7 * c + 0.3 * w, "weighted"))
+    rates = measured(t).groupBy("conv_id").agg(D.micro(F.col("word_edits"), F.col("words")).alias("wer"), D.micro(F.col("char_edits"), F.col("chars")).alias("cer"))
+    return rates.select("conv_id", r6(w, "wer"), r6(c, "cer"), r6(0.5 * w + 0.5 * c, "score"), r6(0.7 * c + 0.3 * w, "weighted"))
 
 
-@query("weighted_score", f"select round(sum(sqrt(length(ref)) * least(1, levenshtein(ref, pred) / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from ({PAIR}) where length(ref) > 0")
+@query("weighted_score", f"select round(sum(sqrt(length(ref)) * least(1, edits / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from {CODED} where length(ref) > 0")
 def weighted_score(t: Tables):
     """Long references weigh more: weights are lengths to the power 0.5, errors are cut at 1."""
-    p = pairs(t).where(F.length("ref") > 0).select(F.sqrt(F.length("ref")).alias("w"), F.least(F.lit(1.0), F.levenshtein("ref", "pred") / F.length("ref").cast("double")).alias("e"))
+    p = pairs(t).where(F.length("ref") > 0).select(F.sqrt(F.length("ref")).alias("w"), F.least(F.lit(1.0), D.char_distance("ref", "pred") / F.length("ref").cast("double")).alias("e"))
     return p.agg(r6(F.sum(F.col("w") * F.col("e")) / F.sum("w"), "weighted_cer"))
 
 
-@query("fold_mean_std", f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(levenshtein(ref, pred)) / greatest(sum(length(ref)), 1)::double as cer from ({PAIR}) group by turn)")
+@query("fold_mean_std", f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / greatest(sum(length(ref)), 1)::double as cer from {CODED} group by turn)")
 def fold_mean_std(t: Tables):
-    per = pairs(t).groupBy("turn").agg(D.micro(F.levenshtein("ref", "pred"), F.length("ref")).alias("cer"))
+    per = pairs(t).groupBy("turn").agg(D.micro(D.char_distance("ref", "pred"), F.length("ref")).alias("cer"))
     return per.agg(r6(F.avg("cer"), "mean"), r6(F.stddev_pop("cer"), "std"), r6(F.min("cer"), "best"))
 
 
 @query("empty_predictions", f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)")
 def empty_predictions(t: Tables):
-    n = F.length(T.ascii_text("text"))
+    n = F.length(T.whole("text"))
     return t.conversations.agg(F.count_if(n < 100).alias("n_short"), r6(F.avg((n < 100).cast("int")), "share"), F.min(n).alias("least"), F.max(n).alias("most"), r6(F.avg(n), "mean"))
 
 
@@ -198,7 +223,10 @@ PICK = "list_sort(" + SEEN + ")[1].v"
 
 
 def predictions(t: Tables):
-    listed = F.array_sort(F.collect_list(F.struct("turn", T.ascii_text("text").alias("text"))))
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    listed = F.array_sort(F.collect_list(F.struct("turn", T.whole("text").alias("text"))))
     return t.conversations.groupBy("conv_id").agg(F.transform(listed, lambda x: x["text"]).alias("p"))
 
 
@@ -217,26 +245,33 @@ select conv_id, i, arg_min(c, (-n, seen)) as c from (
     select conv_id, i, f, {0} as c from (select conv_id, p, unnest(generate_series(1, list_max(list_transform(p, lambda x: length(x))))) as i from {1}), (select unnest(generate_series(1, 99)) as f) where f <= len(p))
   where c <> '' group by all) group by conv_id, i)"""
 CHARS = f"select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce({{0}}, '') end as pred from {PREDS} left join {{1}} using (conv_id) group by conv_id"
-query("ens_char_vote", CHARS.format(r"regexp_replace(string_agg(c, '' order by i), '\s+$', '')", VOTE.format("case when length(p[f]) >= i then substr(p[f], i, 1) else ' ' end", PREDS)))(_picked("char_voting"))
+VOTED = CHARS.format(r"regexp_replace(string_agg(c, '' order by i), '[" + T.SPACE + r"]+$', '')", VOTE.format("case when length(p[f]) >= i then substr(p[f], i, 1) else ' ' end", PREDS))
+query("ens_char_vote", VOTED)(_picked("char_voting"))
 query("ens_rover", CHARS.format("string_agg(c, '' order by i)", VOTE.format("replace(substr(p[f], i, 1), '-', '')", PREDS)))(_picked("rover"))
+RISKS = coded(f"""(select a.conv_id, a.p, a.f, a.x, b.x as y from (select conv_id, p, unnest(p) as x, unnest(generate_series(1, len(p))) as f from {PREDS}) a join (select conv_id, unnest(p) as x from {PREDS}) b using (conv_id) where a.x <> '' and b.x <> '')""", "x", "y")
 query("ens_mbr", f"""
 select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce(arg_min(x, (risk, f)), '') end as pred from (
-  select a.conv_id, a.p, a.f, a.x, coalesce(avg(levenshtein(a.x, b.x)) filter (b.x <> a.x), 0) as risk
-  from (select conv_id, p, unnest(p) as x, unnest(generate_series(1, len(p))) as f from {PREDS}) a join (select conv_id, unnest(p) as x from {PREDS}) b using (conv_id)
-  where a.x <> '' and b.x <> '' group by all) group by conv_id""")(_picked("mbr"))
+  select conv_id, p, f, x, coalesce(avg(edits) filter (y <> x), 0) as risk from {RISKS} group by all) group by conv_id""")(_picked("mbr"))
+
 
+MODE = f"{PICK.format('-len(list_filter(p, lambda y: y = x))')}"
 
-@query("fold_agreement", f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement from {PREDS}")
+
+@query("fold_agreement", f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement, {MODE} as most_common from {PREDS}")
 def fold_agreement(t: Tables):
     p = F.col("p")
-    top = F.array_max(F.transform(p, lambda x: F.size(F.filter(p, lambda y: y == x))))
-    return predictions(t).select("conv_id", F.size(F.array_distinct(p)).alias("n_distinct"), r6(top / F.size(p).cast("double"), "agreement"), (F.size(F.array_distinct(p)) == 1).alias("full_agreement"))
+    top = F.array_max(F.transform(p, lambda x: E.times(p, x)))
+    return predictions(t).select("conv_id", F.size(F.array_distinct(p)).alias("n_distinct"), r6(top / F.size(p).cast("double"), "agreement"), (F.size(F.array_distinct(p)) == 1).alias("full_agreement"), E.majority(p).alias("most_common"))
+
+
+COMPARED = ["char_voting", "first", "longest", "majority", "shortest"]
 
 
-@query("strategy_compare", f"select conv_id, unnest(['first', 'longest', 'majority', 'shortest']) as strategy, unnest([p[1], {PICK.format('-length(x)')}, {PICK.format('-len(list_filter(p, lambda y: y = x))')}, {PICK.format('length(x)')}]) as pred from {PREDS}")
+@query("strategy_compare", f"""
+select conv_id, unnest({COMPARED}) as strategy, unnest([v.pred, p[1], {PICK.format('-length(x)')}, {MODE}, {PICK.format('length(x)')}]) as pred from {PREDS} join ({VOTED}) v using (conv_id)""")
 def strategy_compare(t: Tables):
-    wide = predictions(t).select("conv_id", *[E.ensemble(F.col("p"), s).alias(s) for s in ("first", "longest", "majority", "shortest")])
-    return wide.unpivot("conv_id", ["first", "longest", "majority", "shortest"], "strategy", "pred")
+    wide = predictions(t).select("conv_id", *[E.ensemble(F.col("p"), s).alias(s) for s in COMPARED])
+    return wide.unpivot("conv_id", COMPARED, "strategy", "pred")
 
 
 @query("two_model", f"select conv_id, case when p[1] = p[2] then p[1] when length(p[2]) < length(p[1]) then p[2] else p[1] end as pred, p[1] = p[2] as agree from {PREDS} where len(p) >= 2")
@@ -245,17 +280,17 @@ def two_model(t: Tables):
     return p.select("conv_id", E.two_model(F.col("p")[0], F.col("p")[1]).alias("pred"), (F.col("p")[0] == F.col("p")[1]).alias("agree"))
 
 
-@query("json_cache", f"select conv_id::varchar as id, {A.replace('coalesce(text', 'coalesce(t')} as pred from (select conv_id, arg_min(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), turn) as t from conversations group by conv_id)")
+@query("json_cache", f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), turn) as t from conversations group by conv_id)")
 def json_cache(t: Tables):
     """A fold's predictions through the shape of their JSON cache: one object, and back to rows."""
     first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     object_ = first.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), T.strip(F.col("text")))).alias("j"))
     back = object_.select(F.explode(F.from_json("j", "map<string,string>")).alias("id", "pred"))
-    return back.select("id", T.ascii_text("pred").alias("pred"))
+    return back.select("id", T.whole("pred").alias("pred"))
 
 
 # Exact duplicates.
-KEY = rf"regexp_replace(lower({A}), '^\s+|\s+$', '', 'g')"
+KEY = f"regexp_replace(lower({A}), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')"
 KEYED = f"(select doc_id, source, {KEY} as key from documents)"
 
 
@@ -296,7 +331,7 @@ def group_representative(t: Tables):
 
 # TF-IDF similarity: 1- to 3-grams of tokens of two or more word characters, the 500 commonest in two or more texts.
 GRAMS = r"""
-toks as (select item_id as doc, regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '\b\w\w+\b') as w from benchmark),
+toks as (select item_id as doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') as w from benchmark),
 grams as (select doc, array_to_string(w[i : i + k - 1], ' ') as term from (select doc, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from toks, (select unnest([1, 2, 3]) as k) where len(w) >= k)),
 tf as (select doc, term, count(*) as n from grams group by all),
 vocab as (select term, count(*) as df, sum(n) as total from tf group by term having df >= 2 order by total desc, term limit 500),
@@ -307,11 +342,11 @@ sims as (select a.doc as i, b.doc as j, sum(a.w * b.w) as sim from unit a join u
 
 @query("tfidf", f"with {GRAMS} select doc, term, round(w, 6) as w from unit")
 def tfidf(t: Tables):
-    return M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.ascii_text("text").alias("text"))).select("doc", "term", r6(F.col("w"), "w"))
+    return M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text"))).select("doc", "term", r6(F.col("w"), "w"))
 
 
 def _sims(t: Tables):
-    return M.similarities(M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.ascii_text("text").alias("text"))))
+    return M.similarities(M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text"))))
 
 
 @query("near_dups", f"with {GRAMS} select i, j, round(sim, 6) as sim from sims where sim > 0.3")

@@ -9,10 +9,12 @@ from quern.functions import arrays as R
 from quern.functions import edit as D
 from quern.functions import ensemble as E
 from quern.functions import text as T
+from quern.operators import dedup as U
 from quern.operators import graph as G
 from quern.operators import series as Z
 from quern.operators import splits as X
 from quern.operators import stats as S
+from quern.operators.quantiles import quantiles
 
 
 def column(spark, values, build, kind="string"):
@@ -54,7 +56,7 @@ def restated(text, most=5):
             n, at = 1, i + size
             while tokens[at : at + size] == tokens[i : i + size] and at + size <= len(tokens):
                 n, at = n + 1, at + size
-            if n > (7 if size == 1 and tokens[i] in D.LOOSE else most):
+            if n > (7 if size == 1 and tokens[i] in ("-", "~", "–", "—", "*", ".") else most):
                 return " ".join(tokens[:i])
     return text
 
@@ -63,20 +65,56 @@ def test_repetitions_at_random():
     rng = random.Random(5)
     for _ in range(3000):
         text = " ".join(rng.choice(["a", "b", "-"]) for _ in range(rng.randrange(24)))
-        assert D.cut_repetitions(text) == restated(text), text
+        assert all(D.cut_repetitions(text, most) == restated(text, most) for most in (3, 5)), text
 
 
 def test_word_distance(spark):
-    assert D.word_distance("a b".split(), "a c b".split()) == 1
-    assert D.word_distance([], "a c b".split()) == 3
-    pairs = [(["a", "b"], ["a", "c", "b"]), (["x"], []), ([], [])]
-    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
-    assert [r[0] for r in df.select(D.short_word_levenshtein(F.col("a"), F.col("b"))).collect()] == [1, 1, 0]
+    assert D.distance("a b".split(), "a c b".split()) == 1
+    assert D.distance([], "a c b".split()) == 3
+    df = spark.createDataFrame([("a b", "a c b"), ("x", None), (None, ""), ("naïve é", "nave é")], "a string, b string")
+    assert [tuple(r) for r in df.select(D.word_distance("a", "b"), D.char_distance("a", "b")).collect()] == [(1, 2), (1, 1), (0, 0), (1, 1)]
+    rng = random.Random(6)
+    for _ in range(800):
+        a, b = (["".join(rng.choice("ab日é") for _ in range(rng.randrange(70)))] for _ in "ab")
+        assert D.distance(a[0], b[0]) == table(a[0], b[0]), (a, b)
+
+
+def table(a, b):
+    """Edit distance by its whole table."""
+    d = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        d.append([i])
+        for j, y in enumerate(b, 1):
+            d[i].append(min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y)))
+    return d[-1][-1]
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(7)
+    values = [rng.choice([rng.random() * 100, float(rng.randrange(5)), None]) for _ in range(700)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    qs = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    want = np.quantile([v for v in values if v is not None], qs)
+    for few in (10**6, 0):
+        assert quantiles(df, "v", qs, few=few).first()[0] == pytest.approx(want.tolist())
+    assert quantiles(df.where("v is null"), "v", [0.5]).first()[0] is None
+
+
+def test_whole_texts(spark):
+    """Letters of every alphabet count: no text is read for what is left of it in ASCII."""
+    texts = ["naïve", "nave", "ééé", "日本語", "日本語 ", "Élan Vital 12 ١٢", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(r.doc_id for r in U.keep_first(U.keyed(df), "doc_id").collect()) == [0, 1, 2, 3, 5, 6]
+    got = {r.doc_id: r for r in U.scored(df).collect()}
+    assert [got[i].text_length for i in range(7)] == [len(t or "") for t in texts] and got[5].word_count == 4
+    assert got[5].number_complexity == pytest.approx(min(100, 2 / 4 * 300 + 2 * 5)) and got[5].named_entity_score == pytest.approx(min(100, 1 / 4 * 500))
 
 
 def test_text_scores(spark):
     text = ["London the 26: March 1669. ffor 100 Sterl:", "   ", "", None]
-    x = [r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(T.historical_spelling(T.ascii_text("t"))).collect()]
+    x = [r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(T.historical_spelling(T.whole("t"), T.words(T.whole("t")))).collect()]
     assert x == [pytest.approx(62.5), 0.0, 0.0, 0.0]
     assert column(spark, ["b\r\n\r\n c "], T.clean_lines) == ["b c"]
     assert column(spark, ["say assistant x Assistant: y"], T.after_artifacts) == [" y"]

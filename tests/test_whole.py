@@ -4,10 +4,8 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from quern import catalog
-from quern.llm import toxicity
 from quern.operators import graph as G
 
 
@@ -43,24 +41,7 @@ def test_every_turn_is_scored(spark, tmp_path):
     assert score == {k: (pytest.approx(e / max(n, 1), abs=1e-6), pytest.approx(c / max(m, 1), abs=1e-6)) for k, (e, n, c, m) in rates.items()}
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
-    short = con.execute(catalog.ORACLES["word_errors"]).fetchall()
-    assert 0 < len(short) < len(rows) and all(want[c, t] == (e, n) for c, t, e, n in short)
-
-
-def test_a_family_of_copies_takes_no_places(spark):
-    """Copies of one long toxic text have thousands of terms; a rare toxic word and rare seeds are learned all the same."""
-    rng = random.Random(22)
-    said = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
-    family = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(900))
-    rows = [(i, said(30), 0) for i in range(900)] + [(1000 + i, family, 1) for i in range(60)] + [(2000 + i, f"{said(20)} zurblic {said(5)}", 1) for i in range(24)]
-    rows += [(3000 + i, f"{said(20)} hurt {said(5)}", int(i < 4)) for i in range(150)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    lexicon, _, _ = toxicity.learn(docs, labels, F.lit(False))
-    weights = {(t, whole): w for t, whole, label, w in lexicon.entries if label in (toxicity.INSULT, toxicity.THREAT)}
-    assert any("zurblic".startswith(t) for t, _ in weights) and any(t in family for t, _ in weights)
-    assert ("hurt", True) not in weights  # 4 toxic and 146 clean documents
-    assert len(weights) < 60
+    assert {(c, t): (e, n) for c, t, e, n in con.execute(catalog.ORACLES["word_errors"]).fetchall()} == want
 
 
 @pytest.mark.parametrize("block", [2_000_000, 60])
