@@ -14,7 +14,9 @@ Pages take host, suffix and markup from their address and html; plain documents
 
 Defined cases: null and empty texts have no text evidence; a missing host, suffix or declaration adds nothing; a
 declared language that no model knows is ignored; repeated rows are identified one by one; with no labelled documents every language
-is null; an empty table gives an empty result; other columns are ignored. At most ``MOST_LANGUAGES`` languages, the commonest, are modelled.
+is null; an empty table gives an empty result; other columns are ignored. Every labelled language is modelled.
+
+A registered domain is the last two labels of a host, or three where a short label stands before a country's two letters (``co.uk``).
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from .text import chunks, utf8
 
 BITS = 16
 EVIDENCE = 60.0
-MOST_LANGUAGES = 64
 STRENGTH = 20.0
 DECLARED_TRUE = 0.9
 
@@ -63,8 +64,7 @@ FOLD = _fold()
 def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities [language, bucket] from all labelled training documents."""
     labelled = docs.where(train & F.col("lang").isNotNull()).select("lang", "text")
-    names = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    names.sort()
+    names = sorted(r.lang for r in labelled.select("lang").distinct().collect())  # one row a language
     number = {n: k for k, n in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     page = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", host.alias("host"), F.when(named != "", named).alias("declared"), text.alias("text"))
     is_name = ~F.col("host").rlike(r"^[0-9.]+$")
-    page = page.withColumn("domain", F.when(is_name, F.substring_index("host", ".", -2))).withColumn("suffix", F.when(is_name, F.substring_index("host", ".", -1)))
+    page = page.withColumn("domain", F.when(is_name, F.when(F.col("host").rlike(r"\.[a-z]{2,3}\.[a-z]{2}$"), F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))).withColumn("suffix", F.when(is_name, F.substring_index("host", ".", -1)))
     return page.select("doc_id", "page_id", "host", "domain", "suffix", "declared", "text")
 
 
