@@ -38,7 +38,8 @@ from .tokens import _fs, read_bytes, write_bytes
 
 LEAST_BYTES = 1000
 SPLIT_BYTES = 16 << 20
-ROWS = 512
+#: Records of a batch that is handed on, and bytes of their payloads.
+ROWS, BATCH_BYTES = 512, 8 << 20
 SCHEMA = "path string, offset long, type string, record_id string, target_uri string, date string, content_type string, content_length long, payload_digest string, payload_bytes long, refers_to string, payload binary"
 INPUT = "type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SCHEMA.split(", ")])
@@ -124,6 +125,7 @@ class WarcReader(DataSourceReader):
         tests = [(column, by_name[kind], value, wanted) for kind, column, value, wanted in self.tests]
         system, path = _fs(partition.path)
         rows: list[dict] = []
+        held = 0
         with system.open_input_file(path) as file:
             stream = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20) if path.endswith(".gz") else io.BufferedReader(_Raw(file), 1 << 20)
             stream.seek(partition.start)
@@ -133,9 +135,10 @@ class WarcReader(DataSourceReader):
                     break
                 if row:
                     rows.append(row | {"path": partition.path})
-                if len(rows) >= ROWS:
+                    held += len(row["payload"] or b"")
+                if len(rows) >= ROWS or held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, ARROW)
-                    rows = []
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
