@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .staging import Stages
+from .staging import Stages, filtered
 from .text import chunks, mix, utf8, word_bytes, words
 
 WINDOW = 10
@@ -349,7 +349,7 @@ def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     items, blocks = _usable(items)
     stages, place = Stages(docs.sparkSession, "decontaminate"), docs.columns.index("text")
     for k in range(blocks):
-        before, docs = docs, docs.mapInArrow(_clean(_block(items, blocks, k, window), place, window), docs.schema)
+        before, docs = docs, filtered(docs, _clean(_block(items, blocks, k, window), place, window))
         if k < blocks - 1:
             docs = stages.put(docs, f"block{k}")
             stages.drop(before)

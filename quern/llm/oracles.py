@@ -121,3 +121,28 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id is distinct from kept and kept is not null then kept end as refers_to
 from sized
 """
+
+VECTORS = """
+with recursive sized as (select *, len(embedding) as n from embeddings),
+valid as materialized (
+  select vec_id, embedding::double[] as e from sized where vec_id is not null and n = (select n from sized where n is not null group by n order by count(*) desc, n limit 1)
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as materialized (select a.vec_id as a, b.vec_id as b from valid a join valid b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+walk as (select vec_id as id, vec_id as c from embeddings union select l.b, w.c from walk w join links l on l.a = w.id),
+least as (select id, min(c) as c from walk group by id)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, c as component_id, vec_id = c as kept from embeddings join least on vec_id = id
+"""
+
+JACCARD = r"""
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+shingles as materialized (
+  select distinct doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') as s from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as i from words where len(w) > 0)),
+sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+links as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as k from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all) p
+  join sizes m on m.doc_id = a join sizes n on n.doc_id = b where 100 * k >= 90 * (m.n + n.n - k)),
+walk as (select doc_id as id, doc_id as c from documents union select l.b, w.c from walk w join links l on l.a = w.id),
+least as (select id, min(c) as c from walk group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id from documents d left join sizes using (doc_id) join least on d.doc_id = id
+"""

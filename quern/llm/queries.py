@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.plans.ship import ship
 
 from . import decontaminate, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
-from .staging import bounded
+from .staging import bounded, spread
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.dedup(_read(spark, sf_dir, "embeddings"))
+    return vectors.dedup(_read(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 QUERIES = {"op1_language": op1_language, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_vectors": op4_vectors, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
-ORACLES = {"op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}
+ORACLES = {"op4_vectors": oracles.VECTORS, "op7_jaccard": oracles.JACCARD, "op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}

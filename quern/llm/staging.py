@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_open: list[list[Stages]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end what operators staged inside it; what they return must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for stages in _open.pop():
+            stages.clear()
+
+
 class Stages:
     """Named intermediate tables of one operator call, each in a folder of its own."""
 
@@ -43,6 +59,8 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
         self.made = 0
+        if _open:
+            _open[-1].append(self)
 
     def folder(self, name: str) -> str:
         self.made += 1
@@ -60,9 +78,15 @@ class Stages:
         """Deletes a stage that no later plan reads."""
         path = getattr(df, "_quern_path", None)
         if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all stages; no plan may read them any more."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -99,3 +123,15 @@ def unused(name: str, df: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A plain scan dealt out to all cores if its files make fewer tasks than there are; a scan of more tasks is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
+
+
+def filtered(docs: DataFrame, keep: Callable) -> DataFrame:
+    """``docs`` through a function of Arrow batches that drops rows; columns pass by place, so that any name will do."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

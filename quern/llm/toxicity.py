@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
-from .staging import Stages
+from .staging import Stages, filtered
 from .text import Words, chunks, hash_of, starts_hash, utf8, word_bytes, words
 
 ALNUM = word_bytes("alnum")
@@ -332,4 +332,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(place), at)[0] < at))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return filtered(docs, kept)
