@@ -135,6 +135,7 @@ def near_brute(texts, size, percent):
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, size, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     rng = random.Random(size)
     base = [invented(rng, 120, 3000) for _ in range(12)]
     texts = []
@@ -145,6 +146,7 @@ def test_jaccard(spark, size, percent, monkeypatch):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(w))
     texts += ["Same Text", "same  text", "", None, "one", "ONE", base[0].upper()]
+    texts += [" ".join(base[k].split()[: 120 - 7 * j]) for k in range(3) for j in range(12)]  # sizes that fall by steps
     rng.shuffle(texts)
     n, component = near_brute(texts, size, percent)
     got = jaccard.join(docs_of(spark, texts), size, percent).toPandas().sort_values("doc_id")
@@ -186,26 +188,40 @@ def test_warc(spark, tmp_path):
     assert back.where("type = 'revisit'").count() == 2 and back.where("payload_bytes >= 1400").count() == 1
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors(spark, kind):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
     x[100:160] = x[100] + rng.normal(scale=0.05, size=(60, 16))
     x[200:230] = x[200]
     x[300:340] = x[300] + rng.normal(scale=0.28, size=(40, 16))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, [None] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (904, [None] * 16), (905, [float("inf")] * 16), (906, [])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
     got = vectors.dedup(df).toPandas().set_index("vec_id").sort_index()
-    y = np.array([r[1] for r in rows[:400]], np.float32).astype(np.float64)
+    y = np.array([r[1] for r in rows[:400]], np.float32 if kind == "float" else np.float64).astype(np.float64)
     y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
     linked = y @ y.T >= 0.9
     np.fill_diagonal(linked, False)
     found = got["n_links"].to_numpy()[:400]
     assert (found <= linked.sum(axis=1)).all() and found.sum() >= 0.97 * linked.sum()
-    assert (got.loc[900:904, "n_links"] == 0).all() and (got.loc[900:904, "kept"]).all()
+    assert (got.loc[900:, "n_links"] == 0).all() and (got.loc[900:, "kept"]).all()
     assert got.loc[205, "component_id"] <= 200 and got["audited_recall"].iloc[0] >= 0.95
 
 
+def test_low_recall_raises(spark, monkeypatch):
+    """Links that the graph does not find are an error and no quiet result."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    x[::2] = x[1::2] + rng.normal(scale=0.15, size=(30, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert vectors.dedup(df).where("n_links > 0").count() > 20
+    real = vectors.links
+    monkeypatch.setattr(vectors, "links", lambda found, stages, overlap: (lambda c, e: (c.withColumn("n_links", F.lit(0).cast("long")), e.limit(0)))(*real(found, stages, overlap)))
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.dedup(df, widest=2)
+
+
 def labelled(spark, rng, bad):
     texts, rows = [], []
     for i in range(400):
@@ -254,24 +270,77 @@ def test_language(spark):
     assert (p["lang"] == p["declared"]).all() and len(got) == 241
 
 
+def by_id(frame, *columns):
+    return sorted((tuple(str(r[c]) for c in columns) for r in frame.collect()), key=str)
+
+
 def test_odd_inputs(spark):
-    """Nulls, empty and long texts, repeated rows, null ids, clashing columns and empty tables run and keep every row."""
-    df = spark.createDataFrame(ODD, DOC).withColumn("found", F.lit(1)).withColumn("row", F.lit(2))
-    labels = spark.createDataFrame([(2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
-    bench = spark.createDataFrame([(1, "w w w w w w w w w w")], "item_id long, text string")
+    """Nulls, empty and long texts, repeated rows, null ids, clashing columns and empty tables: every row with its defined values."""
+    df = spark.createDataFrame(ODD, DOC)
+    for k, clash in enumerate(["found", "row", "_id", "_copies", "_copy", "a-b", "doc", "text_", "row_key", "copy", "drawn_by", "p q.`x"]):
+        df = df.withColumn(clash, F.lit(k))
+    labels = spark.createDataFrame([(2, 1, 0), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "w w w w w w w w w w"), (None, "one"), (2, None), (3, "")], "item_id long, text string")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for some in (df, df.limit(0)):
-        n = some.count()
-        assert mixing.mix(some).count() == n
-        assert decontaminate.judged(some, bench).count() == n
-        assert secrets.scan(some).count() == n
-        assert jaccard.join(some).count() == n
-        assert tokens.encoded(some, path).count() == n
-        assert nbsvm.quality(some, labels).count() == n
-        assert toxicity.toxicity(some, labels).count() == n
-        assert language.identify(some, pages).count() == n
-        assert toxicity.keep_clean(some, labels).columns == some.columns
-        assert jaccard.keep_one(some).count() == max(0, n - 1)
-    assert warc.archived(pages).count() == 0
-    assert vectors.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    words = [len((t or "").split()) for _, t, *_ in ODD]
+    ids = [r[0] for r in ODD]
+    text = lambda values: sorted(((str(i), str(v)) for i, v in zip(ids, values, strict=True)), key=str)
+    assert by_id(mixing.mix(df), "doc_id", "size") == text(words)
+    taken = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
+    assert all(r.t <= r.target + 30000 for r in taken) and all(r.taken <= 3 * r.size for r in mixing.mix(df).collect())
+    assert by_id(decontaminate.judged(df, bench).select("doc.doc_id", "n_words", "n_hit", "n_items"), "doc_id", "n_words", "n_hit", "n_items") == sorted(
+        ((str(i), str(n), str(n if n == 30000 else 0), str(int(n == 30000))) for i, n in zip(ids, words, strict=True)), key=str)
+    assert by_id(secrets.scan(df), "doc_id", "spans", "n_assign") == sorted(((str(i), "", "0") for i in ids), key=str)
+    assert by_id(jaccard.join(df), "doc_id", "n_shingles", "component_id") == sorted(((str(i), str(int(n > 0)), str(i)) for i, n in zip(ids, words, strict=True)), key=str)
+    coded = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in ODD]
+    assert by_id(tokens.encoded(df, path), "doc_id", "n_tokens", "ids_crc32") == sorted(((str(i), str(len(c)), str(zlib.crc32(c.tobytes()))) for i, c in zip(ids, coded, strict=True)), key=str)
+    for scored in (nbsvm.quality(df, labels), toxicity.toxicity(df, labels)):
+        rows = scored.collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids)) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+        assert len({r.score for r in rows if r.doc_id == 4}) == 1
+    assert by_id(language.identify(df, pages), "doc_id", "lang")[0][0] == "1" and language.identify(df, pages).count() == len(ODD)
+    # filters carry every column, whatever its name
+    whole = by_id(df, *[f"{c}" for c in df.columns])
+    assert by_id(toxicity.keep_clean(df, labels.limit(0)), *df.columns) == whole
+    assert by_id(decontaminate.remove(df, bench), *df.columns) == [r for r in whole if r[0] != "7"]
+    assert by_id(decontaminate.remove(df, bench.limit(0)), *df.columns) == whole
+    kept = by_id(jaccard.keep_one(df), *df.columns)
+    assert kept == sorted(set(whole), key=str) and len(kept) == len(ODD) - 1
+    copies = {str(r.doc_id): r.copies for r in mixing.mix(df).collect()}
+    assert by_id(mixing.mixed(df), *df.columns) == sorted((r for r in whole for _ in range(copies[r[0]])), key=str)
+    none = df.limit(0)
+    for empty in (mixing.mix(none), decontaminate.judged(none, bench), secrets.scan(none), jaccard.join(none), tokens.encoded(none, path), nbsvm.quality(none, labels), toxicity.toxicity(none, labels), language.identify(none, pages), warc.archived(pages), vectors.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+        assert empty.collect() == []
+    for empty in (toxicity.keep_clean(none, labels), decontaminate.remove(none, bench), jaccard.keep_one(none), mixing.mixed(none)):
+        assert empty.collect() == [] and empty.columns == df.columns
+
+
+def test_ids_of_several_texts(spark):
+    """A row goes for its own text, not for that of another row of its id."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (8, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", "x") for i, t in rows], DOC)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(df).collect()]
+    assert sorted(t for _, t in kept) == sorted([a, b, c]) and (3, a) in kept and (8, c) in kept
+
+
+def test_inclusion(spark):
+    """Each measure of length is included as often as its probability says, over many seeds, and certain documents always."""
+    rng = random.Random(41)
+    rows = [(i, " ".join("w" * rng.choice([4, 8, 16, 32, 64])), "en", rng.choice("abc"), "x") for i in range(700)] + [(9000 + i, " ".join("w" * 3000), "en", "c", "x") for i in range(3)]
+    df = spark.createDataFrame(rows, DOC).cache()
+    n, total = 10, None
+    for seed in range(n):
+        one = mixing.mix(df, weights=(1, 1, 1), seed=str(seed)).selectExpr("doc_id", "source", "size", "p", "copies - floor(target / source_size) as more", "target", "taken")
+        total = one if total is None else total.union(one)
+    total = total.toPandas()
+    per = total.groupby(["source", "size"]).agg(p=("p", "mean"), more=("more", "mean"), n=("more", "size"))
+    assert (abs(per["more"] - per["p"]) <= 4 * np.sqrt(per["p"] * (1 - per["p"]) / per["n"]) + 0.02).all(), per
+    assert (total[total["p"] >= 1]["more"] == 1).all() and ((total["p"] > 0) & (total["p"] < 1)).any()
+    words = total.groupby("source")["taken"].sum() / n
+    longest = total.groupby("source")["size"].max()  # a sample of whole documents misses by half of one at most
+    assert (abs(words - total.groupby("source")["target"].first()) <= longest / 2).all()

@@ -59,3 +59,29 @@ def test_pipeline(spark, tmp_path):
             start += len(ids)
     got = corpus_pipeline.run(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == want and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_inputs(spark, tmp_path):
+    """Null, empty and long texts, repeated rows, null ids, clashing columns and empty tables through all stages."""
+    pytest.importorskip("public_tokenizers")
+    folder = str(tmp_path)
+    odd = [(1, None, "en", None, 1), (2, "", "en", "a", 2), (3, " \n", "en", "a", 3), (4, "one", "en", "b", 4), (4, "one", "en", "b", 4), (None, "no id at all", "de", "b", 5), (None, "no id at all", "de", "b", 5), (7, "word " * 30000, "en", "b", 6)]
+    schema = "doc_id long, text string, lang string, source string, `a-b` int"
+    spark.createDataFrame(odd, schema).selectExpr("*", "1 as doc", "2 as _id", "3 as copies").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "one")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    columns = spark.read.parquet(f"{folder}/documents.parquet").columns
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = stage(spark, docs, folder)
+        assert after.columns == columns, name
+        after.write.parquet(f"{folder}/stage{k}")
+        docs = spark.read.parquet(f"{folder}/stage{k}")
+        ids = [r.doc_id for r in docs.collect()]
+        assert name == "mixing" or sorted(map(str, ids)) == sorted(map(str, [1, 2, 3, 4, None, None, 7] + [4] * (name == "toxicity"))), name
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert len(got) == len(ids) and sorted(str(r.doc_id) for r in got) == sorted(map(str, ids))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/none/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").collect() == []
