@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.shared import cut
 
-from .graph import cut
 from .quantiles import with_quantiles
 from .ranks import ranked
 
@@ -72,18 +72,24 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", T.key(T.whole("text")))
+    """Adds key, and its SHA-256, by which copies meet: what is shuffled does not grow with the texts."""
+    return docs.withColumn("key", T.key(T.whole("text"))).withColumn("digest", F.unhex(F.sha2("key", 256)))
+
+
+def with_keys(groups: DataFrame, df: DataFrame, order: str) -> DataFrame:
+    """Adds to groups (first: the id of one of their rows) the key of that row."""
+    return groups.join(df.select(F.col(order).alias("first"), "key"), "first")
 
 
 def keep_first(df: DataFrame, order: str) -> DataFrame:
     """One id a key, the first in order (an aggregate: a hot key is combined before the shuffle)."""
-    return df.groupBy("key").agg(F.min(order).alias(order))
+    return df.groupBy("digest").agg(F.min(order).alias(order)).select(order)
 
 
 def flags(df: DataFrame, order: str) -> DataFrame:
     """later: a copy after the first; any_copy: the key occurs again."""
-    per = df.groupBy("key").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    joined = df.select(order, "key").join(per, "key")
+    per = df.groupBy("digest").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    joined = df.select(order, "digest").join(per, "digest")
     return joined.select(order, (F.col(order) > F.col("_first")).alias("later"), (F.col("_n") > 1).alias("any_copy"))
 
 
@@ -93,15 +99,22 @@ def report(df: DataFrame, order: str, most: int = 5) -> DataFrame:
     Ids are thinned to ``most`` in each of many parts of a key before they meet, so no array grows with the group.
     """
     part = F.pmod(F.xxhash64(order), F.lit(64))
-    copies = df.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    some = df.select("key", order).join(copies, "key")
-    inside = Window.partitionBy("key", part).orderBy(order)
+    copies = df.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    some = df.select("digest", order).join(copies, "digest")
+    inside = Window.partitionBy("digest", part).orderBy(order)
     thin = some.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= most)
-    return thin.groupBy("key").agg(F.first("copies").alias("copies"), F.slice(F.sort_array(F.collect_list(order)), 1, most).alias("first_ids"))
+    groups = thin.groupBy("digest").agg(F.first("copies").alias("copies"), F.slice(F.sort_array(F.collect_list(order)), 1, most).alias("first_ids"))
+    return with_keys(groups.withColumn("first", F.col("first_ids")[0]), df, order).select("key", "copies", "first_ids")
+
+
+def group_ids(df: DataFrame, order: str) -> DataFrame:
+    """dup_group: from 0 in order of falling frequency, then key, -1 for unique keys."""
+    groups = df.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    numbered = ranked(with_keys(groups, df, order), [F.desc("n"), F.col("key")]).select("digest", (F.col("rank") - 1).cast("int").alias("dup_group"))
+    return df.select(order, "digest").join(numbered, "digest", "left").select(order, F.coalesce("dup_group", F.lit(-1)).alias("dup_group"))
 
 
-def group_ids(df: DataFrame) -> DataFrame:
-    """dup_group: from 0 in order of falling frequency, -1 for unique keys."""
-    groups = df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    numbered = ranked(groups, [F.desc("n"), F.col("key")]).select("key", (F.col("rank") - 1).cast("int").alias("dup_group"))
-    return df.join(numbered, "key", "left").withColumn("dup_group", F.coalesce("dup_group", F.lit(-1)))
+def leaks(df: DataFrame, order: str, held_out: Column) -> DataFrame:
+    """key, n_train, n_val of keys that occur on both sides of a split."""
+    per = df.groupBy("digest").agg(F.count_if(~held_out).alias("n_train"), F.count_if(held_out).alias("n_val"), F.min(order).alias("first"))
+    return with_keys(per.where("n_train > 0 and n_val > 0"), df, order).select("key", "n_train", "n_val")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import physics as P
+from quern.sources.shared import cut
 
 #: Edges that one task of ``accumulate_down`` holds, and that ``stars`` gathers before it joins them.
 BLOCK = 2_000_000
@@ -124,19 +125,6 @@ def _walk(lower: float | None):
     return walk
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the shared folder."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quern-')}")
-    return df.checkpoint()
-
-
 def balance(nodes: DataFrame, edges: DataFrame, flow: str) -> DataFrame:
     """id, inflow, outflow, residual: sums over edges (src, dst), 0 where there are none."""
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.sum(flow).alias("inflow"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import cut
+
 #: Distinct values, as estimated, of which one task may hold all.
 FEW = 200_000
 
@@ -20,8 +22,6 @@ def quantiles(df: DataFrame, value: Column | str, qs: Sequence[float], name: str
     values = df.select(x.alias("v")).where("v is not null")
     if (values.agg(F.approx_count_distinct("v", 0.05)).first()[0] or 0) <= few:
         return values.agg(F.percentile("v", F.array(*map(F.lit, qs))).alias(name))
-    from .graph import cut
-
     dealt = cut(values.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange(_parts(df), "v").withColumn("part", F.spark_partition_id()))
     before = dealt.groupBy("part").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("part")) - F.col("m")).drop("m")
     upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from quern.sources.shared import cut
+
 
 
 def ranked(df: DataFrame, order: list[str] | list[Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import LETTERS
+from quern.sources.shared import cut
 
 
 def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3) -> DataFrame:
@@ -31,6 +32,22 @@ def similarities(unit: DataFrame) -> DataFrame:
     return a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
 
 
+def similar(unit: DataFrame, above: float) -> DataFrame:
+    """i < j, sim of the pairs above a cosine, without making all pairs of a common term.
+
+    With terms from the commonest to the rarest, a text's first ones whose norm stays under ``above`` can't reach it with any other text. So
+    the pair shares one of the rarer ones of both, and only those are joined; what meets is then measured on all terms.
+    """
+    unit = cut(unit)
+    df = F.broadcast(unit.groupBy("term").agg(F.count("*").alias("df")))  # one row a term of the vocabulary
+    order = Window.partitionBy("doc").orderBy(F.desc("df"), "term")
+    rare = unit.join(df, "term").withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where(F.col("norm") >= above - 1e-9).select("doc", "term")
+    met = rare.toDF("i", "term").join(rare.toDF("j", "term"), "term").where("i < j").select("i", "j").distinct()
+    a, b = unit.toDF("i", "term", "wa"), unit.toDF("j", "term", "wb")
+    sims = met.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    return sims.where(F.col("sim") > above)
+
+
 def templates(sims: DataFrame, above: float, least: int) -> DataFrame:
     near = sims.where(F.col("sim") > above).select("i", "j")
     return near.union(near.select("j", "i")).groupBy(F.col("i").alias("doc")).agg(F.count("*").alias("neighbours")).where(F.col("neighbours") >= least)
@@ -56,6 +73,6 @@ def percentiles(sims: DataFrame, n: int, qs: list[float]) -> DataFrame:
 def ranges(sims: DataFrame, n: int) -> DataFrame:
     """Counts of pairs by similarity, exactly 1 left out, pairs that share nothing in the lowest range."""
     s = F.col("sim")
-    per = sims.where(s < 1).groupBy(F.when(s < 0.1, "0.0-0.1").when(s < 0.3, "0.1-0.3").when(s < 0.6, "0.3-0.6").otherwise("0.6-1.0").alias("bucket")).agg(F.count("*").alias("n"))
-    zeros = sims.agg((F.lit(n * (n - 1) // 2) - F.count("*")).alias("n")).select(F.lit("0.0-0.1").alias("bucket"), "n")
+    per = sims.where(s < 1).groupBy(F.when(s < 0.2, "0.0-0.2").when(s < 0.4, "0.2-0.4").when(s < 0.6, "0.4-0.6").when(s < 0.8, "0.6-0.8").otherwise("0.8-1.0").alias("bucket")).agg(F.count("*").alias("n"))
+    zeros = sims.agg((F.lit(n * (n - 1) // 2) - F.count("*")).alias("n")).select(F.lit("0.0-0.2").alias("bucket"), "n")
     return per.union(zeros).groupBy("bucket").agg(F.sum("n").cast("long").alias("n")).where("n > 0")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def norm(v: Column) -> Column:
@@ -20,11 +23,92 @@ def n_clusters(n: int) -> int:
     return max(30, min(80, n // 60))
 
 
-def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 42, starts: int = 10) -> DataFrame:
-    """id, cluster_id of the best of several seeds, on unit vectors."""
-    ready = df.select(id_, array_to_vector(unit(F.col(vector))).alias("features")).persist()
-    best = min((KMeans(k=k, seed=seed + i, maxIter=20).fit(ready) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    return best.transform(ready).select(id_, F.col("prediction").alias("cluster_id"))
+#: Vectors, chosen by a hash of their ids, that starting centres are drawn from.
+START_ROWS = 20_000
+
+
+def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """group, pooled: the mean of every component."""
+    each = df.select(group, F.posexplode(vector).alias("k", "x")).groupBy(group, "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("pooled"))
+
+
+def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 42, starts: int = 10, rounds: int = 100, least: float = 1e-4) -> DataFrame:
+    """id, cluster_id of the best of several starts, on unit vectors.
+
+    Starting centres are drawn from a bounded sample, each far from those before it. All starts move in the same pass over the vectors: a task
+    sums its vectors by start and centre, and only those sums leave it. Rows whose vector is null are left out.
+    """
+    ready = df.where(F.col(vector).isNotNull()).select(id_, unit(F.col(vector)).alias("v"))
+    n = ready.count()
+    part = F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(1 << 20))
+    some = ready.where(part < int(min(1.0, START_ROWS / max(n, 1)) * (1 << 20))).orderBy(id_).select("v").toArrow()["v"].combine_chunks()
+    x = _matrix(some)
+    k = min(k, len(x)) or 1
+    centres = np.stack([_spread_out(x, k, np.random.default_rng(seed + i)) for i in range(starts)]) if len(x) else np.zeros((starts, 1, 1))
+    cost = np.full(starts, np.inf)
+    for _ in range(rounds):
+        sums = _moved(ready, centres)
+        before, total = centres, np.zeros(starts)
+        centres = centres.copy()
+        for start, cluster, count, off, total_vector in sums:
+            centres[start, cluster] = np.array(total_vector) / count
+            total[start] += off
+        cost = total
+        if not len(x) or ((centres - before) ** 2).sum(axis=2).max() <= least**2:
+            break
+    best = centres[int(cost.argmin())]
+    shared = df.sparkSession.sparkContext.broadcast(best)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_distances(_matrix(batch.column(1)), shared.value).argmin(axis=1).astype(np.int32))], [id_, "cluster_id"])
+
+    return ready.mapInArrow(near, StructType([df.schema[id_], StructField("cluster_id", IntegerType())]))
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0) if len(x) else np.empty((0, len(centres)))
+
+
+def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Each centre drawn with a chance by its squared distance to the nearest one before it."""
+    chosen = [int(rng.integers(len(x)))]
+    gap = _distances(x, x[chosen])[:, 0]
+    while len(chosen) < k:
+        chosen.append(int(rng.choice(len(x), p=gap / gap.sum())) if gap.sum() > 0 else int(rng.integers(len(x))))
+        gap = np.minimum(gap, _distances(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
+
+
+def _moved(ready: DataFrame, centres: np.ndarray) -> list[tuple]:
+    """start, cluster, count, summed squared distance and summed vector of every centre with members: one row each."""
+    shared = ready.sparkSession.sparkContext.broadcast(centres)
+    starts, k, size = centres.shape
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, off, total = np.zeros((starts, k), np.int64), np.zeros((starts, k)), np.zeros((starts, k, size))
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for s in range(starts if len(x) else 0):
+                d = _distances(x, shared.value[s])
+                near = d.argmin(axis=1)
+                counts[s] += np.bincount(near, minlength=k)
+                off[s] += np.bincount(near, d[np.arange(len(x)), near], k)
+                np.add.at(total[s], near, x)
+        s, c = np.nonzero(counts)
+        ends = np.arange(len(s) + 1, dtype=np.int32) * size
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(counts[s, c]), pa.array(off[s, c]), pa.ListArray.from_arrays(ends, pa.array(total[s, c].ravel()))], ["s", "c", "n", "off", "v"])
+
+    rows = ready.select("v").mapInArrow(summed, "s long, c long, n long, off double, v array<double>")
+    per = rows.groupBy("s", "c").agg(F.sum("n"), F.sum("off"), *[F.sum(F.col("v")[i]) for i in range(size)]).orderBy("s", "c").collect()
+    shared.unpersist()
+    return [(r[0], r[1], r[2], r[3], list(r[4:])) for r in per]
 
 
 def nearest(df: DataFrame, id_: str, vector: str, centroids: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def _steps(t: Tables):
     return panel(t).groupBy("station").agg(F.array_sort(F.collect_list(F.struct(F.datediff("day", F.lit("2024-01-01")).cast("long").alias("step"), F.col("q").alias("val")))).alias("steps"))
 
 
-@query("early_stop", f"""
+EARLY = f"""
 with recursive s as (select station, date_diff('day', date '2024-01-01', day::date) as step, q as val, row_number() over (partition by station order by day) as n from {PANEL}),
 walk as (
   select station, 0::bigint as n, 'infinity'::double as best, 0 as bad, null::bigint as stop from (select distinct station from s)
@@ -87,12 +87,30 @@ walk as (
     case when w.stop is not null then w.bad when s.val < w.best - 0.5 then 0 else w.bad + 1 end,
     case when w.stop is not null then w.stop when s.val >= w.best - 0.5 and w.bad + 1 >= 3 then s.step end
   from walk w join s on s.station = w.station and s.n = w.n + 1)
-select station, round(arg_max(best, n), 6) as best, max(stop) as stop from walk group by station""")
+select station, round(arg_max(best, n), 6) as best, max(stop) as stop from walk group by station"""
+
+
+@query("early_stop", EARLY)
 def early_stop(t: Tables):
     out = _steps(t).select("station", Z.early_stop(F.col("steps"), 3, 0.5).alias("e"))
     return out.select("station", r6(F.col("e.best"), "best"), "e.stop")
 
 
+@query("early_stop_stream", EARLY)
+def early_stop_stream(t: Tables):
+    """The same by a stateful stream over files of steps."""
+    from quern.plans.ship import ship
+    from quern.sources.shared import fresh
+    from quern.streaming.patience import stopped
+
+    ship(t.spark)
+    path = fresh(t.spark, "steps")
+    steps = panel(t).select("station", F.datediff("day", F.lit("2024-01-01")).alias("step"), F.col("q").alias("val"))
+    steps.write.parquet(path)
+    rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    return stopped(rows, 3, 0.5).select("station", r6(F.col("best"), "best"), "stop")
+
+
 @query("running_best", f"select station, day, q < coalesce(min(q) over (partition by station order by day rows between unbounded preceding and 1 preceding), 'infinity'::double) as new_best from {PANEL}")
 def running_best(t: Tables):
     before = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,12 +135,29 @@ def daily_rollup(t: Tables):
 
 @query("daily_rollup_stream", DAILY)
 def daily_rollup_stream(t: Tables):
-    """The same by Structured Streaming over the files that are there, with a watermark."""
+    """The same by Structured Streaming over the files that are there, with a watermark and its state in the shared folder."""
     from quern.streaming.rollup import streamed
 
     return streamed(t.spark, t.folder, "events").withColumn("mean", F.round("mean", 6))
 
 
+MONTHLY = DAILY.replace("'day', ts) as day", "'month', ts) as month")
+
+
+@query("monthly_rollup", MONTHLY)
+def monthly_rollup(t: Tables):
+    from quern.streaming.rollup import rollup
+
+    return rollup(t.events, "month").withColumn("mean", F.round("mean", 6))
+
+
+@query("monthly_rollup_stream", MONTHLY)
+def monthly_rollup_stream(t: Tables):
+    from quern.streaming.rollup import streamed
+
+    return streamed(t.spark, t.folder, "events", "month").withColumn("mean", F.round("mean", 6))
+
+
 @query("chrono_split", "select event_id, case when n <= floor(c * 0.7) then 'train' when n <= floor(c * 0.7) + floor(c * 0.15) then 'val' else 'test' end as split from (select event_id, row_number() over (order by ts, event_id) as n, count(*) over () as c from events)")
 def chrono_split(t: Tables):
     return X.chronological(t.events.select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "split")
@@ -234,6 +269,15 @@ def graph_stats(t: Tables):
     return G.statistics(t.embeddings.count(), e).select("n_nodes", "n_edges", r6(F.col("mean_degree"), "mean_degree"), r6(F.col("density"), "density"))
 
 
+@query("edge_styles", f"select kind, src, dst, round(distance / (max(distance) over (partition by kind) + 1e-6), 6) as style from (select 'river' as kind, src, dst, distance from {RIVER} union all select 'karst', src, dst, distance from {KARST})")
+def edge_styles(t: Tables):
+    """Style weights relative to the longest edge of each type."""
+    of = lambda e, kind: e.select(F.lit(kind).alias("kind"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "distance")
+    e = of(G.river(nodes(t), 5.0), "river").union(of(G.karst(nodes(t), 3.5, 0.4), "karst"))
+    top = F.broadcast(e.groupBy("kind").agg(F.max("distance").alias("top")))  # one row a type
+    return e.join(top, "kind").select("kind", "src", "dst", r6(F.col("distance") / (F.col("top") + 1e-6), "style"))
+
+
 @query("edge_weights", f"select src, dst, round(distance / (max(distance) over () + 1e-6), 6) as style, round(avg(case when hours < 1000 then hours else 0 end) over (), 4) as penalty from (select *, distance * 1000 / ((1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0) * sqrt(slope)) / 3600 as hours from {RIVER})")
 def edge_weights(t: Tables):
     """Style weights relative to the longest edge, and the mean travel time with those of 1,000 hours or more as 0."""
@@ -362,10 +406,10 @@ def cluster_sizes(t: Tables):
     return per.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), F.max("n").alias("most"), F.floor(F.median("n")).alias("median"), r6(F.avg("n"), "mean"), (F.count("*") == 1).alias("degenerate"), F.greatest(F.lit(30), F.least(F.lit(80), F.floor(F.sum("n") / 60))).cast("long").alias("suggested"))
 
 
-@query("mean_pool", "select label, round(avg(embedding[1]::double), 6) as m1, round(avg(embedding[2]::double), 6) as m2, round(avg(embedding[64]::double), 6) as m64 from embeddings group by label")
+@query("mean_pool", "select label, list(m order by k) as pooled from (select label, k, round(avg(x), 6) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, len(embedding))) as k from embeddings) group by label, k) group by label")
 def mean_pool(t: Tables):
-    e = F.col("embedding")
-    return t.embeddings.groupBy("label").agg(*[r6(F.avg(e[k - 1].cast("double")), f"m{k}") for k in (1, 2, 64)])
+    """All components of each label's mean vector."""
+    return V.mean_pool(t.embeddings, "label", "embedding").select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
 CENTRES = "(select label, list(m order by k) as c from (select label, k, avg(x) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, 64)) as k from embeddings) group by label, k) group by label)"
@@ -375,15 +419,17 @@ CENTRES = "(select label, list(m order by k) as c from (select label, k, avg(x)
 select vec_id, arg_min(label, (d, label)) as label, round(min(d), 5) as distance from (
   select vec_id, c.label, sqrt(list_sum(list_transform(list_zip(embedding, c.c), lambda z: (z[1]::double - z[2]) ** 2))) as d from embeddings, {CENTRES} c) group by vec_id""")
 def nearest_centroid(t: Tables):
-    each = t.embeddings.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centres = each.groupBy(F.col("label").alias("label_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("centroid"))
+    centres = V.mean_pool(t.embeddings, "label", "embedding").select(F.col("label").alias("label_c"), F.col("pooled").alias("centroid"))
     return V.nearest(t.embeddings, "vec_id", "embedding", centres).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
 @query("kmeans")
 def kmeans(t: Tables):
-    """Seeded k-means on unit vectors, best of several starts: invariants are tested."""
-    return V.kmeans(t.embeddings, "vec_id", "embedding", 10, starts=3)
+    """Seeded k-means on unit vectors, the best of ten starts, with as many clusters as the rows call for: invariants are tested."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    return V.kmeans(t.embeddings, "vec_id", "embedding", V.n_clusters(t.embeddings.count()))
 
 
 # Arrays.
@@ -451,6 +497,51 @@ def dark_tiles(t: Tables):
     return I.dark_tiles(pixels(t), 2, 4, 100)
 
 
+GREY = f"(select img, y, x, round(avg(v))::int as v from {PIXELS} group by all)"
+
+
+def grey(t: Tables):
+    """One value a place."""
+    return pixels(t).groupBy("img", "y", "x").agg(F.round(F.avg("v")).cast("int").alias("v"))
+
+
+@query("image_contrast", f"""
+with g as {GREY}, h as (select img, v, count(*)::double as n from g group by all), s as (select img, min(v) as lo, max(v) as hi from g group by img),
+e as (select img, -sum(n / total * log2(n / total)) as entropy from (select *, sum(n) over (partition by img) as total from h) group by img)
+select img, round(entropy, 5) as entropy, round(least(100, case when lo + hi = 0 then 0 else ((hi - lo) / (hi + lo)::double * 50 + entropy / 8 * 50) * 100 end), 4) as contrast from s join e using (img)""")
+def image_contrast(t: Tables):
+    c = I.contrast(grey(t))
+    return c.select("img", F.round("entropy", 5).alias("entropy"), F.round("contrast", 4).alias("contrast"))
+
+
+@query("image_fade", f"""
+with g as {GREY}, h as (select img, v, count(*)::double as n from g group by all),
+c as (select img, v, sum(n) over w as w0, sum(n * v) over w as s0, sum(n) over (partition by img) as n, sum(n * v) over (partition by img) as s from h window w as (partition by img order by v)),
+o as (select img, arg_min(v, (-round(w0 * (n - w0) * (s0 / w0 - (s - s0) / (n - w0)) ** 2, 4), v)) as cut from c where w0 < n group by img),
+m as (select img, avg(v) filter (v < cut) as dark, avg(v) filter (v >= cut) as light from g left join o using (img) group by img)
+select img, round(case when dark is null or light is null then 100 else least(100, greatest(0, 100 - (light - dark) * 0.8)) end, 4) as fade from m""")
+def image_fade(t: Tables):
+    return I.ink_fade(grey(t)).select("img", F.round("fade", 4).alias("fade"))
+
+
+LAPLACE = f"""(select *, coalesce(lag(v) over r, lead(v) over r, v) + coalesce(lead(v) over r, lag(v) over r, v) + coalesce(lag(v) over c, lead(v) over c, v) + coalesce(lead(v) over c, lag(v) over c, v) - 4 * v as edge
+  from {GREY} window r as (partition by img, y order by x), c as (partition by img, x order by y))"""
+
+
+@query("image_blur", f"select img, round(var_pop(edge), 4) as edges, round(least(100, greatest(0, 100 - var_pop(edge) / 10.0)), 4) as blur from {LAPLACE} group by img")
+def image_blur(t: Tables):
+    return I.blur(grey(t)).select("img", F.round("edges", 4).alias("edges"), F.round("blur", 4).alias("blur"))
+
+
+@query("image_noise", f"""
+with g as {GREY}, box as (select img, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from g group by img),
+near as (select g.img, g.y, g.x, any_value(g.v) as v, quantile_disc(n.v, 0.5) as m from g join box using (img), (select unnest([-2, -1, 0, 1, 2]) as dy) a, (select unnest([-2, -1, 0, 1, 2]) as dx) b, g n
+  where n.img = g.img and n.y = least(y1, greatest(y0, g.y + dy)) and n.x = least(x1, greatest(x0, g.x + dx)) group by g.img, g.y, g.x)
+select img, round(avg(abs(v - m)), 5) as level, round(least(100, edges / 50.0 + avg(abs(v - m)) * 5), 4) as noise from near join (select img, var_pop(edge) as edges from {LAPLACE} group by img) using (img) group by img, edges""")
+def image_noise(t: Tables):
+    return I.noise(grey(t)).select("img", F.round("level", 5).alias("level"), F.round("noise", 4).alias("noise"))
+
+
 @query("image_scores", """
 select doc_id, round(0.25 * a + 0.30 * (100 - b) + 0.15 * a + 0.20 * b + 0.05 * a + 0.05 * b, 6) as difficulty, round(0.35 * a + 0.25 * b + 0.20 * a + 0.10 * b + 0.10 * a, 6) as condition
 from (select doc_id, n_chars % 100 as a, doc_id % 100 as b from documents)""")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.sources.shared import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table whose rows are dear to work on, on all cores even if it is one small file."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables under a name, with SQL for the same rows."""

@@ -56,19 +56,19 @@ ROUNDED = ", ".join(f"round({k}, 6) as {k}" for k in T.WEIGHTS)
 
 @query("word_freq", f"with {WORD_FREQ_CTE} select word, round(freq, 9) as freq, freq < m as rare from freqs, mid")
 def word_freq(t: Tables):
-    f = U.word_frequencies(U.document_words(t.documents))
+    f = U.word_frequencies(U.document_words(t.dealt("documents")))
     return f.select("word", F.round("freq", 9).alias("freq"), (F.col("freq") < F.col("median")).alias("rare"))
 
 
 @query("text_scores", f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, text_length, word_count, {ROUNDED}, round(difficulty_score, 5) as difficulty_score from scored")
 def text_scores(t: Tables):
-    s = U.scored(t.documents)
+    s = U.scored(t.dealt("documents"))
     return s.select("doc_id", "text_length", "word_count", *[r6(F.col(k), k) for k in T.WEIGHTS], F.round("difficulty_score", 5).alias("difficulty_score"))
 
 
 @query("text_difficulty_top10", f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, round(difficulty_score, 5) as difficulty_score from scored order by round(difficulty_score, 5) desc, doc_id limit 10")
 def text_difficulty_top10(t: Tables):
-    s = U.scored(t.documents).select("doc_id", F.round("difficulty_score", 5).alias("difficulty_score"))
+    s = U.scored(t.dealt("documents")).select("doc_id", F.round("difficulty_score", 5).alias("difficulty_score"))
     return s.orderBy(F.desc("difficulty_score"), "doc_id").limit(10)
 
 
@@ -83,7 +83,7 @@ select doc_id, round({found(f'[^{T.MARKLESS}]')} / greatest(length(t), 1)::doubl
 from (select doc_id, {A} as t from documents)""")
 def text_densities(t: Tables):
     x = T.whole("text")
-    return t.documents.select("doc_id", r6(T.density(x, f"[^{T.MARKLESS}]"), "special"), r6(T.density(x, DIGIT), "digit"), r6(T.uppercase_ratio(x), "upper"), r6(T.lexical_diversity(x), "lexical"), r6(T.avg_word_length(x), "word_length"), r6(T.char_diversity(x), "characters"))
+    return t.dealt("documents").select("doc_id", r6(T.density(x, f"[^{T.MARKLESS}]"), "special"), r6(T.density(x, DIGIT), "digit"), r6(T.uppercase_ratio(x), "upper"), r6(T.lexical_diversity(x), "lexical"), r6(T.avg_word_length(x), "word_length"), r6(T.char_diversity(x), "characters"))
 
 
 @query("proxy_difficulty", f"""
@@ -91,7 +91,7 @@ select doc_id, round(50 * d + 30 * u + 20 * l, 5) as difficulty, round(100 * u,
 from (select doc_id, {found(DIGIT)} / greatest(length(t), 1)::double as d, {ratio(found(CAPITAL), found(LETTER))} as u, {ratio(f"len(list_distinct({SPLIT.format('lower(t)')}))", N)} as l from (select doc_id, {A} as t from documents))""")
 def proxy_difficulty(t: Tables):
     x = T.whole("text")
-    p = t.documents.select("doc_id", T.density(x, DIGIT).alias("d"), T.uppercase_ratio(x).alias("u"), T.lexical_diversity(x).alias("l"))
+    p = t.dealt("documents").select("doc_id", T.density(x, DIGIT).alias("d"), T.uppercase_ratio(x).alias("u"), T.lexical_diversity(x).alias("l"))
     return p.select("doc_id", F.round(50 * F.col("d") + 30 * F.col("u") + 20 * F.col("l"), 5).alias("difficulty"), r6(100 * F.col("u"), "named"), r6(100 * F.col("d"), "number"))
 
 
@@ -109,7 +109,17 @@ def repetition_filter(t: Tables):
     from quern.plans.ship import ship
 
     ship(t.spark)
-    return t.documents.select("doc_id", D.without_repetitions("text").alias("text"))
+    return t.dealt("documents").select("doc_id", D.without_repetitions("text").alias("text"))
+
+
+@query("clean_chained")
+def clean_chained(t: Tables):
+    """The whole cleaner: what follows the last artifact, cut at its first excessive repetition, with white space squeezed. Checked against a restatement."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    said = F.concat(F.lit("<|assistant|> "), "role", F.lit(" said: "), T.whole("text"))
+    return t.dealt("conversations").select("conv_id", "turn", T.squeeze(D.without_repetitions(T.after_artifacts(said))).alias("cleaned"))
 
 
 @query("label_cleaning", f"""
@@ -144,7 +154,7 @@ def pairs(t: Tables):
 
     ship(t.spark)
     x = T.whole("text")
-    return t.conversations.select("conv_id", "turn", x.alias("ref"), F.regexp_replace(F.translate(x, "aeo", "xe"), "th", "t").alias("pred"))
+    return t.dealt("conversations").select("conv_id", "turn", x.alias("ref"), F.regexp_replace(F.translate(x, "aeo", "xe"), "th", "t").alias("pred"))
 
 
 def measured(t: Tables):
@@ -210,6 +220,13 @@ def fold_mean_std(t: Tables):
     return per.agg(r6(F.avg("cer"), "mean"), r6(F.stddev_pop("cer"), "std"), r6(F.min("cer"), "best"))
 
 
+@query("fold_ranks", f"select turn, cer, row_number() over (order by cer, turn) as place, rank() over (order by cer) as rank from (select turn, round(sum(edits) / greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED} group by turn)")
+def fold_ranks(t: Tables):
+    """Folds from the best to the worst; there are as many rows as folds."""
+    per = pairs(t).groupBy("turn").agg(r6(D.micro(D.char_distance("ref", "pred"), F.length("ref")), "cer"))
+    return per.select("turn", "cer", F.row_number().over(Window.orderBy("cer", "turn")).alias("place"), F.rank().over(Window.orderBy("cer")).alias("rank"))
+
+
 @query("empty_predictions", f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)")
 def empty_predictions(t: Tables):
     n = F.length(T.whole("text"))
@@ -311,22 +328,22 @@ def dup_report(t: Tables):
 
 @query("dup_group_id", f"select doc_id, coalesce(g, -1) as dup_group from {KEYED} left join (select key, (dense_rank() over (order by count(*) desc, key) - 1)::int as g from {KEYED} group by key having count(*) > 1) using (key)")
 def dup_group_id(t: Tables):
-    return U.group_ids(U.keyed(t.documents)).select("doc_id", "dup_group")
+    return U.group_ids(U.keyed(t.documents), "doc_id")
 
 
 @query("leak_check", f"select key, count(*) filter (doc_id % 5 <> 0) as n_train, count(*) filter (doc_id % 5 = 0) as n_val from {KEYED} group by key having n_train > 0 and n_val > 0")
 def leak_check(t: Tables):
     """Copies of each text on both sides of a split (every fifth id validates: the split is the feature)."""
-    val = F.col("doc_id") % 5 == 0
-    return U.keyed(t.documents).groupBy("key").agg(F.count_if(~val).alias("n_train"), F.count_if(val).alias("n_val")).where("n_train > 0 and n_val > 0")
+    return U.leaks(U.keyed(t.documents), "doc_id", F.col("doc_id") % 5 == 0)
 
 
 @query("group_representative", f"select key, arg_min(doc_id, doc_id) as doc_id, arg_min(source, doc_id) filter (source is not null) as source, arg_min(quality, doc_id) filter (quality is not null) as quality from {KEYED} left join labels using (doc_id) group by key")
 def group_representative(t: Tables):
     from quern.operators.splits import representatives
 
-    rows = U.keyed(t.documents).select("doc_id", "source", "key").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return representatives(rows, "key", "doc_id")
+    rows = U.keyed(t.documents).select("doc_id", "source", "digest").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    found = representatives(rows, "digest", "doc_id")
+    return U.with_keys(found.withColumn("first", F.col("doc_id")), U.keyed(t.documents), "doc_id").select("key", "doc_id", "source", "quality")
 
 
 # TF-IDF similarity: 1- to 3-grams of tokens of two or more word characters, the 500 commonest in two or more texts.
@@ -349,22 +366,35 @@ def _sims(t: Tables):
     return M.similarities(M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text"))))
 
 
-@query("near_dups", f"with {GRAMS} select i, j, round(sim, 6) as sim from sims where sim > 0.3")
+TURNS = GRAMS.replace("item_id as doc", "conv_id || ':' || turn as doc").replace("from benchmark", "from conversations")
+
+
+def _turns(t: Tables, above: float):
+    docs = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("doc"), T.whole("text").alias("text"))
+    return M.similar(M.tfidf(docs), above)
+
+
+@query("near_dups", f"with {TURNS} select i, j, round(sim, 6) as sim from sims where sim > 0.8")
 def near_dups(t: Tables):
-    return _sims(t).where("sim > 0.3").select("i", "j", r6(F.col("sim"), "sim"))
+    """Turns whose cosine is above 0.8."""
+    return _turns(t, 0.8).select("i", "j", r6(F.col("sim"), "sim"))
 
 
-@query("templates", f"with {GRAMS}, near as (select i, j from sims where sim > 0.1 union all select j, i from sims where sim > 0.1) select i as doc, count(*) as neighbours from near group by i having count(*) >= 5")
+@query("templates", f"with {TURNS}, near as (select i, j from sims where sim > 0.6 union all select j, i from sims where sim > 0.6) select i as doc, count(*) as neighbours from near group by i having count(*) >= 5")
 def templates(t: Tables):
-    return M.templates(_sims(t), 0.1, 5)
+    """Turns with five or more others above 0.6."""
+    return M.templates(_turns(t, 0.6), 0.6, 5)
+
+
+EVERY = "every as (select coalesce(sim, 0) as sim from (select a.doc as i, b.doc as j from toks a join toks b on a.doc < b.doc) left join sims using (i, j))"
+SHARES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
-@query("sim_percentiles", f"""with {GRAMS}, n as (select count(*) as n from toks), every as (select coalesce(sim, 0) as sim from (select a.doc as i, b.doc as j from toks a join toks b on a.doc < b.doc) left join sims using (i, j))
-select unnest([0.5, 0.9, 0.99]) as q, round(unnest(quantile_cont(sim, [0.5, 0.9, 0.99])), 6) as sim from every""")
+@query("sim_percentiles", f"with {GRAMS}, {EVERY} select unnest({SHARES}) as q, round(unnest(quantile_cont(sim, {SHARES})), 6) as sim from every")
 def sim_percentiles(t: Tables):
-    return M.percentiles(_sims(t), t.benchmark.count(), [0.5, 0.9, 0.99]).select("q", r6(F.col("sim"), "sim"))
+    return M.percentiles(_sims(t), t.benchmark.count(), SHARES).select("q", r6(F.col("sim"), "sim"))
 
 
-@query("sim_ranges", f"with {GRAMS} select case when sim < 0.1 then '0.0-0.1' when sim < 0.3 then '0.1-0.3' when sim < 0.6 then '0.3-0.6' else '0.6-1.0' end as bucket, count(*) as n from (select coalesce(sim, 0) as sim from (select a.doc as i, b.doc as j from toks a join toks b on a.doc < b.doc) left join sims using (i, j)) where sim < 1 group by 1")
+@query("sim_ranges", f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1")
 def sim_ranges(t: Tables):
     return M.ranges(_sims(t), t.benchmark.count())

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
+
 ID_ALIASES = ["ID", "new_id", "new id", "id", "trapp_id"]
 TEXT_ALIASES = ["Target", "text", "label"]
 #: What reads as missing in a CSV cell.
 MISSING = ["", "NA", "N/A", "NULL", "NaN", "None", "nan", "null"]
 
+#: Rows of a JSON object of a fold cache; a fold has some thousands.
+JSON_ENTRIES = 100_000
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header and a declared schema; the usual missing-value words read as null."""
@@ -24,15 +31,18 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """id, pred of a JSON object of texts."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "pred"))
+    """id, pred of JSON objects of texts, one a file or one a line."""
+    whole = spark.read.text(path, wholetext=True)
+    objects = whole.select(F.explode(F.split("value", r"(?<=\})\r?\n(?=\{)")).alias("value"))
+    return objects.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "pred"))
 
 
-def write_json_map(df: DataFrame, path: str, id_: str, text: str) -> None:
-    """One JSON object of id and stripped text (a fold cache); its size is one fold's predictions."""
-    entries = F.map_from_entries(F.collect_list(F.struct(id_, F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))))
-    df.agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_json_map(df: DataFrame, path: str, id_: str, text: str, entries: int = JSON_ENTRIES) -> None:
+    """Objects of id and stripped text (a fold cache): one if all rows fit into ``entries``, else files of about so many rows each."""
+    parts = -(-df.count() // entries) or 1
+    rows = df.select(F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"), F.struct(F.col(id_).cast("string"), strip(F.coalesce(text, F.lit("")))).alias("entry"))
+    objects = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("entry"))).alias("value"))
+    (objects.coalesce(1) if parts == 1 else objects.repartition(parts, "part")).select("value").write.mode("overwrite").text(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -67,8 +77,11 @@ def existing(df: DataFrame, name: str, files: DataFrame) -> DataFrame:
 
 
 def resolve_files(df: DataFrame, files: DataFrame, key: str, head: int) -> DataFrame:
-    """The file of each name: the exact one, else the first that starts with it. Names have at least ``head`` characters, which are the join key."""
-    listed = files.withColumn("_h", F.substring("file", 1, head))
+    """The file of each name: the exact one, else the first that starts with it.
+
+    They meet on their first ``head`` characters; a shorter name meets a file on its own length, of which there are less than ``head``.
+    """
+    listed = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length("file"))), lambda n: F.substring("file", F.lit(1), n))).alias("_h"))
     near = df.withColumn("_h", F.substring("name", 1, head)).join(listed, "_h", "left").where(F.col("file").isNull() | F.col("file").startswith(F.col("name")))
     found = near.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("file") == F.col("name"), F.col("file"))), F.min("file")).alias("file"))
     return df.select(key).join(found, key, "left")
@@ -85,6 +98,98 @@ def manifest(df: DataFrame, most: int) -> DataFrame:
     return df.where("target is not null").orderBy("id").limit(most).select(F.concat_ws("\t", F.concat("id", F.lit(".png")), "target").alias("value"))
 
 
+def label_files(df: DataFrame, folder: str, most: int | None = None) -> DataFrame:
+    """One text file a row (id, target), named by the id without its suffixes, at most ``most`` in order of id; returns path, id of those written.
+
+    Tasks write through pyarrow's file systems, each file under its own final name, so that a task run again writes the same.
+    """
+    rows = df.where("id is not null and target is not null and target <> ''")
+    rows = rows.orderBy("id").limit(most) if most else rows
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            paths = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                paths.append(f"{folder}/{name.split('.')[0]}.gt.txt")
+                with system.open_output_stream(f"{base}/{name.split('.')[0]}.gt.txt") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), batch.column(0)], ["path", "id"])
+
+    return rows.select(F.col("id").cast("string"), "target").mapInArrow(written, "path string, id string")
+
+
+def read_label_files(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, target of the label files of a folder."""
+    whole = spark.read.option("pathGlobFilter", "*.gt.txt").text(folder, wholetext=True)
+    return whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.gt\.txt$", 1).alias("stem"), F.col("value").alias("target"))
+
+
+def nonempty(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error that names it if it has no row."""
+    if df.isEmpty():
+        raise RuntimeError(f"{what} is empty")
+    return df
+
+
+def parse_yaml(text: str) -> dict:
+    """Nested maps and lists of scalars by indentation: what configurations are made of. With PyYAML installed, any YAML."""
+    try:
+        import yaml
+    except ImportError:
+        return _parsed([(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")])
+    return yaml.safe_load(text)
+
+
+def _parsed(lines: list[tuple[int, str]]):
+    if lines and lines[0][1].startswith("- "):
+        return [_scalar(x[2:]) for _, x in lines]
+    out: dict = {}
+    i = 0
+    while i < len(lines):
+        depth, line = lines[i]
+        name, _, value = line.partition(":")
+        end = i + 1
+        while end < len(lines) and (lines[end][0] > depth or (lines[end][0] == depth and lines[end][1].startswith("- "))):
+            end += 1
+        out[name.strip()] = _parsed(lines[i + 1 : end]) if end > i + 1 else _scalar(value)
+        i = end
+    return out
+
+
+def _scalar(text: str):
+    import json
+
+    text = re.sub(r"\s+#.*$", "", text).strip()
+    if text[:1] in "\"'" and text[:1] == text[-1:] and len(text) > 1:
+        return text[1:-1]
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    words = {"": None, "null": None, "~": None, "true": True, "false": False}
+    if text.lower() in words:
+        return words[text.lower()]
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return text
+
+
+def configuration(spark: SparkSession, path: str, folder: str) -> dict:
+    """The configuration at ``path`` (YAML or JSON), else that of the newest summary under ``folder``."""
+    import json
+
+    if exists(spark, path):
+        text = spark.read.text(path, wholetext=True).first()[0]
+        return json.loads(text) if path.endswith(".json") else parse_yaml(text)
+    return latest_summary(spark, folder)
+
+
 def latest_summary(spark: SparkSession, folder: str) -> dict:
     """The configuration of the newest summary file, at its top level or under ``config``."""
     import json

@@ -1,26 +1,46 @@
-"""Daily roll-up of timed observations, in batch and as a stream."""
+"""Roll-ups of timed observations by day or month, in batch and as a stream that goes on where it stopped."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import fresh
+
+
+def rollup(events: DataFrame, period: str = "day") -> DataFrame:
+    """event_type, period (its start), mean, min, max, n; period is ``day`` or ``month``."""
+    by = F.window("ts", "1 day")["start"] if period == "day" else F.date_trunc(period, "ts")
+    per = events.groupBy("event_type", by.alias(period)).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+    return per.select("event_type", period, "mean", "min", "max", "n")
+
+
+def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The files of a table, or of a folder of that name, as a stream; time stamps are time stamps with a zone, as watermarks want."""
+    static = spark.read.parquet(f"{folder}/{table}.parquet")
+    files = static.inputFiles()
+    source, glob = (files[0].rsplit("/", 1)[0], "*.parquet") if len(files) > 1 or not files[0].endswith(f"/{table}.parquet") else (folder, f"{table}.parquet")
+    rows = spark.readStream.schema(static.schema).option("pathGlobFilter", glob).parquet(source)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streamed(spark: SparkSession, folder: str, table: str, period: str = "day", late: str = "1 hour", to: str | None = None) -> DataFrame:
+    """The roll-up of all files there now, as one run of a stream that a scheduler repeats.
 
-def rollup(events: DataFrame) -> DataFrame:
-    """event_type, day, mean, min, max, n."""
-    per = events.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
-    return per.select("event_type", F.col("w.start").alias("day"), "mean", "min", "max", "n")
+    State and offsets are kept under ``to`` in the shared folder: another run with the same ``to`` reads only files that came since, and adds to
+    the state. Each batch writes the rows that it changed; the latest of each is the result.
+    """
+    to = to or fresh(spark, "rollup")
+    kept = f"{to}/rows"
+    keys = ["event_type", period]
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
 
-def streamed(spark: SparkSession, folder: str, table: str, late: str = "1 hour") -> DataFrame:
-    """The roll-up of all files there now, as one run of a stream that a scheduler would repeat; later files add to its state."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    whole = spark.read.parquet(f"{folder}/{table}.parquet").inputFiles()
-    source = whole[0].rsplit("/", 1)[0] if len(whole) > 1 else folder
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if len(whole) > 1 else f"{table}.parquet").parquet(source)
-    name = f"rollup_{uuid.uuid4().hex}"
-    run = rollup(rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    changed = rollup(stream(spark, folder, table).withWatermark("ts", late), period)
+    run = changed.writeStream.outputMode("update").option("checkpointLocation", f"{to}/state").foreachBatch(put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).withColumn("day", F.col("day").cast(spark.read.schema(schema).parquet(f"{folder}/{table}.parquet").schema["ts"].dataType))
+    kind = spark.read.parquet(f"{folder}/{table}.parquet").schema["ts"].dataType
+    rows = spark.read.parquet(kept)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct("mean", "min", "max", "n"), "batch").alias("last"))
+    return latest.select("event_type", F.col(period).cast(kind).alias(period), "last.*")
