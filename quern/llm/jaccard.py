@@ -11,7 +11,8 @@ position filters are verified on whole sets, and links merged into components. T
 are not yet in one component are expanded to their classes and verified. Pairs inside a component need no
 check: they could not change it. Before whole sets are read, whole prefixes of a pair bound its overlap. Frequent shingles are
 salted by their sketch count in the first round. In the second, groups under a shingle of more than ``SMALL`` are compared block by
-block, bounded by signatures (counts of a set's shingles in ``SIGNATURE`` buckets), and only pairs that pass leave the task.
+block, bounded by signatures (counts of a set's shingles in ``SIGNATURE`` buckets), and only pairs that pass leave the task. Blocks are cut inside
+steps of size, each the threshold's ratio above the one before, and only those of one step or of neighbouring steps meet.
 
 Defined cases: null and empty texts have no shingles, stand alone and have their own id as component; texts of fewer words than a
 shingle are one shingle; rows that repeat an id are separate rows of that id; a null id is never linked and gets a null
@@ -161,7 +162,7 @@ def _blocks(percent: int):
     """Pairs of two blocks of the groups under one shingle, under the size, position and signature bounds."""
 
     def paired(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        i, j = key[-2:]
         a, b = rows[rows["block"] == i], rows[rows["block"] == j]
         cols = {k: (a[k].to_numpy(), b[k].to_numpy()) for k in ("g", "n", "at", "lo", "hi", "classes")}
         marks = [np.stack([np.frombuffer(m, "<u2") if m is not None else np.full(SIGNATURE, 65535, np.uint16) for m in x["signature"]]) if len(x) else np.empty((0, SIGNATURE), np.uint16) for x in (a, b)]
@@ -190,11 +191,23 @@ def _crossing(entries: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
     ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("g") < F.col("g2")))
     few = entries.where(F.col("members") <= SMALL).join(other, "token").where(ordered & apart & _fits(percent)).select("g", "g2")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    many = entries.where(F.col("members") > SMALL).join(signatures, "g", "left").withColumn("block", F.pmod(F.xxhash64("g"), blocks).cast("int"))
-    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    many = many.select("token", "i", "j", "block", "g", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "lo", "hi", "classes", "signature")
-    return few.union(many.groupBy("token", "i", "j").applyInPandas(_blocks(percent), "g long, g2 long"))
+    # two sizes within the ratio are in one step or in neighbouring ones
+    many = entries.where(F.col("members") > SMALL).withColumn("step", F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n"))
+    per = many.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    above = per.select("token", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
+    below = per.select("token", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
+    many = many.join(per, ["token", "step"]).join(above, ["token", "step"], "left").join(below, ["token", "step"], "left").join(signatures, "g", "left")
+    many = many.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    none = F.array().cast("array<struct<step:int,i:int,j:int,across:boolean>>")
+    met = lambda step, i, j, across: F.struct(step.cast("int").alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(across).alias("across"))
+    listed = lambda count, to: F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), count - 1), to)).otherwise(none)
+    own = listed(F.col("blocks"), lambda k: met(F.col("step"), F.least("block", k), F.greatest("block", k), False))
+    up = listed(F.col("blocks_above"), lambda k: met(F.col("step"), F.col("block"), k, True))
+    down = listed(F.col("blocks_below"), lambda k: met(F.col("step") - 1, k, F.col("block"), True))
+    many = many.withColumn("home", F.col("step")).withColumn("met", F.explode(F.concat(own, up, down)))
+    side = F.when(F.col("met.across"), F.col("home") - F.col("met.step")).otherwise(F.col("block"))  # which of the two blocks a row is of
+    many = many.select("token", F.col("met.step").alias("step"), F.col("met.across").alias("across"), F.when(F.col("met.across"), 0).otherwise(F.col("met.i")).alias("i"), F.when(F.col("met.across"), 1).otherwise(F.col("met.j")).alias("j"), F.col("met.i").alias("bi"), F.col("met.j").alias("bj"), side.alias("block"), "g", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "lo", "hi", "classes", "signature")
+    return few.union(many.groupBy("token", "step", "across", "bi", "bj", "i", "j").applyInPandas(_blocks(percent), "g long, g2 long"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
