@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _places(a: Column, part: Column) -> Column:
@@ -32,7 +37,33 @@ def schedule(n: Column, batch: int, accumulate: int, epochs: int, warm: float) -
     return [per.cast("long").alias("per_epoch"), (per * epochs).cast("long").alias("total"), F.greatest(F.lit(1), F.floor(per * epochs * warm)).cast("long").alias("warmup")]
 
 
-def ocr_text(result: Column) -> Column:
-    """The text of a recognition result: an object's rec_text or text, else the first string of nested lists."""
-    parsed = F.coalesce(*[F.get_json_object(result, p) for p in ("$.rec_text", "$.text")])
-    return F.coalesce(parsed, F.regexp_extract(result, r'"((?:[^"\\]|\\.)*)"', 1))
+def recognised(node) -> str | None:
+    """The text of a parsed recognition result.
+
+    An object says it itself. In nested lists it is the string that heads the second member or the last; failing that, it is looked for in the first.
+    """
+    if isinstance(node, dict):
+        return next((node[k] for k in ("rec_text", "text") if isinstance(node.get(k), str)), None)
+    while isinstance(node, list) and node:
+        heads = [part[0] for part in (node[1], node[-1]) if isinstance(part, list) and part] if len(node) > 1 else []
+        said = [h for h in heads if isinstance(h, str)]
+        if said:
+            return said[0]
+        if len(node) > 1 and not isinstance(node[0], list):
+            return None
+        node = node[0]
+    return None
+
+
+@F.pandas_udf(StringType())
+def ocr_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The text of recognition results as JSON of any depth; what holds none, or is no JSON, gives an empty text."""
+    for rows in parts:
+        yield pd.Series([_text(x) for x in rows], dtype=object)
+
+
+def _text(raw: str | None) -> str:
+    try:
+        return recognised(json.loads(raw or "null")) or ""
+    except (ValueError, RecursionError):
+        return ""

@@ -163,12 +163,18 @@ def chrono_split(t: Tables):
     return X.chronological(t.events.select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "split")
 
 
-@query("synthetic_panel")
+@query("synthetic_panel", """
+with grid as (select (i // 2000)::int as s, i % 2000 as t, i from (select unnest(generate_series(0, 53999)) as i)),
+u as (select *, list_transform([1, 2, 3, 4, 5], lambda k: (('0x' || substr(md5(i || '|42|' || k), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) as u from grid),
+w as (select *, -ln(u[1]) * 3 as rain, sqrt(-2 * ln(u[2])) * cos(2 * pi() * u[3]) as n1, sqrt(-2 * ln(u[4])) * cos(2 * pi() * u[5]) as n2, sin(2 * pi() * t / 365.25) as wave from u),
+f as (select *, greatest(0.1, 5 + s * 0.5 + 3 * wave + 0.4 * rain + 0.3 * n1) as flow from w)
+select s as station_id, (date '2020-01-01' + t::int)::varchar as day, round(flow, 6) as q, round(0.3 + 0.08 * flow ** 0.6, 6) as h, round(rain, 6) as rain, round(12 - 8 * wave + n2, 6) as temperature from f""")
 def synthetic_panel(t: Tables):
-    """27 stations by 2,000 days: seasonal flow, exponential rain, noise; a random source with a seed."""
+    """27 stations by 2,000 days: seasonal flow, exponential rain, noise; the draws follow from the row and a seed."""
     from quern.sources.generate import river_panel
 
-    return river_panel(t.spark)
+    p = river_panel(t.spark)
+    return p.select("station_id", F.col("date").cast("string").alias("day"), r6(F.col("Q"), "q"), r6(F.col("H"), "h"), r6(F.col("PRELIQ_Q"), "rain"), r6(F.col("T_Q"), "temperature"))
 
 
 # Graph nodes out of embeddings: position, elevation, karst share, area, slope.
@@ -469,10 +475,16 @@ def best_of_history(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.array_min(F.filter(F.transform(h, lambda x: x["v"]), lambda v: v.isNotNull())).alias("best"))
 
 
-@query("ocr_unpack")
+@query("ocr_unpack", "select item_id, case when item_id % 4 = 3 then '' else coalesce(text, '') end as text from benchmark")
 def ocr_unpack(t: Tables):
-    """Texts out of nested recognition results of several shapes."""
-    nested = F.concat(F.lit('[[[0,0],["'), F.regexp_replace(T.whole("text"), r'["\\\x00-\x1f]', " "), F.lit('",0.9]]]'))
+    """Texts out of nested recognition results: a line, several lines, an object, nothing."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
+    said = F.regexp_extract(F.to_json(F.struct(T.whole("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    line = F.concat(F.lit("[[[0,0],[9,9]],["), said, F.lit(",0.9]]"))
+    shapes = [F.concat(F.lit("["), line, F.lit("]")), F.concat(F.lit("[["), line, F.lit(',[[[0,9],[9,18]],["another line",0.8]]]]')), F.concat(F.lit('{"rec_score":0.7,"rec_text":'), said, F.lit("}")), F.lit("[]")]
+    nested = F.element_at(F.array(*shapes), (F.col("item_id") % 4 + 1).cast("int"))
     return t.benchmark.select("item_id", R.ocr_text(nested).alias("text"))
 
 

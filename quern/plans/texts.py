@@ -95,26 +95,48 @@ def proxy_difficulty(t: Tables):
     return p.select("doc_id", F.round(50 * F.col("d") + 30 * F.col("u") + 20 * F.col("l"), 5).alias("difficulty"), r6(100 * F.col("u"), "named"), r6(100 * F.col("d"), "number"))
 
 
-@query("clean_output", f"""
+CLEANED = f"""
 select conv_id, turn, trim(regexp_replace(d, '[{T.SPACE}]+', ' ', 'g')) as cleaned from (select conv_id, turn, string_split(c, 'Assistant:')[-1] as d from (select conv_id, turn, string_split(b, 'assistant')[-1] as c from (
-  select conv_id, turn, string_split(a, '<|user|>')[-1] as b from (select conv_id, turn, string_split('<|assistant|> ' || role || ' said: ' || {A}, '<|assistant|>')[-1] as a from conversations))))""")
+  select conv_id, turn, string_split(a, '<|user|>')[-1] as b from (select conv_id, turn, string_split('<|assistant|> ' || role || ' said: ' || {A}, '<|assistant|>')[-1] as a from conversations))))"""
+
+
+@query("clean_output", CLEANED)
 def clean_output(t: Tables):
     said = F.concat(F.lit("<|assistant|> "), "role", F.lit(" said: "), T.whole("text"))
     return t.conversations.select("conv_id", "turn", T.squeeze(T.after_artifacts(said)).alias("cleaned"))
 
 
-@query("repetition_filter")
+# The first place where a token is followed by enough repeats of itself, else a phrase of two, else of three: enough places in a row hold the
+# token that stands so many further on.
+def uncut(rows: str, key: str) -> str:
+    """``rows`` of key and t, with t up to its first excessive repetition."""
+    same = lambda k: f"coalesce(w = lead(w, {k}) over p, false)::int as s{k}"
+    full = lambda k, most: f"sum(s{k}) over (partition by row order by i rows between current row and {k * most - 1} following) = {k * most}"
+    marks = ", ".join(f"'{m}'" for m in D.LOOSE)
+    return f"""(
+  with texts as materialized (select *, row_number() over () as row, {SPLIT.format("coalesce(t, '')")} as ws from {rows}),
+  tokens as (select row, unnest(ws) as w, unnest(generate_series(1, len(ws))) as i from texts where length(t) >= 10 and len(ws) >= 5),
+  ahead as (select *, {same(1)}, {same(2)}, {same(3)} from tokens window p as (partition by row order by i)),
+  found as (select row, i, case when w in ({marks}) then {full(1, D.LOOSE_MOST)} else {full(1, 5)} end as one, {full(2, 5)} as two, {full(3, 5)} as three from ahead),
+  cuts as (select row, coalesce(min(i) filter (one), min(i) filter (two), min(i) filter (three)) as cut from found group by row)
+  select {key}, case when cut is null then t else array_to_string(ws[1:cut - 1], ' ') end as t from texts left join cuts using (row))"""
+
+
+@query("repetition_filter", f"select doc_id, t as text from {uncut('(select doc_id, text as t from documents)', 'doc_id')}")
 def repetition_filter(t: Tables):
-    """Whole texts cut at their first excessive repetition; sequential, so checked against a restatement in tests."""
+    """Whole texts cut at their first excessive repetition."""
     from quern.plans.ship import ship
 
     ship(t.spark)
     return t.dealt("documents").select("doc_id", D.without_repetitions("text").alias("text"))
 
 
-@query("clean_chained")
+CUT_OUT = CLEANED.replace(f"trim(regexp_replace(d, '[{T.SPACE}]+', ' ', 'g')) as cleaned", "d as t")
+
+
+@query("clean_chained", f"select conv_id, turn, trim(regexp_replace(t, '[{T.SPACE}]+', ' ', 'g')) as cleaned from {uncut(f'({CUT_OUT})', 'conv_id, turn')}")
 def clean_chained(t: Tables):
-    """The whole cleaner: what follows the last artifact, cut at its first excessive repetition, with white space squeezed. Checked against a restatement."""
+    """The whole cleaner: what follows the last artifact, cut at its first excessive repetition, with white space squeezed."""
     from quern.plans.ship import ship
 
     ship(t.spark)

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.physics import seasonal
 
 
+def uniform(id_: Column, seed: int, stream: int) -> Column:
+    """A number in (0, 1) out of a row's id: the same however rows are partitioned."""
+    digest = F.md5(F.concat_ws("|", id_.cast("string"), F.lit(str(seed)), F.lit(str(stream))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def normal(id_: Column, seed: int, stream: int) -> Column:
+    return F.sqrt(-2 * F.ln(uniform(id_, seed, stream))) * F.cos(2 * math.pi * uniform(id_, seed, stream + 1))
+
+
 def river_panel(spark: SparkSession, stations: int = 27, days: int = 2000, seed: int = 42) -> DataFrame:
     """station_id, date, and seasonal flow, rain, temperature and level."""
-    rows = spark.range(stations * days).select((F.col("id") / days).cast("int").alias("station_id"), (F.col("id") % days).alias("t"))
-    rain = -F.log(1 - F.rand(seed)) * 3
-    flow = F.greatest(F.lit(0.1), 5 + F.col("station_id") * 0.5 + 3 * seasonal(F.col("t")) + 0.4 * F.col("rain") + 0.3 * F.randn(seed + 1))
-    out = rows.withColumn("rain", rain).withColumn("flow", flow)
-    return out.select("station_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")).alias("date"), F.col("flow").alias("Q"), (0.3 + 0.08 * F.pow("flow", F.lit(0.6))).alias("H"), F.col("rain").alias("PRELIQ_Q"), (12 - 8 * seasonal(F.col("t")) + F.randn(seed + 2)).alias("T_Q"))
+    id_ = F.col("id")
+    rows = spark.range(stations * days).select("id", (id_ / days).cast("int").alias("station_id"), (id_ % days).alias("t"))
+    rows = rows.withColumn("rain", -F.ln(uniform(id_, seed, 1)) * 3).withColumn("n1", normal(id_, seed, 2)).withColumn("n2", normal(id_, seed, 4))
+    flow = F.greatest(F.lit(0.1), 5 + F.col("station_id") * 0.5 + 3 * seasonal(F.col("t")) + 0.4 * F.col("rain") + 0.3 * F.col("n1"))
+    out = rows.withColumn("flow", flow)
+    return out.select("station_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")).alias("date"), F.col("flow").alias("Q"), (0.3 + 0.08 * F.pow("flow", F.lit(0.6))).alias("H"), F.col("rain").alias("PRELIQ_Q"), (12 - 8 * seasonal(F.col("t")) + F.col("n2")).alias("T_Q"))

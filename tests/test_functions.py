@@ -15,9 +15,11 @@ from quern.operators import series as Z
 from quern.operators import splits as X
 from quern.operators import stats as S
 from quern.operators.quantiles import quantiles
+from quern.plans.ship import ship
 
 
 def column(spark, values, build, kind="string"):
+    ship(spark)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
     return [r.x for r in df.select("i", build(F.col("v")).alias("x")).orderBy("i").collect()]
 
