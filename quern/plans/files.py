@@ -124,3 +124,20 @@ def fixed_decimals(t: Tables):
     per = t.documents.groupBy("source").agg(F.avg("n_chars").alias("m"), F.count("*").alias("n"))
     total = t.documents.agg(F.count("*").alias("all"))
     return per.crossJoin(F.broadcast(total)).select("source", F.format_string("%.4f", "m").alias("mean"), F.format_string("%.2f%%", 100 * F.col("n") / F.col("all").cast("double")).alias("share"))
+
+
+@query("decoded_images", """
+select vec_id as img, (k - 1) // 8 as y, (k - 1) % 8 as x, greatest(0, least(255, floor(128 + 400 * e)))::int as v
+from (select vec_id, unnest(embedding)::double as e, unnest(generate_series(1, len(embedding))) as k from embeddings)""")
+def decoded_images(t: Tables):
+    """Vectors of 64 components as image files of 8 by 8 grey pixels, listed, decoded and laid out as pixels."""
+    from quern.sources import images as J
+
+    ship(t.spark)
+    path = fresh(t.spark, "images")
+    value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * e.cast("double")))).cast("long")
+    hexed = F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(value(e)), 2, "0")), "")
+    made = t.embeddings.select(F.col("vec_id").cast("string").alias("name"), F.lit(8).alias("width"), (F.size("embedding") / 8).cast("int").alias("height"), F.unhex(hexed).alias("grey"))
+    J.write_images(made, path).count()
+    back = J.read_images(t.spark, path).withColumn("img", F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long"))
+    return J.pixels(back, "img")

@@ -125,3 +125,44 @@ def test_measures_of_a_small_image(spark):
     assert I.contrast(df).first().entropy == pytest.approx(-(n / 12 * np.log2(n / 12)).sum())
     assert I.ink_fade(df.where("x = 0 and y = 0")).first().fade == 100.0
     assert df.where(F.col("v") > 255).isEmpty()
+
+
+def test_images(spark, tmp_path):
+    """Every filter and colour type, and files that are none."""
+    import struct
+    import zlib
+
+    from quern.sources import images as J
+
+    rng = np.random.default_rng(5)
+
+    def png(rows, colour, channels, extra=b""):
+        height, width = rows.shape[0], rows.shape[1] // channels
+        out, above = [], np.zeros(rows.shape[1] + channels, np.int64)
+        for y, row in enumerate(rows.astype(np.int64)):
+            kind, now = y % 5, np.concatenate([np.zeros(channels, np.int64), row])
+            a, b, c = now[:-channels], above[channels:], above[:-channels]
+            p = a + b - c
+            near = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+            out.append(bytes([kind]) + ((row - [0 * a, a, b, (a + b) // 2, near][kind]) & 255).astype(np.uint8).tobytes())
+            above = now
+        chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
+        return J.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(b"".join(out))) + chunk(b"IEND", b"")
+
+    for colour, channels in J.CHANNELS.items():
+        if colour == 3:
+            continue
+        raw = rng.integers(0, 256, (11, 7, channels))
+        want = raw[..., 0] if channels < 3 else np.rint(raw[..., :3] @ [0.299, 0.587, 0.114])
+        assert (J.decode(png(raw.reshape(11, -1), colour, channels)) == want).all(), colour
+    grey = rng.integers(0, 256, (5, 6)).astype(np.uint8)
+    assert (J.decode(J.encode(grey)) == grey).all()
+    assert (J.decode(b"P5\n# made\n6 5\n255\n" + grey.tobytes()) == grey).all()
+    ship(spark)
+    (tmp_path / "a.png").write_bytes(J.encode(grey))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (tmp_path / "c.pgm").write_bytes(b"P5 6 5 255\n" + grey.tobytes())
+    got = {r.path[-5:]: r for r in J.read_images(spark, str(tmp_path)).collect()}
+    assert got["a.png"].grey == got["c.pgm"].grey == grey.tobytes() and got["b.png"].error and got["b.png"].grey is None
+    back = J.pixels(J.read_images(spark, str(tmp_path), "a.png"), "path").collect()
+    assert {(r.y, r.x): r.v for r in back} == {(y, x): int(v) for (y, x), v in np.ndenumerate(grey)}
