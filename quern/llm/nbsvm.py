@@ -3,8 +3,9 @@
 Indicators are hashed word unigrams and bigrams, unigrams and bigrams of word shapes, and whether a
 word repeats the one before it. Each is scaled by its log-count ratio between the classes; a linear hinge-loss model is
 then fitted to the scaled, length-normalised indicators by dual coordinate descent, and its weights are drawn towards their
-mean magnitude. ``train_rows`` bounds the labelled sample that is fitted (ids chosen by hash). A fifth of it is kept
-back to place the cut and the slope of the score.
+mean magnitude. The labelled sample that is fitted is bounded by ``train_rows`` documents and by ``train_features`` indicators in all; which ones
+is decided by a hash of their ids, so a bound met means fewer documents and never parts of them. A fifth of the sample is kept back to place
+the cut and the slope of the score.
 
 Defined cases: null and empty texts have no indicators and score by the bias alone; repeated rows score alike; with no
 labelled rows, or one class only, every score follows from the bias; other columns are ignored.
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
+from .staging import Stages
 from .text import BLOCK, Words, chunks, mix, powers, utf8, word_bytes, words
 
 BITS = 20
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, TRAIN_FEATURES = 20_000, 60_000_000
 EPOCHS = 12
 COST = 1.0
 SMOOTH = 1.0
@@ -158,13 +160,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(at):
             doc, bucket = indicators(data, at[lo : hi + 1])
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label")[lo:hi], pa.ListArray.from_arrays(ends.astype(np.int32), bucket.astype(np.int32))], ["label", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo:hi], batch.column("label")[lo:hi], pa.ListArray.from_arrays(ends.astype(np.int32), bucket.astype(np.int32))], ["doc_id", "label", "buckets"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most about ``train_rows`` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> Model:
+    """Fits on at most about ``train_rows`` labelled documents that are not held out, of at most about ``train_features`` indicators."""
+    stages = Stages(docs.sparkSession, "quality")
     some = L.sample(labels, label, ~held_out, train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label").mapInArrow(_featured, "label int, buckets array<int>").toArrow()
+    made = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").mapInArrow(_featured, "doc_id long, label int, buckets array<int>")
+    made = stages.put(made, "features")
+    held = made.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    part = F.pmod(F.xxhash64(F.lit("features"), "doc_id"), F.lit(1 << 20))
+    rows = made.where(part < int(min(1.0, train_features / max(held, 1)) * (1 << 20))).select("label", "buckets").toArrow()
+    stages.drop(made)
     label_of = rows["label"].to_numpy().astype(np.int64)
     flat = rows["buckets"].combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) and flat.num_chunks else flat

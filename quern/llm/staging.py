@@ -1,13 +1,11 @@
 """Shared-folder staging and size-checked broadcasts.
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir`` names, which every
-executor can read again after a loss. A folder of our own is set only where that setting is absent
-and the session is a plain local one, as in tests.
+executor can read again after a loss.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,25 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from quern.plans.ship import ship
+from quern.sources.shared import shared_dir, spread  # noqa: F401
 
 #: Most bytes that a side may have to be broadcast, and of an Arrow batch, each where the user has set none.
 BROADCAST_BYTES = 64 << 20
 ARROW_BYTES, ARROW_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; raises on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="quern-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
 _open: list[list[Stages]] = []
 
 
@@ -125,12 +111,6 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A plain scan dealt out to all cores if its files make fewer tasks than there are; a scan of more tasks is left as it is."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
-
-
 def filtered(docs: DataFrame, keep: Callable) -> DataFrame:
     """``docs`` through a function of Arrow batches that drops rows; columns pass by place, so that any name will do."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
