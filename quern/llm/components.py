@@ -21,14 +21,19 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least, "u").where("v != m").select(
+            F.col("v").alias("u"),
+            F.col("m").alias("v"),
+        ).union(least.select("u", F.col("m").alias("v"))).distinct()
         after = stages.put(small, "star")
         stages.drop(now)
         now, last = after, seen
         seen = _sum(now)
         if seen == last:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
 
 
 def _sum(edges: DataFrame) -> tuple:

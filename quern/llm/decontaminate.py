@@ -40,7 +40,12 @@ PAIRS = 1 << 21
 ALNUM = word_bytes("alnum")
 RANGES = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 FOUND = ArrayType(StructType([StructField("item", StringType()), *[StructField(c, IntegerType()) for c in ("item_start", "doc_start", "length")]]))
-RESULT = [StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("covered", RANGES), StructField("found", FOUND)]
+RESULT = [
+    StructField("n_words", LongType()),
+    StructField("items", ArrayType(StringType())),
+    StructField("covered", RANGES),
+    StructField("found", FOUND),
+]
 
 
 class Tests(NamedTuple):
@@ -266,7 +271,14 @@ def _searched(t, window: int):
                 ints = [pa.array(x.astype(np.int32)) for x in m.found[2:]]
                 found = _structs(("item", "item_start", "doc_start", "length"), [ids.take(pa.array(m.found[1])), *ints])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(m.n_words), _lists(m.pairs[0], ids.take(pa.array(m.pairs[1])), hi - lo), _lists(m.covered[0], covered, hi - lo), _lists(m.found[0], found, hi - lo)],
+                    [
+                        batch.column(0)[lo:hi],
+                        batch.column(1)[lo:hi],
+                        pa.array(m.n_words),
+                        _lists(m.pairs[0], ids.take(pa.array(m.pairs[1])), hi - lo),
+                        _lists(m.covered[0], covered, hi - lo),
+                        _lists(m.found[0], found, hi - lo),
+                    ],
                     ["doc", "text", "n_words", "items", "covered", "found"],
                 )
 
@@ -315,7 +327,15 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: Sequen
     """``doc`` (the columns of ``keep``), n_words, n_hit, n_items, items_sha256, contaminated, longest, found for every row."""
     long = lambda x: F.lit(x).cast("long")
     zero = F.struct(long(0).alias("n"), long(0).alias("to"))
-    hit = F.aggregate(F.array_sort("covered"), zero, lambda a, x: F.struct((a["n"] + F.greatest(long(0), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")), lambda a: a["n"])
+    hit = F.aggregate(
+        F.array_sort("covered"),
+        zero,
+        lambda a, x: F.struct(
+            (a["n"] + F.greatest(long(0), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"),
+            F.greatest(a["to"], x["end"]).alias("to"),
+        ),
+        lambda a: a["n"],
+    )
     names = F.array_sort(F.array_distinct("items"))
     return annotate(docs, items, window, keep).select(
         "doc",

@@ -138,11 +138,22 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 marks = np.bincount(doc * SIGNATURE + slot, minlength=(hi - lo) * SIGNATURE).astype("<u2").reshape(hi - lo, SIGNATURE)
                 signature = pa.array([m.tobytes() if k <= COUNTED else None for m, k in zip(marks, n, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(ends, pa.array(keys[chosen])), pa.ListArray.from_arrays(ends, pa.array(salts)), signature],
+                    [
+                        batch.column("doc_id").cast(pa.int64())[lo:hi],
+                        pa.array(n.astype(np.int32)),
+                        pa.array(d1),
+                        pa.array(d2),
+                        pa.ListArray.from_arrays(ends, pa.array(keys[chosen])),
+                        pa.ListArray.from_arrays(ends, pa.array(salts)),
+                        signature,
+                    ],
                     ["doc_id", "n", "d1", "d2", "prefix", "salts", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n int, d1 long, d2 long, prefix array<long>, salts array<int>, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        made,
+        "doc_id long, n int, d1 long, d2 long, prefix array<long>, salts array<int>, signature binary",
+    )
 
 
 def _fits(percent: int) -> Column:
@@ -165,7 +176,11 @@ def _blocks(percent: int):
         i, j = key[-2:]
         a, b = rows[rows["block"] == i], rows[rows["block"] == j]
         cols = {k: (a[k].to_numpy(), b[k].to_numpy()) for k in ("g", "n", "at", "lo", "hi", "classes")}
-        marks = [np.stack([np.frombuffer(m, "<u2") if m is not None else np.full(SIGNATURE, 65535, np.uint16) for m in x["signature"]]) if len(x) else np.empty((0, SIGNATURE), np.uint16) for x in (a, b)]
+        marks = [
+            np.stack(
+                [np.frombuffer(m, "<u2") if m is not None else np.full(SIGNATURE, 65535, np.uint16) for m in x["signature"]]
+            ) if len(x) else np.empty((0, SIGNATURE), np.uint16) for x in (a, b)
+        ]
         exact = [np.array([m is not None for m in x["signature"]], bool) for x in (a, b)]
         out = []
         for r in range(len(a)):
@@ -192,21 +207,45 @@ def _crossing(entries: DataFrame, signatures: DataFrame, percent: int) -> DataFr
     ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("g") < F.col("g2")))
     few = entries.where(F.col("members") <= SMALL).join(other, "token").where(ordered & apart & _fits(percent)).select("g", "g2")
     # two sizes within the ratio are in one step or in neighbouring ones
-    many = entries.where(F.col("members") > SMALL).withColumn("step", F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n"))
+    many = entries.where(F.col("members") > SMALL).withColumn(
+        "step",
+        F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n"),
+    )
     per = many.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     above = per.select("token", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
     below = per.select("token", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
     many = many.join(per, ["token", "step"]).join(above, ["token", "step"], "left").join(below, ["token", "step"], "left").join(signatures, "g", "left")
     many = many.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     none = F.array().cast("array<struct<step:int,i:int,j:int,across:boolean>>")
-    met = lambda step, i, j, across: F.struct(step.cast("int").alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(across).alias("across"))
+    met = lambda step, i, j, across: F.struct(
+        step.cast("int").alias("step"),
+        i.cast("int").alias("i"),
+        j.cast("int").alias("j"),
+        F.lit(across).alias("across"),
+    )
     listed = lambda count, to: F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), count - 1), to)).otherwise(none)
     own = listed(F.col("blocks"), lambda k: met(F.col("step"), F.least("block", k), F.greatest("block", k), False))
     up = listed(F.col("blocks_above"), lambda k: met(F.col("step"), F.col("block"), k, True))
     down = listed(F.col("blocks_below"), lambda k: met(F.col("step") - 1, k, F.col("block"), True))
     many = many.withColumn("home", F.col("step")).withColumn("met", F.explode(F.concat(own, up, down)))
     side = F.when(F.col("met.across"), F.col("home") - F.col("met.step")).otherwise(F.col("block"))  # which of the two blocks a row is of
-    many = many.select("token", F.col("met.step").alias("step"), F.col("met.across").alias("across"), F.when(F.col("met.across"), 0).otherwise(F.col("met.i")).alias("i"), F.when(F.col("met.across"), 1).otherwise(F.col("met.j")).alias("j"), F.col("met.i").alias("bi"), F.col("met.j").alias("bj"), side.alias("block"), "g", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "lo", "hi", "classes", "signature")
+    many = many.select(
+        "token",
+        F.col("met.step").alias("step"),
+        F.col("met.across").alias("across"),
+        F.when(F.col("met.across"), 0).otherwise(F.col("met.i")).alias("i"),
+        F.when(F.col("met.across"), 1).otherwise(F.col("met.j")).alias("j"),
+        F.col("met.i").alias("bi"),
+        F.col("met.j").alias("bj"),
+        side.alias("block"),
+        "g",
+        F.col("n").cast("long").alias("n"),
+        F.col("at").cast("long").alias("at"),
+        "lo",
+        "hi",
+        "classes",
+        "signature",
+    )
     return few.union(many.groupBy("token", "step", "across", "bi", "bj", "i", "j").applyInPandas(_blocks(percent), "g long, g2 long"))
 
 
@@ -221,9 +260,21 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> Dat
                 doc, h = shingles(data, at[lo : hi + 1], size)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 d1, d2 = _digests(h, first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo:hi], pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(first.astype(np.int32), pa.array(h.view(np.int64)))], ["id", "d1", "d2", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").cast(pa.int64())[lo:hi],
+                        pa.array(d1),
+                        pa.array(d2),
+                        pa.ListArray.from_arrays(first.astype(np.int32), pa.array(h.view(np.int64))),
+                    ],
+                    ["id", "d1", "d2", "set"],
+                )
 
-    read = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(made, "id long, d1 long, d2 long, set array<long>")
+    read = docs.select("doc_id", "text").join(
+        wanted,
+        F.col("doc_id") == F.col("_id"),
+        "left_semi",
+    ).mapInArrow(made, "id long, d1 long, d2 long, set array<long>")
     known = classes.join(small_side(ids), "id", "left_semi").select("id", "d1", "d2", "n")
     return read.join(small_side(known), ["id", "d1", "d2"]).select("id", "n", "set")
 
@@ -234,7 +285,10 @@ def _survive(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int
     A prefix key of one side that comes before the other side's last and is not among its keys is in no part of the other set,
     so each side's overlap is at most its size less the number of those.
     """
-    ids = stages.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "n", "d1", "d2"), "id"), "ids")
+    ids = stages.put(
+        pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "n", "d1", "d2"), "id"),
+        "ids",
+    )
     known = rows.withColumnRenamed("doc_id", "id").join(small_side(ids), ["id", "n", "d1", "d2"], "left_semi").select("id", "n", "prefix")
     left, right = (known.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("prefix").alias(f"prefix_{k}")) for k in "ab")
     alone = lambda x, y: F.size(F.array_except(F.filter(f"prefix_{x}", lambda t: t < F.element_at(f"prefix_{y}", -1)), f"prefix_{y}"))
@@ -251,7 +305,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataF
     sets = stages.put(_sets(docs, classes, ids, size), "sets")
     left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("set").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    linked = pairs.join(left, "a").join(right, "b").withColumn("both", both).where((F.col("n_a").cast("long") + F.col("n_b") - F.col("both")) * percent <= F.col("both") * 100)
+    linked = pairs.join(left, "a").join(right, "b").withColumn("both", both).where(
+        (F.col("n_a").cast("long") + F.col("n_b") - F.col("both")) * percent <= F.col("both") * 100
+    )
     out = stages.put(linked.select("a", "b").distinct(), "links")
     stages.drop(sets)
     return out
@@ -268,30 +324,74 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
     heads = small_side(stages.put(kept.where("id = g").select(F.col("g").alias("doc_id"), "n", "d1", "d2"), "heads"))
     groups = rows.join(heads, ["doc_id", "n", "d1", "d2"], "left_semi").withColumnRenamed("doc_id", "g")
-    each = groups.select("g", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select("g", "n", "at", F.col("p.prefix").alias("token"), F.col("p.salts").alias("salts"))
+    each = groups.select("g", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "p")).select(
+        "g",
+        "n",
+        "at",
+        F.col("p.prefix").alias("token"),
+        F.col("p.salts").alias("salts"),
+    )
     each = each.withColumn("salt", F.pmod(F.xxhash64("g"), F.col("salts").cast("long")).cast("int"))
     part = Window.partitionBy("token", "salt")
     order = part.orderBy("at", "n", "g")
-    each = each.withColumn("near", F.array(F.lag(F.struct("g", "n", "at")).over(order), F.first(F.struct("g", "n", "at")).over(order))).withColumn("members", F.count("*").over(part)).where("members > 1 or salts > 1")
+    each = each.withColumn(
+        "near",
+        F.array(F.lag(F.struct("g", "n", "at")).over(order), F.first(F.struct("g", "n", "at")).over(order)),
+    ).withColumn("members", F.count("*").over(part)).where("members > 1 or salts > 1")
     shared = stages.put(each.drop("members"), "shared")
-    leads = shared.where("salts > 1 and near[0] is null").withColumn("near", F.array(F.lag(F.struct("g", "n", "at")).over(Window.partitionBy("token").orderBy("at", "n", "g"))))
-    met = shared.unionByName(leads).select("g", "n", "at", F.explode(F.array_distinct("near")).alias("near")).where("near is not null and near.g != g")
-    chained = met.select("g", "n", "at", F.col("near.g").alias("g2"), F.col("near.n").alias("n2"), F.col("near.at").alias("at2")).where(_fits(percent))
-    first = chained.select(F.col("g").alias("a"), F.col("g2").alias("b")).union(kept.where("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b")))
+    leads = shared.where("salts > 1 and near[0] is null").withColumn(
+        "near",
+        F.array(F.lag(F.struct("g", "n", "at")).over(Window.partitionBy("token").orderBy("at", "n", "g"))),
+    )
+    met = shared.unionByName(leads).select(
+        "g",
+        "n",
+        "at",
+        F.explode(F.array_distinct("near")).alias("near"),
+    ).where("near is not null and near.g != g")
+    chained = met.select(
+        "g",
+        "n",
+        "at",
+        F.col("near.g").alias("g2"),
+        F.col("near.n").alias("n2"),
+        F.col("near.at").alias("at2"),
+    ).where(_fits(percent))
+    first = chained.select(F.col("g").alias("a"), F.col("g2").alias("b")).union(
+        kept.where("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b"))
+    )
     tried = _verified(first, docs, rows, kept, size, percent, stages)
     found = stages.put(components(tried, stages), "components")
 
-    label = lambda df, key: df.join(small_side(found).select(F.col("node").alias(key), "component"), key, "left").withColumn("component", F.coalesce("component", key))
+    label = lambda df, key: df.join(
+        small_side(found).select(F.col("node").alias(key), "component"),
+        key,
+        "left",
+    ).withColumn("component", F.coalesce("component", key))
     labelled = stages.put(label(kept.select("id", "n", "g"), "id"), "labelled")
     mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("classes"))
     entries = shared.drop("near", "salts", "salt").join(mixed, "g")
-    open_tokens = entries.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("members")).where("lo != hi").select("token", "members")
+    open_tokens = entries.groupBy("token").agg(
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.count("*").alias("members"),
+    ).where("lo != hi").select("token", "members")
     entries = stages.put(entries.join(open_tokens, "token"), "entries")
     pairs = _crossing(entries, groups.select("g", "signature"), percent).distinct()
     pairs = pairs.union(mixed.where("lo != hi").select("g", F.col("g").alias("g2")))
     members = labelled.select("g", F.col("id").alias("a"), F.col("component").alias("c"))
-    wide = pairs.join(members, "g").join(members.select(F.col("g").alias("g2"), F.col("a").alias("b"), F.col("c").alias("c2")), "g2").where("c != c2").select("a", "b")
-    wide = stages.put(wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "others")
+    wide = pairs.join(members, "g").join(
+        members.select(F.col("g").alias("g2"), F.col("a").alias("b"), F.col("c").alias("c2")),
+        "g2",
+    ).where("c != c2").select("a", "b")
+    wide = stages.put(
+        wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
+            first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
+            ["a", "b"],
+            "left_anti",
+        ),
+        "others",
+    )
     if not wide.isEmpty():
         more = _verified(wide, docs, rows, kept, size, percent, stages)
         if not more.isEmpty():
@@ -299,7 +399,11 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
 
     final = label(kept.select("id", "n", "d1", "d2"), "id").select("n", "d1", "d2", "component")
     out = rows.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+    )
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids are in fold 0."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+    return F.coalesce(
+        F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % folds,
+        F.lit(0),
+    ).cast("int")
 
 
 def sample(labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:

@@ -102,7 +102,10 @@ def likelihoods(rows: DataFrame, names: list[str], model: np.ndarray, keep: list
                 for k in range(len(model)):
                     out[lo:hi, k] = np.bincount(doc, model[k][bucket], hi - lo) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1)) if len(doc) else 0.0
             ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*keep, "evidence"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(out.ravel()))],
+                [*keep, "evidence"],
+            )
 
     types = dict(rows.dtypes)
     return rows.select(*keep, "text").mapInArrow(scored, ", ".join(f"{c} {types[c]}" for c in keep) + ", evidence array<double>")
@@ -136,7 +139,9 @@ def fuse(rows: DataFrame, names: list[str], stages: Stages) -> DataFrame:
     for key in ("suffix", "domain", "host"):
         per = small_side(stages.put(_sums(rows.where(F.col(key).isNotNull()), [key], n), key)).withColumnRenamed("sums", f"{key}_sums")
         out = out.join(per, key, "left")
-    said = F.broadcast(stages.put(_sums(rows.where(F.col("declared").isin(*names)), ["declared"], n), "declared").withColumnRenamed("sums", "declared_sums"))
+    said = F.broadcast(
+        stages.put(_sums(rows.where(F.col("declared").isin(*names)), ["declared"], n), "declared").withColumnRenamed("sums", "declared_sums")
+    )
     out = out.join(said, "declared", "left")
     prior = _smoothed(F.col("all_sums"), F.col("soft"), flat)
     suffix = _smoothed(F.col("suffix_sums"), F.col("soft"), prior)
@@ -145,7 +150,11 @@ def fuse(rows: DataFrame, names: list[str], stages: Stages) -> DataFrame:
     at = F.array_position(F.array(*map(F.lit, names)), F.col("declared"))
     expected = F.transform(flat, lambda x, k: F.when(k == at - 1, DECLARED_TRUE).otherwise((1 - DECLARED_TRUE) / max(n - 1, 1)))
     rest = F.zip_with("declared_sums", "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    declared = F.zip_with(F.zip_with(rest, "all_sums", lambda a, t: F.struct(a.alias("a"), t.alias("t"))), expected, lambda x, p: (x["a"] + STRENGTH * p) / (x["t"] + STRENGTH))
+    declared = F.zip_with(
+        F.zip_with(rest, "all_sums", lambda a, t: F.struct(a.alias("a"), t.alias("t"))),
+        expected,
+        lambda x, p: (x["a"] + STRENGTH * p) / (x["t"] + STRENGTH),
+    )
     logs = F.col("evidence")
     for part, base in ((host, None), (suffix, prior)):
         logs = F.zip_with(logs, part, lambda a, p: a + F.log(p + 1e-9))
@@ -154,7 +163,12 @@ def fuse(rows: DataFrame, names: list[str], stages: Stages) -> DataFrame:
     out = out.withColumn("posteriors", _normal(logs))
     listed = F.array(*map(F.lit, names))
     best = lambda c: F.element_at(listed, F.array_position(c, F.array_max(c)).cast("int"))
-    return out.select(*[c for c in rows.columns if c not in ("evidence", "soft")], best(F.col("posteriors")).alias("lang"), F.array_max("posteriors").alias("posterior"), best(F.col("soft")).alias("text_lang"))
+    return out.select(
+        *[c for c in rows.columns if c not in ("evidence", "soft")],
+        best(F.col("posteriors")).alias("lang"),
+        F.array_max("posteriors").alias("posterior"),
+        best(F.col("soft")).alias("text_lang"),
+    )
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -163,15 +177,35 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host = F.when(host != "", host)
     named = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
-    page = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", host.alias("host"), F.when(named != "", named).alias("declared"), text.alias("text"))
+    page = pages.select(
+        F.lit(None).cast("long").alias("doc_id"),
+        "page_id",
+        host.alias("host"),
+        F.when(named != "", named).alias("declared"),
+        text.alias("text"),
+    )
     is_name = ~F.col("host").rlike(r"^[0-9.]+$")
-    page = page.withColumn("domain", F.when(is_name, F.when(F.col("host").rlike(r"\.[a-z]{2,3}\.[a-z]{2}$"), F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))).withColumn("suffix", F.when(is_name, F.substring_index("host", ".", -1)))
+    page = page.withColumn(
+        "domain",
+        F.when(
+            is_name,
+            F.when(F.col("host").rlike(r"\.[a-z]{2,3}\.[a-z]{2}$"), F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)),
+        ),
+    ).withColumn("suffix", F.when(is_name, F.substring_index("host", ".", -1)))
     return page.select("doc_id", "page_id", "host", "domain", "suffix", "declared", "text")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), F.concat(F.lit("source:"), "source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"), "text")
+    return docs.select(
+        "doc_id",
+        F.lit(None).cast("long").alias("page_id"),
+        F.concat(F.lit("source:"), "source").alias("host"),
+        none.alias("domain"),
+        none.alias("suffix"),
+        none.alias("declared"),
+        "text",
+    )
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -180,7 +214,16 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     names, model = learn(docs, L.fold("doc_id", 5) != 0)
     rows = document_rows(docs).union(page_rows(pages))
     if not names:
-        return rows.select("doc_id", "page_id", "host", "declared", F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"))
+        return rows.select(
+            "doc_id",
+            "page_id",
+            "host",
+            "declared",
+            F.lit(None).cast("boolean").alias("held_out"),
+            F.lit(None).cast("string").alias("lang"),
+            F.lit(None).cast("double").alias("posterior"),
+            F.lit(None).cast("string").alias("text_lang"),
+        )
     keep = ["doc_id", "page_id", "host", "domain", "suffix", "declared"]
     found = fuse(likelihoods(rows, names, model, keep), names, stages)
     held = F.when(F.col("doc_id").isNotNull(), L.fold("doc_id", 5) == 0)

@@ -63,7 +63,14 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int
     level = F.max(F.when(F.col("fills_at") >= F.col("level"), F.col("level"))).over(every)  # past the first it falls
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    return per.withColumn("whole", whole).select("source", "source_size", "n_docs", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
+    return per.withColumn("whole", whole).select(
+        "source",
+        "source_size",
+        "n_docs",
+        "target",
+        "whole",
+        (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"),
+    )
 
 
 def inclusion(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -78,7 +85,10 @@ def inclusion(sized: DataFrame, plan: DataFrame) -> DataFrame:
     per = per.withColumn("before", F.coalesce(F.sum("words").over(above), F.lit(0)))
     per = per.withColumn("c", (F.col("rest") - F.col("before")) / F.sum(F.col("measure") * F.col("words")).over(on))
     # the greatest measure that is not certain fixes c
-    fixed = per.groupBy("source").agg(F.max(F.when(F.col("c") * F.col("measure") < 1, F.struct("measure", "c", "before"))).alias("at"), F.sum("words").alias("all"))
+    fixed = per.groupBy("source").agg(
+        F.max(F.when(F.col("c") * F.col("measure") < 1, F.struct("measure", "c", "before"))).alias("at"),
+        F.sum("words").alias("all"),
+    )
     return fixed.select("source", F.coalesce("at.c", F.lit(float("inf"))).alias("c"), F.coalesce("at.before", "all").alias("certain"))
 
 
@@ -125,7 +135,9 @@ def _facts(sized: DataFrame, weights: Sequence[int], max_copies: int, seed: str,
 def _decided(rows: DataFrame, plan: DataFrame, chosen: DataFrame, seed: str, max_copies: int) -> DataFrame:
     """Adds copies to rows with size, drawn_by and source."""
     out = _by_source(_ranked(rows, small_side(plan), seed), small_side(chosen), "left")
-    drawn = F.col("rank").isNotNull() & (F.col("left") > 0) & (F.col("cross").isNull() | ~_beyond() | F.coalesce(F.col("at") == F.col("extra"), F.lit(False)))
+    drawn = F.col("rank").isNotNull() & (F.col("left") > 0) & (
+        F.col("cross").isNull() | ~_beyond() | F.coalesce(F.col("at") == F.col("extra"), F.lit(False))
+    )
     more = F.when(F.col("whole") < max_copies, ((F.col("p") >= 1) | F.coalesce(drawn, F.lit(False))).cast("long")).otherwise(0)
     return out.withColumn("copies", F.col("whole") + more)
 
@@ -157,7 +169,12 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = M
     plan, chosen = _facts(sized, weights, max_copies, seed, stages)
     stages.drop(sized)
     # the whole row in one struct, so that none of its names can meet one of ours
-    rows = docs.select(F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("row"), "doc_id", "source", *[c.alias(n) for n, c in _own().items()])
+    rows = docs.select(
+        F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]).alias("row"),
+        "doc_id",
+        "source",
+        *[c.alias(n) for n, c in _own().items()],
+    )
     taken = _decided(rows, plan, chosen, seed, max_copies).where("copies > 0")
     out = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -160,14 +160,31 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in chunks(at):
             doc, bucket = indicators(data, at[lo : hi + 1])
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())[lo:hi], batch.column("label")[lo:hi], pa.ListArray.from_arrays(ends.astype(np.int32), bucket.astype(np.int32))], ["doc_id", "label", "buckets"])
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> Model:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64())[lo:hi],
+                    batch.column("label")[lo:hi],
+                    pa.ListArray.from_arrays(ends.astype(np.int32), bucket.astype(np.int32)),
+                ],
+                ["doc_id", "label", "buckets"],
+            )
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    held_out: F.Column,
+    train_rows: int = TRAIN_ROWS,
+    train_features: int = TRAIN_FEATURES,
+) -> Model:
     """Fits on at most about ``train_rows`` labelled documents that are not held out, of at most about ``train_features`` indicators."""
     stages = Stages(docs.sparkSession, "quality")
     some = L.sample(labels, label, ~held_out, train_rows)
-    made = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").mapInArrow(_featured, "doc_id long, label int, buckets array<int>")
+    made = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").mapInArrow(
+        _featured,
+        "doc_id long, label int, buckets array<int>",
+    )
     made = stages.put(made, "features")
     held = made.agg(F.sum(F.size("buckets"))).first()[0] or 0
     part = F.pmod(F.xxhash64(F.lit("features"), "doc_id"), F.lit(1 << 20))
@@ -179,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: F.Column, tr
     if not len(label_of):
         return fit([], label_of)
     ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    order = np.lexsort([[values[ends[i] : ends[i + 1]].sum() for i in range(len(label_of))], np.diff(ends), label_of])  # the same whatever order rows arrive in
+    order = np.lexsort(  # the same whatever order rows arrive in
+        [[values[ends[i] : ends[i + 1]].sum() for i in range(len(label_of))], np.diff(ends), label_of]
+    )
     return fit([values[ends[i] : ends[i + 1]] for i in order], label_of[order])
 
 
@@ -195,7 +214,10 @@ def score(docs: DataFrame, model: Model, held_out: F.Column, at: float = CUT) ->
             for lo, hi in chunks(ends):
                 doc, bucket = indicators(data, ends[lo : hi + 1])
                 out[lo:hi] = L.probability(margins(model, doc, bucket, hi - lo), model.cut, model.slope, at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= at).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
 
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 

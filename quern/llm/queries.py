@@ -59,5 +59,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_mixing": op2_mixing, "op3_decontamination": op3_decontamination, "op4_vectors": op4_vectors, "op5_secrets": op5_secrets, "op6_quality": op6_quality, "op7_jaccard": op7_jaccard, "op8_tokens": op8_tokens, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
-ORACLES = {"op4_vectors": oracles.VECTORS, "op7_jaccard": oracles.JACCARD, "op2_mixing": oracles.MIXING, "op3_decontamination": oracles.DECONTAMINATION, "op5_secrets": oracles.SECRETS, "op9_warc": oracles.WARC}
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
+    "op4_vectors": op4_vectors,
+    "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
+    "op7_jaccard": op7_jaccard,
+    "op8_tokens": op8_tokens,
+    "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {
+    "op4_vectors": oracles.VECTORS,
+    "op7_jaccard": oracles.JACCARD,
+    "op2_mixing": oracles.MIXING,
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op5_secrets": oracles.SECRETS,
+    "op9_warc": oracles.WARC,
+}

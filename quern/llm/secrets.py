@@ -45,13 +45,27 @@ def _cut(text: Column, kind: str) -> Column:
     hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), length)
     counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), length) if group else hits
     found = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), counted.alias("counted"))
-    return F.when(text.rlike(pattern), F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["counted"].alias("counted"))))
+    return F.when(
+        text.rlike(pattern),
+        F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["counted"].alias("counted"))),
+    )
 
 
 def spans(docs: DataFrame, stages: Stages, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has row, doc_id; spans has row, kind (its place in KINDS), start, end."""
     text = F.coalesce("text", F.lit(""))
-    cuts = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(PATTERNS[name][2]).alias("least"), _cut(text, name).alias("found")) for k, name in enumerate(KINDS)]), lambda x: x["found"].isNotNull())
+    cuts = F.filter(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("kind"),
+                    F.lit(PATTERNS[name][2]).alias("least"),
+                    _cut(text, name).alias("found"),
+                ) for k, name in enumerate(KINDS)
+            ]
+        ),
+        lambda x: x["found"].isNotNull(),
+    )
     cut = stages.put(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", cuts.alias("cuts")), "cuts")
     each = cut.select("row", F.explode("cuts").alias("c")).select("row", "c.kind", "c.least", F.posexplode("c.found").alias("n", "m"))
     running = Window.partitionBy("row", "kind").orderBy("n")
@@ -59,14 +73,20 @@ def spans(docs: DataFrame, stages: Stages, reach: int = REACH) -> tuple[DataFram
     found = stages.put(each.select("row", "kind", (F.col("end") - F.col("m.hit")).alias("start"), "end"), "spans")
 
     base, weak = found.where(F.col("kind") < BASE), found.where(F.col("kind") >= BASE)
-    weak = weak.join(_keys(_celled(weak, 0), _celled(base, 0), F.col("x.start") < F.col("y.end"), F.col("y.start") < F.col("x.end")), ["row", "kind", "start", "end"], "left_anti")
+    weak = weak.join(
+        _keys(_celled(weak, 0), _celled(base, 0), F.col("x.start") < F.col("y.end"), F.col("y.start") < F.col("x.end")),
+        ["row", "kind", "start", "end"],
+        "left_anti",
+    )
     parts = stages.put(base.union(weak), "parts")
     near = (F.col("x.start") <= F.col("y.end") + reach, F.col("y.start") <= F.col("x.end") + reach)
     names, holds = (F.col("kind").isin(*[KINDS.index(k) for k in ks]) for ks in (("access", "ident"), ("assign", "hex", "part")))
     weak = parts.where(F.col("kind") >= BASE)
     by_name = _keys(_celled(weak.where(F.col("kind") != KINDS.index("ident")), reach), _celled(parts.where(names), 0), *near)
     by_hold = _keys(_celled(weak.where(F.col("kind") != KINDS.index("part")), reach), _celled(parts.where(holds), 0), *near)
-    meets = by_name.withColumn("named", F.lit(1)).withColumn("held", F.lit(0)).union(by_hold.withColumn("named", F.lit(0)).withColumn("held", F.lit(1)))
+    meets = by_name.withColumn("named", F.lit(1)).withColumn("held", F.lit(0)).union(
+        by_hold.withColumn("named", F.lit(0)).withColumn("held", F.lit(1))
+    )
     meets = meets.groupBy("row", "kind", "start", "end").agg(F.max("named").alias("named"), F.max("held").alias("held"))
     linked = meets.where((F.col("kind") != KINDS.index("endpoint")) | (F.col("named") + F.col("held") == 2))
     return cut.select("row", "doc_id"), parts.where(F.col("kind") < BASE).union(linked.select("row", "kind", "start", "end"))
@@ -91,8 +111,15 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     rows, found = spans(docs, Stages(docs.sparkSession, "secrets"), reach)
     names = F.array(*map(F.lit, KINDS))
     listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
-    per = found.groupBy("row").agg(listed.alias("all"), *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(BASE)], F.count_if(F.col("kind") >= BASE).alias("n_linked"))
-    said = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    per = found.groupBy("row").agg(
+        listed.alias("all"),
+        *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
+        F.count_if(F.col("kind") >= BASE).alias("n_linked"),
+    )
+    said = lambda some: F.array_join(
+        F.transform(some, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])),
+        ",",
+    )
     out = rows.join(per, "row", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
     return out.select(
         "doc_id",

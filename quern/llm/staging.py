@@ -90,7 +90,11 @@ def _width(column: Column, kind: DataType) -> Column:
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16
     if isinstance(kind, ArrayType):
         if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
-            return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(16).cast("long"), lambda a, x: a + _width(x, kind.elementType).cast("long"))
+            return F.aggregate(
+                F.coalesce(column, F.array().cast(kind)),
+                F.lit(16).cast("long"),
+                lambda a, x: a + _width(x, kind.elementType).cast("long"),
+            )
         return F.greatest(F.size(column), F.lit(0)) * 8 + 16
     if isinstance(kind, StructType):
         return sum((_width(column.getField(f.name), f.dataType) for f in kind), F.lit(16))

@@ -118,7 +118,11 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> Words:
             starts, ends, raw = starts[1:], ends[1:], raw[1:]
         if len(starts):
             found.append([starts, ends, raw])
-    starts, ends, raw = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    starts, ends, raw = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (
+        np.empty(0, np.int64),
+        np.empty(0, np.int64),
+        np.empty(0, np.uint64),
+    )
     first = np.searchsorted(starts, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     return Words(starts, ends, doc, mix(raw), first)

@@ -446,7 +446,14 @@ def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int
             directory = json.dumps(blocks).encode()
             stream.write(directory + struct.pack(TAIL, len(directory), zlib.crc32(directory)))
             stream.close()
-            rows = {"path": [path], "first": [first], "last": [last], "n_docs": [sum(len(b["docs"]) for b in blocks)], "n_ids": [n_ids], "bytes": [offset + len(directory) + TAIL_BYTES]}
+            rows = {
+                "path": [path],
+                "first": [first],
+                "last": [last],
+                "n_docs": [sum(len(b["docs"]) for b in blocks)],
+                "n_ids": [n_ids],
+                "bytes": [offset + len(directory) + TAIL_BYTES],
+            }
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "path" else pa.int64()) for k, v in rows.items()], list(rows))
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # ranges are sampled in the driver: of numbers, not of ids
@@ -458,7 +465,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files, block by block."""
     # files hold ranges in order; only files that one id fills may share their ends
     low = -(1 << 63)
-    files = sorted(manifest.select("path", "first", "last", "n_ids").toArrow().to_pylist(), key=lambda f: (low if f["first"] is None else f["first"], low if f["last"] is None else f["last"], f["n_ids"]))
+    files = sorted(
+        manifest.select("path", "first", "last", "n_ids").toArrow().to_pylist(),
+        key=lambda f: (low if f["first"] is None else f["first"], low if f["last"] is None else f["last"], f["n_ids"]),
+    )
     start, units = 0, []
     for f in files:
         units.append((f["path"], start))
@@ -492,7 +502,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         ends = np.cumsum(counts)
                         raw = memoryview(ids.tobytes())
                         sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + block["first_id"] + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(names, pa.int64()),
+                                pa.array(start + block["first_id"] + ends - counts),
+                                pa.array(counts),
+                                pa.array(sums, pa.int64()),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
 
     if not units:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

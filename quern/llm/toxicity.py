@@ -131,7 +131,13 @@ def tables(lexicon: Lexicon) -> Tables:
     by: dict[int, list] = {}
     for text, whole, label, weight in lexicon.entries:
         by.setdefault(0 if whole else len(text.encode()), []).append((hash_of(text, ALNUM), label, weight))
-    return Tables({k: tuple(np.array(c, t) for c, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64, np.float64), strict=True)) for k, v in by.items()})
+    return Tables(
+        {
+            k: tuple(
+                np.array(c, t) for c, t in zip(zip(*sorted(v), strict=True), (np.uint64, np.int64, np.float64), strict=True)
+            ) for k, v in by.items()
+        }
+    )
 
 
 def _looked_up(hashes: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +202,15 @@ def _evidence(sampled: DataFrame) -> DataFrame:
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))))
     each = sampled.select("label", F.monotonically_increasing_id().alias("row"), word.alias("word"))
     stems = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS]), lambda x: x.isNotNull())
-    terms = F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole"))), F.transform(stems, lambda s: F.struct(s.alias("term"), F.lit(False).alias("whole"))))
+    terms = F.concat(
+        F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole"))),
+        F.transform(stems, lambda s: F.struct(s.alias("term"), F.lit(False).alias("whole"))),
+    )
     each = each.select("label", "row", F.explode(terms).alias("t")).select("label", "row", "t.term", "t.whole")
     # a document counts once for a stem that several of its words share
-    once = each.where("whole").select("label", "term", "whole").union(each.where("not whole").select("label", "row", "term", "whole").distinct().select("label", "term", "whole"))
+    once = each.where("whole").select("label", "term", "whole").union(
+        each.where("not whole").select("label", "row", "term", "whole").distinct().select("label", "term", "whole")
+    )
     return once.groupBy("term", "whole").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
@@ -215,11 +226,20 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: in
     if n_toxic:
         counts = _evidence(rows)
         clean_most = max(1.0, MOST_CLEAN_SHARE * n_clean)
-        wanted = (F.col("toxic") >= LEAST_TOXIC) & (F.col("clean") <= F.least(F.lit(clean_most), F.col("toxic") * 0.1)) | (F.col("whole") & F.col("term").isin(*seeds))
+        wanted = (F.col("toxic") >= LEAST_TOXIC) & (
+            F.col("clean") <= F.least(F.lit(clean_most), F.col("toxic") * 0.1)
+        ) | (F.col("whole") & F.col("term").isin(*seeds))
         # every term, and the counts of all seeds: the labelled sample bounds them
         found = counts.where(wanted).toPandas().sort_values(["toxic", "clean", "whole", "term"], ascending=[False, True, False, True])
-        known = {(term, whole): (toxic, clean) for term, whole, toxic, clean in zip(*(found[c].tolist() for c in ("term", "whole", "toxic", "clean")), strict=True)}
-    weight = lambda toxic, clean, prior: float(np.log((toxic + prior + 0.5) / (n_toxic + prior + 1)) - np.log((clean + 0.5) / (n_clean + 1)))
+        known = {
+            (term, whole): (toxic, clean) for term, whole, toxic, clean in zip(
+                *(found[c].tolist() for c in ("term", "whole", "toxic", "clean")),
+                strict=True,
+            )
+        }
+    weight = lambda toxic, clean, prior: float(
+        np.log((toxic + prior + 0.5) / (n_toxic + prior + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    )
     entries = {}
     for w, k in seeds.items():
         toxic, clean = known.get((w, True), (0, 0))
@@ -231,7 +251,13 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column, train_rows: in
         for key in _cover(rows, entries, candidates):
             entries[key] = (INSULT, min(max(weight(*known[key], 0.0), 1.0), 8.0))
     listed = [(t, whole, k, w) for (t, whole), (k, w) in sorted(entries.items())]
-    listed += [(w, True, k, 0.0) for k, kind in ((TARGET, "target"), (NEGATION, "negation"), (REPORT, "report")) for w in SEEDS[kind].split() if (w, True) not in entries]
+    listed += [
+        (w, True, k, 0.0) for k, kind in (
+            (TARGET, "target"),
+            (NEGATION, "negation"),
+            (REPORT, "report"),
+        ) for w in SEEDS[kind].split() if (w, True) not in entries
+    ]
     lexicon = Lexicon(listed)
     seen = matches(rows, Scorer(lexicon, 0.0, 1.0), key="label").select("label", "total").toArrow()
     stages.drop(rows)
@@ -304,10 +330,16 @@ def matches(docs: DataFrame, scorer: Scorer, at: float = CUT, key: str = "doc_id
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, scorer(batch.column(1), at))], ["key", "score", "total", "most", "clauses"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *map(pa.array, scorer(batch.column(1), at))],
+                ["key", "score", "total", "most", "clauses"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(matched, f"key {kind}, score double, total double, most double, clauses long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(
+        matched,
+        f"key {kind}, score double, total double, most double, clauses long",
+    ).withColumnRenamed("key", key)
 
 
 def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
@@ -317,7 +349,14 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, clauses, most for every row."""
     out = matches(docs, trained(docs, labels, train_rows), at)
-    return out.select("doc_id", (L.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "clauses", "most")
+    return out.select(
+        "doc_id",
+        (L.fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= at).cast("int").alias("predicted"),
+        "clauses",
+        "most",
+    )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, at: float = CUT) -> DataFrame:

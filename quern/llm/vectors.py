@@ -63,8 +63,15 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     finite = F.forall(e, lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
     valid = F.coalesce(e.isNotNull() & (F.size(e) == (size.n if size and size.n else -1)) & finite & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select("vec_id", "embedding", valid.alias("valid"))
-    rows = rows.withColumn("k1", F.when(F.col("valid"), F.xxhash64("embedding"))).withColumn("k2", F.when(F.col("valid"), F.xxhash64(F.lit(17), "embedding")))
-    found = rows.where("valid").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    rows = rows.withColumn("k1", F.when(F.col("valid"), F.xxhash64("embedding"))).withColumn(
+        "k2",
+        F.when(F.col("valid"), F.xxhash64(F.lit(17), "embedding")),
+    )
+    found = rows.where("valid").groupBy("k1", "k2").agg(
+        F.min("vec_id").alias("id"),
+        F.count("*").alias("copies"),
+        F.first("embedding").alias("embedding"),
+    )
     return rows.select("vec_id", "k1", "k2"), found
 
 
@@ -73,7 +80,9 @@ def centroids(found: DataFrame, n: int) -> np.ndarray:
     cells = -(-n // CELL)
     cells = cells if cells <= MOST_CELLS else max(MOST_CELLS, int(n**0.5))
     share = min(1.0, max(FIT_ROWS, FIT_EACH * cells) / max(n, 1))
-    some = found.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("id", "embedding").toArrow().sort_by("id")
+    some = found.where(
+        F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    ).select("id", "embedding").toArrow().sort_by("id")
     x = unit(some["embedding"].combine_chunks())
     k = min(max(1, cells), max(len(x), 1))
     if not len(x):
@@ -97,11 +106,22 @@ def assigned(found: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
         c = shared.value
         for batch in batches:
             x = unit(batch.column("embedding"))
-            cells = np.concatenate([np.empty((0, min(overlap, len(c)))), *[np.argsort(-(x[lo : lo + 1024] @ c.T), axis=1, kind="stable")[:, :overlap] for lo in range(0, len(x), 1024)]])
+            cells = np.concatenate(
+                [
+                    np.empty((0, min(overlap, len(c)))),
+                    *[np.argsort(-(x[lo : lo + 1024] @ c.T), axis=1, kind="stable")[:, :overlap] for lo in range(0, len(x), 1024)],
+                ]
+            )
             ends = np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("id", "copies", "embedding")] + [pa.ListArray.from_arrays(ends, pa.array(cells.ravel().astype(np.int32)))], ["id", "copies", "embedding", "cells"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k) for k in ("id", "copies", "embedding")] + [pa.ListArray.from_arrays(ends, pa.array(cells.ravel().astype(np.int32)))],
+                ["id", "copies", "embedding", "cells"],
+            )
 
-    return found.select("id", "copies", "embedding").mapInArrow(near, f"id long, copies long, embedding {found.schema['embedding'].dataType.simpleString()}, cells array<int>")
+    return found.select("id", "copies", "embedding").mapInArrow(
+        near,
+        f"id long, copies long, embedding {found.schema['embedding'].dataType.simpleString()}, cells array<int>",
+    )
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -259,7 +279,10 @@ def _cosines(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cos = np.einsum("nd,nd->n", unit(batch.column("e_a")), unit(batch.column("e_b"))) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("a", "b", "r_a", "r_b")] + [pa.array(np.minimum(cos, 1.0))], ["a", "b", "r_a", "r_b", "cos"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k) for k in ("a", "b", "r_a", "r_b")] + [pa.array(np.minimum(cos, 1.0))],
+                ["a", "b", "r_a", "r_b", "cos"],
+            )
 
     left, right = (leaders.select(F.col("id").alias(k), F.col("embedding").alias(f"e_{k}"), F.col("radius").alias(f"r_{k}")) for k in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(added, "a long, b long, r_a double, r_b double, cos double")
@@ -279,14 +302,26 @@ def links(found: DataFrame, stages: Stages, overlap: int) -> tuple[DataFrame, Da
     near = stages.put(assigned(found, centroids(found, n), overlap), "assigned")
     home = pieces(near.withColumn("cell", F.element_at("cells", 1)))
     ball = stages.put(home.groupBy("cell", "piece").applyInPandas(balls, "id long, leader long, cos double, copies long"), "balls")
-    heads = ball.groupBy("leader").agg(F.acos(F.min("cos")).alias("radius"), F.sum("copies").alias("weight"), F.count("*").alias("members")).withColumn("radius", F.when(F.col("members") == 1, 0.0).otherwise(F.col("radius")))
+    heads = ball.groupBy("leader").agg(
+        F.acos(F.min("cos")).alias("radius"),
+        F.sum("copies").alias("weight"),
+        F.count("*").alias("members"),
+    ).withColumn("radius", F.when(F.col("members") == 1, 0.0).otherwise(F.col("radius")))
     leaders = stages.put(near.join(heads, F.col("id") == F.col("leader")).select("id", "embedding", "cells", "radius", "weight"), "leaders")
 
     spread = pieces(leaders.withColumn("cell", F.explode("cells")))
     edges = spread.groupBy("cell", "piece").applyInPandas(graph, "src long, dst long, cos double")
     edges = stages.put(edges.groupBy("src", "dst").agg(F.max("cos").alias("cos")), "graph")
     lists = edges.groupBy("src").agg(F.collect_list("dst").alias("near"))
-    nodes = spread.join(lists, F.col("id") == F.col("src"), "left").select("cell", "piece", "id", "embedding", "radius", "near", F.lit(0).alias("role"))
+    nodes = spread.join(lists, F.col("id") == F.col("src"), "left").select(
+        "cell",
+        "piece",
+        "id",
+        "embedding",
+        "radius",
+        "near",
+        F.lit(0).alias("role"),
+    )
     asked = spread.where(F.col("cell") == F.element_at("cells", 1)).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     asked = asked.select("cell", "piece", "id", "embedding", "radius", F.lit(None).cast("array<bigint>").alias("near"), F.lit(1).alias("role"))
     hits = nodes.union(asked).groupBy("cell", "piece").applyInPandas(search, "q long, node long, cos double")
@@ -295,32 +330,55 @@ def links(found: DataFrame, stages: Stages, overlap: int) -> tuple[DataFrame, Da
     wide = lambda gap: gap <= F.lit(float(np.arccos(COSINE)) + SLACK) + F.col("r_a") + F.col("r_b")
     r = leaders.select(F.col("id").alias("a"), F.col("radius").alias("r_a"))
     s = leaders.select(F.col("id").alias("b"), F.col("radius").alias("r_b"))
-    direct = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cos").where(F.col("cos") > 0).join(r, "a").join(s, "b").where(wide(F.acos(F.least("cos", F.lit(1.0))))).select("a", "b")
-    pairs = hits.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).union(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    direct = edges.select(
+        F.col("src").alias("a"),
+        F.col("dst").alias("b"),
+        "cos",
+    ).where(F.col("cos") > 0).join(r, "a").join(s, "b").where(wide(F.acos(F.least("cos", F.lit(1.0))))).select("a", "b")
+    pairs = hits.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).union(
+        direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ).distinct()
     known = stages.put(_cosines(pairs, leaders).where(wide(F.acos("cos"))), "pairs")
     fresh = known
     while True:
         ends = fresh.select("a", "b", "cos").union(fresh.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-        on = ends.withColumnRenamed("b", "src").withColumnRenamed("cos", "c1").join(edges.withColumnRenamed("cos", "c2"), "src").where("dst != a").withColumnRenamed("dst", "b")
-        on = on.join(r, "a").join(s, "b").where(wide(F.acos("c2") - F.acos("c1"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        on = ends.withColumnRenamed("b", "src").withColumnRenamed("cos", "c1").join(
+            edges.withColumnRenamed("cos", "c2"),
+            "src",
+        ).where("dst != a").withColumnRenamed("dst", "b")
+        on = on.join(r, "a").join(s, "b").where(wide(F.acos("c2") - F.acos("c1"))).select(
+            F.least("a", "b").alias("a"),
+            F.greatest("a", "b").alias("b"),
+        ).distinct()
         fresh = stages.put(_cosines(on.join(known, ["a", "b"], "left_anti"), leaders).where(wide(F.acos("cos"))), "expanded")
         if fresh.isEmpty():
             break
         known = known.union(fresh)
 
     alone = (F.col("r_a") == 0) & (F.col("r_b") == 0)
-    judged = known.withColumn("sure", F.when(alone, F.col("cos") >= COSINE).otherwise(F.acos("cos") + F.col("r_a") + F.col("r_b") <= float(np.arccos(COSINE)) - SLACK))
+    judged = known.withColumn(
+        "sure",
+        F.when(alone, F.col("cos") >= COSINE).otherwise(F.acos("cos") + F.col("r_a") + F.col("r_b") <= float(np.arccos(COSINE)) - SLACK),
+    )
     sure = stages.put(judged.where("sure").select("a", "b"), "sure")
     open_ = stages.put(judged.where(~F.col("sure") & ~alone).select("a", "b"), "open")
     own = ball.join(near.select("id", "embedding"), "id").select("id", "leader", "copies", "embedding")
-    sides = [open_.join(own.withColumnRenamed("leader", k), k).select(*[F.col(c).alias(c) for c in ("a", "b", "id", "copies", "embedding")]) for k in "ab"]
-    some = sides[0].groupBy("a", "b").cogroup(sides[1].toDF("a", "b", "id", "copies", "embedding").groupBy("a", "b")).applyInPandas(_members, "a long, b long, id long, more long")
+    sides = [
+        open_.join(own.withColumnRenamed("leader", k), k).select(*[F.col(c).alias(c) for c in ("a", "b", "id", "copies", "embedding")]) for k in "ab"
+    ]
+    some = sides[0].groupBy("a", "b").cogroup(
+        sides[1].toDF("a", "b", "id", "copies", "embedding").groupBy("a", "b")
+    ).applyInPandas(_members, "a long, b long, id long, more long")
     some = stages.put(some, "members")
     w = leaders.select("id", "weight")
-    more = sure.join(w.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("leader"), "weight").union(sure.join(w.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("leader"), "weight"))
+    more = sure.join(w.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("leader"), "weight").union(
+        sure.join(w.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("leader"), "weight")
+    )
     more = more.groupBy("leader").agg(F.sum("weight").alias("weight"))
     weight = heads.select("leader", "weight").union(more).groupBy("leader").agg(F.sum("weight").alias("weight"))
-    counts = ball.join(weight, "leader").select("id", (F.col("weight") - 1).alias("n")).union(some.select("id", F.col("more").alias("n"))).groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
+    counts = ball.join(weight, "leader").select("id", (F.col("weight") - 1).alias("n")).union(
+        some.select("id", F.col("more").alias("n"))
+    ).groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
     joined = sure.union(some.select("a", "b").distinct()).union(ball.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
     return counts, joined
 
@@ -370,6 +428,15 @@ def dedup(vectors: DataFrame, overlap: int = OVERLAP, widest: int = 8) -> DataFr
             break
         overlap += 2
     groups = components(edges, stages).withColumnRenamed("node", "id")
-    per = found.select("id", "k1", "k2").join(counts, "id").join(groups, "id", "left").select("k1", "k2", "n_links", F.coalesce("component", "id").alias("component"))
-    out = rows.join(per, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    per = found.select("id", "k1", "k2").join(counts, "id").join(groups, "id", "left").select(
+        "k1",
+        "k2",
+        "n_links",
+        F.coalesce("component", "id").alias("component"),
+    )
+    out = rows.join(per, ["k1", "k2"], "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component_id"),
+    )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("audited_recall", F.lit(recall))

@@ -45,7 +45,14 @@ INPUT = "type string, record_id string, target_uri string, date string, payload_
 ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SCHEMA.split(", ")])
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAMES = {"type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "refers_to": "warc-refers-to"}
+NAMES = {
+    "type": "warc-type",
+    "record_id": "warc-record-id",
+    "target_uri": "warc-target-uri",
+    "date": "warc-date",
+    "content_type": "content-type",
+    "refers_to": "warc-refers-to",
+}
 TESTS = {
     EqualTo: lambda x, v: x is not None and x == v,
     In: lambda x, v: x is not None and x in v,
@@ -113,7 +120,9 @@ class WarcReader(DataSourceReader):
         system, base = _fs(self.folder)
         if system.get_file_info(f"{base}/manifest.json").type == fs.FileType.File:
             files = json.loads(read_bytes(f"{self.folder}/manifest.json"))
-            return [Chunk(f["path"], lo, hi) for f in files for lo, hi in zip(f["marks"], [*f["marks"][1:], f["size"]], strict=True)] or [Chunk("", 0, 0)]
+            return [
+                Chunk(f["path"], lo, hi) for f in files for lo, hi in zip(f["marks"], [*f["marks"][1:], f["size"]], strict=True)
+            ] or [Chunk("", 0, 0)]
         found = system.get_file_info(fs.FileSelector(base, recursive=True))
         names = sorted(f.path for f in found if f.path.endswith((".warc", ".warc.gz")))
         return [Chunk(self.folder + n[len(base) :], 0, -1) for n in names] or [Chunk("", 0, 0)]
@@ -242,7 +251,16 @@ class WarcWriter(DataSourceArrowWriter):
                 system.delete_file(path)
 
 
-def record(type: str, record_id: str, target_uri: str | None, date: str, payload_digest: str, payload_bytes: int, refers_to: str | None, payload: bytes | None) -> bytes:
+def record(
+    type: str,
+    record_id: str,
+    target_uri: str | None,
+    date: str,
+    payload_digest: str,
+    payload_bytes: int,
+    refers_to: str | None,
+    payload: bytes | None,
+) -> bytes:
     """One WARC/1.1 record; a revisit carries the HTTP head alone."""
     block = HTTP if type == "revisit" else HTTP + (payload or b"")
     head = {
@@ -271,7 +289,10 @@ def archive(pages: DataFrame, folder: str, stages: Stages, least: int = LEAST_BY
     register(pages.sparkSession)
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     page = page.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    again = page.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "kept")
+    again = page.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(
+        F.max("page_id").alias("kept"),
+        F.count("*").alias("n"),
+    ).where("n > 1").select("payload_digest", "kept")
     again = small_side(stages.put(again, "repeated"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     revisit = F.coalesce((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("kept")) & F.col("kept").isNotNull(), F.lit(False))
@@ -295,4 +316,10 @@ def archived(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     archive(pages, folder, stages, least)
     number = lambda c: F.expr(f"try_cast(substr({c}, 10) as bigint)")
     back = pages.sparkSession.read.format("warc").option("payload", "verify").load(folder).where(F.col("type").isin("response", "revisit"))
-    return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    return back.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )

@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_hit string"
-ODD = [(1, None, None, None, "x"), (2, "", "en", "a", "x"), (3, "  ", "en", "a", "x"), (4, "one", "en", "b", "x"), (4, "one", "en", "b", "x"), (None, "null id", "de", "b", "x"), (7, "w " * 30000, "en", "b", "x")]
+ODD = [
+    (1, None, None, None, "x"),
+    (2, "", "en", "a", "x"),
+    (3, "  ", "en", "a", "x"),
+    (4, "one", "en", "b", "x"),
+    (4, "one", "en", "b", "x"),
+    (None, "null id", "de", "b", "x"),
+    (7, "w " * 30000, "en", "b", "x"),
+]
 
 
 def docs_of(spark, texts):
@@ -33,7 +41,9 @@ def duck(sql, **tables):
 
 
 def same(got, want):
-    norm = lambda f: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
+    norm = lambda f: sorted(
+        tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False)
+    )
     assert sorted(got.columns) == sorted(want.columns) and norm(got) == norm(want)
 
 
@@ -174,7 +184,16 @@ def test_tokens(spark):
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://a/x", "p" * 1200), (2, "http://b/ y", "p" * 1200), (3, None, None), (4, "http://c", "é" * 700), (5, "http://d", "short"), (6, "http://e", "short"), (None, "http://f", "p" * 1200), (2, "http://b", "p" * 1200)]
+    rows = [
+        (1, "http://a/x", "p" * 1200),
+        (2, "http://b/ y", "p" * 1200),
+        (3, None, None),
+        (4, "http://c", "é" * 700),
+        (5, "http://d", "short"),
+        (6, "http://e", "short"),
+        (None, "http://f", "p" * 1200),
+        (2, "http://b", "p" * 1200),
+    ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     same(warc.archived(df).toPandas().astype(object), duck(oracles.WARC, pages=df).astype(object))
     warc.register(spark)
@@ -217,7 +236,11 @@ def test_low_recall_raises(spark, monkeypatch):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     assert vectors.dedup(df).where("n_links > 0").count() > 20
     real = vectors.links
-    monkeypatch.setattr(vectors, "links", lambda found, stages, overlap: (lambda c, e: (c.withColumn("n_links", F.lit(0).cast("long")), e.limit(0)))(*real(found, stages, overlap)))
+    monkeypatch.setattr(
+        vectors,
+        "links",
+        lambda found, stages, overlap: (lambda c, e: (c.withColumn("n_links", F.lit(0).cast("long")), e.limit(0)))(*real(found, stages, overlap)),
+    )
     with pytest.raises(RuntimeError, match="recall"):
         vectors.dedup(df, widest=2)
 
@@ -239,7 +262,11 @@ def test_quality(spark):
 
 
 def test_toxicity(spark):
-    df, labels = labelled(spark, random.Random(9), lambda r: invented(r, 20) + ". you are an " + r.choice(["idiot", "zurblic", "zurblon"]) + ". " + invented(r, 9))
+    df, labels = labelled(
+        spark,
+        random.Random(9),
+        lambda r: invented(r, 20) + ". you are an " + r.choice(["idiot", "zurblic", "zurblon"]) + ". " + invented(r, 9),
+    )
     got = toxicity.toxicity(df, labels).join(labels, "doc_id").toPandas()
     assert (got["predicted"] == got["toxic"]).mean() > 0.98
     after, gain = toxicity.grammar()
@@ -262,7 +289,16 @@ def test_language(spark):
     alphabets = {"en": "aeiount shr", "de": "äöüchtz kß"}
     say = lambda k, n=60: "".join(rng.choice(alphabets[k]) for _ in range(n))
     df = spark.createDataFrame([(i, say("en" if i % 2 else "de"), "en" if i % 2 else "de", f"s{i % 2}", "x") for i in range(200)], DOC)
-    pages = spark.createDataFrame([(i, f"http://h{i % 2}.site.{'de' if i % 2 else 'com'}/", f'<html lang="{"de" if i % 2 else "en"}"><p>{say("de" if i % 2 else "en")}</p>') for i in range(40)] + [(99, None, None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            (
+                i,
+                f"http://h{i % 2}.site.{'de' if i % 2 else 'com'}/",
+                f'<html lang="{"de" if i % 2 else "en"}"><p>{say("de" if i % 2 else "en")}</p>',
+            ) for i in range(40)
+        ] + [(99, None, None)],
+        "page_id long, url string, html string",
+    )
     got = language.identify(df, pages).toPandas()
     d = got[got.doc_id.notna()]
     assert (d["lang"] == d["doc_id"].map(lambda i: "en" if i % 2 else "de")).mean() > 0.97
@@ -295,9 +331,15 @@ def test_odd_inputs(spark):
     assert by_id(decontaminate.judged(df, bench).select("doc.doc_id", "n_words", "n_hit", "n_items"), "doc_id", "n_words", "n_hit", "n_items") == sorted(
         ((str(i), str(n), str(n if n == 30000 else 0), str(int(n == 30000))) for i, n in zip(ids, words, strict=True)), key=str)
     assert by_id(secrets.scan(df), "doc_id", "spans", "n_assign") == sorted(((str(i), "", "0") for i in ids), key=str)
-    assert by_id(jaccard.join(df), "doc_id", "n_shingles", "component_id") == sorted(((str(i), str(int(n > 0)), str(i)) for i, n in zip(ids, words, strict=True)), key=str)
+    assert by_id(jaccard.join(df), "doc_id", "n_shingles", "component_id") == sorted(
+        ((str(i), str(int(n > 0)), str(i)) for i, n in zip(ids, words, strict=True)),
+        key=str,
+    )
     coded = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in ODD]
-    assert by_id(tokens.encoded(df, path), "doc_id", "n_tokens", "ids_crc32") == sorted(((str(i), str(len(c)), str(zlib.crc32(c.tobytes()))) for i, c in zip(ids, coded, strict=True)), key=str)
+    assert by_id(tokens.encoded(df, path), "doc_id", "n_tokens", "ids_crc32") == sorted(
+        ((str(i), str(len(c)), str(zlib.crc32(c.tobytes()))) for i, c in zip(ids, coded, strict=True)),
+        key=str,
+    )
     for scored in (nbsvm.quality(df, labels), toxicity.toxicity(df, labels)):
         rows = scored.collect()
         assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids)) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
@@ -313,7 +355,18 @@ def test_odd_inputs(spark):
     copies = {str(r.doc_id): r.copies for r in mixing.mix(df).collect()}
     assert by_id(mixing.mixed(df), *df.columns) == sorted((r for r in whole for _ in range(copies[r[0]])), key=str)
     none = df.limit(0)
-    for empty in (mixing.mix(none), decontaminate.judged(none, bench), secrets.scan(none), jaccard.join(none), tokens.encoded(none, path), nbsvm.quality(none, labels), toxicity.toxicity(none, labels), language.identify(none, pages), warc.archived(pages), vectors.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+    for empty in (
+        mixing.mix(none),
+        decontaminate.judged(none, bench),
+        secrets.scan(none),
+        jaccard.join(none),
+        tokens.encoded(none, path),
+        nbsvm.quality(none, labels),
+        toxicity.toxicity(none, labels),
+        language.identify(none, pages),
+        warc.archived(pages),
+        vectors.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+    ):
         assert empty.collect() == []
     for empty in (toxicity.keep_clean(none, labels), decontaminate.remove(none, bench), jaccard.keep_one(none), mixing.mixed(none)):
         assert empty.collect() == [] and empty.columns == df.columns
@@ -331,11 +384,21 @@ def test_ids_of_several_texts(spark):
 def test_inclusion(spark):
     """Each measure of length is included as often as its probability says, over many seeds, and certain documents always."""
     rng = random.Random(41)
-    rows = [(i, " ".join("w" * rng.choice([4, 8, 16, 32, 64])), "en", rng.choice("abc"), "x") for i in range(700)] + [(9000 + i, " ".join("w" * 3000), "en", "c", "x") for i in range(3)]
+    rows = [
+        (i, " ".join("w" * rng.choice([4, 8, 16, 32, 64])), "en", rng.choice("abc"), "x") for i in range(700)
+    ] + [(9000 + i, " ".join("w" * 3000), "en", "c", "x") for i in range(3)]
     df = spark.createDataFrame(rows, DOC).cache()
     n, total = 10, None
     for seed in range(n):
-        one = mixing.mix(df, weights=(1, 1, 1), seed=str(seed)).selectExpr("doc_id", "source", "size", "p", "copies - floor(target / source_size) as more", "target", "taken")
+        one = mixing.mix(df, weights=(1, 1, 1), seed=str(seed)).selectExpr(
+            "doc_id",
+            "source",
+            "size",
+            "p",
+            "copies - floor(target / source_size) as more",
+            "target",
+            "taken",
+        )
         total = one if total is None else total.union(one)
     total = total.toPandas()
     per = total.groupby(["source", "size"]).agg(p=("p", "mean"), more=("more", "mean"), n=("more", "size"))

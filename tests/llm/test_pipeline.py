@@ -41,7 +41,10 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 4}", "x") for i, t in enumerate(texts)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, DOC).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(x)) for i, x in enumerate(toxic)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, int(x)) for i, x in enumerate(toxic)],
+        "doc_id long, quality int, toxic int",
+    ).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
     left = [r for r, x in zip(rows, toxic, strict=True) if not x]
@@ -65,7 +68,16 @@ def test_odd_inputs(spark, tmp_path):
     """Null, empty and long texts, repeated rows, null ids, clashing columns and empty tables through all stages."""
     pytest.importorskip("public_tokenizers")
     folder = str(tmp_path)
-    odd = [(1, None, "en", None, 1), (2, "", "en", "a", 2), (3, " \n", "en", "a", 3), (4, "one", "en", "b", 4), (4, "one", "en", "b", 4), (None, "no id at all", "de", "b", 5), (None, "no id at all", "de", "b", 5), (7, "word " * 30000, "en", "b", 6)]
+    odd = [
+        (1, None, "en", None, 1),
+        (2, "", "en", "a", 2),
+        (3, " \n", "en", "a", 3),
+        (4, "one", "en", "b", 4),
+        (4, "one", "en", "b", 4),
+        (None, "no id at all", "de", "b", 5),
+        (None, "no id at all", "de", "b", 5),
+        (7, "word " * 30000, "en", "b", 6),
+    ]
     schema = "doc_id long, text string, lang string, source string, `a-b` int"
     spark.createDataFrame(odd, schema).selectExpr("*", "1 as doc", "2 as _id", "3 as copies").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(2, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

@@ -19,7 +19,9 @@ def test_a_family_of_copies_takes_no_places(spark):
     rng = random.Random(22)
     said = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
     family = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(900))
-    rows = [(i, said(30), 0) for i in range(900)] + [(1000 + i, family, 1) for i in range(60)] + [(2000 + i, f"{said(20)} zurblic {said(5)}", 1) for i in range(24)]
+    rows = [(i, said(30), 0) for i in range(900)] + [(1000 + i, family, 1) for i in range(60)] + [
+        (2000 + i, f"{said(20)} zurblic {said(5)}", 1) for i in range(24)
+    ]
     rows += [(3000 + i, f"{said(20)} hurt {said(5)}", int(i < 4)) for i in range(150)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     marked = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
@@ -78,11 +80,26 @@ def clause_weights(text, entries, span=3):
 
 def test_clauses_of_whole_texts():
     rng = random.Random(31)
-    seeds = {"insult": toxicity.INSULT, "threat": toxicity.THREAT, "target": toxicity.TARGET, "negation": toxicity.NEGATION, "report": toxicity.REPORT}
-    entries = [(w, True, k, round(rng.uniform(1, 8), 2) if name in ("insult", "threat") else 0.0) for name, k in seeds.items() for w in toxicity.SEEDS[name].split()[:6]]
+    seeds = {
+        "insult": toxicity.INSULT,
+        "threat": toxicity.THREAT,
+        "target": toxicity.TARGET,
+        "negation": toxicity.NEGATION,
+        "report": toxicity.REPORT,
+    }
+    entries = [
+        (
+            w,
+            True,
+            k,
+            round(rng.uniform(1, 8), 2) if name in ("insult", "threat") else 0.0,
+        ) for name, k in seeds.items() for w in toxicity.SEEDS[name].split()[:6]
+    ]
     entries += [("zurb", False, toxicity.INSULT, 2.5), ("zurbli", False, toxicity.INSULT, 4.5), ("écla", False, toxicity.THREAT, 3.0)]
     words = [e[0] for e in entries] + ["zurblic", "zurbon", "éclat", "then", "the", "x1"] * 4
-    texts = ["".join(rng.choice(words).title() + rng.choice([" ", " ", " ", ", ", ". ", "; ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)] + [None, "", "..."]
+    texts = [
+        "".join(rng.choice(words).title() + rng.choice([" ", " ", " ", ", ", ". ", "; ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(400)
+    ] + [None, "", "..."]
     _, *got = toxicity.Scorer(toxicity.Lexicon(entries), 1.0, 2.0)(pa.array(texts, pa.string()), 0.7)
     for t, *row in zip(texts, *got, strict=True):
         assert row == pytest.approx(clause_weights(t or "", entries)), t
@@ -105,7 +122,9 @@ def plain_indicators(text):
 
 def test_indicators_of_whole_texts(monkeypatch):
     rng = random.Random(32)
-    texts = [" ".join("".join(rng.choice("aZ9é!.") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, "a a a", "x" * 50]
+    texts = [
+        " ".join("".join(rng.choice("aZ9é!.") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))) for _ in range(60)
+    ] + ["", None, "a a a", "x" * 50]
     data, at = T.utf8(pa.array(texts, pa.string()))
     for block, segment in ((T.BLOCK, nbsvm.SEGMENT), (16, 7)):
         monkeypatch.setattr(T, "BLOCK", block)
@@ -160,7 +179,9 @@ def test_dual_solution(monkeypatch):
     margin = [drawn[f] @ ratio[f] / np.sqrt((ratio[f] ** 2).sum()) + model.bias for f in features]
     got = np.concatenate([nbsvm.margins(model, np.zeros(len(f), np.int64), f, 1) for f in features])
     assert got == pytest.approx(np.array(margin), abs=1e-4)
-    assert labels.probability(got, model.cut, model.slope, 0.3) == pytest.approx(1 / (1 + np.exp(-(model.slope * (got - model.cut) + math.log(0.3 / 0.7)))))
+    assert labels.probability(got, model.cut, model.slope, 0.3) == pytest.approx(
+        1 / (1 + np.exp(-(model.slope * (got - model.cut) + math.log(0.3 / 0.7))))
+    )
 
 
 def test_bayes_by_hand(spark):
@@ -168,12 +189,21 @@ def test_bayes_by_hand(spark):
     rng = random.Random(34)
     alphabets = {"de": "äöüchtz kß ein", "en": "aeiount shr the", "nl": "aeij vzg oe het"}
     say = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
-    docs = [(i, say(k, rng.choice([0, 2, 9, 80])), k if rng.random() < 0.8 else None, f"s{i % 4}") for i in range(120) for k in [rng.choice(list(alphabets))]] + [(900, None, "en", None)]
+    docs = [
+        (
+            i,
+            say(k, rng.choice([0, 2, 9, 80])),
+            k if rng.random() < 0.8 else None,
+            f"s{i % 4}",
+        ) for i in range(120) for k in [rng.choice(list(alphabets))]
+    ] + [(900, None, "en", None)]
     pages = []
     for i in range(60):
         k = rng.choice(list(alphabets))
         said = rng.choice([f'<html lang="{k}">', '<html lang="xx">', "<html>"])
-        pages.append((i, f"http://{rng.choice('abc')}.{rng.choice('pq')}.{rng.choice([k, 'com'])}/x", f"{said}<p>{say(k, rng.choice([3, 12, 40]))}</p>"))
+        pages.append(
+            (i, f"http://{rng.choice('abc')}.{rng.choice('pq')}.{rng.choice([k, 'com'])}/x", f"{said}<p>{say(k, rng.choice([3, 12, 40]))}</p>")
+        )
     pages += [(98, None, None), (99, "http://10.0.0.1/", "<p>the het</p>")]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, lang string, source string, soft int")
     p = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -196,7 +226,16 @@ def test_bayes_by_hand(spark):
         host = url and url.split("/")[2]
         named = host and not re.fullmatch("[0-9.]+", host)
         declared = re.search('lang="(..)"', html or "")
-        rows.append((("p", i), re.sub("<[^>]*>", " ", html) if html else None, host, ".".join(host.split(".")[-2:]) if named else None, host.split(".")[-1] if named else None, declared and declared[1]))
+        rows.append(
+            (
+                ("p", i),
+                re.sub("<[^>]*>", " ", html) if html else None,
+                host,
+                ".".join(host.split(".")[-2:]) if named else None,
+                host.split(".")[-1] if named else None,
+                declared and declared[1],
+            )
+        )
     names = sorted(alphabets)
     evidence = {}
     for key, text, *_ in rows:
@@ -206,7 +245,13 @@ def test_bayes_by_hand(spark):
     soft = {k: normal(v) for k, v in evidence.items()}
     sums = {}
     for key, _, host, domain, suffix, declared in rows:
-        for group in [("all",), host and ("host", host), domain and ("domain", domain), suffix and ("suffix", suffix), declared in names and ("declared", declared)]:
+        for group in [
+            ("all",),
+            host and ("host", host),
+            domain and ("domain", domain),
+            suffix and ("suffix", suffix),
+            declared in names and ("declared", declared),
+        ]:
             if group:
                 sums[group] = [a + b for a, b in zip(sums.get(group, [0] * 3), soft[key], strict=True)]
 
@@ -220,10 +265,26 @@ def test_bayes_by_hand(spark):
         prior = smoothed(("all",), key, [1 / 3] * 3)
         by_host = smoothed(host and ("host", host), key, smoothed(domain and ("domain", domain), key, prior))
         by_suffix = smoothed(suffix and ("suffix", suffix), key, prior)
-        log = [e + math.log(h + 1e-9) + math.log(s + 1e-9) - math.log(q + 1e-9) for e, h, s, q in zip(evidence[key], by_host, by_suffix, prior, strict=True)]
+        log = [
+            e + math.log(h + 1e-9) + math.log(s + 1e-9) - math.log(q + 1e-9) for e, h, s, q in zip(
+                evidence[key],
+                by_host,
+                by_suffix,
+                prior,
+                strict=True,
+            )
+        ]
         if declared in names:
             expected = [language.DECLARED_TRUE if k == declared else (1 - language.DECLARED_TRUE) / 2 for k in names]
-            share = [(max(a - b, 0) + language.STRENGTH * e) / (t + language.STRENGTH) for a, b, e, t in zip(sums["declared", declared], soft[key], expected, sums[("all",)], strict=True)]
+            share = [
+                (max(a - b, 0) + language.STRENGTH * e) / (t + language.STRENGTH) for a, b, e, t in zip(
+                    sums["declared", declared],
+                    soft[key],
+                    expected,
+                    sums[("all",)],
+                    strict=True,
+                )
+            ]
             log = [x + math.log(s + 1e-9) for x, s in zip(log, share, strict=True)]
         posterior = normal(log)
         assert got[key].posterior == pytest.approx(max(posterior), abs=1e-3), key
