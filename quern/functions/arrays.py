@@ -34,7 +34,11 @@ def masked(a: Column, marker: Column, pad: int, ignore: int = -100) -> Column:
 
 def schedule(n: Column, batch: int, accumulate: int, epochs: int, warm: float) -> list[Column]:
     per = F.ceil(F.ceil(n / F.lit(float(batch))) / F.lit(float(accumulate)))
-    return [per.cast("long").alias("per_epoch"), (per * epochs).cast("long").alias("total"), F.greatest(F.lit(1), F.floor(per * epochs * warm)).cast("long").alias("warmup")]
+    return [
+        per.cast("long").alias("per_epoch"),
+        (per * epochs).cast("long").alias("total"),
+        F.greatest(F.lit(1), F.floor(per * epochs * warm)).cast("long").alias("warmup"),
+    ]
 
 
 def recognised(node) -> str | None:

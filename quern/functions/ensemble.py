@@ -111,7 +111,16 @@ def mbr(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     yield from _reduced(parts, least_risk)
 
 
-STRATEGIES = {"char_voting": char_voting, "rover": rover, "rover_mbr": rover_mbr, "mbr": mbr, "majority": majority, "longest": longest, "shortest": shortest, "first": first}
+STRATEGIES = {
+    "char_voting": char_voting,
+    "rover": rover,
+    "rover_mbr": rover_mbr,
+    "mbr": mbr,
+    "majority": majority,
+    "longest": longest,
+    "shortest": shortest,
+    "first": first,
+}
 
 
 def ensemble(p: Column, strategy: str = "char_voting") -> Column:

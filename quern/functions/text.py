@@ -12,7 +12,16 @@ SPECIAL = r"[\^~\*\-]{2,}|y\^e|s\^d|w\^th|Dec\^d|afores\^d|Rec\^d|deliver\^d"
 # \\b stands for an edge of a word; it is replaced by each engine's own way to say so.
 ARCHAIC = [r"\bff[a-z]", r"\bvp?on\b", r"\bvnt[o|i]", r"\bw[t]h", r"\bwhich", r"[aeiou]{3,}"]
 PUNCTUATION = r"[,;:\.!?\-\(\)]"
-WEIGHTS = {"vocabulary_diversity": 0.15, "rare_word_ratio": 0.25, "named_entity_score": 0.20, "number_complexity": 0.15, "special_char_complexity": 0.10, "historical_spelling": 0.05, "text_length_complexity": 0.05, "punctuation_complexity": 0.05}
+WEIGHTS = {
+    "vocabulary_diversity": 0.15,
+    "rare_word_ratio": 0.25,
+    "named_entity_score": 0.20,
+    "number_complexity": 0.15,
+    "special_char_complexity": 0.10,
+    "historical_spelling": 0.05,
+    "text_length_complexity": 0.05,
+    "punctuation_complexity": 0.05,
+}
 ARTIFACTS = ["<|assistant|>", "<|user|>", "assistant", "Assistant:"]
 
 

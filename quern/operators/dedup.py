@@ -43,7 +43,9 @@ def rare_ratio(counted: DataFrame) -> DataFrame:
     bounds = with_quantiles(per, "n", median=0.5)
     bounds = bounds.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all"))))
     common = bounds.where(F.col("n") >= F.greatest("median", F.col("all") * COMMON)).select("word")
-    rare = bounds.where((F.col("n") < F.col("median")) & ~F.regexp_replace("word", f"[^{T.LETTERS}{T.SPACE}]", "").isin(*T.BOILERPLATE)).select("word")
+    rare = bounds.where(
+        (F.col("n") < F.col("median")) & ~F.regexp_replace("word", f"[^{T.LETTERS}{T.SPACE}]", "").isin(*T.BOILERPLATE)
+    ).select("word")
     found = counted.join(F.broadcast(common), "word", "left_anti").join(rare, "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("some"))
     total = counted.groupBy("doc_id").agg(F.sum("n").alias("every"))
     return total.join(found, "doc_id", "left").select("doc_id", (F.coalesce("some", F.lit(0)) / F.col("every").cast("double")).alias("rare"))

@@ -25,7 +25,10 @@ def within(nodes: DataFrame, reach: float, pair: Column | None = None) -> DataFr
     cell = lambda c, d: F.floor(F.col(c) / reach) + d
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
-    a = a.withColumn("cx", F.explode(F.transform(steps, lambda d: F.col("cx") + d))).withColumn("cy", F.explode(F.transform(steps, lambda d: F.col("cy") + d)))
+    a = a.withColumn(
+        "cx",
+        F.explode(F.transform(steps, lambda d: F.col("cx") + d)),
+    ).withColumn("cy", F.explode(F.transform(steps, lambda d: F.col("cy") + d)))
     b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns], cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
     near = a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", P.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")))
     near = near.where((F.col("a_id") != F.col("b_id")) & (F.col("distance") < reach))
@@ -90,7 +93,10 @@ def accumulate_down(nodes: DataFrame, edges: DataFrame, value: str, height: str)
         here = rows.where(band("h"))
         for c in carried:
             here = here.union(c.where(band("h")))
-        walked = here.groupBy("k").cogroup(links.where(band("top")).groupBy("k")).applyInPandas(_walk(lower), "k int, id long, h double, v double, own boolean")
+        walked = here.groupBy("k").cogroup(links.where(band("top")).groupBy("k")).applyInPandas(
+            _walk(lower),
+            "k int, id long, h double, v double, own boolean",
+        )
         walked = cut(walked)
         done.append(walked.where("own").select("id", F.col("v").alias("total")))
         carried.append(walked.where("not own").drop("own"))
@@ -183,4 +189,9 @@ def components(edges: DataFrame) -> DataFrame:
 def statistics(n_nodes: int, edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, mean_degree, density of a directed graph in which parallel edges count once."""
     e = edges.select("src", "dst").distinct().agg(F.count("*").alias("n_edges"))
-    return e.select(F.lit(n_nodes).cast("long").alias("n_nodes"), "n_edges", (2 * F.col("n_edges") / F.lit(float(max(n_nodes, 1)))).alias("mean_degree"), (F.col("n_edges") / F.lit(float(max(n_nodes * (n_nodes - 1), 1)))).alias("density"))
+    return e.select(
+        F.lit(n_nodes).cast("long").alias("n_nodes"),
+        "n_edges",
+        (2 * F.col("n_edges") / F.lit(float(max(n_nodes, 1)))).alias("mean_degree"),
+        (F.col("n_edges") / F.lit(float(max(n_nodes * (n_nodes - 1), 1)))).alias("density"),
+    )

@@ -10,7 +10,14 @@ def otsu(pixels: DataFrame) -> DataFrame:
     """img, threshold: the grey value that best separates dark from light, from a histogram and running sums."""
     h = pixels.groupBy("img", "v").agg(F.count("*").cast("double").alias("n"))
     run, all_ = Window.partitionBy("img").orderBy("v"), Window.partitionBy("img")
-    c = h.select("img", "v", F.sum("n").over(run).alias("w0"), F.sum(F.col("n") * F.col("v")).over(run).alias("s0"), F.sum("n").over(all_).alias("n"), F.sum(F.col("n") * F.col("v")).over(all_).alias("s"))
+    c = h.select(
+        "img",
+        "v",
+        F.sum("n").over(run).alias("w0"),
+        F.sum(F.col("n") * F.col("v")).over(run).alias("s0"),
+        F.sum("n").over(all_).alias("n"),
+        F.sum(F.col("n") * F.col("v")).over(all_).alias("s"),
+    )
     gap = F.expr("s0 / w0 - (s - s0) / (n - w0)")
     c = c.where("w0 < n").withColumn("between", F.round(F.expr("w0 * (n - w0)") * gap * gap, 4))
     return c.groupBy("img").agg(F.min_by("v", F.struct(-F.col("between"), "v")).alias("threshold"))
@@ -25,7 +32,11 @@ def contrast(pixels: DataFrame) -> DataFrame:
     """img, entropy of the histogram, contrast: Michelson contrast and entropy, half each, 0 for a black image."""
     h = pixels.groupBy("img", "v").agg(F.count("*").cast("double").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("img"))
-    per = h.withColumn("p", share).groupBy("img").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    per = h.withColumn("p", share).groupBy("img").agg(
+        (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
+    )
     score = ((F.col("hi") - F.col("lo")) / (F.col("hi") + F.col("lo")).cast("double") * 50 + F.col("entropy") / 8 * 50) * 100
     return per.select("img", "entropy", F.least(F.lit(100.0), F.when(F.col("hi") + F.col("lo") == 0, 0.0).otherwise(score)).alias("contrast"))
 
@@ -42,7 +53,12 @@ def ink_fade(pixels: DataFrame) -> DataFrame:
 def laplacian(pixels: DataFrame) -> DataFrame:
     """img, edges: variance of the four neighbours' sum less four times the place, mirrored at the rim."""
     rows, columns = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
-    around = [F.coalesce(*pair, F.col("v")) for w in (rows, columns) for pair in ((F.lag("v").over(w), F.lead("v").over(w)), (F.lead("v").over(w), F.lag("v").over(w)))]
+    around = [
+        F.coalesce(*pair, F.col("v")) for w in (rows, columns) for pair in (
+            (F.lag("v").over(w), F.lead("v").over(w)),
+            (F.lead("v").over(w), F.lag("v").over(w)),
+        )
+    ]
     return pixels.select("img", (sum(around[1:], around[0]) - 4 * F.col("v")).alias("edge")).groupBy("img").agg(F.var_pop("edge").alias("edges"))
 
 
@@ -63,7 +79,10 @@ def noise(pixels: DataFrame, reach: int = 2) -> DataFrame:
     around = wide.join(pixels.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv")), ["img", "ny", "nx"])
     listed = F.sort_array(F.collect_list("nv"))  # at most as many as the square has places
     middle = around.groupBy("img", "y", "x").agg(F.first("v").alias("v"), listed.alias("near"))
-    level = middle.select("img", F.abs(F.col("v") - F.col("near")[((F.size("near") + 1) / 2).cast("int") - 1]).alias("off")).groupBy("img").agg(F.avg("off").alias("level"))
+    level = middle.select(
+        "img",
+        F.abs(F.col("v") - F.col("near")[((F.size("near") + 1) / 2).cast("int") - 1]).alias("off"),
+    ).groupBy("img").agg(F.avg("off").alias("level"))
     return level.join(laplacian(pixels), "img").withColumn("noise", F.least(F.lit(100.0), F.col("edges") / 50.0 + F.col("level") * 5))
 
 

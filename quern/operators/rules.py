@@ -23,7 +23,14 @@ def verdict(value: Column, above: list[tuple[float, str]], otherwise: str) -> Co
 def multipliers(contrast: Column, tears: Column, stains: Column, paper: Column, texture: Column) -> list[Column]:
     """Augmentation multipliers by condition; a missing metric counts as 0."""
     rule = lambda c, limit, hit: F.when(F.coalesce(c, F.lit(0)) > limit, hit).otherwise(1.0)
-    return [rule(contrast, 44, 0.0).alias("p_brightness"), rule(contrast, 44, 0.0).alias("p_contrast"), rule(tears, 7, 1.5).alias("p_elastic"), rule(stains, 28, 0.0).alias("p_color"), rule(paper, 19, 0.5).alias("hue_sat"), rule(texture, 18, 0.0).alias("p_degradation")]
+    return [
+        rule(contrast, 44, 0.0).alias("p_brightness"),
+        rule(contrast, 44, 0.0).alias("p_contrast"),
+        rule(tears, 7, 1.5).alias("p_elastic"),
+        rule(stains, 28, 0.0).alias("p_color"),
+        rule(paper, 19, 0.5).alias("hue_sat"),
+        rule(texture, 18, 0.0).alias("p_degradation"),
+    ]
 
 
 def condition_class(score: Column) -> Column:

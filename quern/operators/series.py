@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from .quantiles import with_quantiles
 
 
-def sliding(df: DataFrame, station: str, time: str, features: list[str], target: str, past: int = 30, ahead: int = 7, inclusive: bool = True) -> DataFrame:
+def sliding(
+    df: DataFrame,
+    station: str,
+    time: str,
+    features: list[str],
+    target: str,
+    past: int = 30,
+    ahead: int = 7,
+    inclusive: bool = True,
+) -> DataFrame:
     """station, start, x (past rows of features), y (the next ahead targets); not inclusive drops each station's last window."""
     w = Window.partitionBy(station).orderBy(time)
     x = F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(w.rowsBetween(0, past - 1))
@@ -27,13 +36,22 @@ def metrics(obs: str, pred: str) -> list[Column]:
     """mse, mae, rmse and nse (which is R2)."""
     e = F.col(obs) - F.col(pred)
     mse = F.avg(e * e)
-    return [mse.alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(mse).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(obs) * F.count(obs))).alias("nse")]
+    return [
+        mse.alias("mse"),
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(mse).alias("rmse"),
+        (1 - F.sum(e * e) / (F.var_pop(obs) * F.count(obs))).alias("nse"),
+    ]
 
 
 def flow_loss(df: DataFrame, obs: str, pred: str, physics: float = 0.0, weight: float = 0.1) -> DataFrame:
     """mse + half the peaks' mse + a fifth of the squared low-flow bias + the weighted physics residual."""
     e = F.col(pred) - F.col(obs)
-    x = with_quantiles(df, obs, _hi=0.9, _lo=0.1).agg(F.avg(e * e).alias("mse"), F.coalesce(F.avg(F.when(F.col(obs) > F.col("_hi"), e * e)), F.lit(0.0)).alias("peak"), F.coalesce(F.avg(F.when(F.col(obs) < F.col("_lo"), e)), F.lit(0.0)).alias("_bias"))
+    x = with_quantiles(df, obs, _hi=0.9, _lo=0.1).agg(
+        F.avg(e * e).alias("mse"),
+        F.coalesce(F.avg(F.when(F.col(obs) > F.col("_hi"), e * e)), F.lit(0.0)).alias("peak"),
+        F.coalesce(F.avg(F.when(F.col(obs) < F.col("_lo"), e)), F.lit(0.0)).alias("_bias"),
+    )
     x = x.withColumn("low", F.col("_bias") * F.col("_bias")).drop("_bias")
     return x.withColumn("total", F.col("mse") + 0.5 * F.col("peak") + 0.2 * F.col("low") + weight * physics)
 
@@ -45,7 +63,11 @@ def early_stop(steps: Column, patience: int, delta: float) -> Column:
     def on(a: Column, s: Column) -> Column:
         better = s["val"] < a["best"] - delta
         bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        after = F.struct(F.when(better, s["val"]).otherwise(a["best"]).alias("best"), bad.cast("int").alias("bad"), F.when(bad >= patience, s["step"].cast("long")).alias("stop"))
+        after = F.struct(
+            F.when(better, s["val"]).otherwise(a["best"]).alias("best"),
+            bad.cast("int").alias("bad"),
+            F.when(bad >= patience, s["step"].cast("long")).alias("stop"),
+        )
         return F.when(a["stop"].isNotNull(), a).otherwise(after)
 
     return F.aggregate(steps, start, on)

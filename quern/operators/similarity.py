@@ -15,11 +15,17 @@ def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3
     n = F.size("w")
 
     def grams_of(k: int):
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(
+            n >= k,
+            F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")),
+        ).otherwise(F.array().cast("array<string>"))
 
     grams = [grams_of(k) for k in range(1, longest + 1)]
     tf = words.select("doc", F.explode(F.concat(*grams)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total")).where(F.col("df") >= least_df).orderBy(F.desc("total"), "term").limit(terms)
+    vocabulary = tf.groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.sum("n").alias("total"),
+    ).where(F.col("df") >= least_df).orderBy(F.desc("total"), "term").limit(terms)
     size = docs.agg(F.count("*").alias("docs"))
     weight = F.col("n") * (F.ln((1 + F.col("docs")) / (1 + F.col("df")).cast("double")) + 1)
     weighed = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(size)).select("doc", "term", weight.alias("w"))
@@ -41,7 +47,10 @@ def similar(unit: DataFrame, above: float) -> DataFrame:
     unit = cut(unit)
     df = F.broadcast(unit.groupBy("term").agg(F.count("*").alias("df")))  # one row a term of the vocabulary
     order = Window.partitionBy("doc").orderBy(F.desc("df"), "term")
-    rare = unit.join(df, "term").withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))).where(F.col("norm") >= above - 1e-9).select("doc", "term")
+    rare = unit.join(df, "term").withColumn(
+        "norm",
+        F.sqrt(F.sum(F.col("w") * F.col("w")).over(order)),
+    ).where(F.col("norm") >= above - 1e-9).select("doc", "term")
     met = rare.toDF("i", "term").join(rare.toDF("j", "term"), "term").where("i < j").select("i", "j").distinct()
     a, b = unit.toDF("i", "term", "wa"), unit.toDF("j", "term", "wb")
     sims = met.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
@@ -65,7 +74,11 @@ def percentiles(sims: DataFrame, n: int, qs: list[float]) -> DataFrame:
 
     order = ranked(some.select("sim"), ["sim"]).select("sim", (F.col("rank") - 1 + zeros).alias("at"))
     q = spark.createDataFrame(wanted, "q double, lo long, hi long, part double")
-    value = lambda key: q.join(F.broadcast(order.join(F.broadcast(q.select(F.col(key).alias("at")).distinct()), "at")), F.col(key) == F.col("at"), "left").select("q", F.coalesce("sim", F.lit(0.0)).alias(f"v_{key}"))
+    value = lambda key: q.join(
+        F.broadcast(order.join(F.broadcast(q.select(F.col(key).alias("at")).distinct()), "at")),
+        F.col(key) == F.col("at"),
+        "left",
+    ).select("q", F.coalesce("sim", F.lit(0.0)).alias(f"v_{key}"))
     both = q.join(value("lo"), "q").join(value("hi"), "q")
     return both.select("q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("part")).alias("sim"))
 
@@ -73,6 +86,8 @@ def percentiles(sims: DataFrame, n: int, qs: list[float]) -> DataFrame:
 def ranges(sims: DataFrame, n: int) -> DataFrame:
     """Counts of pairs by similarity, exactly 1 left out, pairs that share nothing in the lowest range."""
     s = F.col("sim")
-    per = sims.where(s < 1).groupBy(F.when(s < 0.2, "0.0-0.2").when(s < 0.4, "0.2-0.4").when(s < 0.6, "0.4-0.6").when(s < 0.8, "0.6-0.8").otherwise("0.8-1.0").alias("bucket")).agg(F.count("*").alias("n"))
+    per = sims.where(s < 1).groupBy(
+        F.when(s < 0.2, "0.0-0.2").when(s < 0.4, "0.2-0.4").when(s < 0.6, "0.4-0.6").when(s < 0.8, "0.6-0.8").otherwise("0.8-1.0").alias("bucket")
+    ).agg(F.count("*").alias("n"))
     zeros = sims.agg((F.lit(n * (n - 1) // 2) - F.count("*")).alias("n")).select(F.lit("0.0-0.2").alias("bucket"), "n")
     return per.union(zeros).groupBy("bucket").agg(F.sum("n").cast("long").alias("n")).where("n > 0")

@@ -11,7 +11,16 @@ from .quantiles import quantiles, with_quantiles
 def describe(value: str) -> list[Column]:
     """count, mean, std (sample), min, quartiles, max."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(value).cast("double").alias("max")]
+    return [
+        F.count(value).alias("count"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min(value).cast("double").alias("min"),
+        q[0].alias("q25"),
+        q[1].alias("q50"),
+        q[2].alias("q75"),
+        F.max(value).cast("double").alias("max"),
+    ]
 
 
 def with_scalars(df: DataFrame, *scalars: Column) -> DataFrame:

@@ -62,7 +62,10 @@ def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 42, starts:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_distances(_matrix(batch.column(1)), shared.value).argmin(axis=1).astype(np.int32))], [id_, "cluster_id"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(_distances(_matrix(batch.column(1)), shared.value).argmin(axis=1).astype(np.int32))],
+                [id_, "cluster_id"],
+            )
 
     return ready.mapInArrow(near, StructType([df.schema[id_], StructField("cluster_id", IntegerType())]))
 
@@ -73,7 +76,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0) if len(x) else np.empty((0, len(centres)))
+    return np.maximum(
+        (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1),
+        0,
+    ) if len(x) else np.empty((0, len(centres)))
 
 
 def _spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -103,7 +109,10 @@ def _moved(ready: DataFrame, centres: np.ndarray) -> list[tuple]:
                 np.add.at(total[s], near, x)
         s, c = np.nonzero(counts)
         ends = np.arange(len(s) + 1, dtype=np.int32) * size
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c), pa.array(counts[s, c]), pa.array(off[s, c]), pa.ListArray.from_arrays(ends, pa.array(total[s, c].ravel()))], ["s", "c", "n", "off", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(s), pa.array(c), pa.array(counts[s, c]), pa.array(off[s, c]), pa.ListArray.from_arrays(ends, pa.array(total[s, c].ravel()))],
+            ["s", "c", "n", "off", "v"],
+        )
 
     rows = ready.select("v").mapInArrow(summed, "s long, c long, n long, off double, v array<double>")
     per = rows.groupBy("s", "c").agg(F.sum("n"), F.sum("off"), *[F.sum(F.col("v")[i]) for i in range(size)]).orderBy("s", "c").collect()
@@ -115,4 +124,8 @@ def nearest(df: DataFrame, id_: str, vector: str, centroids: DataFrame) -> DataF
     """id, label, distance of the nearest centroid (label, centroid): a few centroids against all rows."""
     gap = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
     both = df.crossJoin(F.broadcast(centroids)).select(id_, "label_c", F.sqrt(gap).alias("d"))
-    return both.groupBy(id_).agg(F.min(F.struct("d", "label_c")).alias("m")).select(id_, F.col("m.label_c").alias("label"), F.col("m.d").alias("distance"))
+    return both.groupBy(id_).agg(F.min(F.struct("d", "label_c")).alias("m")).select(
+        id_,
+        F.col("m.label_c").alias("label"),
+        F.col("m.d").alias("distance"),
+    )

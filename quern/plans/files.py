@@ -20,11 +20,17 @@ def first_turns(t: Tables):
     return t.conversations.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.min_by(T.whole("text"), "turn").alias("pred"))
 
 
-@query("csv_round_trip", "select item_id::varchar as id, case when item_id % 7 = 0 then null else text end as target from benchmark where text is not null")
+@query(
+    "csv_round_trip",
+    "select item_id::varchar as id, case when item_id % 7 = 0 then null else text end as target from benchmark where text is not null",
+)
 def csv_round_trip(t: Tables):
     """Texts with quotes, commas and line ends through CSV files; the words for a missing value read as null."""
     path = fresh(t.spark, "csv")
-    rows = t.benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("ID"), F.when(F.col("item_id") % 7 == 0, "NA").otherwise(F.col("text")).alias("Target"))
+    rows = t.benchmark.where("text is not null").select(
+        F.col("item_id").cast("string").alias("ID"),
+        F.when(F.col("item_id") % 7 == 0, "NA").otherwise(F.col("text")).alias("Target"),
+    )
     Q.write_csv(rows, path)
     return Q.resolve(Q.read_csv(t.spark, path, "ID string, Target string"))
 
@@ -45,7 +51,10 @@ def cached_fold(t: Tables):
     return Q.cached(t.spark, f"{path}/fold_1.json", f"{path}/fold_1.csv", lambda: 1 / 0)
 
 
-@query("csv_to_cache", "select id, pred from (select conv_id::varchar as id, coalesce(string_agg(role, ' ' order by turn), '') as pred from conversations group by conv_id)")
+@query(
+    "csv_to_cache",
+    "select id, pred from (select conv_id::varchar as id, coalesce(string_agg(role, ' ' order by turn), '') as pred from conversations group by conv_id)",
+)
 def csv_to_cache(t: Tables):
     """A fold's CSV read where it has no cache yet."""
     path = fresh(t.spark, "folds")
@@ -75,7 +84,10 @@ def file_listing(t: Tables):
     return Q.existing(wanted, "name", Q.list_files(t.spark, path, "*.gt.txt").select(F.col("name").alias("file")))
 
 
-@query("manifest", "select 'd' || doc_id || '.png' || chr(9) || source as value from (select doc_id, source from documents where source is not null order by 'd' || doc_id limit 100)")
+@query(
+    "manifest",
+    "select 'd' || doc_id || '.png' || chr(9) || source as value from (select doc_id, source from documents where source is not null order by 'd' || doc_id limit 100)",
+)
 def manifest(t: Tables):
     """The first hundred lines of a training manifest by id (a cap that is the sink's)."""
     path = fresh(t.spark, "manifest")
@@ -114,16 +126,25 @@ def config_scan(t: Tables):
     stream.write(bytearray(json.dumps({"config": found, "results": []}).encode()))
     stream.close()
     found = Q.configuration(t.spark, f"{path}/absent.yaml", f"{path}/run")
-    flat = lambda x, at="": [y for k, v in x.items() for y in flat(v, f"{at}{k}.")] if isinstance(x, dict) else [(at[:-1], json.dumps(x))]
+    flat = lambda x, at="": [
+        y for k, v in x.items() for y in flat(v, f"{at}{k}.")
+    ] if isinstance(x, dict) else [(at[:-1], json.dumps(x))]
     return t.spark.createDataFrame(flat(found), "name string, value string")
 
 
-@query("fixed_decimals", "select source, printf('%.4f', avg(n_chars)) as mean, printf('%.2f%%', 100 * count(*) / (select count(*) from documents)::double) as share from documents group by source")
+@query(
+    "fixed_decimals",
+    "select source, printf('%.4f', avg(n_chars)) as mean, printf('%.2f%%', 100 * count(*) / (select count(*) from documents)::double) as share from documents group by source",
+)
 def fixed_decimals(t: Tables):
     """Scores as text of a fixed number of decimals."""
     per = t.documents.groupBy("source").agg(F.avg("n_chars").alias("m"), F.count("*").alias("n"))
     total = t.documents.agg(F.count("*").alias("all"))
-    return per.crossJoin(F.broadcast(total)).select("source", F.format_string("%.4f", "m").alias("mean"), F.format_string("%.2f%%", 100 * F.col("n") / F.col("all").cast("double")).alias("share"))
+    return per.crossJoin(F.broadcast(total)).select(
+        "source",
+        F.format_string("%.4f", "m").alias("mean"),
+        F.format_string("%.2f%%", 100 * F.col("n") / F.col("all").cast("double")).alias("share"),
+    )
 
 
 @query("decoded_images", """
@@ -137,7 +158,12 @@ def decoded_images(t: Tables):
     path = fresh(t.spark, "images")
     value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * e.cast("double")))).cast("long")
     hexed = F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(value(e)), 2, "0")), "")
-    made = t.embeddings.select(F.col("vec_id").cast("string").alias("name"), F.lit(8).alias("width"), (F.size("embedding") / 8).cast("int").alias("height"), F.unhex(hexed).alias("grey"))
+    made = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("name"),
+        F.lit(8).alias("width"),
+        (F.size("embedding") / 8).cast("int").alias("height"),
+        F.unhex(hexed).alias("grey"),
+    )
     J.write_images(made, path).count()
     back = J.read_images(t.spark, path).withColumn("img", F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long"))
     return J.pixels(back, "img")

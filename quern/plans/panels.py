@@ -23,7 +23,10 @@ PANEL = "(select user_id as station, ts::date::varchar as day, avg(value) as q,
 
 
 def panel(t: Tables):
-    return t.events.groupBy(F.col("user_id").alias("station"), F.to_date("ts").cast("string").alias("day")).agg(F.avg("value").alias("q"), F.count("*").cast("double").alias("h"))
+    return t.events.groupBy(
+        F.col("user_id").alias("station"),
+        F.to_date("ts").cast("string").alias("day"),
+    ).agg(F.avg("value").alias("q"), F.count("*").cast("double").alias("h"))
 
 
 WINDOWS = f"""(select * from (
@@ -35,18 +38,27 @@ def windows(t: Tables):
     return Z.sliding(panel(t), "station", "day", ["q", "h"], "q", 10, 3)
 
 
-@query("windows", f"select station, start, round(x[1][1], 6) as x_first, round(x[10][1], 6) as x_last, round(y[1], 6) as y_first, round(y[3], 6) as y_last from {WINDOWS}")
+@query(
+    "windows",
+    f"select station, start, round(x[1][1], 6) as x_first, round(x[10][1], 6) as x_last, round(y[1], 6) as y_first, round(y[3], 6) as y_last from {WINDOWS}",
+)
 def windows_query(t: Tables):
     x, y = F.col("x"), F.col("y")
     return windows(t).select("station", "start", r6(x[0][0], "x_first"), r6(x[9][0], "x_last"), r6(y[0], "y_first"), r6(y[2], "y_last"))
 
 
-@query("window_mean", f"select station, start, round(list_sum(list_transform(x, lambda r: r[1])) / 10, 6) as q, round(list_sum(list_transform(x, lambda r: r[2])) / 10, 6) as h from {WINDOWS}")
+@query(
+    "window_mean",
+    f"select station, start, round(list_sum(list_transform(x, lambda r: r[1])) / 10, 6) as q, round(list_sum(list_transform(x, lambda r: r[2])) / 10, 6) as h from {WINDOWS}",
+)
 def window_mean(t: Tables):
     return windows(t).select("station", "start", r6(Z.mean_row(F.col("x"), 0), "q"), r6(Z.mean_row(F.col("x"), 1), "h"))
 
 
-@query("standardize", f"select station, day, round((q - (select avg(q) from {PANEL})) / (select stddev_pop(q) from {PANEL}), 5) as q, round((h - (select avg(h) from {PANEL})) / (select stddev_pop(h) from {PANEL}), 5) as h from {PANEL}")
+@query(
+    "standardize",
+    f"select station, day, round((q - (select avg(q) from {PANEL})) / (select stddev_pop(q) from {PANEL}), 5) as q, round((h - (select avg(h) from {PANEL})) / (select stddev_pop(h) from {PANEL}), 5) as h from {PANEL}",
+)
 def standardize(t: Tables):
     return S.standardize(panel(t), ["q", "h"]).select("station", "day", F.round("q", 5).alias("q"), F.round("h", 5).alias("h"))
 
@@ -56,10 +68,16 @@ FORECAST = f"(select q as obs, lag(q) over (partition by station order by day) a
 
 def forecast(t: Tables):
     """Yesterday's value as today's forecast."""
-    return panel(t).withColumn("pred", F.lag("q").over(Window.partitionBy("station").orderBy("day"))).where("pred is not null").withColumnRenamed("q", "obs")
+    return panel(t).withColumn(
+        "pred",
+        F.lag("q").over(Window.partitionBy("station").orderBy("day")),
+    ).where("pred is not null").withColumnRenamed("q", "obs")
 
 
-@query("nse_metrics", f"select round(avg((obs - pred) ** 2), 6) as mse, round(avg(abs(obs - pred)), 6) as mae, round(sqrt(avg((obs - pred) ** 2)), 6) as rmse, round(1 - sum((obs - pred) ** 2) / (var_pop(obs) * count(*)), 6) as nse from {FORECAST} where pred is not null")
+@query(
+    "nse_metrics",
+    f"select round(avg((obs - pred) ** 2), 6) as mse, round(avg(abs(obs - pred)), 6) as mae, round(sqrt(avg((obs - pred) ** 2)), 6) as rmse, round(1 - sum((obs - pred) ** 2) / (var_pop(obs) * count(*)), 6) as nse from {FORECAST} where pred is not null",
+)
 def nse_metrics(t: Tables):
     out = forecast(t).agg(*Z.metrics("obs", "pred"))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
@@ -75,7 +93,11 @@ def hydro_loss(t: Tables):
 
 
 def _steps(t: Tables):
-    return panel(t).groupBy("station").agg(F.array_sort(F.collect_list(F.struct(F.datediff("day", F.lit("2024-01-01")).cast("long").alias("step"), F.col("q").alias("val")))).alias("steps"))
+    return panel(t).groupBy("station").agg(
+        F.array_sort(
+            F.collect_list(F.struct(F.datediff("day", F.lit("2024-01-01")).cast("long").alias("step"), F.col("q").alias("val")))
+        ).alias("steps")
+    )
 
 
 EARLY = f"""
@@ -111,7 +133,10 @@ def early_stop_stream(t: Tables):
     return stopped(rows, 3, 0.5).select("station", r6(F.col("best"), "best"), "stop")
 
 
-@query("running_best", f"select station, day, q < coalesce(min(q) over (partition by station order by day rows between unbounded preceding and 1 preceding), 'infinity'::double) as new_best from {PANEL}")
+@query(
+    "running_best",
+    f"select station, day, q < coalesce(min(q) over (partition by station order by day rows between unbounded preceding and 1 preceding), 'infinity'::double) as new_best from {PANEL}",
+)
 def running_best(t: Tables):
     before = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     return panel(t).select("station", "day", (F.col("q") < F.coalesce(F.min("q").over(before), F.lit(float("inf")))).alias("new_best"))
@@ -158,7 +183,10 @@ def monthly_rollup_stream(t: Tables):
     return streamed(t.spark, t.folder, "events", "month").withColumn("mean", F.round("mean", 6))
 
 
-@query("chrono_split", "select event_id, case when n <= floor(c * 0.7) then 'train' when n <= floor(c * 0.7) + floor(c * 0.15) then 'val' else 'test' end as split from (select event_id, row_number() over (order by ts, event_id) as n, count(*) over () as c from events)")
+@query(
+    "chrono_split",
+    "select event_id, case when n <= floor(c * 0.7) then 'train' when n <= floor(c * 0.7) + floor(c * 0.15) then 'val' else 'test' end as split from (select event_id, row_number() over (order by ts, event_id) as n, count(*) over () as c from events)",
+)
 def chrono_split(t: Tables):
     return X.chronological(t.events.select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "split")
 
@@ -174,7 +202,14 @@ def synthetic_panel(t: Tables):
     from quern.sources.generate import river_panel
 
     p = river_panel(t.spark)
-    return p.select("station_id", F.col("date").cast("string").alias("day"), r6(F.col("Q"), "q"), r6(F.col("H"), "h"), r6(F.col("PRELIQ_Q"), "rain"), r6(F.col("T_Q"), "temperature"))
+    return p.select(
+        "station_id",
+        F.col("date").cast("string").alias("day"),
+        r6(F.col("Q"), "q"),
+        r6(F.col("H"), "h"),
+        r6(F.col("PRELIQ_Q"), "rain"),
+        r6(F.col("T_Q"), "temperature"),
+    )
 
 
 # Graph nodes out of embeddings: position, elevation, karst share, area, slope.
@@ -183,7 +218,15 @@ NODES = "(select vec_id as id, embedding[1]::double * 200 as x, embedding[2]::do
 
 def nodes(t: Tables):
     e = lambda k: F.col("embedding")[k].cast("double")
-    return t.embeddings.select(F.col("vec_id").alias("id"), (e(0) * 200).alias("x"), (e(1) * 200).alias("y"), (500 + e(2) * 1000).alias("elevation"), F.least(F.lit(1.0), F.abs(e(3)) * 4).alias("karst"), (10 + F.abs(e(4)) * 1000).alias("area"), (0.001 + F.abs(e(5)) / 10).alias("slope"))
+    return t.embeddings.select(
+        F.col("vec_id").alias("id"),
+        (e(0) * 200).alias("x"),
+        (e(1) * 200).alias("y"),
+        (500 + e(2) * 1000).alias("elevation"),
+        F.least(F.lit(1.0), F.abs(e(3)) * 4).alias("karst"),
+        (10 + F.abs(e(4)) * 1000).alias("area"),
+        (0.001 + F.abs(e(5)) / 10).alias("slope"),
+    )
 
 
 DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
@@ -193,10 +236,18 @@ KARST = f"(select a.id as src, b.id as dst, {DIST} as distance, a.karst as ka, b
 
 @query("river_edges", f"select src, dst, round(distance, 5) as distance, round(slope, 6) as slope from {RIVER}")
 def river_edges(t: Tables):
-    return G.river(nodes(t), 5.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.round("distance", 5).alias("distance"), r6(F.col("slope"), "slope"))
-
-
-@query("river_edges_once", f"select a.id as src, b.id as dst from {NODES} a join {NODES} b on a.id < b.id and {DIST} < 5 and b.elevation < a.elevation")
+    return G.river(nodes(t), 5.0).select(
+        F.col("a_id").alias("src"),
+        F.col("b_id").alias("dst"),
+        F.round("distance", 5).alias("distance"),
+        r6(F.col("slope"), "slope"),
+    )
+
+
+@query(
+    "river_edges_once",
+    f"select a.id as src, b.id as dst from {NODES} a join {NODES} b on a.id < b.id and {DIST} < 5 and b.elevation < a.elevation",
+)
 def river_edges_once(t: Tables):
     return G.river(nodes(t), 5.0, once=True).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
 
@@ -211,7 +262,13 @@ from (select *, (1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0)
 def manning(t: Tables):
     e = G.river(nodes(t), 5.0)
     v = P.manning_velocity(F.col("a_area"), F.lit(0.035), F.col("slope"))
-    return e.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), r6(v, "velocity"), F.round(P.travel_hours(F.col("distance") * 1000, v), 5).alias("hours"), F.round(P.stream_power(F.col("a_area"), F.col("slope")), 4).alias("power"))
+    return e.select(
+        F.col("a_id").alias("src"),
+        F.col("b_id").alias("dst"),
+        r6(v, "velocity"),
+        F.round(P.travel_hours(F.col("distance") * 1000, v), 5).alias("hours"),
+        F.round(P.stream_power(F.col("a_area"), F.col("slope")), 4).alias("power"),
+    )
 
 
 @query("darcy", f"""select src, dst, round(k * 1e6, 6) as conductivity, round(area, 6) as area, round(k * area * g * 1e9, 6) as flux
@@ -221,13 +278,29 @@ def darcy(t: Tables):
     k = (P.conductivity(F.col("a_karst")) + P.conductivity(F.col("b_karst"))) / 2
     area = P.conduit(F.col("a_karst"), F.col("b_karst"))
     g = F.abs(F.col("a_elevation") - F.col("b_elevation")) / (F.col("distance") * 1000)
-    return e.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), r6(k * 1e6, "conductivity"), r6(area, "area"), r6(k * area * g * 1e9, "flux"))
-
-
-@query("wetness", f"select id, round(ln(area / (tan(slope) + 1e-6)), 6) as twi, greatest(1, least(7, ceil(log2(area / 10)))) as stream_order, round(0.01 + 0.2 * karst, 6) as porosity, round(0.3 + 0.08 * area ** 0.6, 6) as rating, round(sin(2 * pi() * (id % 365) / 365.25), 6) as season from {NODES}")
+    return e.select(
+        F.col("a_id").alias("src"),
+        F.col("b_id").alias("dst"),
+        r6(k * 1e6, "conductivity"),
+        r6(area, "area"),
+        r6(k * area * g * 1e9, "flux"),
+    )
+
+
+@query(
+    "wetness",
+    f"select id, round(ln(area / (tan(slope) + 1e-6)), 6) as twi, greatest(1, least(7, ceil(log2(area / 10)))) as stream_order, round(0.01 + 0.2 * karst, 6) as porosity, round(0.3 + 0.08 * area ** 0.6, 6) as rating, round(sin(2 * pi() * (id % 365) / 365.25), 6) as season from {NODES}",
+)
 def wetness(t: Tables):
     a, k = F.col("area"), F.col("karst")
-    return nodes(t).select("id", r6(P.wetness(a, F.col("slope")), "twi"), P.stream_order(a).alias("stream_order"), r6(P.porosity(k), "porosity"), r6(P.rating(a), "rating"), r6(P.seasonal(F.col("id") % 365), "season"))
+    return nodes(t).select(
+        "id",
+        r6(P.wetness(a, F.col("slope")), "twi"),
+        P.stream_order(a).alias("stream_order"),
+        r6(P.porosity(k), "porosity"),
+        r6(P.rating(a), "rating"),
+        r6(P.seasonal(F.col("id") % 365), "season"),
+    )
 
 
 @query("degree", f"select id, count(src) as in_degree from {NODES} n left join {RIVER} r on n.id = r.dst group by id")
@@ -241,7 +314,12 @@ with e as (select src, dst, distance from {RIVER}), i as (select dst as id, sum(
 select n.id, round(coalesce(i.v, 0), 4) as inflow, round(coalesce(o.v, 0), 4) as outflow, round(abs(coalesce(i.v, 0) - coalesce(o.v, 0)) / (coalesce(i.v, 0) + coalesce(o.v, 0) + 1e-6), 5) as relative from {NODES} n left join i using (id) left join o using (id)""")
 def flow_balance(t: Tables):
     e = G.river(nodes(t), 5.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "distance")
-    return G.balance(nodes(t), e, "distance").select("id", F.round("inflow", 4).alias("inflow"), F.round("outflow", 4).alias("outflow"), F.round("relative", 5).alias("relative"))
+    return G.balance(nodes(t), e, "distance").select(
+        "id",
+        F.round("inflow", 4).alias("inflow"),
+        F.round("outflow", 4).alias("outflow"),
+        F.round("relative", 5).alias("relative"),
+    )
 
 
 @query("accumulate", f"""
@@ -269,13 +347,24 @@ def components(t: Tables):
     return G.components(G.river(nodes(t), 5.0).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
-@query("graph_stats", f"select (select count(*) from {NODES}) as n_nodes, count(*) as n_edges, round(2 * count(*) / (select count(*) from {NODES})::double, 6) as mean_degree, round(count(*) / ((select count(*) from {NODES}) * ((select count(*) from {NODES}) - 1))::double, 6) as density from (select distinct src, dst from {RIVER})")
+@query(
+    "graph_stats",
+    f"select (select count(*) from {NODES}) as n_nodes, count(*) as n_edges, round(2 * count(*) / (select count(*) from {NODES})::double, 6) as mean_degree, round(count(*) / ((select count(*) from {NODES}) * ((select count(*) from {NODES}) - 1))::double, 6) as density from (select distinct src, dst from {RIVER})",
+)
 def graph_stats(t: Tables):
     e = G.river(nodes(t), 5.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    return G.statistics(t.embeddings.count(), e).select("n_nodes", "n_edges", r6(F.col("mean_degree"), "mean_degree"), r6(F.col("density"), "density"))
-
-
-@query("edge_styles", f"select kind, src, dst, round(distance / (max(distance) over (partition by kind) + 1e-6), 6) as style from (select 'river' as kind, src, dst, distance from {RIVER} union all select 'karst', src, dst, distance from {KARST})")
+    return G.statistics(t.embeddings.count(), e).select(
+        "n_nodes",
+        "n_edges",
+        r6(F.col("mean_degree"), "mean_degree"),
+        r6(F.col("density"), "density"),
+    )
+
+
+@query(
+    "edge_styles",
+    f"select kind, src, dst, round(distance / (max(distance) over (partition by kind) + 1e-6), 6) as style from (select 'river' as kind, src, dst, distance from {RIVER} union all select 'karst', src, dst, distance from {KARST})",
+)
 def edge_styles(t: Tables):
     """Style weights relative to the longest edge of each type."""
     of = lambda e, kind: e.select(F.lit(kind).alias("kind"), F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "distance")
@@ -284,13 +373,21 @@ def edge_styles(t: Tables):
     return e.join(top, "kind").select("kind", "src", "dst", r6(F.col("distance") / (F.col("top") + 1e-6), "style"))
 
 
-@query("edge_weights", f"select src, dst, round(distance / (max(distance) over () + 1e-6), 6) as style, round(avg(case when hours < 1000 then hours else 0 end) over (), 4) as penalty from (select *, distance * 1000 / ((1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0) * sqrt(slope)) / 3600 as hours from {RIVER})")
+@query(
+    "edge_weights",
+    f"select src, dst, round(distance / (max(distance) over () + 1e-6), 6) as style, round(avg(case when hours < 1000 then hours else 0 end) over (), 4) as penalty from (select *, distance * 1000 / ((1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0) * sqrt(slope)) / 3600 as hours from {RIVER})",
+)
 def edge_weights(t: Tables):
     """Style weights relative to the longest edge, and the mean travel time with those of 1,000 hours or more as 0."""
     v = P.manning_velocity(F.col("a_area"), F.lit(0.035), F.col("slope"))
     e = G.river(nodes(t), 5.0).withColumn("hours", P.travel_hours(F.col("distance") * 1000, v))
     e = S.with_scalars(e, F.max("distance").alias("top"), F.avg(F.when(F.col("hours") < 1000, F.col("hours")).otherwise(0.0)).alias("mean"))
-    return e.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), r6(F.col("distance") / (F.col("top") + 1e-6), "style"), F.round("mean", 4).alias("penalty"))
+    return e.select(
+        F.col("a_id").alias("src"),
+        F.col("b_id").alias("dst"),
+        r6(F.col("distance") / (F.col("top") + 1e-6), "style"),
+        F.round("mean", 4).alias("penalty"),
+    )
 
 
 # Bins and splits.
@@ -310,7 +407,10 @@ def qcut3(t: Tables):
     return S.qcut(t.documents, "n_chars", 3, "bin", ["easy", "medium", "hard"]).select("doc_id", "bin")
 
 
-@query("qcut5", f"select doc_id, (n_chars > {edge_sql(1, 5)})::int + (n_chars > {edge_sql(2, 5)})::int + (n_chars > {edge_sql(3, 5)})::int + (n_chars > {edge_sql(4, 5)})::int as bin from documents")
+@query(
+    "qcut5",
+    f"select doc_id, (n_chars > {edge_sql(1, 5)})::int + (n_chars > {edge_sql(2, 5)})::int + (n_chars > {edge_sql(3, 5)})::int + (n_chars > {edge_sql(4, 5)})::int as bin from documents",
+)
 def qcut5(t: Tables):
     return S.qcut(t.documents, "n_chars", 5, "bin").select("doc_id", "bin")
 
@@ -319,7 +419,14 @@ def strata_rows(t: Tables):
     d = S.qcut(t.documents, "n_chars", 3, "bin", ["easy", "medium", "hard"])
     flag = lambda p: F.coalesce(F.col("text").rlike(p), F.lit(False))
     nums, names = F.when(flag("[0-9]"), "has_nums").otherwise("no_nums"), F.when(flag("[A-Z]"), "has_names").otherwise("no_names")
-    return d.select("doc_id", "source", "n_chars", "bin", F.concat_ws("_", nums, names).alias("pair"), F.concat_ws("_", "bin", nums, names).alias("stratum"))
+    return d.select(
+        "doc_id",
+        "source",
+        "n_chars",
+        "bin",
+        F.concat_ws("_", nums, names).alias("pair"),
+        F.concat_ws("_", "bin", nums, names).alias("stratum"),
+    )
 
 
 STRATA = f"(select doc_id, source, n_chars, {BIN3} as bin, {DIGIT} || '_' || {NAME} as pair, {BIN3} || '_' || {DIGIT} || '_' || {NAME} as stratum from documents)"
@@ -333,7 +440,10 @@ def strata(t: Tables):
 HASH = "md5(doc_id || '|42'), doc_id"
 
 
-@query("stratified_split", f"select doc_id, row_number() over (partition by bin order by {HASH}) <= ceil(count(*) over (partition by bin) * 0.2) as in_val from {STRATA}")
+@query(
+    "stratified_split",
+    f"select doc_id, row_number() over (partition by bin order by {HASH}) <= ceil(count(*) over (partition by bin) * 0.2) as in_val from {STRATA}",
+)
 def stratified_split(t: Tables):
     return X.holdout(strata_rows(t).select("doc_id", "bin"), "doc_id", ["bin"], 0.2).select("doc_id", "in_val")
 
@@ -348,7 +458,12 @@ with s as {STRATA}, f as (select min(n) >= 2 and count(*) <= ceil(sum(n) * 0.2)
 select doc_id, case when (select ok from f) then 0 else 1 end as level,
   case when (select ok from f) then row_number() over (partition by stratum order by {HASH}) <= ceil(count(*) over (partition by stratum) * 0.2) else row_number() over (partition by bin order by {HASH}) <= ceil(count(*) over (partition by bin) * 0.2) end as in_val from s""")
 def fallback_split(t: Tables):
-    return X.fallback(strata_rows(t).select("doc_id", "stratum", "bin", "pair"), "doc_id", ["stratum", "bin", "pair"], 0.2).select("doc_id", "level", "in_val")
+    return X.fallback(
+        strata_rows(t).select("doc_id", "stratum", "bin", "pair"),
+        "doc_id",
+        ["stratum", "bin", "pair"],
+        0.2,
+    ).select("doc_id", "level", "in_val")
 
 
 @query("kfold", f"select doc_id, ((row_number() over (partition by bin order by {HASH}) - 1) % 5)::int as fold from {STRATA}")
@@ -356,7 +471,10 @@ def kfold(t: Tables):
     return X.kfold(strata_rows(t).select("doc_id", "bin"), "doc_id", ["bin"], 5).select("doc_id", "fold")
 
 
-@query("group_split", "with g as (select source, row_number() over (order by md5(source || '|42'), source) <= ceil(count(*) over () * 0.2) as in_val from (select distinct source from documents)) select doc_id, in_val from documents join g using (source)")
+@query(
+    "group_split",
+    "with g as (select source, row_number() over (order by md5(source || '|42'), source) <= ceil(count(*) over () * 0.2) as in_val from (select distinct source from documents)) select doc_id, in_val from documents join g using (source)",
+)
 def group_split(t: Tables):
     return X.group_holdout(t.documents.select("doc_id", "source"), "doc_id", "source", 0.2).select("doc_id", "in_val")
 
@@ -370,12 +488,25 @@ def group_kfold(t: Tables):
 FOLDS = f"(select n_chars, ((row_number() over (partition by bin order by {HASH}) - 1) % 5)::int as fold from {STRATA})"
 
 
-@query("fold_stats", f"select k, round(avg(n_chars) filter (fold <> k), 6) as train_mean, round(avg(n_chars) filter (fold = k), 6) as val_mean, count(*) filter (fold = k) as n_val from {FOLDS}, (select unnest([0, 1, 2, 3, 4]) as k) group by k")
+@query(
+    "fold_stats",
+    f"select k, round(avg(n_chars) filter (fold <> k), 6) as train_mean, round(avg(n_chars) filter (fold = k), 6) as val_mean, count(*) filter (fold = k) as n_val from {FOLDS}, (select unnest([0, 1, 2, 3, 4]) as k) group by k",
+)
 def fold_stats(t: Tables):
     """Both sides of every fold from one pass: sums a fold, and the rest by difference."""
-    per = X.kfold(strata_rows(t).select("doc_id", "bin", "n_chars"), "doc_id", ["bin"], 5).groupBy("fold").agg(F.sum("n_chars").alias("s"), F.count("*").alias("n"))
+    per = X.kfold(
+        strata_rows(t).select("doc_id", "bin", "n_chars"),
+        "doc_id",
+        ["bin"],
+        5,
+    ).groupBy("fold").agg(F.sum("n_chars").alias("s"), F.count("*").alias("n"))
     both = S.with_scalars(per, F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    return both.select(F.col("fold").alias("k"), r6((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")), "train_mean"), r6(F.col("s") / F.col("n"), "val_mean"), F.col("n").alias("n_val"))
+    return both.select(
+        F.col("fold").alias("k"),
+        r6((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")), "train_mean"),
+        r6(F.col("s") / F.col("n"), "val_mean"),
+        F.col("n").alias("n_val"),
+    )
 
 
 @query("split_balance", f"""
@@ -386,7 +517,13 @@ def split_balance(t: Tables):
     s = X.holdout(strata_rows(t).select("doc_id", "bin", "n_chars"), "doc_id", ["bin"], 0.2)
     side = lambda v: F.when(F.col("in_val") == v, F.col("n_chars"))
     a = s.agg(F.avg(side(False)).alias("tm"), F.avg(side(True)).alias("vm"), F.median(side(False)).alias("td"), F.median(side(True)).alias("vd"))
-    return a.select(r6(F.col("tm"), "train_mean"), r6(F.col("vm"), "val_mean"), r6(F.col("td"), "train_median"), r6(F.col("vd"), "val_median"), r6(100 * (F.col("vm") - F.col("tm")) / F.col("tm"), "difference"))
+    return a.select(
+        r6(F.col("tm"), "train_mean"),
+        r6(F.col("vm"), "val_mean"),
+        r6(F.col("td"), "train_median"),
+        r6(F.col("vd"), "val_median"),
+        r6(100 * (F.col("vm") - F.col("tm")) / F.col("tm"), "difference"),
+    )
 
 
 # Vectors and clusters.
@@ -399,20 +536,42 @@ def l2_norm(t: Tables):
     return t.embeddings.select("vec_id", r6(V.norm(e), "norm"), r6(V.unit(e)[0], "first"))
 
 
-@query("embedding_diag", "select round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x)::double as min, max(x)::double as max, (select count(*) from embeddings where list_sum(list_transform(embedding, lambda y: abs(y))) = 0) as n_zero from (select unnest(embedding)::double as x from embeddings)")
+@query(
+    "embedding_diag",
+    "select round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x)::double as min, max(x)::double as max, (select count(*) from embeddings where list_sum(list_transform(embedding, lambda y: abs(y))) = 0) as n_zero from (select unnest(embedding)::double as x from embeddings)",
+)
 def embedding_diag(t: Tables):
     zero = t.embeddings.agg(F.count_if(V.norm(F.col("embedding")) == 0).alias("n_zero"))
-    x = t.embeddings.select(F.explode("embedding").alias("f")).select(F.col("f").cast("double").alias("x")).agg(r6(F.avg("x"), "mean"), r6(F.stddev_pop("x"), "std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    x = t.embeddings.select(F.explode("embedding").alias("f")).select(F.col("f").cast("double").alias("x")).agg(
+        r6(F.avg("x"), "mean"),
+        r6(F.stddev_pop("x"), "std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
     return x.crossJoin(zero)
 
 
-@query("cluster_sizes", "select count(*) as clusters, min(n) as least, max(n) as most, floor(median(n))::bigint as median, round(avg(n), 6) as mean, count(*) = 1 as degenerate, greatest(30, least(80, sum(n) // 60))::bigint as suggested from (select label, count(*) as n from embeddings group by label)")
+@query(
+    "cluster_sizes",
+    "select count(*) as clusters, min(n) as least, max(n) as most, floor(median(n))::bigint as median, round(avg(n), 6) as mean, count(*) = 1 as degenerate, greatest(30, least(80, sum(n) // 60))::bigint as suggested from (select label, count(*) as n from embeddings group by label)",
+)
 def cluster_sizes(t: Tables):
     per = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("clusters"), F.min("n").alias("least"), F.max("n").alias("most"), F.floor(F.median("n")).alias("median"), r6(F.avg("n"), "mean"), (F.count("*") == 1).alias("degenerate"), F.greatest(F.lit(30), F.least(F.lit(80), F.floor(F.sum("n") / 60))).cast("long").alias("suggested"))
-
-
-@query("mean_pool", "select label, list(m order by k) as pooled from (select label, k, round(avg(x), 6) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, len(embedding))) as k from embeddings) group by label, k) group by label")
+    return per.agg(
+        F.count("*").alias("clusters"),
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.floor(F.median("n")).alias("median"),
+        r6(F.avg("n"), "mean"),
+        (F.count("*") == 1).alias("degenerate"),
+        F.greatest(F.lit(30), F.least(F.lit(80), F.floor(F.sum("n") / 60))).cast("long").alias("suggested"),
+    )
+
+
+@query(
+    "mean_pool",
+    "select label, list(m order by k) as pooled from (select label, k, round(avg(x), 6) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, len(embedding))) as k from embeddings) group by label, k) group by label",
+)
 def mean_pool(t: Tables):
     """All components of each label's mean vector."""
     return V.mean_pool(t.embeddings, "label", "embedding").select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
@@ -442,9 +601,16 @@ def kmeans(t: Tables):
 IDS = "(select conv_id, list(turn order by turn) || [1, 2] as a from conversations group by conv_id)"
 
 
-@query("rfind_subsequence", f"select conv_id, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as last_at, coalesce(list_min(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as first_at from {IDS}")
+@query(
+    "rfind_subsequence",
+    f"select conv_id, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as last_at, coalesce(list_min(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as first_at from {IDS}",
+)
 def rfind_subsequence(t: Tables):
-    return _ids(t).select("conv_id", R.rfind(F.col("a"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("last_at"), R.find(F.col("a"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("first_at"))
+    return _ids(t).select(
+        "conv_id",
+        R.rfind(F.col("a"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("last_at"),
+        R.find(F.col("a"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("first_at"),
+    )
 
 
 def _ids(t: Tables):
@@ -452,7 +618,10 @@ def _ids(t: Tables):
     return listed.select("conv_id", F.concat("a", F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("a"))
 
 
-@query("label_mask", f"select conv_id, list_transform(generate_series(1, len(a)), lambda i: case when i <= coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda j: a[j] = 1 and a[j + 1] = 2)) + 1, 0) or a[i] = 0 then -100 else a[i] end) as labels from (select conv_id, a || [5, 6, 0, 0] as a from {IDS})")
+@query(
+    "label_mask",
+    f"select conv_id, list_transform(generate_series(1, len(a)), lambda i: case when i <= coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda j: a[j] = 1 and a[j + 1] = 2)) + 1, 0) or a[i] = 0 then -100 else a[i] end) as labels from (select conv_id, a || [5, 6, 0, 0] as a from {IDS})",
+)
 def label_mask(t: Tables):
     a = F.concat("a", F.array(*map(F.lit, (5, 6, 0, 0))).cast("array<bigint>"))
     return _ids(t).select("conv_id", R.masked(a, F.array(F.lit(1), F.lit(2)).cast("array<bigint>"), 0).alias("labels"))
@@ -464,12 +633,18 @@ def latest_checkpoint(t: Tables):
     return t.orders.groupBy("o_custkey").agg(F.max_by(name, F.regexp_extract(name, r"-(\d+)$", 1).cast("long")).alias("name"))
 
 
-@query("step_schedule", "select p_partkey, ceil(ceil(p_size / 4.0) / 2.0)::bigint as per_epoch, (ceil(ceil(p_size / 4.0) / 2.0) * 3)::bigint as total, greatest(1, floor(ceil(ceil(p_size / 4.0) / 2.0) * 3 * 0.1))::bigint as warmup from part")
+@query(
+    "step_schedule",
+    "select p_partkey, ceil(ceil(p_size / 4.0) / 2.0)::bigint as per_epoch, (ceil(ceil(p_size / 4.0) / 2.0) * 3)::bigint as total, greatest(1, floor(ceil(ceil(p_size / 4.0) / 2.0) * 3 * 0.1))::bigint as warmup from part",
+)
 def step_schedule(t: Tables):
     return t.part.select("p_partkey", *R.schedule(F.col("p_size"), 4, 2, 3, 0.1))
 
 
-@query("best_of_history", "select conv_id, list_min(list_filter(h, lambda x: x is not null)) as best from (select conv_id, list(case when role = 'user' then length(text) end order by turn) as h from conversations group by conv_id)")
+@query(
+    "best_of_history",
+    "select conv_id, list_min(list_filter(h, lambda x: x is not null)) as best from (select conv_id, list(case when role = 'user' then length(text) end order by turn) as h from conversations group by conv_id)",
+)
 def best_of_history(t: Tables):
     h = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", F.length("text")).alias("v"))))
     return t.conversations.groupBy("conv_id").agg(F.array_min(F.filter(F.transform(h, lambda x: x["v"]), lambda v: v.isNotNull())).alias("best"))
@@ -483,7 +658,12 @@ def ocr_unpack(t: Tables):
     ship(t.spark)
     said = F.regexp_extract(F.to_json(F.struct(T.whole("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     line = F.concat(F.lit("[[[0,0],[9,9]],["), said, F.lit(",0.9]]"))
-    shapes = [F.concat(F.lit("["), line, F.lit("]")), F.concat(F.lit("[["), line, F.lit(',[[[0,9],[9,18]],["another line",0.8]]]]')), F.concat(F.lit('{"rec_score":0.7,"rec_text":'), said, F.lit("}")), F.lit("[]")]
+    shapes = [
+        F.concat(F.lit("["), line, F.lit("]")),
+        F.concat(F.lit("[["), line, F.lit(',[[[0,9],[9,18]],["another line",0.8]]]]')),
+        F.concat(F.lit('{"rec_score":0.7,"rec_text":'), said, F.lit("}")),
+        F.lit("[]"),
+    ]
     nested = F.element_at(F.array(*shapes), (F.col("item_id") % 4 + 1).cast("int"))
     return t.benchmark.select("item_id", R.ocr_text(nested).alias("text"))
 
@@ -493,7 +673,12 @@ PIXELS = "(select l_partkey as img, l_linenumber % 4 as y, l_suppkey % 8 as x, (
 
 
 def pixels(t: Tables):
-    return t.lineitem.select(F.col("l_partkey").alias("img"), (F.col("l_linenumber") % 4).alias("y"), (F.col("l_suppkey") % 8).alias("x"), (F.col("l_quantity") * 5).cast("int").alias("v"))
+    return t.lineitem.select(
+        F.col("l_partkey").alias("img"),
+        (F.col("l_linenumber") % 4).alias("y"),
+        (F.col("l_suppkey") % 8).alias("x"),
+        (F.col("l_quantity") * 5).cast("int").alias("v"),
+    )
 
 
 @query("otsu_threshold", f"""
@@ -504,7 +689,10 @@ def otsu_threshold(t: Tables):
     return I.otsu(pixels(t))
 
 
-@query("dark_tiles", f"select img, count(*) as tiles, count(*) filter (m < 100) as dark from (select img, y // 2 as ty, x // 4 as tx, avg(v) as m from {PIXELS} group by all) group by img")
+@query(
+    "dark_tiles",
+    f"select img, count(*) as tiles, count(*) filter (m < 100) as dark from (select img, y // 2 as ty, x // 4 as tx, avg(v) as m from {PIXELS} group by all) group by img",
+)
 def dark_tiles(t: Tables):
     return I.dark_tiles(pixels(t), 2, 4, 100)
 
@@ -540,7 +728,10 @@ LAPLACE = f"""(select *, coalesce(lag(v) over r, lead(v) over r, v) + coalesce(l
   from {GREY} window r as (partition by img, y order by x), c as (partition by img, x order by y))"""
 
 
-@query("image_blur", f"select img, round(var_pop(edge), 4) as edges, round(least(100, greatest(0, 100 - var_pop(edge) / 10.0)), 4) as blur from {LAPLACE} group by img")
+@query(
+    "image_blur",
+    f"select img, round(var_pop(edge), 4) as edges, round(least(100, greatest(0, 100 - var_pop(edge) / 10.0)), 4) as blur from {LAPLACE} group by img",
+)
 def image_blur(t: Tables):
     return I.blur(grey(t)).select("img", F.round("edges", 4).alias("edges"), F.round("blur", 4).alias("blur"))
 

@@ -14,26 +14,38 @@ from .registry import Tables, query
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
 
-@query("project_computed", "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) as net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as gross from lineitem")
+@query(
+    "project_computed",
+    "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) as net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as gross from lineitem",
+)
 def project_computed(t: Tables):
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return t.lineitem.select("l_orderkey", "l_linenumber", r6(net, "net"), r6(net * (1 + F.col("l_tax")), "gross"))
 
 
-@query("range_tiers", "select tier, count(*) as n, round(avg(l_extendedprice), 6) as mean_price from (select *, case when l_quantity < 15 then 'mild' when l_quantity >= 15 and l_quantity < 25 then 'moderate' else 'severe' end as tier from lineitem) group by tier")
+@query(
+    "range_tiers",
+    "select tier, count(*) as n, round(avg(l_extendedprice), 6) as mean_price from (select *, case when l_quantity < 15 then 'mild' when l_quantity >= 15 and l_quantity < 25 then 'moderate' else 'severe' end as tier from lineitem) group by tier",
+)
 def range_tiers(t: Tables):
     q = F.col("l_quantity")
     tier = F.when(q < 15, "mild").when((q >= 15) & (q < 25), "moderate").otherwise("severe")
     return t.lineitem.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), r6(F.avg("l_extendedprice"), "mean_price"))
 
 
-@query("regex_flags", "select doc_id, coalesce(regexp_matches(text, '[0-9]'), false) as has_digit, coalesce(regexp_matches(text, '[A-Z]'), false) as has_upper from documents")
+@query(
+    "regex_flags",
+    "select doc_id, coalesce(regexp_matches(text, '[0-9]'), false) as has_digit, coalesce(regexp_matches(text, '[A-Z]'), false) as has_upper from documents",
+)
 def regex_flags(t: Tables):
     flag = lambda p: F.coalesce(F.col("text").rlike(p), F.lit(False))
     return t.documents.select("doc_id", flag("[0-9]").alias("has_digit"), flag("[A-Z]").alias("has_upper"))
 
 
-@query("semi_members", "select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+@query(
+    "semi_members",
+    "select o_orderkey, o_totalprice from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
+)
 def semi_members(t: Tables):
     some = t.customer.where("c_mktsegment = 'BUILDING'")
     return t.orders.join(some, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
@@ -44,7 +56,10 @@ def anti_members(t: Tables):
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", "source")
 
 
-@query("left_join_median_fill", "select doc_id, round(coalesce(quality::double, (select median(quality) from documents left join labels using (doc_id))), 6) as quality, quality is null as filled from documents left join labels using (doc_id)")
+@query(
+    "left_join_median_fill",
+    "select doc_id, round(coalesce(quality::double, (select median(quality) from documents left join labels using (doc_id))), 6) as quality, quality is null as filled from documents left join labels using (doc_id)",
+)
 def left_join_median_fill(t: Tables):
     joined = t.documents.select("doc_id").join(t.labels, "doc_id", "left").withColumn("filled", F.col("quality").isNull())
     return S.median_fill(joined, "quality").select("doc_id", r6(F.col("quality"), "quality"), "filled")
@@ -85,7 +100,10 @@ def keyed_lookup_default(t: Tables):
     return found.groupBy(F.col("conv_id").alias("id")).agg(F.transform(listed, lambda x: x["text"]).alias("preds"))
 
 
-@query("matched_counts", "select count(*) as total_reference, count(l.doc_id) as matched, count(*) = count(l.doc_id) as complete from documents d left join labels l on d.doc_id = l.doc_id")
+@query(
+    "matched_counts",
+    "select count(*) as total_reference, count(l.doc_id) as matched, count(*) = count(l.doc_id) as complete from documents d left join labels l on d.doc_id = l.doc_id",
+)
 def matched_counts(t: Tables):
     j = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(1).alias("hit")), "doc_id", "left")
     return j.agg(F.count("*").alias("total_reference"), F.count("hit").alias("matched"), (F.count("*") == F.count("hit")).alias("complete"))
@@ -95,7 +113,14 @@ def matched_counts(t: Tables):
 select source, round(avg(n_chars), 6) as mean, round(stddev_samp(n_chars), 6) as std, min(n_chars) as min, max(n_chars) as max, count(*) as n, round(avg(length(text)), 6) as mean_length
 from documents group by source""")
 def group_stats(t: Tables):
-    return t.documents.groupBy("source").agg(r6(F.avg("n_chars"), "mean"), r6(F.stddev_samp("n_chars"), "std"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.count("*").alias("n"), r6(F.avg(F.length("text")), "mean_length"))
+    return t.documents.groupBy("source").agg(
+        r6(F.avg("n_chars"), "mean"),
+        r6(F.stddev_samp("n_chars"), "std"),
+        F.min("n_chars").alias("min"),
+        F.max("n_chars").alias("max"),
+        F.count("*").alias("n"),
+        r6(F.avg(F.length("text")), "mean_length"),
+    )
 
 
 @query("group_mean_count", "select event_type, round(avg(value), 6) as mean, count(*) as n from events group by event_type")
@@ -113,7 +138,10 @@ def value_counts_norm(t: Tables):
     return S.shares(t.documents, "lang").withColumn("share", F.round("share", 6))
 
 
-@query("having_dups", f"select key, count(*) as n from (select regexp_replace(lower(coalesce(text, '')), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') as key from documents) group by key having count(*) > 1")
+@query(
+    "having_dups",
+    f"select key, count(*) as n from (select regexp_replace(lower(coalesce(text, '')), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') as key from documents) group by key having count(*) > 1",
+)
 def having_dups(t: Tables):
     return t.documents.groupBy(T.key(T.whole("text")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -123,10 +151,18 @@ def count_distinct(t: Tables):
     return t.documents.agg(*[F.countDistinct(c).alias(f"{c}s") for c in ("source", "lang", "text")])
 
 
-@query("global_stats", "select round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max from events")
+@query(
+    "global_stats",
+    "select round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max from events",
+)
 def global_stats(t: Tables):
     middle = Q.quantiles(t.events, "value", [0.5]).select(r6(F.col("q")[0], "median"))
-    return t.events.agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "std"), F.min("value").alias("min"), F.max("value").alias("max")).crossJoin(F.broadcast(middle))  # one row each
+    return t.events.agg(  # one row each
+        r6(F.avg("value"), "mean"),
+        r6(F.stddev_samp("value"), "std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    ).crossJoin(F.broadcast(middle))
 
 
 @query("describe", """
@@ -138,7 +174,10 @@ def describe(t: Tables):
     return out.select("event_type", "count", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
-@query("quantiles", "select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as q, round(unnest(quantile_cont(n_chars::double, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) as value from documents")
+@query(
+    "quantiles",
+    "select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as q, round(unnest(quantile_cont(n_chars::double, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) as value from documents",
+)
 def quantiles(t: Tables):
     qs = (0.05, 0.25, 0.5, 0.75, 0.95)
     both = Q.quantiles(t.documents, "n_chars", qs, "v").select(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), "v").alias("z"))
@@ -150,13 +189,19 @@ def correlation(t: Tables):
     return t.documents.join(t.labels, "doc_id").agg(r6(F.corr("n_chars", "quality"), "r"))
 
 
-@query("argmin_argmax", "select source, arg_min(doc_id, (n_chars, doc_id)) as least, arg_max(doc_id, (n_chars, doc_id)) as most from documents group by source")
+@query(
+    "argmin_argmax",
+    "select source, arg_min(doc_id, (n_chars, doc_id)) as least, arg_max(doc_id, (n_chars, doc_id)) as most from documents group by source",
+)
 def argmin_argmax(t: Tables):
     by = F.struct("n_chars", "doc_id")
     return t.documents.groupBy("source").agg(F.min_by("doc_id", by).alias("least"), F.max_by("doc_id", by).alias("most"))
 
 
-@query("conditional_share", "select source, count(*) filter (n_chars > 2000) as n_long, round(avg((n_chars > 2000)::int), 6) as share_long from documents group by source")
+@query(
+    "conditional_share",
+    "select source, count(*) filter (n_chars > 2000) as n_long, round(avg((n_chars > 2000)::int), 6) as share_long from documents group by source",
+)
 def conditional_share(t: Tables):
     long = F.col("n_chars") > 2000
     return t.documents.groupBy("source").agg(F.count_if(long).alias("n_long"), r6(F.avg(long.cast("int")), "share_long"))
@@ -183,13 +228,21 @@ def resize_impact(t: Tables):
     """Over seven limits: how many images shrink, and their mean scale (1 if none)."""
     px = t.part.select((F.col("p_size") * F.col("p_retailprice") / 1000).alias("px"), F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("limit_px"))
     over = F.col("px") > F.col("limit_px")
-    return px.groupBy("limit_px").agg(F.count_if(over).alias("n_resized"), r6(F.coalesce(F.avg(F.when(over, F.sqrt(F.col("limit_px") / F.col("px")))), F.lit(1.0)), "mean_scale"))
+    return px.groupBy("limit_px").agg(
+        F.count_if(over).alias("n_resized"),
+        r6(F.coalesce(F.avg(F.when(over, F.sqrt(F.col("limit_px") / F.col("px")))), F.lit(1.0)), "mean_scale"),
+    )
 
 
-@query("orientation", "select case when w > h then 'landscape' when w < h then 'portrait' else 'square' end as orientation, count(*) as n from (select l_quantity as w, l_linenumber * 8 as h from lineitem) group by 1")
+@query(
+    "orientation",
+    "select case when w > h then 'landscape' when w < h then 'portrait' else 'square' end as orientation, count(*) as n from (select l_quantity as w, l_linenumber * 8 as h from lineitem) group by 1",
+)
 def orientation(t: Tables):
     w, h = F.col("l_quantity"), F.col("l_linenumber") * 8
-    return t.lineitem.groupBy(F.when(w > h, "landscape").when(w < h, "portrait").otherwise("square").alias("orientation")).agg(F.count("*").alias("n"))
+    return t.lineitem.groupBy(
+        F.when(w > h, "landscape").when(w < h, "portrait").otherwise("square").alias("orientation")
+    ).agg(F.count("*").alias("n"))
 
 
 @query("image_targets", """
@@ -205,7 +258,15 @@ def image_targets(t: Tables):
     side = F.floor(F.sqrt(area))
     train = F.when(aspect > 12, "1400x256").when(aspect > 6, "1400x384").when(aspect > 3, "1200x512").otherwise("1024x512")
     infer = F.when(aspect > 10, "2048x384").when(aspect > 5, "2048x512").otherwise("1536x768")
-    return p.select("p_partkey", r6(area, "area"), r6(aspect, "aspect"), scaled.alias("scaled_width"), train.alias("train_box"), infer.alias("infer_box"), F.concat(F.lit("~"), side, F.lit("x"), side).alias("label"))
+    return p.select(
+        "p_partkey",
+        r6(area, "area"),
+        r6(aspect, "aspect"),
+        scaled.alias("scaled_width"),
+        train.alias("train_box"),
+        infer.alias("infer_box"),
+        F.concat(F.lit("~"), side, F.lit("x"), side).alias("label"),
+    )
 
 
 @query("doubly_hard", """
@@ -219,7 +280,10 @@ def doubly_hard(t: Tables):
     return cut.where("o_totalprice > p and n_lines > q").select("o_orderkey", "o_totalprice", "n_lines")
 
 
-@query("decile_filter", "select doc_id, n_chars, n_chars >= hi as top from documents, (select quantile_cont(n_chars, 0.9) as hi, quantile_cont(n_chars, 0.1) as lo from documents) where n_chars >= hi or n_chars <= lo")
+@query(
+    "decile_filter",
+    "select doc_id, n_chars, n_chars >= hi as top from documents, (select quantile_cont(n_chars, 0.9) as hi, quantile_cont(n_chars, 0.1) as lo from documents) where n_chars >= hi or n_chars <= lo",
+)
 def decile_filter(t: Tables):
     d = Q.with_quantiles(t.documents.select("doc_id", "n_chars"), "n_chars", hi=0.9, lo=0.1)
     return d.where("n_chars >= hi or n_chars <= lo").select("doc_id", "n_chars", (F.col("n_chars") >= F.col("hi")).alias("top"))
@@ -231,7 +295,11 @@ select source, round(m, 6) as mean, case when m > a + d then 'hard' else 'easy'
 def std_outliers(t: Tables):
     g = t.documents.groupBy("source").agg(F.avg("n_chars").alias("m"))
     x = S.with_scalars(g, F.avg("m").alias("a"), F.stddev_samp("m").alias("d"))
-    return x.where("m > a + d or m < a - d").select("source", r6(F.col("m"), "mean"), F.when(F.expr("m > a + d"), "hard").otherwise("easy").alias("side"))
+    return x.where("m > a + d or m < a - d").select(
+        "source",
+        r6(F.col("m"), "mean"),
+        F.when(F.expr("m > a + d"), "hard").otherwise("easy").alias("side"),
+    )
 
 
 @query("topk", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 10")
@@ -249,7 +317,10 @@ def modal_values(t: Tables):
     return t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3)
 
 
-@query("hash_sample", "select doc_id, source from documents order by md5(doc_id || '|42'), doc_id limit (select least(1000, count(*) // 2) from documents)")
+@query(
+    "hash_sample",
+    "select doc_id, source from documents order by md5(doc_id || '|42'), doc_id limit (select least(1000, count(*) // 2) from documents)",
+)
 def hash_sample(t: Tables):
     """A seeded sample without replacement; a share or a capped count."""
     size = min(1000, t.documents.count() // 2)
@@ -260,7 +331,11 @@ def hash_sample(t: Tables):
 def full_shuffle(t: Tables):
     from quern.operators.splits import place
 
-    return place(t.documents.select("doc_id", F.md5(F.concat_ws("|", "doc_id", F.lit("7")).cast("binary")).alias("h")), [], ["h", "doc_id"]).select("doc_id", "place")
+    return place(
+        t.documents.select("doc_id", F.md5(F.concat_ws("|", "doc_id", F.lit("7")).cast("binary")).alias("h")),
+        [],
+        ["h", "doc_id"],
+    ).select("doc_id", "place")
 
 
 @query("positional_slice", "select doc_id, source from (select *, row_number() over (order by doc_id) as n from documents) where n <= 150")
@@ -271,7 +346,9 @@ def positional_slice(t: Tables):
 
 @query("union_tagged", "select doc_id as id, text, 'train' as split from documents union all select item_id, text, 'test' from benchmark")
 def union_tagged(t: Tables):
-    return t.documents.select(F.col("doc_id").alias("id"), "text", F.lit("train").alias("split")).unionByName(t.benchmark.select(F.col("item_id").alias("id"), "text", F.lit("test").alias("split")))
+    return t.documents.select(F.col("doc_id").alias("id"), "text", F.lit("train").alias("split")).unionByName(
+        t.benchmark.select(F.col("item_id").alias("id"), "text", F.lit("test").alias("split"))
+    )
 
 
 @query("intersect_keys", "select c_nationkey as nation from customer intersect select s_nationkey from supplier")
@@ -324,7 +401,10 @@ def rule_multipliers(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", *rules, condition_class(q).alias("condition"))
 
 
-@query("boolean_parse", "select event_id, lower(trim(v)) in ('1', 'true', 'yes', 'y') as flag from (select event_id, case event_id % 5 when 0 then ' TRUE ' when 1 then 'no' when 2 then 'Y' when 3 then '1' else '' end as v from events)")
+@query(
+    "boolean_parse",
+    "select event_id, lower(trim(v)) in ('1', 'true', 'yes', 'y') as flag from (select event_id, case event_id % 5 when 0 then ' TRUE ' when 1 then 'no' when 2 then 'Y' when 3 then '1' else '' end as v from events)",
+)
 def boolean_parse(t: Tables):
     k = F.col("event_id") % 5
     v = F.when(k == 0, " TRUE ").when(k == 1, "no").when(k == 2, "Y").when(k == 3, "1").otherwise("")
@@ -359,5 +439,8 @@ def prefix_lookup(t: Tables):
 select n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 group by n_name""")
 def revenue_by_nation(t: Tables):
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        F.broadcast(t.nation),
+        F.col("c_nationkey") == F.col("n_nationkey"),
+    )
     return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))

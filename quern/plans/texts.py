@@ -60,13 +60,25 @@ def word_freq(t: Tables):
     return f.select("word", F.round("freq", 9).alias("freq"), (F.col("freq") < F.col("median")).alias("rare"))
 
 
-@query("text_scores", f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, text_length, word_count, {ROUNDED}, round(difficulty_score, 5) as difficulty_score from scored")
+@query(
+    "text_scores",
+    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, text_length, word_count, {ROUNDED}, round(difficulty_score, 5) as difficulty_score from scored",
+)
 def text_scores(t: Tables):
     s = U.scored(t.dealt("documents"))
-    return s.select("doc_id", "text_length", "word_count", *[r6(F.col(k), k) for k in T.WEIGHTS], F.round("difficulty_score", 5).alias("difficulty_score"))
-
-
-@query("text_difficulty_top10", f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, round(difficulty_score, 5) as difficulty_score from scored order by round(difficulty_score, 5) desc, doc_id limit 10")
+    return s.select(
+        "doc_id",
+        "text_length",
+        "word_count",
+        *[r6(F.col(k), k) for k in T.WEIGHTS],
+        F.round("difficulty_score", 5).alias("difficulty_score"),
+    )
+
+
+@query(
+    "text_difficulty_top10",
+    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, round(difficulty_score, 5) as difficulty_score from scored order by round(difficulty_score, 5) desc, doc_id limit 10",
+)
 def text_difficulty_top10(t: Tables):
     s = U.scored(t.dealt("documents")).select("doc_id", F.round("difficulty_score", 5).alias("difficulty_score"))
     return s.orderBy(F.desc("difficulty_score"), "doc_id").limit(10)
@@ -83,7 +95,15 @@ select doc_id, round({found(f'[^{T.MARKLESS}]')} / greatest(length(t), 1)::doubl
 from (select doc_id, {A} as t from documents)""")
 def text_densities(t: Tables):
     x = T.whole("text")
-    return t.dealt("documents").select("doc_id", r6(T.density(x, f"[^{T.MARKLESS}]"), "special"), r6(T.density(x, DIGIT), "digit"), r6(T.uppercase_ratio(x), "upper"), r6(T.lexical_diversity(x), "lexical"), r6(T.avg_word_length(x), "word_length"), r6(T.char_diversity(x), "characters"))
+    return t.dealt("documents").select(
+        "doc_id",
+        r6(T.density(x, f"[^{T.MARKLESS}]"), "special"),
+        r6(T.density(x, DIGIT), "digit"),
+        r6(T.uppercase_ratio(x), "upper"),
+        r6(T.lexical_diversity(x), "lexical"),
+        r6(T.avg_word_length(x), "word_length"),
+        r6(T.char_diversity(x), "characters"),
+    )
 
 
 @query("proxy_difficulty", f"""
@@ -92,7 +112,12 @@ from (select doc_id, {found(DIGIT)} / greatest(length(t), 1)::double as d, {rati
 def proxy_difficulty(t: Tables):
     x = T.whole("text")
     p = t.dealt("documents").select("doc_id", T.density(x, DIGIT).alias("d"), T.uppercase_ratio(x).alias("u"), T.lexical_diversity(x).alias("l"))
-    return p.select("doc_id", F.round(50 * F.col("d") + 30 * F.col("u") + 20 * F.col("l"), 5).alias("difficulty"), r6(100 * F.col("u"), "named"), r6(100 * F.col("d"), "number"))
+    return p.select(
+        "doc_id",
+        F.round(50 * F.col("d") + 30 * F.col("u") + 20 * F.col("l"), 5).alias("difficulty"),
+        r6(100 * F.col("u"), "named"),
+        r6(100 * F.col("d"), "number"),
+    )
 
 
 CLEANED = f"""
@@ -134,7 +159,10 @@ def repetition_filter(t: Tables):
 CUT_OUT = CLEANED.replace(f"trim(regexp_replace(d, '[{T.SPACE}]+', ' ', 'g')) as cleaned", "d as t")
 
 
-@query("clean_chained", f"select conv_id, turn, trim(regexp_replace(t, '[{T.SPACE}]+', ' ', 'g')) as cleaned from {uncut(f'({CUT_OUT})', 'conv_id, turn')}")
+@query(
+    "clean_chained",
+    f"select conv_id, turn, trim(regexp_replace(t, '[{T.SPACE}]+', ' ', 'g')) as cleaned from {uncut(f'({CUT_OUT})', 'conv_id, turn')}",
+)
 def clean_chained(t: Tables):
     """The whole cleaner: what follows the last artifact, cut at its first excessive repetition, with white space squeezed."""
     from quern.plans.ship import ship
@@ -152,7 +180,13 @@ from (select item_id, {A} as t from benchmark)""")
 def label_cleaning(t: Tables):
     x = T.whole("text")
     name = F.concat(F.lit("img_"), "item_id", F.lit(".tar.gz"))
-    return t.benchmark.select("item_id", T.squeeze(x).alias("squeezed"), T.clean_lines(x).alias("lines"), T.preview(x).alias("preview"), T.stem(name).alias("stem"))
+    return t.benchmark.select(
+        "item_id",
+        T.squeeze(x).alias("squeezed"),
+        T.clean_lines(x).alias("lines"),
+        T.preview(x).alias("preview"),
+        T.stem(name).alias("stem"),
+    )
 
 
 PAIR = f"select conv_id, turn, {A} as ref, regexp_replace(translate({A}, 'aeo', 'xe'), 'th', 't', 'g') as pred from conversations"
@@ -181,7 +215,14 @@ def pairs(t: Tables):
 
 def measured(t: Tables):
     """Pairs with the edits of characters and of words, and the lengths that they are taken over."""
-    return pairs(t).select("conv_id", "turn", D.char_distance("ref", "pred").alias("char_edits"), F.length("ref").alias("chars"), D.word_distance("ref", "pred").alias("word_edits"), F.size(T.words(F.col("ref"))).alias("words"))
+    return pairs(t).select(
+        "conv_id",
+        "turn",
+        D.char_distance("ref", "pred").alias("char_edits"),
+        F.length("ref").alias("chars"),
+        D.word_distance("ref", "pred").alias("word_edits"),
+        F.size(T.words(F.col("ref"))).alias("words"),
+    )
 
 
 @query("char_errors", f"select conv_id, turn, edits, length(ref) as length from {CODED}")
@@ -225,34 +266,63 @@ select conv_id, sum(w.edits) / greatest(sum(w.length), 1)::double as wer, sum(c.
 select conv_id, round(wer, 6) as wer, round(cer, 6) as cer, round(0.5 * wer + 0.5 * cer, 6) as score, round(0.7 * cer + 0.3 * wer, 6) as weighted from scored""")
 def competition_score(t: Tables):
     w, c = F.col("wer"), F.col("cer")
-    rates = measured(t).groupBy("conv_id").agg(D.micro(F.col("word_edits"), F.col("words")).alias("wer"), D.micro(F.col("char_edits"), F.col("chars")).alias("cer"))
+    rates = measured(t).groupBy("conv_id").agg(
+        D.micro(F.col("word_edits"), F.col("words")).alias("wer"),
+        D.micro(F.col("char_edits"), F.col("chars")).alias("cer"),
+    )
     return rates.select("conv_id", r6(w, "wer"), r6(c, "cer"), r6(0.5 * w + 0.5 * c, "score"), r6(0.7 * c + 0.3 * w, "weighted"))
 
 
-@query("weighted_score", f"select round(sum(sqrt(length(ref)) * least(1, edits / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from {CODED} where length(ref) > 0")
+@query(
+    "weighted_score",
+    f"select round(sum(sqrt(length(ref)) * least(1, edits / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from {CODED} where length(ref) > 0",
+)
 def weighted_score(t: Tables):
     """Long references weigh more: weights are lengths to the power 0.5, errors are cut at 1."""
-    p = pairs(t).where(F.length("ref") > 0).select(F.sqrt(F.length("ref")).alias("w"), F.least(F.lit(1.0), D.char_distance("ref", "pred") / F.length("ref").cast("double")).alias("e"))
+    p = pairs(t).where(F.length("ref") > 0).select(
+        F.sqrt(F.length("ref")).alias("w"),
+        F.least(F.lit(1.0), D.char_distance("ref", "pred") / F.length("ref").cast("double")).alias("e"),
+    )
     return p.agg(r6(F.sum(F.col("w") * F.col("e")) / F.sum("w"), "weighted_cer"))
 
 
-@query("fold_mean_std", f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / greatest(sum(length(ref)), 1)::double as cer from {CODED} group by turn)")
+@query(
+    "fold_mean_std",
+    f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / greatest(sum(length(ref)), 1)::double as cer from {CODED} group by turn)",
+)
 def fold_mean_std(t: Tables):
     per = pairs(t).groupBy("turn").agg(D.micro(D.char_distance("ref", "pred"), F.length("ref")).alias("cer"))
     return per.agg(r6(F.avg("cer"), "mean"), r6(F.stddev_pop("cer"), "std"), r6(F.min("cer"), "best"))
 
 
-@query("fold_ranks", f"select turn, cer, row_number() over (order by cer, turn) as place, rank() over (order by cer) as rank from (select turn, round(sum(edits) / greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED} group by turn)")
+@query(
+    "fold_ranks",
+    f"select turn, cer, row_number() over (order by cer, turn) as place, rank() over (order by cer) as rank from (select turn, round(sum(edits) / greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED} group by turn)",
+)
 def fold_ranks(t: Tables):
     """Folds from the best to the worst; there are as many rows as folds."""
     per = pairs(t).groupBy("turn").agg(r6(D.micro(D.char_distance("ref", "pred"), F.length("ref")), "cer"))
-    return per.select("turn", "cer", F.row_number().over(Window.orderBy("cer", "turn")).alias("place"), F.rank().over(Window.orderBy("cer")).alias("rank"))
-
-
-@query("empty_predictions", f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)")
+    return per.select(
+        "turn",
+        "cer",
+        F.row_number().over(Window.orderBy("cer", "turn")).alias("place"),
+        F.rank().over(Window.orderBy("cer")).alias("rank"),
+    )
+
+
+@query(
+    "empty_predictions",
+    f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)",
+)
 def empty_predictions(t: Tables):
     n = F.length(T.whole("text"))
-    return t.conversations.agg(F.count_if(n < 100).alias("n_short"), r6(F.avg((n < 100).cast("int")), "share"), F.min(n).alias("least"), F.max(n).alias("most"), r6(F.avg(n), "mean"))
+    return t.conversations.agg(
+        F.count_if(n < 100).alias("n_short"),
+        r6(F.avg((n < 100).cast("int")), "share"),
+        F.min(n).alias("least"),
+        F.max(n).alias("most"),
+        r6(F.avg(n), "mean"),
+    )
 
 
 # Predictions of each conversation: its turns' texts, in order.
@@ -284,10 +354,17 @@ select conv_id, i, arg_min(c, (-n, seen)) as c from (
     select conv_id, i, f, {0} as c from (select conv_id, p, unnest(generate_series(1, list_max(list_transform(p, lambda x: length(x))))) as i from {1}), (select unnest(generate_series(1, 99)) as f) where f <= len(p))
   where c <> '' group by all) group by conv_id, i)"""
 CHARS = f"select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce({{0}}, '') end as pred from {PREDS} left join {{1}} using (conv_id) group by conv_id"
-VOTED = CHARS.format(r"regexp_replace(string_agg(c, '' order by i), '[" + T.SPACE + r"]+$', '')", VOTE.format("case when length(p[f]) >= i then substr(p[f], i, 1) else ' ' end", PREDS))
+VOTED = CHARS.format(
+    r"regexp_replace(string_agg(c, '' order by i), '[" + T.SPACE + r"]+$', '')",
+    VOTE.format("case when length(p[f]) >= i then substr(p[f], i, 1) else ' ' end", PREDS),
+)
 query("ens_char_vote", VOTED)(_picked("char_voting"))
 query("ens_rover", CHARS.format("string_agg(c, '' order by i)", VOTE.format("replace(substr(p[f], i, 1), '-', '')", PREDS)))(_picked("rover"))
-RISKS = coded(f"""(select a.conv_id, a.p, a.f, a.x, b.x as y from (select conv_id, p, unnest(p) as x, unnest(generate_series(1, len(p))) as f from {PREDS}) a join (select conv_id, unnest(p) as x from {PREDS}) b using (conv_id) where a.x <> '' and b.x <> '')""", "x", "y")
+RISKS = coded(
+    f"""(select a.conv_id, a.p, a.f, a.x, b.x as y from (select conv_id, p, unnest(p) as x, unnest(generate_series(1, len(p))) as f from {PREDS}) a join (select conv_id, unnest(p) as x from {PREDS}) b using (conv_id) where a.x <> '' and b.x <> '')""",
+    "x",
+    "y",
+)
 query("ens_mbr", f"""
 select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce(arg_min(x, (risk, f)), '') end as pred from (
   select conv_id, p, f, x, coalesce(avg(edits) filter (y <> x), 0) as risk from {RISKS} group by all) group by conv_id""")(_picked("mbr"))
@@ -296,11 +373,20 @@ select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coales
 MODE = f"{PICK.format('-len(list_filter(p, lambda y: y = x))')}"
 
 
-@query("fold_agreement", f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement, {MODE} as most_common from {PREDS}")
+@query(
+    "fold_agreement",
+    f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement, {MODE} as most_common from {PREDS}",
+)
 def fold_agreement(t: Tables):
     p = F.col("p")
     top = F.array_max(F.transform(p, lambda x: E.times(p, x)))
-    return predictions(t).select("conv_id", F.size(F.array_distinct(p)).alias("n_distinct"), r6(top / F.size(p).cast("double"), "agreement"), (F.size(F.array_distinct(p)) == 1).alias("full_agreement"), E.majority(p).alias("most_common"))
+    return predictions(t).select(
+        "conv_id",
+        F.size(F.array_distinct(p)).alias("n_distinct"),
+        r6(top / F.size(p).cast("double"), "agreement"),
+        (F.size(F.array_distinct(p)) == 1).alias("full_agreement"),
+        E.majority(p).alias("most_common"),
+    )
 
 
 COMPARED = ["char_voting", "first", "longest", "majority", "shortest"]
@@ -313,13 +399,19 @@ def strategy_compare(t: Tables):
     return wide.unpivot("conv_id", COMPARED, "strategy", "pred")
 
 
-@query("two_model", f"select conv_id, case when p[1] = p[2] then p[1] when length(p[2]) < length(p[1]) then p[2] else p[1] end as pred, p[1] = p[2] as agree from {PREDS} where len(p) >= 2")
+@query(
+    "two_model",
+    f"select conv_id, case when p[1] = p[2] then p[1] when length(p[2]) < length(p[1]) then p[2] else p[1] end as pred, p[1] = p[2] as agree from {PREDS} where len(p) >= 2",
+)
 def two_model(t: Tables):
     p = predictions(t).where(F.size("p") >= 2)
     return p.select("conv_id", E.two_model(F.col("p")[0], F.col("p")[1]).alias("pred"), (F.col("p")[0] == F.col("p")[1]).alias("agree"))
 
 
-@query("json_cache", f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), turn) as t from conversations group by conv_id)")
+@query(
+    "json_cache",
+    f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), turn) as t from conversations group by conv_id)",
+)
 def json_cache(t: Tables):
     """A fold's predictions through the shape of their JSON cache: one object, and back to rows."""
     first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
@@ -338,7 +430,10 @@ def dedup_first(t: Tables):
     return U.keep_first(U.keyed(t.documents), "doc_id").select("doc_id")
 
 
-@query("dup_flags", f"select doc_id, doc_id > min(doc_id) over (partition by key) as later, count(*) over (partition by key) > 1 as any_copy from {KEYED}")
+@query(
+    "dup_flags",
+    f"select doc_id, doc_id > min(doc_id) over (partition by key) as later, count(*) over (partition by key) > 1 as any_copy from {KEYED}",
+)
 def dup_flags(t: Tables):
     return U.flags(U.keyed(t.documents), "doc_id").select("doc_id", "later", "any_copy")
 
@@ -348,18 +443,27 @@ def dup_report(t: Tables):
     return U.report(U.keyed(t.documents), "doc_id")
 
 
-@query("dup_group_id", f"select doc_id, coalesce(g, -1) as dup_group from {KEYED} left join (select key, (dense_rank() over (order by count(*) desc, key) - 1)::int as g from {KEYED} group by key having count(*) > 1) using (key)")
+@query(
+    "dup_group_id",
+    f"select doc_id, coalesce(g, -1) as dup_group from {KEYED} left join (select key, (dense_rank() over (order by count(*) desc, key) - 1)::int as g from {KEYED} group by key having count(*) > 1) using (key)",
+)
 def dup_group_id(t: Tables):
     return U.group_ids(U.keyed(t.documents), "doc_id")
 
 
-@query("leak_check", f"select key, count(*) filter (doc_id % 5 <> 0) as n_train, count(*) filter (doc_id % 5 = 0) as n_val from {KEYED} group by key having n_train > 0 and n_val > 0")
+@query(
+    "leak_check",
+    f"select key, count(*) filter (doc_id % 5 <> 0) as n_train, count(*) filter (doc_id % 5 = 0) as n_val from {KEYED} group by key having n_train > 0 and n_val > 0",
+)
 def leak_check(t: Tables):
     """Copies of each text on both sides of a split (every fifth id validates: the split is the feature)."""
     return U.leaks(U.keyed(t.documents), "doc_id", F.col("doc_id") % 5 == 0)
 
 
-@query("group_representative", f"select key, arg_min(doc_id, doc_id) as doc_id, arg_min(source, doc_id) filter (source is not null) as source, arg_min(quality, doc_id) filter (quality is not null) as quality from {KEYED} left join labels using (doc_id) group by key")
+@query(
+    "group_representative",
+    f"select key, arg_min(doc_id, doc_id) as doc_id, arg_min(source, doc_id) filter (source is not null) as source, arg_min(quality, doc_id) filter (quality is not null) as quality from {KEYED} left join labels using (doc_id) group by key",
+)
 def group_representative(t: Tables):
     from quern.operators.splits import representatives
 
@@ -402,7 +506,10 @@ def near_dups(t: Tables):
     return _turns(t, 0.8).select("i", "j", r6(F.col("sim"), "sim"))
 
 
-@query("templates", f"with {TURNS}, near as (select i, j from sims where sim > 0.6 union all select j, i from sims where sim > 0.6) select i as doc, count(*) as neighbours from near group by i having count(*) >= 5")
+@query(
+    "templates",
+    f"with {TURNS}, near as (select i, j from sims where sim > 0.6 union all select j, i from sims where sim > 0.6) select i as doc, count(*) as neighbours from near group by i having count(*) >= 5",
+)
 def templates(t: Tables):
     """Turns with five or more others above 0.6."""
     return M.templates(_turns(t, 0.6), 0.6, 5)
@@ -417,6 +524,9 @@ def sim_percentiles(t: Tables):
     return M.percentiles(_sims(t), t.benchmark.count(), SHARES).select("q", r6(F.col("sim"), "sim"))
 
 
-@query("sim_ranges", f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1")
+@query(
+    "sim_ranges",
+    f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1",
+)
 def sim_ranges(t: Tables):
     return M.ranges(_sims(t), t.benchmark.count())

@@ -27,4 +27,11 @@ def river_panel(spark: SparkSession, stations: int = 27, days: int = 2000, seed:
     rows = rows.withColumn("rain", -F.ln(uniform(id_, seed, 1)) * 3).withColumn("n1", normal(id_, seed, 2)).withColumn("n2", normal(id_, seed, 4))
     flow = F.greatest(F.lit(0.1), 5 + F.col("station_id") * 0.5 + 3 * seasonal(F.col("t")) + 0.4 * F.col("rain") + 0.3 * F.col("n1"))
     out = rows.withColumn("flow", flow)
-    return out.select("station_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")).alias("date"), F.col("flow").alias("Q"), (0.3 + 0.08 * F.pow("flow", F.lit(0.6))).alias("H"), F.col("rain").alias("PRELIQ_Q"), (12 - 8 * seasonal(F.col("t")) + F.col("n2")).alias("T_Q"))
+    return out.select(
+        "station_id",
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("t").cast("int")).alias("date"),
+        F.col("flow").alias("Q"),
+        (0.3 + 0.08 * F.pow("flow", F.lit(0.6))).alias("H"),
+        F.col("rain").alias("PRELIQ_Q"),
+        (12 - 8 * seasonal(F.col("t")) + F.col("n2")).alias("T_Q"),
+    )

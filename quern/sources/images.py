@@ -117,7 +117,10 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*.{png,pgm,ppm
                     rows.append((path, None, None, None, str(e)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "width", "height", "grey", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["path", "width", "height", "grey", "error"],
+            )
 
     return files.select("path", "content").mapInArrow(decoded, "path string, width int, height int, grey binary, error string")
 
@@ -141,6 +144,8 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
 
 def pixels(images: DataFrame, key: str) -> DataFrame:
     """key, y, x, v of decoded images."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("grey")), lambda i: F.conv(F.hex(F.substring("grey", i, F.lit(1))), 16, 10).cast("int")))
+    at = F.posexplode(
+        F.transform(F.sequence(F.lit(1), F.length("grey")), lambda i: F.conv(F.hex(F.substring("grey", i, F.lit(1))), 16, 10).cast("int"))
+    )
     each = images.where("grey is not null").select(key, "width", at.alias("at", "v"))
     return each.select(key, F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "v")

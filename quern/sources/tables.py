@@ -23,7 +23,9 @@ JSON_ENTRIES = 100_000
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header and a declared schema; the usual missing-value words read as null."""
     df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.select(*[F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) if kind == "string" else F.col(f"`{n}`") for n, kind in df.dtypes])
+    return df.select(
+        *[F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) if kind == "string" else F.col(f"`{n}`") for n, kind in df.dtypes]
+    )
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -40,7 +42,10 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
 def write_json_map(df: DataFrame, path: str, id_: str, text: str, entries: int = JSON_ENTRIES) -> None:
     """Objects of id and stripped text (a fold cache): one if all rows fit into ``entries``, else files of about so many rows each."""
     parts = -(-df.count() // entries) or 1
-    rows = df.select(F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"), F.struct(F.col(id_).cast("string"), strip(F.coalesce(text, F.lit("")))).alias("entry"))
+    rows = df.select(
+        F.pmod(F.xxhash64(id_), F.lit(parts)).alias("part"),
+        F.struct(F.col(id_).cast("string"), strip(F.coalesce(text, F.lit("")))).alias("entry"),
+    )
     objects = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list("entry"))).alias("value"))
     (objects.coalesce(1) if parts == 1 else objects.repartition(parts, "part")).select("value").write.mode("overwrite").text(path)
 
@@ -81,8 +86,13 @@ def resolve_files(df: DataFrame, files: DataFrame, key: str, head: int) -> DataF
 
     They meet on their first ``head`` characters; a shorter name meets a file on its own length, of which there are less than ``head``.
     """
-    listed = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length("file"))), lambda n: F.substring("file", F.lit(1), n))).alias("_h"))
-    near = df.withColumn("_h", F.substring("name", 1, head)).join(listed, "_h", "left").where(F.col("file").isNull() | F.col("file").startswith(F.col("name")))
+    listed = files.select(
+        "file",
+        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length("file"))), lambda n: F.substring("file", F.lit(1), n))).alias("_h"),
+    )
+    near = df.withColumn("_h", F.substring("name", 1, head)).join(listed, "_h", "left").where(
+        F.col("file").isNull() | F.col("file").startswith(F.col("name"))
+    )
     found = near.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("file") == F.col("name"), F.col("file"))), F.min("file")).alias("file"))
     return df.select(key).join(found, key, "left")
 
@@ -194,7 +204,10 @@ def latest_summary(spark: SparkSession, folder: str) -> dict:
     """The configuration of the newest summary file, at its top level or under ``config``."""
     import json
 
-    newest = spark.read.format("binaryFile").option("pathGlobFilter", "summary*.json").option("recursiveFileLookup", True).load(folder).orderBy(F.desc("modificationTime"), F.desc("path")).limit(1).collect()
+    newest = spark.read.format("binaryFile").option("pathGlobFilter", "summary*.json").option("recursiveFileLookup", True).load(folder).orderBy(
+        F.desc("modificationTime"),
+        F.desc("path"),
+    ).limit(1).collect()
     if not newest:
         raise FileNotFoundError(folder)
     found = json.loads(bytes(newest[0].content))

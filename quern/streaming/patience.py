@@ -39,7 +39,13 @@ def early_stops(steps: DataFrame, patience: int, delta: float) -> DataFrame:
     """
     kind = steps.schema["station"].dataType.simpleString()
     rows = steps.select("station", F.col("step").cast("long"), F.col("val").cast("double"))
-    return rows.groupBy("station").applyInPandasWithState(_on(patience, delta), f"station {kind}, best double, stop long", STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("station").applyInPandasWithState(
+        _on(patience, delta),
+        f"station {kind}, best double, stop long",
+        STATE,
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def stopped(steps: DataFrame, patience: int, delta: float, to: str | None = None) -> DataFrame:

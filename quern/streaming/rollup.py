@@ -11,7 +11,12 @@ from quern.sources.shared import fresh
 def rollup(events: DataFrame, period: str = "day") -> DataFrame:
     """event_type, period (its start), mean, min, max, n; period is ``day`` or ``month``."""
     by = F.window("ts", "1 day")["start"] if period == "day" else F.date_trunc(period, "ts")
-    per = events.groupBy("event_type", by.alias(period)).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+    per = events.groupBy("event_type", by.alias(period)).agg(
+        F.avg("value").alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.count("*").alias("n"),
+    )
     return per.select("event_type", period, "mean", "min", "max", "n")
 
 
@@ -19,7 +24,10 @@ def stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The files of a table, or of a folder of that name, as a stream; time stamps are time stamps with a zone, as watermarks want."""
     static = spark.read.parquet(f"{folder}/{table}.parquet")
     files = static.inputFiles()
-    source, glob = (files[0].rsplit("/", 1)[0], "*.parquet") if len(files) > 1 or not files[0].endswith(f"/{table}.parquet") else (folder, f"{table}.parquet")
+    source, glob = (
+        files[0].rsplit("/", 1)[0],
+        "*.parquet",
+    ) if len(files) > 1 or not files[0].endswith(f"/{table}.parquet") else (folder, f"{table}.parquet")
     rows = spark.readStream.schema(static.schema).option("pathGlobFilter", glob).parquet(source)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 

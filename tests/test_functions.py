@@ -116,7 +116,11 @@ def test_whole_texts(spark):
 
 def test_text_scores(spark):
     text = ["London the 26: March 1669. ffor 100 Sterl:", "   ", "", None]
-    x = [r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(T.historical_spelling(T.whole("t"), T.words(T.whole("t")))).collect()]
+    x = [
+        r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(
+            T.historical_spelling(T.whole("t"), T.words(T.whole("t")))
+        ).collect()
+    ]
     assert x == [pytest.approx(62.5), 0.0, 0.0, 0.0]
     assert column(spark, ["b\r\n\r\n c "], T.clean_lines) == ["b c"]
     assert column(spark, ["say assistant x Assistant: y"], T.after_artifacts) == [" y"]
@@ -132,7 +136,9 @@ def test_qcut(spark):
     flat = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert [r.b for r in S.qcut(flat, "v", 3, "b", ["easy", "medium", "hard"]).collect()] == ["medium", "medium"]
     doubled = spark.createDataFrame([(float(v),) for v in (0, 0, 0, 0, 1, 2)], "v double")
-    assert sorted(r.b for r in S.qcut(doubled, "v", 3, "b").collect()) == sorted(pd.qcut(pd.Series([0, 0, 0, 0, 1, 2]), 3, labels=False, duplicates="drop").tolist())
+    assert sorted(r.b for r in S.qcut(doubled, "v", 3, "b").collect()) == sorted(
+        pd.qcut(pd.Series([0, 0, 0, 0, 1, 2]), 3, labels=False, duplicates="drop").tolist()
+    )
 
 
 def test_windows(spark):

@@ -51,11 +51,22 @@ def test_streams_go_on(spark, tmp_path):
     ship(spark)
     at = lambda d, h: datetime.datetime(2024, 1, d, h)
     folder = tmp_path / "events.parquet"
-    one = spark.createDataFrame([("a", at(1, 1), 1.0), ("a", at(1, 5), 3.0), ("b", at(1, 2), 5.0)], "event_type string, ts timestamp, value double").coalesce(1)
+    one = spark.createDataFrame(
+        [("a", at(1, 1), 1.0), ("a", at(1, 5), 3.0), ("b", at(1, 2), 5.0)],
+        "event_type string, ts timestamp, value double",
+    ).coalesce(1)
     two = spark.createDataFrame([("a", at(1, 23), 8.0), ("b", at(2, 2), 6.0)], "event_type string, ts timestamp, value double").coalesce(1)
     one.write.parquet(str(folder))
     to = f"file://{tmp_path}/state"
-    get = lambda: {(r.event_type, r.day.day): (r.mean, r.min, r.max, r.n) for r in rollup.streamed(spark, str(tmp_path), "events", late="2 days", to=to).collect()}
+    get = lambda: {
+        (r.event_type, r.day.day): (r.mean, r.min, r.max, r.n) for r in rollup.streamed(
+            spark,
+            str(tmp_path),
+            "events",
+            late="2 days",
+            to=to,
+        ).collect()
+    }
     assert get() == {("a", 1): (2.0, 1.0, 3.0, 2), ("b", 1): (5.0, 5.0, 5.0, 1)}
     two.write.mode("append").parquet(str(folder))
     assert get() == {("a", 1): (4.0, 1.0, 8.0, 3), ("b", 1): (5.0, 5.0, 5.0, 1), ("b", 2): (6.0, 6.0, 6.0, 1)}
@@ -63,7 +74,14 @@ def test_streams_go_on(spark, tmp_path):
     steps = tmp_path / "steps"
     schema = "station int, step long, val double"
     spark.createDataFrame([(1, 0, 5.0), (1, 1, 4.0), (1, 2, 4.5), (2, 0, 1.0)], schema).write.parquet(str(steps))
-    run = lambda: {r.station: (r.best, r.stop) for r in patience.stopped(spark.readStream.schema(schema).parquet(str(steps)), 2, 0.1, to=f"file://{tmp_path}/patience").collect()}
+    run = lambda: {
+        r.station: (r.best, r.stop) for r in patience.stopped(
+            spark.readStream.schema(schema).parquet(str(steps)),
+            2,
+            0.1,
+            to=f"file://{tmp_path}/patience",
+        ).collect()
+    }
     assert run() == {1: (4.0, None), 2: (1.0, None)}
     spark.createDataFrame([(1, 3, 4.4), (1, 4, 0.0), (2, 1, 0.5)], schema).write.mode("append").parquet(str(steps))
     assert run() == {1: (4.0, 3), 2: (0.5, None)}
@@ -101,7 +119,10 @@ def test_chained_cleaner(spark, tmp_path):
     from .test_functions import restated
 
     texts = ["fine text as it is", "go on " * 9, "Assistant: kept  part " + "- " * 9, "é " * 4, None]
-    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(
+        [(1, k, "user", t) for k, t in enumerate(texts)],
+        "conv_id long, turn long, role string, text string",
+    ).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.cleaned for r in catalog.QUERIES["clean_chained"](spark, str(tmp_path)).collect()}
     for k, t in enumerate(texts):
         said = f"<|assistant|> user said: {t or ''}"
@@ -147,7 +168,10 @@ def test_images(spark, tmp_path):
             out.append(bytes([kind]) + ((row - [0 * a, a, b, (a + b) // 2, near][kind]) & 255).astype(np.uint8).tobytes())
             above = now
         chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
-        return J.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(b"".join(out))) + chunk(b"IEND", b"")
+        return J.SIGNATURE + chunk(
+            b"IHDR",
+            struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0),
+        ) + extra + chunk(b"IDAT", zlib.compress(b"".join(out))) + chunk(b"IEND", b"")
 
     for colour, channels in J.CHANNELS.items():
         if colour == 3:

@@ -22,7 +22,14 @@ def spoken():
     """Turns of a few to 400 distinct words; conversation 2 has long ones only."""
     rng = random.Random(21)
     say = lambda n: " ".join(f"{rng.choice(['the', 'a', 'x', 'oar'])}{rng.randrange(900)}" for _ in range(n))
-    return [(1, 0, "user", "the oath of a fee"), (1, 1, "user", say(250)), (2, 0, "user", say(400)), (2, 1, "user", say(130)), (3, 0, "user", None), (3, 1, "user", say(20))]
+    return [
+        (1, 0, "user", "the oath of a fee"),
+        (1, 1, "user", say(250)),
+        (2, 0, "user", say(400)),
+        (2, 1, "user", say(130)),
+        (3, 0, "user", None),
+        (3, 1, "user", say(20)),
+    ]
 
 
 def test_every_turn_is_scored(spark, tmp_path):
@@ -49,7 +56,9 @@ def test_the_whole_river(spark, tmp_path, monkeypatch, block):
     """Flow and components along every river edge, whatever the ids, in one band of heights and in many."""
     monkeypatch.setattr(G, "BLOCK", block)
     rng = random.Random(23)
-    at = {7 * i: [rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), rng.uniform(-0.3, 0.3), *(rng.uniform(0, 0.2) for _ in range(3))] for i in range(300)}
+    at = {
+        7 * i: [rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), rng.uniform(-0.3, 0.3), *(rng.uniform(0, 0.2) for _ in range(3))] for i in range(300)
+    }
     spark.createDataFrame(list(at.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     far = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 * 200
     edges = {i: [j for j, b in at.items() if b[2] < a[2] and far(a, b) < 5 and 1e-4 < (a[2] - b[2]) / far(a, b) < 0.1] for i, a in at.items()}
