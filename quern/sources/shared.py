@@ -32,7 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes a core up to which a table of few files is dealt out anew.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A plain scan dealt out to all cores if its files make fewer tasks than there are; a scan of more tasks is left as it is."""
+    """A scan of fewer files than cores, and of at most ``SPREAD_BYTES`` a core, dealt out to all of them; any other scan is left as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return table.repartition(cores) if len(table.inputFiles()) < cores and size <= cores * SPREAD_BYTES else table
