@@ -39,5 +39,5 @@ SPREAD_BYTES = 32 << 20
 def spread(table: DataFrame) -> DataFrame:
     """A scan of fewer files than cores, and of at most ``SPREAD_BYTES`` a core, dealt out to all of them; any other scan is left as it is."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(cores) if len(table.inputFiles()) < cores and size <= cores * SPREAD_BYTES else table
