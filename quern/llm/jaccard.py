@@ -309,7 +309,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataF
         (F.col("n_a").cast("long") + F.col("n_b") - F.col("both")) * percent <= F.col("both") * 100
     )
     out = stages.put(linked.select("a", "b").distinct(), "links")
-    stages.drop(sets)
+    for done in (sets, pairs, ids):
+        stages.drop(done)
     return out
 
 
@@ -397,6 +398,8 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
         if not more.isEmpty():
             found = stages.put(components(tried.union(more), stages), "components")
 
+    for done in (shared, labelled, entries, wide):
+        stages.drop(done)
     final = label(kept.select("id", "n", "d1", "d2"), "id").select("n", "d1", "d2", "component")
     out = rows.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
     return out.select(

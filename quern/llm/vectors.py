@@ -419,7 +419,8 @@ def dedup(vectors: DataFrame, overlap: int = OVERLAP, widest: int = 8) -> DataFr
     rows, found = classes(vectors)
     found = stages.put(found, "classes")
     while True:
-        counts, edges = links(found, stages, overlap)
+        inner = Stages(vectors.sparkSession, "links")
+        counts, edges = links(found, inner, overlap)
         counts = stages.put(counts, "counts")
         recall = audit(found, counts)
         if recall >= AUDIT_LEAST or overlap >= widest:
@@ -427,7 +428,9 @@ def dedup(vectors: DataFrame, overlap: int = OVERLAP, widest: int = 8) -> DataFr
                 raise RuntimeError(f"recall {recall:.3f} at the widest overlap {overlap}")
             break
         overlap += 2
+        inner.clear()
     groups = components(edges, stages).withColumnRenamed("node", "id")
+    inner.clear()
     per = found.select("id", "k1", "k2").join(counts, "id").join(groups, "id", "left").select(
         "k1",
         "k2",
