@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def norm(v: Column) -> Column:
@@ -25,6 +25,8 @@ def n_clusters(n: int) -> int:
 
 #: Vectors, chosen by a hash of their ids, that starting centres are drawn from.
 START_ROWS = 20_000
+#: Centroids that a task may hold.
+CENTROID_BYTES = 64 << 20
 
 
 def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -121,11 +123,30 @@ def _moved(ready: DataFrame, centres: np.ndarray) -> list[tuple]:
 
 
 def nearest(df: DataFrame, id_: str, vector: str, centroids: DataFrame) -> DataFrame:
-    """id, label, distance of the nearest centroid (label, centroid): a few centroids against all rows."""
-    gap = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
-    both = df.crossJoin(F.broadcast(centroids)).select(id_, "label_c", F.sqrt(gap).alias("d"))
-    return both.groupBy(id_).agg(F.min(F.struct("d", "label_c")).alias("m")).select(
-        id_,
-        F.col("m.label_c").alias("label"),
-        F.col("m.d").alias("distance"),
-    )
+    """id, label, distance of the nearest centroid (label_c, centroid), the least label on ties; null vectors have none.
+
+    Centroids go to every task, at most ``CENTROID_BYTES`` of them, and a vector meets them inside its Arrow batch: no row is multiplied.
+    """
+    few = centroids.where("centroid is not null").orderBy("label_c").toArrow()
+    if few.nbytes > CENTROID_BYTES:
+        raise ValueError("too many centroids to send to every task")
+    labels, shared = few["label_c"].combine_chunks(), df.sparkSession.sparkContext.broadcast(_matrix(few["centroid"]).astype(np.float64))
+    labels = labels.chunk(0) if isinstance(labels, pa.ChunkedArray) else labels
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (len(labels) > 0)
+            x = _matrix(batch.column(1).filter(pa.array(there))).astype(np.float64)
+            best, far = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+            for k, c in enumerate(shared.value if len(x) else []):
+                d = np.sqrt(((x - c) ** 2).sum(axis=1))
+                best, far = np.where(d < far, k, best), np.minimum(d, far)
+            place, gap = np.zeros(len(there), np.int64), np.zeros(len(there))
+            place[there], gap[there] = best, far
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), labels.take(pa.array(place, mask=~there)), pa.array(gap, mask=~there)],
+                [id_, "label", "distance"],
+            )
+
+    kind = centroids.schema["label_c"].dataType
+    return df.select(id_, vector).mapInArrow(near, StructType([df.schema[id_], StructField("label", kind), StructField("distance", DoubleType())]))

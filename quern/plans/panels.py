@@ -585,6 +585,9 @@ select vec_id, arg_min(label, (d, label)) as label, round(min(d), 5) as distance
   select vec_id, c.label, sqrt(list_sum(list_transform(list_zip(embedding, c.c), lambda z: (z[1]::double - z[2]) ** 2))) as d from embeddings, {CENTRES} c) group by vec_id""")
 def nearest_centroid(t: Tables):
     centres = V.mean_pool(t.embeddings, "label", "embedding").select(F.col("label").alias("label_c"), F.col("pooled").alias("centroid"))
+    from quern.plans.ship import ship
+
+    ship(t.spark)
     return V.nearest(t.embeddings, "vec_id", "embedding", centres).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
