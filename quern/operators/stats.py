@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from .quantiles import quantiles, with_quantiles
 
 
-def describe(value: str) -> list[Column]:
-    """count, mean, std (sample), min, quartiles, max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
+def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """A row a group: count, mean, std (sample), min, quartiles, max."""
+    q = quantiles(df, value, [0.25, 0.5, 0.75], "_q", by=by)
+    per = df.groupBy(*by).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).cast("double").alias("min"),
-        q[0].alias("q25"),
-        q[1].alias("q50"),
-        q[2].alias("q75"),
         F.max(value).cast("double").alias("max"),
-    ]
+    )
+    both = per.join(q.toDF(*[f"_{c}" for c in by], "_q"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return both.select(*by, "count", "mean", "std", "min", *[F.col("_q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)], "max")
 
 
 def with_scalars(df: DataFrame, *scalars: Column) -> DataFrame:

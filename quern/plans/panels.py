@@ -10,6 +10,7 @@ from quern.functions import physics as P
 from quern.functions import text as T
 from quern.operators import graph as G
 from quern.operators import images as I
+from quern.operators import quantiles as Q
 from quern.operators import series as Z
 from quern.operators import splits as X
 from quern.operators import stats as S
@@ -515,8 +516,9 @@ a as (select avg(n_chars) filter (not v) as tm, avg(n_chars) filter (v) as vm, m
 select round(tm, 6) as train_mean, round(vm, 6) as val_mean, round(td, 6) as train_median, round(vd, 6) as val_median, round(100 * (vm - tm) / tm, 6) as difference from a""")
 def split_balance(t: Tables):
     s = X.holdout(strata_rows(t).select("doc_id", "bin", "n_chars"), "doc_id", ["bin"], 0.2)
-    side = lambda v: F.when(F.col("in_val") == v, F.col("n_chars"))
-    a = s.agg(F.avg(side(False)).alias("tm"), F.avg(side(True)).alias("vm"), F.median(side(False)).alias("td"), F.median(side(True)).alias("vd"))
+    side = lambda v, x: F.when(F.col("in_val") == v, x)
+    middle = Q.quantiles(s, "n_chars", [0.5], by=["in_val"]).agg(*[F.max(side(v, F.col("q")[0])).alias(n) for v, n in ((False, "td"), (True, "vd"))])
+    a = s.agg(*[F.avg(side(v, F.col("n_chars"))).alias(n) for v, n in ((False, "tm"), (True, "vm"))]).crossJoin(F.broadcast(middle))  # one row each
     return a.select(
         r6(F.col("tm"), "train_mean"),
         r6(F.col("vm"), "val_mean"),

@@ -170,7 +170,7 @@ select event_type, count(value) as count, round(avg(value), 6) as mean, round(st
   round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.75), 6) as q75, max(value) as max
 from events group by event_type""")
 def describe(t: Tables):
-    out = t.events.groupBy("event_type").agg(*S.describe("value"))
+    out = S.describe(t.events, "value", ["event_type"])
     return out.select("event_type", "count", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 

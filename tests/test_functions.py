@@ -102,6 +102,11 @@ def test_quantiles(spark):
     for few in (10**6, 0):
         assert quantiles(df, "v", qs, few=few).first()[0] == pytest.approx(want.tolist())
     assert quantiles(df.where("v is null"), "v", [0.5]).first()[0] is None
+    grouped = spark.createDataFrame([(i % 3 or None, v) for i, v in enumerate(values)], "g int, v double")
+    for few in (10**6, 0):
+        got = {r.g: r.q for r in quantiles(grouped, "v", qs, few=few, by=["g"]).collect()}
+        for g in (None, 1, 2):
+            assert got[g] == pytest.approx(np.quantile([v for i, v in enumerate(values) if v is not None and (i % 3 or None) == g], qs).tolist())
 
 
 def test_whole_texts(spark):
