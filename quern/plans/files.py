@@ -53,7 +53,8 @@ def cached_fold(t: Tables):
 
 @query(
     "csv_to_cache",
-    "select id, pred from (select conv_id::varchar as id, coalesce(string_agg(role, ' ' order by turn), '') as pred from conversations group by conv_id)",
+    "select id, pred from (select conv_id::varchar as id, coalesce(string_agg(role, ' ' order by turn), '') as pred from conversations group by "
+    "conv_id)",
 )
 def csv_to_cache(t: Tables):
     """A fold's CSV read where it has no cache yet."""
@@ -86,7 +87,8 @@ def file_listing(t: Tables):
 
 @query(
     "manifest",
-    "select 'd' || doc_id || '.png' || chr(9) || source as value from (select doc_id, source from documents where source is not null order by 'd' || doc_id limit 100)",
+    "select 'd' || doc_id || '.png' || chr(9) || source as value from (select doc_id, source from documents where source is not null order by 'd' "
+    "|| doc_id limit 100)",
 )
 def manifest(t: Tables):
     """The first hundred lines of a training manifest by id (a cap that is the sink's)."""
@@ -134,7 +136,8 @@ def config_scan(t: Tables):
 
 @query(
     "fixed_decimals",
-    "select source, printf('%.4f', avg(n_chars)) as mean, printf('%.2f%%', 100 * count(*) / (select count(*) from documents)::double) as share from documents group by source",
+    "select source, printf('%.4f', avg(n_chars)) as mean, printf('%.2f%%', 100 * count(*) / (select count(*) from documents)::double) as share "
+    "from documents group by source",
 )
 def fixed_decimals(t: Tables):
     """Scores as text of a fixed number of decimals."""

@@ -41,7 +41,8 @@ def windows(t: Tables):
 
 @query(
     "windows",
-    f"select station, start, round(x[1][1], 6) as x_first, round(x[10][1], 6) as x_last, round(y[1], 6) as y_first, round(y[3], 6) as y_last from {WINDOWS}",
+    f"select station, start, round(x[1][1], 6) as x_first, round(x[10][1], 6) as x_last, round(y[1], 6) as y_first, round(y[3], 6) as y_last from "
+    f"{WINDOWS}",
 )
 def windows_query(t: Tables):
     x, y = F.col("x"), F.col("y")
@@ -50,7 +51,8 @@ def windows_query(t: Tables):
 
 @query(
     "window_mean",
-    f"select station, start, round(list_sum(list_transform(x, lambda r: r[1])) / 10, 6) as q, round(list_sum(list_transform(x, lambda r: r[2])) / 10, 6) as h from {WINDOWS}",
+    f"select station, start, round(list_sum(list_transform(x, lambda r: r[1])) / 10, 6) as q, round(list_sum(list_transform(x, lambda r: r[2])) / "
+    f"10, 6) as h from {WINDOWS}",
 )
 def window_mean(t: Tables):
     return windows(t).select("station", "start", r6(Z.mean_row(F.col("x"), 0), "q"), r6(Z.mean_row(F.col("x"), 1), "h"))
@@ -58,7 +60,8 @@ def window_mean(t: Tables):
 
 @query(
     "standardize",
-    f"select station, day, round((q - (select avg(q) from {PANEL})) / (select stddev_pop(q) from {PANEL}), 5) as q, round((h - (select avg(h) from {PANEL})) / (select stddev_pop(h) from {PANEL}), 5) as h from {PANEL}",
+    f"select station, day, round((q - (select avg(q) from {PANEL})) / (select stddev_pop(q) from {PANEL}), 5) as q, round((h - (select avg(h) from "
+    f"{PANEL})) / (select stddev_pop(h) from {PANEL}), 5) as h from {PANEL}",
 )
 def standardize(t: Tables):
     return S.standardize(panel(t), ["q", "h"]).select("station", "day", F.round("q", 5).alias("q"), F.round("h", 5).alias("h"))
@@ -77,7 +80,8 @@ def forecast(t: Tables):
 
 @query(
     "nse_metrics",
-    f"select round(avg((obs - pred) ** 2), 6) as mse, round(avg(abs(obs - pred)), 6) as mae, round(sqrt(avg((obs - pred) ** 2)), 6) as rmse, round(1 - sum((obs - pred) ** 2) / (var_pop(obs) * count(*)), 6) as nse from {FORECAST} where pred is not null",
+    f"select round(avg((obs - pred) ** 2), 6) as mse, round(avg(abs(obs - pred)), 6) as mae, round(sqrt(avg((obs - pred) ** 2)), 6) as rmse, "
+    f"round(1 - sum((obs - pred) ** 2) / (var_pop(obs) * count(*)), 6) as nse from {FORECAST} where pred is not null",
 )
 def nse_metrics(t: Tables):
     out = forecast(t).agg(*Z.metrics("obs", "pred"))
@@ -136,7 +140,8 @@ def early_stop_stream(t: Tables):
 
 @query(
     "running_best",
-    f"select station, day, q < coalesce(min(q) over (partition by station order by day rows between unbounded preceding and 1 preceding), 'infinity'::double) as new_best from {PANEL}",
+    f"select station, day, q < coalesce(min(q) over (partition by station order by day rows between unbounded preceding and 1 preceding), "
+    f"'infinity'::double) as new_best from {PANEL}",
 )
 def running_best(t: Tables):
     before = Window.partitionBy("station").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +154,10 @@ def log_steps(t: Tables):
     return kept.select("station", F.date_add(F.lit("2024-01-01").cast("date"), F.col("s.step").cast("int")).cast("string").alias("day"))
 
 
-DAILY = "select event_type, date_trunc('day', ts) as day, round(avg(value), 6) as mean, min(value) as min, max(value) as max, count(*) as n from events group by 1, 2"
+DAILY = (
+    "select event_type, date_trunc('day', ts) as day, round(avg(value), 6) as mean, min(value) as min, max(value) as max, count(*) as n from "
+    "events group by 1, 2"
+)
 
 
 @query("daily_rollup", DAILY)
@@ -186,7 +194,8 @@ def monthly_rollup_stream(t: Tables):
 
 @query(
     "chrono_split",
-    "select event_id, case when n <= floor(c * 0.7) then 'train' when n <= floor(c * 0.7) + floor(c * 0.15) then 'val' else 'test' end as split from (select event_id, row_number() over (order by ts, event_id) as n, count(*) over () as c from events)",
+    "select event_id, case when n <= floor(c * 0.7) then 'train' when n <= floor(c * 0.7) + floor(c * 0.15) then 'val' else 'test' end as split "
+    "from (select event_id, row_number() over (order by ts, event_id) as n, count(*) over () as c from events)",
 )
 def chrono_split(t: Tables):
     return X.chronological(t.events.select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "split")
@@ -214,7 +223,11 @@ def synthetic_panel(t: Tables):
 
 
 # Graph nodes out of embeddings: position, elevation, karst share, area, slope.
-NODES = "(select vec_id as id, embedding[1]::double * 200 as x, embedding[2]::double * 200 as y, 500 + embedding[3]::double * 1000 as elevation, least(1, abs(embedding[4]::double) * 4) as karst, 10 + abs(embedding[5]::double) * 1000 as area, 0.001 + abs(embedding[6]::double) / 10 as slope from embeddings)"
+NODES = (
+    "(select vec_id as id, embedding[1]::double * 200 as x, embedding[2]::double * 200 as y, 500 + embedding[3]::double * 1000 as elevation, "
+    "least(1, abs(embedding[4]::double) * 4) as karst, 10 + abs(embedding[5]::double) * 1000 as area, 0.001 + abs(embedding[6]::double) / 10 as "
+    "slope from embeddings)"
+)
 
 
 def nodes(t: Tables):
@@ -231,8 +244,15 @@ def nodes(t: Tables):
 
 
 DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
-RIVER = f"(select a.id as src, b.id as dst, a.area, a.slope as own_slope, {DIST} as distance, (a.elevation - b.elevation) / ({DIST} * 1000) as slope from {NODES} a join {NODES} b on a.id <> b.id and {DIST} < 5 and b.elevation < a.elevation where (a.elevation - b.elevation) / ({DIST} * 1000) between 0.0001000000001 and 0.0999999999)"
-KARST = f"(select a.id as src, b.id as dst, {DIST} as distance, a.karst as ka, b.karst as kb, a.elevation as ea, b.elevation as eb from {NODES} a join {NODES} b on a.id <> b.id and a.karst > 0.4 and b.karst > 0.4 and {DIST} < 3.5)"
+RIVER = (
+    f"(select a.id as src, b.id as dst, a.area, a.slope as own_slope, {DIST} as distance, (a.elevation - b.elevation) / ({DIST} * 1000) as slope "
+    f"from {NODES} a join {NODES} b on a.id <> b.id and {DIST} < 5 and b.elevation < a.elevation where (a.elevation - b.elevation) / ({DIST} * "
+    f"1000) between 0.0001000000001 and 0.0999999999)"
+)
+KARST = (
+    f"(select a.id as src, b.id as dst, {DIST} as distance, a.karst as ka, b.karst as kb, a.elevation as ea, b.elevation as eb from {NODES} a join "
+    f"{NODES} b on a.id <> b.id and a.karst > 0.4 and b.karst > 0.4 and {DIST} < 3.5)"
+)
 
 
 @query("river_edges", f"select src, dst, round(distance, 5) as distance, round(slope, 6) as slope from {RIVER}")
@@ -290,7 +310,8 @@ def darcy(t: Tables):
 
 @query(
     "wetness",
-    f"select id, round(ln(area / (tan(slope) + 1e-6)), 6) as twi, greatest(1, least(7, ceil(log2(area / 10)))) as stream_order, round(0.01 + 0.2 * karst, 6) as porosity, round(0.3 + 0.08 * area ** 0.6, 6) as rating, round(sin(2 * pi() * (id % 365) / 365.25), 6) as season from {NODES}",
+    f"select id, round(ln(area / (tan(slope) + 1e-6)), 6) as twi, greatest(1, least(7, ceil(log2(area / 10)))) as stream_order, round(0.01 + 0.2 * "
+    f"karst, 6) as porosity, round(0.3 + 0.08 * area ** 0.6, 6) as rating, round(sin(2 * pi() * (id % 365) / 365.25), 6) as season from {NODES}",
 )
 def wetness(t: Tables):
     a, k = F.col("area"), F.col("karst")
@@ -350,7 +371,9 @@ def components(t: Tables):
 
 @query(
     "graph_stats",
-    f"select (select count(*) from {NODES}) as n_nodes, count(*) as n_edges, round(2 * count(*) / (select count(*) from {NODES})::double, 6) as mean_degree, round(count(*) / ((select count(*) from {NODES}) * ((select count(*) from {NODES}) - 1))::double, 6) as density from (select distinct src, dst from {RIVER})",
+    f"select (select count(*) from {NODES}) as n_nodes, count(*) as n_edges, round(2 * count(*) / (select count(*) from {NODES})::double, 6) as "
+    f"mean_degree, round(count(*) / ((select count(*) from {NODES}) * ((select count(*) from {NODES}) - 1))::double, 6) as density from (select "
+    f"distinct src, dst from {RIVER})",
 )
 def graph_stats(t: Tables):
     e = G.river(nodes(t), 5.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
@@ -364,7 +387,8 @@ def graph_stats(t: Tables):
 
 @query(
     "edge_styles",
-    f"select kind, src, dst, round(distance / (max(distance) over (partition by kind) + 1e-6), 6) as style from (select 'river' as kind, src, dst, distance from {RIVER} union all select 'karst', src, dst, distance from {KARST})",
+    f"select kind, src, dst, round(distance / (max(distance) over (partition by kind) + 1e-6), 6) as style from (select 'river' as kind, src, dst, "
+    f"distance from {RIVER} union all select 'karst', src, dst, distance from {KARST})",
 )
 def edge_styles(t: Tables):
     """Style weights relative to the longest edge of each type."""
@@ -376,7 +400,9 @@ def edge_styles(t: Tables):
 
 @query(
     "edge_weights",
-    f"select src, dst, round(distance / (max(distance) over () + 1e-6), 6) as style, round(avg(case when hours < 1000 then hours else 0 end) over (), 4) as penalty from (select *, distance * 1000 / ((1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0) * sqrt(slope)) / 3600 as hours from {RIVER})",
+    f"select src, dst, round(distance / (max(distance) over () + 1e-6), 6) as style, round(avg(case when hours < 1000 then hours else 0 end) over "
+    f"(), 4) as penalty from (select *, distance * 1000 / ((1 / 0.035) * (0.3 * (0.5 * area ** 0.8) ** 0.4) ** (2.0 / 3.0) * sqrt(slope)) / 3600 "
+    f"as hours from {RIVER})",
 )
 def edge_weights(t: Tables):
     """Style weights relative to the longest edge, and the mean travel time with those of 1,000 hours or more as 0."""
@@ -410,7 +436,8 @@ def qcut3(t: Tables):
 
 @query(
     "qcut5",
-    f"select doc_id, (n_chars > {edge_sql(1, 5)})::int + (n_chars > {edge_sql(2, 5)})::int + (n_chars > {edge_sql(3, 5)})::int + (n_chars > {edge_sql(4, 5)})::int as bin from documents",
+    f"select doc_id, (n_chars > {edge_sql(1, 5)})::int + (n_chars > {edge_sql(2, 5)})::int + (n_chars > {edge_sql(3, 5)})::int + (n_chars > "
+    f"{edge_sql(4, 5)})::int as bin from documents",
 )
 def qcut5(t: Tables):
     return S.qcut(t.documents, "n_chars", 5, "bin").select("doc_id", "bin")
@@ -430,7 +457,10 @@ def strata_rows(t: Tables):
     )
 
 
-STRATA = f"(select doc_id, source, n_chars, {BIN3} as bin, {DIGIT} || '_' || {NAME} as pair, {BIN3} || '_' || {DIGIT} || '_' || {NAME} as stratum from documents)"
+STRATA = (
+    f"(select doc_id, source, n_chars, {BIN3} as bin, {DIGIT} || '_' || {NAME} as pair, {BIN3} || '_' || {DIGIT} || '_' || {NAME} as stratum from "
+    f"documents)"
+)
 
 
 @query("strata", f"select doc_id, stratum from {STRATA}")
@@ -474,7 +504,8 @@ def kfold(t: Tables):
 
 @query(
     "group_split",
-    "with g as (select source, row_number() over (order by md5(source || '|42'), source) <= ceil(count(*) over () * 0.2) as in_val from (select distinct source from documents)) select doc_id, in_val from documents join g using (source)",
+    "with g as (select source, row_number() over (order by md5(source || '|42'), source) <= ceil(count(*) over () * 0.2) as in_val from (select "
+    "distinct source from documents)) select doc_id, in_val from documents join g using (source)",
 )
 def group_split(t: Tables):
     return X.group_holdout(t.documents.select("doc_id", "source"), "doc_id", "source", 0.2).select("doc_id", "in_val")
@@ -491,7 +522,8 @@ FOLDS = f"(select n_chars, ((row_number() over (partition by bin order by {HASH}
 
 @query(
     "fold_stats",
-    f"select k, round(avg(n_chars) filter (fold <> k), 6) as train_mean, round(avg(n_chars) filter (fold = k), 6) as val_mean, count(*) filter (fold = k) as n_val from {FOLDS}, (select unnest([0, 1, 2, 3, 4]) as k) group by k",
+    f"select k, round(avg(n_chars) filter (fold <> k), 6) as train_mean, round(avg(n_chars) filter (fold = k), 6) as val_mean, count(*) filter "
+    f"(fold = k) as n_val from {FOLDS}, (select unnest([0, 1, 2, 3, 4]) as k) group by k",
 )
 def fold_stats(t: Tables):
     """Both sides of every fold from one pass: sums a fold, and the rest by difference."""
@@ -540,7 +572,9 @@ def l2_norm(t: Tables):
 
 @query(
     "embedding_diag",
-    "select round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x)::double as min, max(x)::double as max, (select count(*) from embeddings where list_sum(list_transform(embedding, lambda y: abs(y))) = 0) as n_zero from (select unnest(embedding)::double as x from embeddings)",
+    "select round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, min(x)::double as min, max(x)::double as max, (select count(*) from "
+    "embeddings where list_sum(list_transform(embedding, lambda y: abs(y))) = 0) as n_zero from (select unnest(embedding)::double as x from "
+    "embeddings)",
 )
 def embedding_diag(t: Tables):
     zero = t.embeddings.agg(F.count_if(V.norm(F.col("embedding")) == 0).alias("n_zero"))
@@ -555,7 +589,8 @@ def embedding_diag(t: Tables):
 
 @query(
     "cluster_sizes",
-    "select count(*) as clusters, min(n) as least, max(n) as most, floor(median(n))::bigint as median, round(avg(n), 6) as mean, count(*) = 1 as degenerate, greatest(30, least(80, sum(n) // 60))::bigint as suggested from (select label, count(*) as n from embeddings group by label)",
+    "select count(*) as clusters, min(n) as least, max(n) as most, floor(median(n))::bigint as median, round(avg(n), 6) as mean, count(*) = 1 as "
+    "degenerate, greatest(30, least(80, sum(n) // 60))::bigint as suggested from (select label, count(*) as n from embeddings group by label)",
 )
 def cluster_sizes(t: Tables):
     per = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
@@ -572,14 +607,18 @@ def cluster_sizes(t: Tables):
 
 @query(
     "mean_pool",
-    "select label, list(m order by k) as pooled from (select label, k, round(avg(x), 6) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, len(embedding))) as k from embeddings) group by label, k) group by label",
+    "select label, list(m order by k) as pooled from (select label, k, round(avg(x), 6) as m from (select label, unnest(embedding)::double as x, "
+    "unnest(generate_series(1, len(embedding))) as k from embeddings) group by label, k) group by label",
 )
 def mean_pool(t: Tables):
     """All components of each label's mean vector."""
     return V.mean_pool(t.embeddings, "label", "embedding").select("label", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
-CENTRES = "(select label, list(m order by k) as c from (select label, k, avg(x) as m from (select label, unnest(embedding)::double as x, unnest(generate_series(1, 64)) as k from embeddings) group by label, k) group by label)"
+CENTRES = (
+    "(select label, list(m order by k) as c from (select label, k, avg(x) as m from (select label, unnest(embedding)::double as x, "
+    "unnest(generate_series(1, 64)) as k from embeddings) group by label, k) group by label)"
+)
 
 
 @query("nearest_centroid", f"""
@@ -608,7 +647,9 @@ IDS = "(select conv_id, list(turn order by turn) || [1, 2] as a from conversatio
 
 @query(
     "rfind_subsequence",
-    f"select conv_id, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as last_at, coalesce(list_min(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as first_at from {IDS}",
+    f"select conv_id, coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as "
+    f"last_at, coalesce(list_min(list_filter(generate_series(1, len(a) - 1), lambda i: a[i] = 1 and a[i + 1] = 2)) - 1, -1)::int as first_at from "
+    f"{IDS}",
 )
 def rfind_subsequence(t: Tables):
     return _ids(t).select(
@@ -625,7 +666,9 @@ def _ids(t: Tables):
 
 @query(
     "label_mask",
-    f"select conv_id, list_transform(generate_series(1, len(a)), lambda i: case when i <= coalesce(list_max(list_filter(generate_series(1, len(a) - 1), lambda j: a[j] = 1 and a[j + 1] = 2)) + 1, 0) or a[i] = 0 then -100 else a[i] end) as labels from (select conv_id, a || [5, 6, 0, 0] as a from {IDS})",
+    f"select conv_id, list_transform(generate_series(1, len(a)), lambda i: case when i <= coalesce(list_max(list_filter(generate_series(1, len(a) "
+    f"- 1), lambda j: a[j] = 1 and a[j + 1] = 2)) + 1, 0) or a[i] = 0 then -100 else a[i] end) as labels from (select conv_id, a || [5, 6, 0, 0] "
+    f"as a from {IDS})",
 )
 def label_mask(t: Tables):
     a = F.concat("a", F.array(*map(F.lit, (5, 6, 0, 0))).cast("array<bigint>"))
@@ -640,7 +683,8 @@ def latest_checkpoint(t: Tables):
 
 @query(
     "step_schedule",
-    "select p_partkey, ceil(ceil(p_size / 4.0) / 2.0)::bigint as per_epoch, (ceil(ceil(p_size / 4.0) / 2.0) * 3)::bigint as total, greatest(1, floor(ceil(ceil(p_size / 4.0) / 2.0) * 3 * 0.1))::bigint as warmup from part",
+    "select p_partkey, ceil(ceil(p_size / 4.0) / 2.0)::bigint as per_epoch, (ceil(ceil(p_size / 4.0) / 2.0) * 3)::bigint as total, greatest(1, "
+    "floor(ceil(ceil(p_size / 4.0) / 2.0) * 3 * 0.1))::bigint as warmup from part",
 )
 def step_schedule(t: Tables):
     return t.part.select("p_partkey", *R.schedule(F.col("p_size"), 4, 2, 3, 0.1))
@@ -648,7 +692,8 @@ def step_schedule(t: Tables):
 
 @query(
     "best_of_history",
-    "select conv_id, list_min(list_filter(h, lambda x: x is not null)) as best from (select conv_id, list(case when role = 'user' then length(text) end order by turn) as h from conversations group by conv_id)",
+    "select conv_id, list_min(list_filter(h, lambda x: x is not null)) as best from (select conv_id, list(case when role = 'user' then "
+    "length(text) end order by turn) as h from conversations group by conv_id)",
 )
 def best_of_history(t: Tables):
     h = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", F.length("text")).alias("v"))))
@@ -696,7 +741,8 @@ def otsu_threshold(t: Tables):
 
 @query(
     "dark_tiles",
-    f"select img, count(*) as tiles, count(*) filter (m < 100) as dark from (select img, y // 2 as ty, x // 4 as tx, avg(v) as m from {PIXELS} group by all) group by img",
+    f"select img, count(*) as tiles, count(*) filter (m < 100) as dark from (select img, y // 2 as ty, x // 4 as tx, avg(v) as m from {PIXELS} "
+    f"group by all) group by img",
 )
 def dark_tiles(t: Tables):
     return I.dark_tiles(pixels(t), 2, 4, 100)
@@ -735,7 +781,8 @@ LAPLACE = f"""(select *, coalesce(lag(v) over r, lead(v) over r, v) + coalesce(l
 
 @query(
     "image_blur",
-    f"select img, round(var_pop(edge), 4) as edges, round(least(100, greatest(0, 100 - var_pop(edge) / 10.0)), 4) as blur from {LAPLACE} group by img",
+    f"select img, round(var_pop(edge), 4) as edges, round(least(100, greatest(0, 100 - var_pop(edge) / 10.0)), 4) as blur from {LAPLACE} group by "
+    f"img",
 )
 def image_blur(t: Tables):
     return I.blur(grey(t)).select("img", F.round("edges", 4).alias("edges"), F.round("blur", 4).alias("blur"))

@@ -16,7 +16,8 @@ r6 = lambda c, name: F.round(c, 6).alias(name)
 
 @query(
     "project_computed",
-    "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) as net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as gross from lineitem",
+    "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) as net, round(l_extendedprice * (1 - l_discount) * (1 + "
+    "l_tax), 6) as gross from lineitem",
 )
 def project_computed(t: Tables):
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
@@ -25,7 +26,8 @@ def project_computed(t: Tables):
 
 @query(
     "range_tiers",
-    "select tier, count(*) as n, round(avg(l_extendedprice), 6) as mean_price from (select *, case when l_quantity < 15 then 'mild' when l_quantity >= 15 and l_quantity < 25 then 'moderate' else 'severe' end as tier from lineitem) group by tier",
+    "select tier, count(*) as n, round(avg(l_extendedprice), 6) as mean_price from (select *, case when l_quantity < 15 then 'mild' when "
+    "l_quantity >= 15 and l_quantity < 25 then 'moderate' else 'severe' end as tier from lineitem) group by tier",
 )
 def range_tiers(t: Tables):
     q = F.col("l_quantity")
@@ -35,7 +37,8 @@ def range_tiers(t: Tables):
 
 @query(
     "regex_flags",
-    "select doc_id, coalesce(regexp_matches(text, '[0-9]'), false) as has_digit, coalesce(regexp_matches(text, '[A-Z]'), false) as has_upper from documents",
+    "select doc_id, coalesce(regexp_matches(text, '[0-9]'), false) as has_digit, coalesce(regexp_matches(text, '[A-Z]'), false) as has_upper from "
+    "documents",
 )
 def regex_flags(t: Tables):
     flag = lambda p: F.coalesce(F.col("text").rlike(p), F.lit(False))
@@ -58,7 +61,8 @@ def anti_members(t: Tables):
 
 @query(
     "left_join_median_fill",
-    "select doc_id, round(coalesce(quality::double, (select median(quality) from documents left join labels using (doc_id))), 6) as quality, quality is null as filled from documents left join labels using (doc_id)",
+    "select doc_id, round(coalesce(quality::double, (select median(quality) from documents left join labels using (doc_id))), 6) as quality, "
+    "quality is null as filled from documents left join labels using (doc_id)",
 )
 def left_join_median_fill(t: Tables):
     joined = t.documents.select("doc_id").join(t.labels, "doc_id", "left").withColumn("filled", F.col("quality").isNull())
@@ -102,7 +106,8 @@ def keyed_lookup_default(t: Tables):
 
 @query(
     "matched_counts",
-    "select count(*) as total_reference, count(l.doc_id) as matched, count(*) = count(l.doc_id) as complete from documents d left join labels l on d.doc_id = l.doc_id",
+    "select count(*) as total_reference, count(l.doc_id) as matched, count(*) = count(l.doc_id) as complete from documents d left join labels l "
+    "on d.doc_id = l.doc_id",
 )
 def matched_counts(t: Tables):
     j = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(1).alias("hit")), "doc_id", "left")
@@ -140,7 +145,8 @@ def value_counts_norm(t: Tables):
 
 @query(
     "having_dups",
-    f"select key, count(*) as n from (select regexp_replace(lower(coalesce(text, '')), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') as key from documents) group by key having count(*) > 1",
+    f"select key, count(*) as n from (select regexp_replace(lower(coalesce(text, '')), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') as key from "
+    f"documents) group by key having count(*) > 1",
 )
 def having_dups(t: Tables):
     return t.documents.groupBy(T.key(T.whole("text")).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
@@ -153,7 +159,8 @@ def count_distinct(t: Tables):
 
 @query(
     "global_stats",
-    "select round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max from events",
+    "select round(avg(value), 6) as mean, round(median(value), 6) as median, round(stddev_samp(value), 6) as std, min(value) as min, max(value) "
+    "as max from events",
 )
 def global_stats(t: Tables):
     middle = Q.quantiles(t.events, "value", [0.5]).select(r6(F.col("q")[0], "median"))
@@ -176,7 +183,8 @@ def describe(t: Tables):
 
 @query(
     "quantiles",
-    "select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as q, round(unnest(quantile_cont(n_chars::double, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) as value from documents",
+    "select unnest([0.05, 0.25, 0.5, 0.75, 0.95]) as q, round(unnest(quantile_cont(n_chars::double, [0.05, 0.25, 0.5, 0.75, 0.95])), 6) as value "
+    "from documents",
 )
 def quantiles(t: Tables):
     qs = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -236,7 +244,8 @@ def resize_impact(t: Tables):
 
 @query(
     "orientation",
-    "select case when w > h then 'landscape' when w < h then 'portrait' else 'square' end as orientation, count(*) as n from (select l_quantity as w, l_linenumber * 8 as h from lineitem) group by 1",
+    "select case when w > h then 'landscape' when w < h then 'portrait' else 'square' end as orientation, count(*) as n from (select l_quantity "
+    "as w, l_linenumber * 8 as h from lineitem) group by 1",
 )
 def orientation(t: Tables):
     w, h = F.col("l_quantity"), F.col("l_linenumber") * 8
@@ -282,7 +291,8 @@ def doubly_hard(t: Tables):
 
 @query(
     "decile_filter",
-    "select doc_id, n_chars, n_chars >= hi as top from documents, (select quantile_cont(n_chars, 0.9) as hi, quantile_cont(n_chars, 0.1) as lo from documents) where n_chars >= hi or n_chars <= lo",
+    "select doc_id, n_chars, n_chars >= hi as top from documents, (select quantile_cont(n_chars, 0.9) as hi, quantile_cont(n_chars, 0.1) as lo "
+    "from documents) where n_chars >= hi or n_chars <= lo",
 )
 def decile_filter(t: Tables):
     d = Q.with_quantiles(t.documents.select("doc_id", "n_chars"), "n_chars", hi=0.9, lo=0.1)
@@ -403,7 +413,8 @@ def rule_multipliers(t: Tables):
 
 @query(
     "boolean_parse",
-    "select event_id, lower(trim(v)) in ('1', 'true', 'yes', 'y') as flag from (select event_id, case event_id % 5 when 0 then ' TRUE ' when 1 then 'no' when 2 then 'Y' when 3 then '1' else '' end as v from events)",
+    "select event_id, lower(trim(v)) in ('1', 'true', 'yes', 'y') as flag from (select event_id, case event_id % 5 when 0 then ' TRUE ' when 1 "
+    "then 'no' when 2 then 'Y' when 3 then '1' else '' end as v from events)",
 )
 def boolean_parse(t: Tables):
     k = F.col("event_id") % 5

@@ -33,7 +33,10 @@ MARKED = f"regexp_replace(t, '([{T.LETTERS}]+)', '{OPEN}\\1{SHUT}', 'g')"
 ARCHAIC_SQL = " + ".join(f"len(regexp_extract_all({MARKED if E in p else 't'}, '(?i){p}'))" for E in [r"\b"] for p in [
     x.replace("[o|i]", f"(?:[oi]|{SHUT}\\|)") for x in T.ARCHAIC])
 ARCHAIC_SQL = ARCHAIC_SQL.replace(r"(?i)\b", f"(?i){OPEN}").replace(r"\b", SHUT)
-NAMES_SQL = f"len(list_filter(list_transform({RUNS}, lambda r: regexp_extract(r, '^[A-Z][a-z]+')), lambda w: w <> '' and w not in ({quoted(T.KNOWN_NAMES)})))"
+NAMES_SQL = (
+    f"len(list_filter(list_transform({RUNS}, lambda r: regexp_extract(r, '^[A-Z][a-z]+')), lambda w: w <> '' and w not in "
+    f"({quoted(T.KNOWN_NAMES)})))"
+)
 NUMBERS_SQL = rf"list_filter({RUNS}, lambda r: regexp_full_match(r, '\p{{Nd}}+'))"
 SCORES_CTE = f"""
 rare as (
@@ -62,7 +65,8 @@ def word_freq(t: Tables):
 
 @query(
     "text_scores",
-    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, text_length, word_count, {ROUNDED}, round(difficulty_score, 5) as difficulty_score from scored",
+    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, text_length, word_count, {ROUNDED}, round(difficulty_score, 5) as difficulty_score from "
+    f"scored",
 )
 def text_scores(t: Tables):
     s = U.scored(t.dealt("documents"))
@@ -77,7 +81,8 @@ def text_scores(t: Tables):
 
 @query(
     "text_difficulty_top10",
-    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, round(difficulty_score, 5) as difficulty_score from scored order by round(difficulty_score, 5) desc, doc_id limit 10",
+    f"with {WORD_FREQ_CTE}, {SCORES_CTE} select doc_id, round(difficulty_score, 5) as difficulty_score from scored order by "
+    f"round(difficulty_score, 5) desc, doc_id limit 10",
 )
 def text_difficulty_top10(t: Tables):
     s = U.scored(t.dealt("documents")).select("doc_id", F.round("difficulty_score", 5).alias("difficulty_score"))
@@ -275,7 +280,8 @@ def competition_score(t: Tables):
 
 @query(
     "weighted_score",
-    f"select round(sum(sqrt(length(ref)) * least(1, edits / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from {CODED} where length(ref) > 0",
+    f"select round(sum(sqrt(length(ref)) * least(1, edits / length(ref)::double)) / sum(sqrt(length(ref))), 6) as weighted_cer from {CODED} where "
+    f"length(ref) > 0",
 )
 def weighted_score(t: Tables):
     """Long references weigh more: weights are lengths to the power 0.5, errors are cut at 1."""
@@ -288,7 +294,8 @@ def weighted_score(t: Tables):
 
 @query(
     "fold_mean_std",
-    f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / greatest(sum(length(ref)), 1)::double as cer from {CODED} group by turn)",
+    f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / "
+    f"greatest(sum(length(ref)), 1)::double as cer from {CODED} group by turn)",
 )
 def fold_mean_std(t: Tables):
     per = pairs(t).groupBy("turn").agg(D.micro(D.char_distance("ref", "pred"), F.length("ref")).alias("cer"))
@@ -297,7 +304,8 @@ def fold_mean_std(t: Tables):
 
 @query(
     "fold_ranks",
-    f"select turn, cer, row_number() over (order by cer, turn) as place, rank() over (order by cer) as rank from (select turn, round(sum(edits) / greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED} group by turn)",
+    f"select turn, cer, row_number() over (order by cer, turn) as place, rank() over (order by cer) as rank from (select turn, round(sum(edits) / "
+    f"greatest(sum(length(ref)), 1)::double, 6) as cer from {CODED} group by turn)",
 )
 def fold_ranks(t: Tables):
     """Folds from the best to the worst; there are as many rows as folds."""
@@ -312,7 +320,8 @@ def fold_ranks(t: Tables):
 
 @query(
     "empty_predictions",
-    f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)",
+    f"select count(*) filter (length(t) < 100) as n_short, round(avg((length(t) < 100)::int), 6) as share, min(length(t)) as least, max(length(t)) "
+    f"as most, round(avg(length(t)), 6) as mean from (select {A} as t from conversations)",
 )
 def empty_predictions(t: Tables):
     n = F.length(T.whole("text"))
@@ -353,7 +362,10 @@ select conv_id, i, arg_min(c, (-n, seen)) as c from (
   select conv_id, i, c, count(*) as n, min(f) as seen from (
     select conv_id, i, f, {0} as c from (select conv_id, p, unnest(generate_series(1, list_max(list_transform(p, lambda x: length(x))))) as i from {1}), (select unnest(generate_series(1, 99)) as f) where f <= len(p))
   where c <> '' group by all) group by conv_id, i)"""
-CHARS = f"select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce({{0}}, '') end as pred from {PREDS} left join {{1}} using (conv_id) group by conv_id"
+CHARS = (
+    f"select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce({{0}}, '') end as pred from {PREDS} left join {{1}} using "
+    f"(conv_id) group by conv_id"
+)
 VOTED = CHARS.format(
     r"regexp_replace(string_agg(c, '' order by i), '[" + T.SPACE + r"]+$', '')",
     VOTE.format("case when length(p[f]) >= i then substr(p[f], i, 1) else ' ' end", PREDS),
@@ -375,7 +387,8 @@ MODE = f"{PICK.format('-len(list_filter(p, lambda y: y = x))')}"
 
 @query(
     "fold_agreement",
-    f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement, {MODE} as most_common from {PREDS}",
+    f"select conv_id, len(list_distinct(p)) as n_distinct, round(list_max(list_transform(p, lambda x: len(list_filter(p, lambda y: y = x)))) / "
+    f"len(p)::double, 6) as agreement, len(list_distinct(p)) = 1 as full_agreement, {MODE} as most_common from {PREDS}",
 )
 def fold_agreement(t: Tables):
     p = F.col("p")
@@ -401,7 +414,8 @@ def strategy_compare(t: Tables):
 
 @query(
     "two_model",
-    f"select conv_id, case when p[1] = p[2] then p[1] when length(p[2]) < length(p[1]) then p[2] else p[1] end as pred, p[1] = p[2] as agree from {PREDS} where len(p) >= 2",
+    f"select conv_id, case when p[1] = p[2] then p[1] when length(p[2]) < length(p[1]) then p[2] else p[1] end as pred, p[1] = p[2] as agree from "
+    f"{PREDS} where len(p) >= 2",
 )
 def two_model(t: Tables):
     p = predictions(t).where(F.size("p") >= 2)
@@ -410,7 +424,8 @@ def two_model(t: Tables):
 
 @query(
     "json_cache",
-    f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), turn) as t from conversations group by conv_id)",
+    f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', "
+    f"'g'), turn) as t from conversations group by conv_id)",
 )
 def json_cache(t: Tables):
     """A fold's predictions through the shape of their JSON cache: one object, and back to rows."""
@@ -445,7 +460,8 @@ def dup_report(t: Tables):
 
 @query(
     "dup_group_id",
-    f"select doc_id, coalesce(g, -1) as dup_group from {KEYED} left join (select key, (dense_rank() over (order by count(*) desc, key) - 1)::int as g from {KEYED} group by key having count(*) > 1) using (key)",
+    f"select doc_id, coalesce(g, -1) as dup_group from {KEYED} left join (select key, (dense_rank() over (order by count(*) desc, key) - 1)::int "
+    f"as g from {KEYED} group by key having count(*) > 1) using (key)",
 )
 def dup_group_id(t: Tables):
     return U.group_ids(U.keyed(t.documents), "doc_id")
@@ -453,7 +469,8 @@ def dup_group_id(t: Tables):
 
 @query(
     "leak_check",
-    f"select key, count(*) filter (doc_id % 5 <> 0) as n_train, count(*) filter (doc_id % 5 = 0) as n_val from {KEYED} group by key having n_train > 0 and n_val > 0",
+    f"select key, count(*) filter (doc_id % 5 <> 0) as n_train, count(*) filter (doc_id % 5 = 0) as n_val from {KEYED} group by key having n_train "
+    f"> 0 and n_val > 0",
 )
 def leak_check(t: Tables):
     """Copies of each text on both sides of a split (every fifth id validates: the split is the feature)."""
@@ -462,7 +479,8 @@ def leak_check(t: Tables):
 
 @query(
     "group_representative",
-    f"select key, arg_min(doc_id, doc_id) as doc_id, arg_min(source, doc_id) filter (source is not null) as source, arg_min(quality, doc_id) filter (quality is not null) as quality from {KEYED} left join labels using (doc_id) group by key",
+    f"select key, arg_min(doc_id, doc_id) as doc_id, arg_min(source, doc_id) filter (source is not null) as source, arg_min(quality, doc_id) "
+    f"filter (quality is not null) as quality from {KEYED} left join labels using (doc_id) group by key",
 )
 def group_representative(t: Tables):
     from quern.operators.splits import representatives
@@ -508,14 +526,18 @@ def near_dups(t: Tables):
 
 @query(
     "templates",
-    f"with {TURNS}, near as (select i, j from sims where sim > 0.6 union all select j, i from sims where sim > 0.6) select i as doc, count(*) as neighbours from near group by i having count(*) >= 5",
+    f"with {TURNS}, near as (select i, j from sims where sim > 0.6 union all select j, i from sims where sim > 0.6) select i as doc, count(*) as "
+    f"neighbours from near group by i having count(*) >= 5",
 )
 def templates(t: Tables):
     """Turns with five or more others above 0.6."""
     return M.templates(_turns(t, 0.6), 0.6, 5)
 
 
-EVERY = "every as (select coalesce(sim, 0) as sim from (select a.doc as i, b.doc as j from toks a join toks b on a.doc < b.doc) left join sims using (i, j))"
+EVERY = (
+    "every as (select coalesce(sim, 0) as sim from (select a.doc as i, b.doc as j from toks a join toks b on a.doc < b.doc) left join sims using "
+    "(i, j))"
+)
 SHARES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
@@ -526,7 +548,8 @@ def sim_percentiles(t: Tables):
 
 @query(
     "sim_ranges",
-    f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1",
+    f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 "
+    f"then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1",
 )
 def sim_ranges(t: Tables):
     return M.ranges(_sims(t), t.benchmark.count())
