@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from .text import words as split_words
+
 # Runs of these marks may be seven long, whatever the limit of other tokens.
 LOOSE, LOOSE_MOST = ("-", "~", "–", "—", "*", "."), 7
 
@@ -90,3 +92,45 @@ def without_repetitions(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def micro(edits: Column, length: Column) -> Column:
     """Summed edits over summed reference lengths, at least 1."""
     return F.sum(edits) / F.greatest(F.sum(length), F.lit(1))
+
+
+def weighted(edits: Column, length: Column, factor: float) -> Column:
+    """Error rates, cut at 1, averaged with weights of the reference's length to the power ``factor``; empty references have none."""
+    some = length > 0
+    weight = F.when(some, F.pow(length.cast("double"), F.lit(factor)))
+    return F.sum(weight * F.least(F.lit(1.0), edits / length.cast("double"))) / F.sum(weight)
+
+
+def evaluated(
+    refs: DataFrame,
+    preds: DataFrame,
+    keys: list[str],
+    name: str,
+    factor: float = 0.5,
+    cer_weight: float = 0.7,
+    wer_weight: float = 0.3,
+) -> DataFrame:
+    """A row a set of references: samples (references with a prediction), total, cer, wer, final; all rates are 1 where nothing matched."""
+    both = refs.join(preds.withColumn("matched", F.lit(True)), keys, "left")
+    words = F.size(split_words(F.col("ref")))
+    each = both.select(
+        name,
+        "matched",
+        *[
+            F.when(F.col("matched"), x).alias(n) for n, x in (
+                ("ce", char_distance("ref", "pred")),
+                ("cn", F.length("ref")),
+                ("we", word_distance("ref", "pred")),
+                ("wn", words),
+            )
+        ],
+    )
+    per = each.groupBy(name).agg(
+        F.count("matched").alias("samples"),
+        F.count(F.lit(1)).alias("total"),
+        weighted(F.col("ce"), F.col("cn"), factor).alias("cer"),
+        weighted(F.col("we"), F.col("wn"), factor).alias("wer"),
+    )
+    rate = lambda c: F.when(F.col("samples") == 0, 1.0).otherwise(F.col(c)).alias(c)
+    per = per.select(name, "samples", "total", rate("cer"), rate("wer"))
+    return per.withColumn("final", cer_weight * F.col("cer") + wer_weight * F.col("wer"))

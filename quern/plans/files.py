@@ -51,6 +51,21 @@ def cached_fold(t: Tables):
     return Q.cached(t.spark, f"{path}/fold_1.json", f"{path}/fold_1.csv", lambda: 1 / 0)
 
 
+@query(
+    "resumed_folds",
+    f"select turn::int as fold, conv_id::varchar as id, {STRIPPED} as pred from conversations where turn in (0, 1, 2)",
+)
+def resumed_folds(t: Tables):
+    """Three folds of which the second was done before the run stopped: it is read, the others are computed."""
+    path = fresh(t.spark, "resumed")
+    fold = lambda k: t.conversations.where(F.col("turn") == k).select(
+        F.col("conv_id").cast("string").alias("id"),
+        T.whole("text").alias("pred"),
+    )
+    Q.write_json_map(fold(1), f"{path}/fold_1_predictions.json", "id", "pred")
+    return Q.resumed(t.spark, path, {0: lambda: fold(0), 1: lambda: 1 / 0, 2: lambda: fold(2)})
+
+
 @query(
     "csv_to_cache",
     "select id, pred from (select conv_id::varchar as id, coalesce(string_agg(role, ' ' order by turn), '') as pred from conversations group by "

@@ -292,6 +292,24 @@ def weighted_score(t: Tables):
     return p.agg(r6(F.sum(F.col("w") * F.col("e")) / F.sum("w"), "weighted_cer"))
 
 
+SET = "case when turn = 0 then 'first' else role end"
+WEIGHED = "case when count(*) filter (matched) = 0 then 1 else sum({1} ** 0.5 * least(1, {0} / {1}::double)) filter (matched and {1} > 0) / sum({1} ** 0.5) filter (matched and {1} > 0) end"
+
+
+@query("set_scores", f"""{WORDED}, m as (
+  select {SET} as name, c.edits as ce, length(c.ref) as cn, w.edits as we, w.length as wn, turn > 0 as matched
+  from {CODED} c join worded w using (conv_id, turn) join (select conv_id, turn, role from conversations) using (conv_id, turn)),
+s as (select name, count(*) filter (matched) as samples, count(*) as total, {WEIGHED.format('ce', 'cn')} as cer, {WEIGHED.format('we', 'wn')} as wer from m group by name)
+select name, samples, total, round(cer, 6) as cer, round(wer, 6) as wer, round(0.7 * cer + 0.3 * wer, 6) as final from s""")
+def set_scores(t: Tables):
+    """Reference sets scored by length-weighted rates; first turns have no prediction here, so nothing of their set matches and all its rates are 1."""
+    p = pairs(t)
+    role = F.when(F.col("turn") == 0, "first").otherwise(F.col("role")).alias("set")
+    refs = t.conversations.select("conv_id", "turn", role, T.whole("text").alias("ref"))
+    s = D.evaluated(refs, p.where("turn > 0").select("conv_id", "turn", "pred"), ["conv_id", "turn"], "set")
+    return s.select(F.col("set").alias("name"), "samples", "total", r6(F.col("cer"), "cer"), r6(F.col("wer"), "wer"), r6(F.col("final"), "final"))
+
+
 @query(
     "fold_mean_std",
     f"select round(avg(cer), 6) as mean, round(stddev_pop(cer), 6) as std, round(min(cer), 6) as best from (select turn, sum(edits) / "
@@ -360,7 +378,8 @@ query("ens_first", f"select conv_id, p[1] as pred from {PREDS}")(_picked("first"
 VOTE = """(
 select conv_id, i, arg_min(c, (-n, seen)) as c from (
   select conv_id, i, c, count(*) as n, min(f) as seen from (
-    select conv_id, i, f, {0} as c from (select conv_id, p, unnest(generate_series(1, list_max(list_transform(p, lambda x: length(x))))) as i from {1}), (select unnest(generate_series(1, 99)) as f) where f <= len(p))
+    select conv_id, i, f, {0} as c from (
+      select *, unnest(generate_series(1, len(p))) as f from (select conv_id, p, unnest(generate_series(1, list_max(list_transform(p, lambda x: length(x))))) as i from {1})))
   where c <> '' group by all) group by conv_id, i)"""
 CHARS = (
     f"select conv_id, case when any_value(len(p)) = 1 then any_value(p[1]) else coalesce({{0}}, '') end as pred from {PREDS} left join {{1}} using "

@@ -65,6 +65,15 @@ def cached(spark: SparkSession, json_path: str, csv_path: str, compute: Callable
     return read_json_map(spark, json_path)
 
 
+def resumed(spark: SparkSession, folder: str, compute: dict[int, Callable[[], DataFrame]]) -> DataFrame:
+    """fold, id, pred of several folds: those that left a cache or a CSV in ``folder`` are read, and only the others are computed, and cached."""
+    every = None
+    for fold, run in sorted(compute.items()):
+        one = cached(spark, f"{folder}/fold_{fold}_predictions.json", f"{folder}/fold_{fold}.csv", run).select(F.lit(fold).alias("fold"), "id", "pred")
+        every = one if every is None else every.union(one)
+    return every
+
+
 def resolve(df: DataFrame) -> DataFrame:
     """id, target under whichever of the known names is there first; blank and "nan" targets are null."""
     pick = lambda names: next(F.col(f"`{n}`") for n in names if n in df.columns)
