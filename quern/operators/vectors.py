@@ -16,7 +16,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-8) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / (norm(v) + eps))
+    # bound by a lambda, the norm is taken once a vector and not once a component
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / (n + eps)))[0]
 
 
 def n_clusters(n: int) -> int:
