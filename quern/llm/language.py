@@ -27,27 +27,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import labels as L
 from .staging import Stages, small_side
-from .text import chunks, utf8
+from .text import utf8
 
 BITS = 16
+BLOCK = 1 << 20
 EVIDENCE = 60.0
 STRENGTH = 20.0
 DECLARED_TRUE = 0.9
 
 
-def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every byte trigram of a chunk, with ASCII letters lowered and other ASCII as one blank."""
-    b = FOLD[data[at[0] : at[-1]]]
-    if len(b) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    gram = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
-    bucket = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = doc[2:] == doc[:-2]
-    return doc[:-2][inside], bucket[inside]
+def trigrams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, bucket) of every byte trigram of a chunk, with ASCII letters lowered and other ASCII as one blank, block by block."""
+    for lo in range(int(at[0]), int(at[-1]) - 2, BLOCK):
+        hi = min(lo + BLOCK + 2, int(at[-1]))
+        b = FOLD[data[lo:hi]]
+        gram = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))
+        bucket = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
+        first = int(np.searchsorted(at, lo, "right")) - 1
+        ends = np.clip(at[first + 1 : int(np.searchsorted(at, hi - 1, "right")) + 1], lo, hi)
+        doc = np.repeat(np.arange(first, first + len(ends)), np.diff(ends, prepend=lo))
+        inside = doc[2:] == doc[:-2]
+        yield doc[:-2][inside], bucket[inside]
 
 
 def _fold() -> np.ndarray:
@@ -72,10 +76,9 @@ def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
             data, at = utf8(batch.column("text"))
-            for lo, hi in chunks(at):
-                doc, bucket = trigrams(data, at[lo : hi + 1])
-                of = lang[lo:hi][doc]
-                for k in np.unique(lang[lo:hi][lang[lo:hi] >= 0]):
+            for doc, bucket in trigrams(data, at):
+                of = lang[doc]
+                for k in np.unique(of[of >= 0]):
                     total[k] += np.bincount(bucket[of == k], minlength=1 << BITS)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((k << BITS | b).astype(np.int64)), pa.array(total[k, b])], ["at", "n"])
@@ -88,7 +91,7 @@ def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
 
 
 def likelihoods(rows: DataFrame, names: list[str], model: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and evidence, the tempered log-likelihood of the text in each language."""
+    """``keep``, evidence (the tempered log-likelihood of the text in each language) and soft (the posteriors that it alone gives)."""
     shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,79 +99,90 @@ def likelihoods(rows: DataFrame, names: list[str], model: np.ndarray, keep: list
         for batch in batches:
             data, at = utf8(batch.column("text"))
             out = np.zeros((batch.num_rows, len(model)))
-            for lo, hi in chunks(at):
-                doc, bucket = trigrams(data, at[lo : hi + 1])
-                n = np.bincount(doc, minlength=hi - lo)
+            n = np.zeros(len(out), np.int64)
+            for doc, bucket in trigrams(data, at):
+                if not len(doc):
+                    continue
+                lo, hi = int(doc[0]), int(doc[-1]) + 1
+                n[lo:hi] += np.bincount(doc - lo, minlength=hi - lo)
                 for k in range(len(model)):
-                    out[lo:hi, k] = np.bincount(doc, model[k][bucket], hi - lo) * np.minimum(1.0, EVIDENCE / np.maximum(n, 1)) if len(doc) else 0.0
+                    out[lo:hi, k] += np.bincount(doc - lo, model[k][bucket], hi - lo)
+            out *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
             ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(out.ravel()))],
-                [*keep, "evidence"],
-            )
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (out, _normal(out) if len(out) else out)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *lists], [*keep, "evidence", "soft"])
 
     types = dict(rows.dtypes)
-    return rows.select(*keep, "text").mapInArrow(scored, ", ".join(f"{c} {types[c]}" for c in keep) + ", evidence array<double>")
+    return rows.select(*keep, "text").mapInArrow(scored, ", ".join(f"{c} {types[c]}" for c in keep) + ", evidence array<double>, soft array<double>")
 
 
-def _normal(logs: Column) -> Column:
-    """Probabilities of an array of logarithms."""
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+def _normal(logs: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of logarithms."""
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
 
 
 def _sums(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("soft")[k]) for k in range(n)]).alias("sums"))
 
 
-def _smoothed(sums: Column, own: Column, above: Column) -> Column:
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of ``n`` doubles; a null row is all NaN."""
+    out = np.full((len(column), n), np.nan)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
+
+
+def _smoothed(sums: np.ndarray, own: np.ndarray, above: np.ndarray) -> np.ndarray:
     """Shares of a group without the row's own posterior, drawn towards the shares above by ``STRENGTH`` rows."""
-    rest = F.when(sums.isNotNull(), F.zip_with(sums, own, lambda a, b: F.greatest(a - b, F.lit(0.0))))
-    total = F.aggregate(rest, F.lit(0.0), lambda a, y: a + y)
-    return F.coalesce(F.zip_with(rest, above, lambda a, p: (a + STRENGTH * p) / (total + STRENGTH)), above)
+    rest = np.maximum(sums - own, 0.0)
+    return np.where(np.isnan(rest), above, (rest + STRENGTH * above) / (rest.sum(axis=1, keepdims=True) + STRENGTH))
+
+
+def posteriors(evidence: np.ndarray, soft: np.ndarray, sums: dict[str, np.ndarray], every: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Posteriors of rows: text evidence, host and suffix priors, and the declaration (``said``: its number among the languages, or -1)."""
+    n = evidence.shape[1]
+    prior = _smoothed(np.broadcast_to(every, soft.shape), soft, np.full(n, 1.0 / n))
+    host = _smoothed(sums["host"], soft, _smoothed(sums["domain"], soft, prior))
+    suffix = _smoothed(sums["suffix"], soft, prior)
+    logs = evidence + np.log(host + 1e-9) + np.log(suffix + 1e-9) - np.log(prior + 1e-9)
+    # P(declared | language): its texts' share that declare it, drawn towards a mostly true declaration
+    expected = np.where(np.arange(n) == said[:, None], DECLARED_TRUE, (1 - DECLARED_TRUE) / max(n - 1, 1))
+    declared = (np.maximum(sums["declared"] - soft, 0.0) + STRENGTH * expected) / (every + STRENGTH)
+    return _normal(logs + np.where(np.isnan(declared), 0.0, np.log(np.where(np.isnan(declared), 1.0, declared) + 1e-9)))
 
 
 def fuse(rows: DataFrame, names: list[str], stages: Stages) -> DataFrame:
-    """Adds lang, posterior, text_lang to rows with host, domain, suffix, declared, evidence."""
+    """Adds lang, posterior, text_lang to rows with host, domain, suffix, declared, evidence, soft."""
     n = len(names)
-    flat = F.array(*[F.lit(1.0 / n)] * n)
-    rows = stages.put(rows.withColumn("soft", _normal(F.col("evidence"))), "soft")
-    every = F.broadcast(rows.groupBy().agg(F.array(*[F.sum(F.col("soft")[k]) for k in range(n)]).alias("all_sums")))
-    out = rows.crossJoin(every)  # one row
-    for key in ("suffix", "domain", "host"):
-        per = small_side(stages.put(_sums(rows.where(F.col(key).isNotNull()), [key], n), key)).withColumnRenamed("sums", f"{key}_sums")
-        out = out.join(per, key, "left")
-    said = F.broadcast(
-        stages.put(_sums(rows.where(F.col("declared").isin(*names)), ["declared"], n), "declared").withColumnRenamed("sums", "declared_sums")
-    )
-    out = out.join(said, "declared", "left")
-    prior = _smoothed(F.col("all_sums"), F.col("soft"), flat)
-    suffix = _smoothed(F.col("suffix_sums"), F.col("soft"), prior)
-    host = _smoothed(F.col("host_sums"), F.col("soft"), _smoothed(F.col("domain_sums"), F.col("soft"), prior))
-    # P(declared | language): its texts' share that declare it, drawn towards a mostly true declaration
-    at = F.array_position(F.array(*map(F.lit, names)), F.col("declared"))
-    expected = F.transform(flat, lambda x, k: F.when(k == at - 1, DECLARED_TRUE).otherwise((1 - DECLARED_TRUE) / max(n - 1, 1)))
-    rest = F.zip_with("declared_sums", "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    declared = F.zip_with(
-        F.zip_with(rest, "all_sums", lambda a, t: F.struct(a.alias("a"), t.alias("t"))),
-        expected,
-        lambda x, p: (x["a"] + STRENGTH * p) / (x["t"] + STRENGTH),
-    )
-    logs = F.col("evidence")
-    for part, base in ((host, None), (suffix, prior)):
-        logs = F.zip_with(logs, part, lambda a, p: a + F.log(p + 1e-9))
-        logs = F.zip_with(logs, base, lambda a, p: a - F.log(p + 1e-9)) if base is not None else logs
-    logs = F.when(F.col("declared_sums").isNotNull(), F.zip_with(logs, declared, lambda a, p: a + F.log(p + 1e-9))).otherwise(logs)
-    out = out.withColumn("posteriors", _normal(logs))
-    listed = F.array(*map(F.lit, names))
-    best = lambda c: F.element_at(listed, F.array_position(c, F.array_max(c)).cast("int"))
-    return out.select(
-        *[c for c in rows.columns if c not in ("evidence", "soft")],
-        best(F.col("posteriors")).alias("lang"),
-        F.array_max("posteriors").alias("posterior"),
-        best(F.col("soft")).alias("text_lang"),
-    )
+    rows = stages.put(rows, "soft")
+    every = np.array(rows.agg(*[F.sum(F.col("soft")[k]) for k in range(n)]).first(), np.float64)
+    if np.isnan(every).any():
+        every = np.zeros(n)  # no rows
+    keys = ("host", "domain", "suffix", "declared")
+    out = rows
+    for key in keys:
+        known = rows.where(F.col(key).isNotNull() if key != "declared" else F.col(key).isin(*names))
+        out = out.join(small_side(stages.put(_sums(known, [key], n), key)).withColumnRenamed("sums", f"{key}_sums"), key, "left")
+    number = {x: k for k, x in enumerate(names)}
+    listed = pa.array(names, pa.string())
+    carried = [c for c in rows.columns if c not in ("evidence", "soft")]
+
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence, soft = (_matrix(batch.column(c), n) for c in ("evidence", "soft"))
+            said = np.array([number.get(x, -1) for x in batch.column("declared").to_pylist()], np.int64)
+            sums = {k: _matrix(batch.column(f"{k}_sums"), n) for k in keys}
+            p = posteriors(evidence, soft, sums, every, said) if len(said) else soft
+            best = [listed.take(pa.array(x.argmax(axis=1))) for x in (p, soft)] if len(said) else [listed[:0]] * 2
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in carried], best[0], pa.array(p.max(axis=1, initial=0.0)), best[1]],
+                [*carried, "lang", "posterior", "text_lang"],
+            )
+
+    added = [StructField("lang", StringType()), StructField("posterior", DoubleType()), StructField("text_lang", StringType())]
+    return out.mapInArrow(fused, StructType([*[rows.schema[c] for c in carried], *added]))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
