@@ -35,6 +35,8 @@ from .text import utf8
 
 BITS = 16
 BLOCK = 1 << 20
+#: Most bytes of a model, which goes to every task; more labelled languages than it holds are an error and none is dropped.
+MODEL_BYTES = 512 << 20
 EVIDENCE = 60.0
 STRENGTH = 20.0
 DECLARED_TRUE = 0.9
@@ -69,6 +71,8 @@ def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities [language, bucket] from all labelled training documents."""
     labelled = docs.where(train & F.col("lang").isNotNull()).select("lang", "text")
     names = sorted(r.lang for r in labelled.select("lang").distinct().collect())  # one row a language
+    if len(names) << (BITS + 2) > MODEL_BYTES:
+        raise ValueError(f"{len(names)} labelled languages make a model of more than {MODEL_BYTES} bytes")
     number = {n: k for k, n in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
