@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .staging import Stages, filtered
-from .text import chunks, mix, utf8, word_bytes, words
+from .text import chunks, lean, mix, utf8, word_bytes, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -260,6 +260,7 @@ def _structs(names: Sequence[str], columns: Sequence[pa.Array]) -> pa.StructArra
 
 
 def _searched(t, window: int):
+    @lean
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = t.value
         ids = pa.array(known.ids, pa.string())
@@ -350,6 +351,7 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: Sequen
 
 
 def _clean(t, place: int, window: int):
+    @lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(place))

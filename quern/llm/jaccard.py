@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .staging import Stages, small_side, unused
-from .text import chunks, mix, utf8, word_bytes, words
+from .text import chunks, free, lean, mix, utf8, word_bytes, words
 
 WORDS = 5
 PERCENT = 80
@@ -79,6 +79,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Counts of shingles by hash bucket over all documents; its length is fixed."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -117,6 +118,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
     """doc_id, n, d1, d2, prefix (order keys), salts, signature for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
+    @lean
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         full = max(float(counts[counts > 0].mean()) if counts.any() else 1.0, 1.0) * SALT_AT
@@ -195,12 +197,14 @@ def _blocks(percent: int):
             k = k[~sure | (most >= need[k])]
             out.append(np.stack([np.full(len(k), g), g2[k]]))
         found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        if len(rows) >= BLOCK:
+            free()
         return pd.DataFrame({"g": found[0].astype(np.int64), "g2": found[1].astype(np.int64)})
 
     return paired
 
 
-def _crossing(entries: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _crossing(entries: DataFrame, signatures: DataFrame, percent: int, stages: Stages) -> DataFrame:
     """g, g2 of the group pairs not yet in one component that pass the filters."""
     other = entries.where(F.col("members") <= SMALL).select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "at", "lo", "hi")])
     apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
@@ -211,7 +215,8 @@ def _crossing(entries: DataFrame, signatures: DataFrame, percent: int) -> DataFr
         "step",
         F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n"),
     )
-    per = many.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # one row a hot shingle and step: where few, no row of a hot shingle moves to meet it
+    per = small_side(stages.put(many.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "steps"))
     above = per.select("token", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
     below = per.select("token", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
     many = many.join(per, ["token", "step"]).join(above, ["token", "step"], "left").join(below, ["token", "step"], "left").join(signatures, "g", "left")
@@ -253,6 +258,7 @@ def _sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> Dat
     """(id, n, set) of the classes in ``ids``, whose texts alone are read again."""
     wanted = small_side(ids).withColumnRenamed("id", "_id")
 
+    @lean
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("text"))
@@ -378,7 +384,7 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
         F.count("*").alias("members"),
     ).where("lo != hi").select("token", "members")
     entries = stages.put(entries.join(open_tokens, "token"), "entries")
-    pairs = _crossing(entries, groups.select("g", "signature"), percent).distinct()
+    pairs = _crossing(entries, groups.select("g", "signature"), percent, stages).distinct()
     pairs = pairs.union(mixed.where("lo != hi").select("g", F.col("g").alias("g2")))
     members = labelled.select("g", F.col("id").alias("a"), F.col("component").alias("c"))
     wide = pairs.join(members, "g").join(

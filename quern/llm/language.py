@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import labels as L
 from .staging import Stages, small_side
-from .text import utf8
+from .text import lean, utf8
 
 BITS = 16
 BLOCK = 1 << 20
@@ -75,6 +75,7 @@ def learn(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarray]:
         raise ValueError(f"{len(names)} labelled languages make a model of more than {MODEL_BYTES} bytes")
     number = {n: k for k, n in enumerate(names)}
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(number), 1 << BITS), np.int64)
         for batch in batches:
@@ -98,6 +99,7 @@ def likelihoods(rows: DataFrame, names: list[str], model: np.ndarray, keep: list
     """``keep``, evidence (the tempered log-likelihood of the text in each language) and soft (the posteriors that it alone gives)."""
     shared = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -173,6 +175,7 @@ def fuse(rows: DataFrame, names: list[str], stages: Stages) -> DataFrame:
     listed = pa.array(names, pa.string())
     carried = [c for c in rows.columns if c not in ("evidence", "soft")]
 
+    @lean
     def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence, soft = (_matrix(batch.column(c), n) for c in ("evidence", "soft"))

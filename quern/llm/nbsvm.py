@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import labels as L
 from .staging import Stages
-from .text import BLOCK, Words, chunks, mix, powers, utf8, word_bytes, words
+from .text import BLOCK, Words, chunks, lean, mix, powers, utf8, word_bytes, words
 
 BITS = 20
 TRAIN_ROWS, TRAIN_FEATURES = 20_000, 60_000_000
@@ -206,6 +206,7 @@ def score(docs: DataFrame, model: Model, held_out: F.Column, at: float = CUT) ->
     """doc_id, held_out, score, predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

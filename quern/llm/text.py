@@ -7,7 +7,8 @@ its parts, so what is held beside the words themselves does not grow with a text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,11 +17,39 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 18
+FREE_EVERY = 4
 _BASE = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
+def free() -> None:
+    """Hands memory that is free in this process back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(function: Callable) -> Callable:
+    """A function of Arrow batches that frees memory every few batches and at its end.
+
+    Workers live on between tasks, beside an executor's heap; what they keep for later, the heap can't have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def watched() -> Iterator[pa.RecordBatch]:
+            for k, batch in enumerate(batches, 1):
+                yield batch
+                if k % FREE_EVERY == 0:
+                    free()
+
+        yield from function(watched())
+        free()
+
+    return run
+
+
 def word_bytes(pattern: str) -> np.ndarray:
     """Value of every byte for hashing: 0 for a separator, else the byte with A-Z lowered, plus 1.
 

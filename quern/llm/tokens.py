@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stages
-from .text import chunks, mix, utf8
+from .text import chunks, lean, mix, utf8
 
 END = 2
 LANES = 1024
@@ -365,6 +365,7 @@ def encoder(path: str, end: int = END) -> Encoder:
 def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, n, ids (little-endian unsigned integers of the tokenizer's ``kind``) for every row."""
 
+    @lean
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer, end)
         for batch in batches:
@@ -381,6 +382,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; its length is the vocabulary's."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -411,6 +413,7 @@ def write(tokens: DataFrame, folder: str, partitions: int, kind: str, scale: int
     write_bytes(f"{folder}/{coder.digest.hex()}.table", freq.astype("<u4").tobytes())
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
+    @lean
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, scale)
         path = f"{folder}/{uuid.uuid4().hex}.rans"
@@ -475,6 +478,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         start += f["n_ids"]
     spark = manifest.sparkSession
 
+    @lean
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:

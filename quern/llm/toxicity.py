@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import labels as L
 from .staging import Stages, filtered
-from .text import Words, chunks, hash_of, starts_hash, utf8, word_bytes, words
+from .text import Words, chunks, hash_of, lean, starts_hash, utf8, word_bytes, words
 
 ALNUM = word_bytes("alnum")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -273,6 +273,7 @@ def _cover(rows: DataFrame, entries: dict, candidates: list[tuple[str, bool]]) -
     lexicon = Lexicon([(t, w, INSULT, float(i + 1)) for i, (t, w) in enumerate([*entries, *candidates])])
     known, n_seeds = tables(lexicon), len(entries)
 
+    @lean
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column("text"))
@@ -328,6 +329,7 @@ class Scorer(NamedTuple):
 def matches(docs: DataFrame, scorer: Scorer, at: float = CUT, key: str = "doc_id") -> DataFrame:
     """``key``, score, total, most, clauses for every row."""
 
+    @lean
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -367,6 +369,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     """
     scorer, place = trained(docs, labels, train_rows), docs.columns.index("text")
 
+    @lean
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(place), at)[0] < at))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .staging import Stages, small_side
+from .text import lean
 
 COSINE = 0.9
 CELL = 1500
@@ -102,6 +103,7 @@ def assigned(found: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     """id, copies, embedding, cells (nearest first)."""
     shared = found.sparkSession.sparkContext.broadcast(c)
 
+    @lean
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in batches:
@@ -276,6 +278,7 @@ def search(group: pd.DataFrame) -> pd.DataFrame:
 def _cosines(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     """Adds cos and both radii to leader pairs (a, b)."""
 
+    @lean
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cos = np.einsum("nd,nd->n", unit(batch.column("e_a")), unit(batch.column("e_b"))) if batch.num_rows else np.empty(0)
@@ -396,6 +399,7 @@ def audit(found: DataFrame, counts: DataFrame) -> float:
         return 1.0
     shared = found.sparkSession.sparkContext.broadcast(unit(some["embedding"].combine_chunks()))
 
+    @lean
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         total = np.zeros(len(q), np.int64)
