@@ -146,3 +146,52 @@ walk as (select doc_id as id, doc_id as c from documents union select l.b, w.c f
 least as (select id, min(c) as c from walk group by id)
 select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id from documents d left join sizes using (doc_id) join least on d.doc_id = id
 """
+
+COLLOCATIONS = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (
+  select lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from texts),
+totals as (
+  select lang, sum(len(w))::bigint as n from pieces group by lang),
+places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from pieces),
+spelt as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from places, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w)),
+counted as (
+  select lang, k, phrase, count(*) as f from spelt group by lang, k, phrase having count(*) >= 10),
+cuts as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, k)) as cut from counted where k > 1),
+scored as (
+  select c.lang, c.k, c.phrase, c.a, c.cut, l.f as l, r.f as r, ((1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f))::bigint as score
+  from cuts c
+  join counted l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  join counted r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (
+  select lang, phrase, max(f) as f from (
+    select lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as phrase
+    from counted where k = 3) group by lang, phrase),
+kept as (
+  select b.*, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank
+  from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase where g.f is null or 100 * g.f < 50 * b.a)
+select lang, rank, phrase, a, l, r, n, score from kept join totals using (lang) where rank <= 2000
+"""
+
+INFILL = r"""
+with texts as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u from documents),
+drawn as (
+  select doc_id, text, u, len(u) as n, [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in range(4)] as d from texts),
+ranked as (
+  select *, least(d[1] % (n + 1), d[2] % (n + 1)) as lo, greatest(d[1] % (n + 1), d[2] % (n + 1)) as hi,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 100 then 'plain'
+      when d[4] % 100 < 50 then 'spm' else 'psm' end as form from drawn),
+cut as (
+  select doc_id, text, n, form, array_to_string(u[1:lo], '') as p, array_to_string(u[lo + 1:hi], '') as m, array_to_string(u[hi + 1:], '') as s from ranked)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from cut
+"""

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.plans.ship import ship
 
-from . import decontaminate, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
+from . import collocations, counts, decontaminate, infill, jaccard, language, mixing, nbsvm, oracles, secrets, tokens, toxicity, vectors, warc
 from .staging import bounded, spread
 
 
@@ -53,6 +54,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return counts.count(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.restore(infill.transform(_read(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     bounded(spark)
@@ -70,6 +88,9 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_counts": op11_counts,
+    "op12_collocations": op12_collocations,
+    "op13_infill": op13_infill,
 }
 ORACLES = {
     "op4_vectors": oracles.VECTORS,
@@ -78,4 +99,6 @@ ORACLES = {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op5_secrets": oracles.SECRETS,
     "op9_warc": oracles.WARC,
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_infill": oracles.INFILL,
 }
