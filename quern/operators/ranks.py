@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.shared import cut
 
+from .names import unused
 
 
 def ranked(df: DataFrame, order: list[str] | list[Column]) -> DataFrame:
@@ -16,8 +17,9 @@ def ranked(df: DataFrame, order: list[str] | list[Column]) -> DataFrame:
     written to the shared folder once, so that counts and ranks speak of the same partitions even if executors are lost.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy("_p").orderBy(*order)
-    return dealt.join(F.broadcast(offsets), "_p").withColumn("rank", F.row_number().over(inside) + F.col("_before")).drop("_p", "_before")
+    part, rows, before = unused(df, "part", "rows", "before")
+    dealt = cut(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    counts = dealt.groupBy(part).agg(F.count("*").alias(rows))
+    offsets = counts.withColumn(before, F.sum(rows).over(Window.orderBy(part)) - F.col(rows)).drop(rows)
+    inside = Window.partitionBy(part).orderBy(*order)
+    return dealt.join(F.broadcast(offsets), part).withColumn("rank", F.row_number().over(inside) + F.col(before)).drop(part, before)

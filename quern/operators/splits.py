@@ -5,37 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import join_same, unused
+from .ranks import ranked
+
 
 def drawn(id_: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def place(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds place, from 1 in order inside each group.
+def place(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """Adds ``out``, the place from 1 in order inside each group; rows without a group are a group of their own.
 
     Ranks are dealt by the first hex digits of a hash: counts of each range give its offset, and only the rows of one range are
     sorted in one task, so that a large group is no single task.
     """
-    ranged = df.withColumn("_r", F.substring(order[0], 1, 3))
-    counts = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*by).orderBy("_r") if by else Window.orderBy("_r")
-    offsets = counts.withColumn("_before", F.sum("_n").over(over) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy(*by, "_r").orderBy(*order)
-    return ranged.join(offsets, [*by, "_r"]).withColumn("place", F.row_number().over(inside) + F.col("_before")).drop("_r", "_before")
+    part, n, before = unused(df, "part", "n", "before")
+    ranged = df.withColumn(part, F.substring(order[0], 1, 3))
+    counts = ranged.groupBy(*by, part).agg(F.count("*").alias(n))
+    over = Window.partitionBy(*by).orderBy(part) if by else Window.orderBy(part)
+    offsets = counts.withColumn(before, F.sum(n).over(over) - F.col(n)).drop(n)
+    inside = Window.partitionBy(*by, part).orderBy(*order)
+    return join_same(ranged, offsets, [*by, part]).withColumn(out, F.row_number().over(inside) + F.col(before)).drop(part, before)
 
 
 def holdout(df: DataFrame, id_: str, strata: list[str], share: float, seed: int = 42) -> DataFrame:
-    """Adds in_val: ceil(share * n) rows of every stratum."""
-    n = df.groupBy(*strata).agg(F.count("*").alias("_n")) if strata else df.agg(F.count("*").alias("_n"))
-    placed = place(df.withColumn("_h", drawn(id_, seed)), strata, ["_h", id_])
-    placed = placed.join(n, strata) if strata else placed.crossJoin(F.broadcast(n))
-    return placed.withColumn("in_val", F.col("place") <= F.ceil(F.col("_n") * share)).drop("_h", "_n", "place")
+    """Adds in_val: ceil(share * n) rows of every stratum, that of the rows without one included."""
+    h, n, at = unused(df, "drawn", "rows", "place")
+    size = df.groupBy(*strata).agg(F.count("*").alias(n))
+    placed = join_same(place(df.withColumn(h, drawn(id_, seed)), strata, [h, id_], at), size, strata)
+    return placed.withColumn("in_val", F.col(at) <= F.ceil(F.col(n) * share)).drop(h, n, at)
 
 
 def kfold(df: DataFrame, id_: str, strata: list[str], k: int, seed: int = 42) -> DataFrame:
-    """Adds fold, 0 to k-1, dealt in turn inside every stratum."""
-    placed = place(df.withColumn("_h", drawn(id_, seed)), strata, ["_h", id_])
-    return placed.withColumn("fold", ((F.col("place") - 1) % k).cast("int")).drop("_h", "place")
+    """Adds fold, 0 to k-1, dealt in turn inside every stratum, that of the rows without one included."""
+    h, at = unused(df, "drawn", "place")
+    placed = place(df.withColumn(h, drawn(id_, seed)), strata, [h, id_], at)
+    return placed.withColumn("fold", ((F.col(at) - 1) % k).cast("int")).drop(h, at)
 
 
 def feasible(df: DataFrame, key: str, share: float) -> bool:
@@ -60,45 +65,27 @@ def representatives(df: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def group_holdout(df: DataFrame, id_: str, group: str, share: float, seed: int = 42) -> DataFrame:
-    """Splits groups and hands the side to their members."""
-    sides = holdout(df.select(group).distinct(), group, [], share, seed)
-    return df.join(sides, group)
+    """Splits groups and hands the side to their members; rows without a group are one group."""
+    return join_same(df, holdout(df.select(group).distinct(), group, [], share, seed), [group])
 
 
 def group_kfold(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
-    """Stratified group folds: groups by falling spread of their label counts, each to the fold that then is most even.
+    """Adds fold, 0 to k-1: stratified folds that keep groups whole; rows without a group are one group, a null label is a label.
 
-    The greedy pass is sequential over groups and runs in the driver on one row a group and label; more than ``MOST_GROUPS`` raise.
+    Groups stand in line by their commonest label (the least of several), then by falling size, then by name, and are dealt
+    to the folds to and fro: 0 to k-1, k-1 to 0, and on. Two folds thus differ in groups of a label by at most two, and their sizes by less than the largest
+    groups of each label. Places in line are global ranks from range partitions, so any number of groups is dealt without the driver.
     """
-    per = df.groupBy(group, label).count().orderBy(group, label).limit(MOST_GROUPS + 1).collect()
-    if len(per) > MOST_GROUPS:
-        raise ValueError("too many groups for a sequential assignment")
-    labels = sorted({r[label] for r in per}, key=str)
-    counts: dict = {}
-    for r in per:
-        counts.setdefault(r[group], [0] * len(labels))[labels.index(r[label])] = r["count"]
-    total = [max(1, sum(c[i] for c in counts.values())) for i in range(len(labels))]
-    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v)
-    folds = [[0] * len(labels) for _ in range(k)]
-    out = []
-    for g in sorted(counts, key=lambda g: (-spread(counts[g]), str(g))):
-        def cost(f):
-            tried = [[x + (y if j == f else 0) for x, y in zip(row, counts[g], strict=True)] for j, row in enumerate(folds)]
-            return (sum(spread([row[i] / total[i] for row in tried]) for i in range(len(labels))), sum(folds[f]), f)
-        best = min(range(k), key=cost)
-        folds[best] = [x + y for x, y in zip(folds[best], counts[g], strict=True)]
-        out.append((g, best))
-    kind = df.schema[group].dataType.simpleString()
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(out, f"{group} {kind}, fold int")), group)
-
-
-MOST_GROUPS = 100_000
+    per = df.groupBy(F.col(group).alias("name"), F.col(label).alias("kind")).agg(F.count("*").alias("rows"))
+    sized = per.groupBy("name").agg(F.sum("rows").alias("size"), F.min(F.struct(-F.col("rows"), "kind")).getField("kind").alias("kind"))
+    line = ranked(sized, [F.col("kind").asc_nulls_first(), F.desc("size"), F.col("name").asc_nulls_first()])
+    turn, at = F.floor((F.col("rank") - 1) / k), (F.col("rank") - 1) % k
+    folds = line.select(F.col("name").alias(group), F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+    return join_same(df, folds, [group])
 
 
 def chronological(df: DataFrame, order: list[str], shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
     """Adds split: the first rows train, the next val, the rest test. Ranks come from range partitions and their offsets."""
-    from .ranks import ranked
-
     n = df.count()
     a, b = int(n * shares[0]), int(n * shares[0]) + int(n * shares[1])
     return ranked(df, order).withColumn("split", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test")).drop("rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import unused
 from .quantiles import quantiles, with_quantiles
 
 
@@ -30,16 +31,18 @@ def with_scalars(df: DataFrame, *scalars: Column) -> DataFrame:
 def qcut(df: DataFrame, value: str, q: int, out: str, labels: list[str] | None = None) -> DataFrame:
     """Right-closed quantile bins of exact edges, the least value in the first; duplicate edges are dropped.
 
-    With labels, duplicate edges give every row the middle label; without distinct edges the bin is null.
+    With labels, duplicate edges give every row the middle label; without distinct edges the bin is null. A missing value has no bin.
     """
-    cut = quantiles(df, value, [k / q for k in range(q + 1)]).select(F.array_distinct("q").alias("_edges"))
+    there = F.col(value).isNotNull()
+    (edges,) = unused(df, "edges")
+    cut = quantiles(df, value, [k / q for k in range(q + 1)]).select(F.array_distinct("q").alias(edges))
     with_edges = df.crossJoin(F.broadcast(cut))
-    place = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(1)) - 1
-    number = F.when(F.col(value).isNotNull() & (F.size("_edges") > 1), place)
+    place = F.greatest(F.size(F.filter(edges, lambda e: e < F.col(value))), F.lit(1)) - 1
+    number = F.when(there & (F.size(edges) > 1), place)
     if labels:
-        named = F.element_at(F.array(*map(F.lit, labels)), number + 1)
-        number = F.when(F.size("_edges") == q + 1, named).when(F.col(value).isNotNull(), F.lit(labels[len(labels) // 2]))
-    return with_edges.withColumn(out, number).drop("_edges")
+        named = F.get(F.array(*map(F.lit, labels)), place)
+        number = F.when(there & (F.size(edges) == q + 1), named).when(there, F.lit(labels[len(labels) // 2]))
+    return with_edges.withColumn(out, number).drop(edges)
 
 
 def median_fill(df: DataFrame, column: str) -> DataFrame:

@@ -140,6 +140,9 @@ def test_qcut(spark):
     assert [None if pd.isna(x) else x for x in pd.qcut(pd.Series(values), 4, labels=False)] == got
     flat = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert [r.b for r in S.qcut(flat, "v", 3, "b", ["easy", "medium", "hard"]).collect()] == ["medium", "medium"]
+    named = S.qcut(df, "v", 3, "b", ["easy", "medium", "hard"]).orderBy("i").collect()
+    assert [r.b for r in named] == ["easy"] * 4 + ["medium"] * 3 + ["hard"] * 3 + [None]  # a missing value has no bin
+    assert [r.b for r in S.qcut(spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double"), "v", 3, "b", ["a", "b", "c"]).orderBy("v").collect()] == [None, "b", "b"]
     doubled = spark.createDataFrame([(float(v),) for v in (0, 0, 0, 0, 1, 2)], "v double")
     assert sorted(r.b for r in S.qcut(doubled, "v", 3, "b").collect()) == sorted(
         pd.qcut(pd.Series([0, 0, 0, 0, 1, 2]), 3, labels=False, duplicates="drop").tolist()
@@ -162,11 +165,28 @@ def test_diamond(spark):
 
 
 def test_group_folds(spark):
-    df = spark.createDataFrame([(i, f"g{i % 17}", str(i % 3)) for i in range(300)], "i int, g string, y string")
+    df = spark.createDataFrame([(i, f"g{i % 17}" if i % 17 else None, str(i % 3) if i % 5 else None) for i in range(300)], "i int, g string, y string")
     out = X.group_kfold(df, "g", "y", 5)
+    assert out.count() == 300 and out.columns == ["i", "g", "y", "fold"]
     assert out.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
     sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 36
+    assert X.group_kfold(df.limit(0), "g", "y", 5).isEmpty()
+
+
+def test_no_row_without_a_stratum_is_lost(spark):
+    """Null strata and groups are kept, also beside columns that are named like helpers."""
+    rows = [(i, [None, "a", "b"][i % 3], [None, "x", "y", "z"][i % 4], i, i, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, s string, g string, rows int, place int, part int")
+    held = X.holdout(df, "i", ["s"], 0.2)
+    assert held.count() == 60 and {r.s: r.n for r in held.where("in_val").groupBy("s").agg(F.count("*").alias("n")).collect()} == {None: 4, "a": 4, "b": 4}
+    folds = X.kfold(df, "i", ["s"], 5)
+    assert folds.count() == 60 and {r["count"] for r in folds.groupBy("s", "fold").count().collect()} == {4}
+    assert X.holdout(df, "i", [], 0.1).where("in_val").count() == 6
+    sides = X.group_holdout(df, "i", "g", 0.25)
+    assert sides.count() == 60 and sides.select("g", "in_val").distinct().count() == 4 and sides.where("in_val").count() == 15
+    assert X.fallback(df, "i", ["s"], 0.2).count() == 60
+    assert held.columns[:6] == df.columns == sides.columns[:0] + df.columns
 
 
 def test_arrays(spark):
