@@ -1,16 +1,28 @@
-"""TF-IDF vectors and their cosines through an inverted index."""
+"""TF-IDF vectors and their cosines: sparse rows, and blocks of dense products in which every pair of vectors meets once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import LETTERS
 from quern.sources.shared import cut
 
+#: Vectors of a block, and of the stripes that a block is multiplied in.
+BLOCK, STRIPE = 4096, 512
+#: Steps that a range of similarities is cut into, and pairs of a range from which on their values are looked at.
+STEPS, FEW = 1 << 16, 1_000_000
+#: Similarities nearer to 1 than this are 1.
+ONE = 1e-12
 
-def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3) -> DataFrame:
-    """doc, term, w: smoothed idf, rows of unit length, the ``terms`` commonest n-grams (a limit that is the feature)."""
+
+def _weighed(docs: DataFrame, terms: int, least_df: int, longest: int) -> DataFrame:
+    """doc, term, at (the term's place in the vocabulary), w: smoothed idf times count, of the ``terms`` commonest n-grams."""
     words = docs.select("doc", F.regexp_extract_all(F.lower("text"), F.lit(f"[{LETTERS}]{{2,}}"), F.lit(0)).alias("w"))
     n = F.size("w")
 
@@ -28,66 +40,211 @@ def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3
     ).where(F.col("df") >= least_df).orderBy(F.desc("total"), "term").limit(terms)
     size = docs.agg(F.count("*").alias("docs"))
     weight = F.col("n") * (F.ln((1 + F.col("docs")) / (1 + F.col("df")).cast("double")) + 1)
-    weighed = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(size)).select("doc", "term", weight.alias("w"))
-    return weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
+    vocabulary = vocabulary.withColumn("at", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))  # of at most ``terms`` rows
+    return tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(size)).select("doc", "term", "at", weight.alias("w"))
+
+
+def tfidf(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3) -> DataFrame:
+    """doc, term, w: smoothed idf, rows of unit length, the ``terms`` commonest n-grams (a limit that is the feature)."""
+    weighed = _weighed(docs, terms, least_df, longest)
+    return weighed.select("doc", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))).alias("w"))
+
 
+class Classes(NamedTuple):
+    """Equal vectors as one: members (doc, name) and classes (name, the least of its docs; copies; at and w, the terms' places and weights; k)."""
 
-def similarities(unit: DataFrame) -> DataFrame:
-    """i < j, sim of all pairs that share a term."""
-    a, b = unit.toDF("i", "term", "wa"), unit.toDF("j", "term", "wb")
-    return a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    members: DataFrame
+    classes: DataFrame
+    width: int
 
 
-def similar(unit: DataFrame, above: float) -> DataFrame:
-    """i < j, sim of the pairs above a cosine, without making all pairs of a common term.
+def classes(docs: DataFrame, terms: int = 500, least_df: int = 2, longest: int = 3) -> Classes:
+    """The same vectors as arrays in order of the vocabulary, by which copies of a text are equal to the last bit; docs without terms have none."""
+    rows = _weighed(docs, terms, least_df, longest).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("v"))  # at most ``terms`` long
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    rows = rows.select("doc", F.col("v.at").alias("at"), F.transform("v.w", lambda w: w / norm).alias("w"))
+    rows = cut(rows.withColumn("k", F.struct(F.xxhash64("at", "w").alias("a"), F.xxhash64(F.lit(17), "at", "w").alias("b"))))
+    found = rows.groupBy("k").agg(F.min("doc").alias("name"), F.count("*").alias("copies"), F.first("at").alias("at"), F.first("w").alias("w"))
+    return Classes(rows.select("doc", "k").join(found.select("k", "name"), "k").select("doc", "name"), cut(found), terms)
 
-    With terms from the commonest to the rarest, a text's first ones whose norm stays under ``above`` can't reach it with any other text. So
-    the pair shares one of the rarer ones of both, and only those are joined; what meets is then measured on all terms.
+
+def blocked(found: Classes, work: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``work`` makes of the cosines of every two classes: a stripe of a dense product and the classes (name, copies) of its rows and columns.
+
+    Classes are dealt into blocks of about ``BLOCK``, each two blocks meet in one task once. A class against itself, and the second order of a
+    pair in one block, are -1.
+    """
+    n, spark = found.classes.count(), found.classes.sparkSession
+    blocks = max(1, -(-n // BLOCK), min(-(-n // 256), int((2 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    width = found.width
+
+    def dense(rows: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(rows), width))
+        if len(rows):
+            out[np.repeat(np.arange(len(rows)), rows["at"].map(len)), np.concatenate(rows["at"].to_list())] = np.concatenate(rows["w"].to_list())
+        return out
+
+    def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        one = rows[rows["block"] == p].sort_values("name")
+        two = one if p == q else rows[rows["block"] == q].sort_values("name")
+        x = dense(one)
+        y = x if p == q else dense(two)
+        out = []
+        for lo in range(0, len(x) if len(y) else 0, STRIPE):
+            c = x[lo : lo + STRIPE] @ y.T
+            if p == q:
+                c[np.arange(len(y))[None, :] <= np.arange(lo, lo + len(c))[:, None]] = -1
+            c[c > 1 - ONE] = 1.0
+            out.append(work(c, one.iloc[lo : lo + STRIPE], two))
+        return pd.concat(out) if out else work(np.empty((0, 0)), one.iloc[:0], two.iloc[:0])
+
+    rows = found.classes.select("name", "copies", "at", "w", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("name", "copies", "at", "w", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return rows.groupBy("p", "q").applyInPandas(met, schema)
+
+
+def similar(found: Classes, above: float) -> DataFrame:
+    """i < j, sim of the pairs of docs above a cosine (of at least 0)."""
+    kind = found.members.schema["doc"].dataType.simpleString()
+
+    def hits(c: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        r, k = np.nonzero(c > above)
+        return pd.DataFrame({"a": one["name"].to_numpy()[r], "b": two["name"].to_numpy()[k], "sim": c[r, k]})
+
+    a, b = found.members.toDF("i", "a"), found.members.toDF("j", "b")
+    other = blocked(found, hits, f"a {kind}, b {kind}, sim double").join(a, "a").join(b, "b")
+    same = a.join(b, F.col("a") == F.col("b")).where("i < j").select("i", "j", F.lit(1.0).alias("sim")).where(F.lit(above < 1))
+    return other.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim").union(same)
+
+
+def templates(found: Classes, above: float, least: int) -> DataFrame:
+    """doc, neighbours of the docs with at least so many others above a cosine; counted in the tasks, no pair leaves them."""
+    kind = found.members.schema["doc"].dataType.simpleString()
+
+    def counted(c: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        hit = c > above
+        n = np.concatenate([hit @ two["copies"].to_numpy(np.int64), one["copies"].to_numpy(np.int64) @ hit])
+        some = n > 0
+        return pd.DataFrame({"name": np.concatenate([one["name"].to_numpy(), two["name"].to_numpy()])[some], "n": n[some].astype(np.int64)})
+
+    own = found.classes.select("name", F.when(F.lit(above < 1), F.col("copies") - 1).otherwise(0).alias("n"))
+    per = blocked(found, counted, f"name {kind}, n long").union(own).groupBy("name").agg(F.sum("n").cast("long").alias("neighbours"))
+    return found.members.join(per.where(F.col("neighbours") >= least), "name").select("doc", "neighbours")
+
+
+def _histogram(found: Classes, bounds: list[tuple[float, float]], steps: int) -> DataFrame:
+    """range, step, n: pairs of different classes with a similarity above 0 by ranges (from, to] and equal steps of them."""
+
+    def counted(c: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        r, k = np.nonzero(c > 0)
+        v, n = c[r, k], one["copies"].to_numpy(np.float64)[r] * two["copies"].to_numpy(np.float64)[k]
+        out = []
+        for i, (lo, hi) in enumerate(bounds):
+            some = (v > lo) & (v <= hi)
+            step = _step(v[some], lo, hi, steps)
+            sums = np.bincount(step, n[some], steps)
+            at = np.flatnonzero(sums)
+            out.append(pd.DataFrame({"range": np.full(len(at), i, np.int32), "step": at.astype(np.int32), "n": sums[at].astype(np.int64)}))
+        return pd.concat(out)
+
+    return blocked(found, counted, "range int, step int, n long").groupBy("range", "step").agg(F.sum("n").alias("n"))
+
+
+def _step(v: np.ndarray, lo: float, hi: float, steps: int) -> np.ndarray:
+    """The equal step of (lo, hi] that a value is in, upper ends included."""
+    return np.clip(np.ceil((v - lo) / (hi - lo) * steps).astype(np.int64) - 1, 0, steps - 1)
+
+
+def _values(found: Classes, bounds: list[tuple[float, float, int]], steps: int) -> DataFrame:
+    """range, sim, n of the pairs in one step of each range."""
+
+    def listed(c: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        r, k = np.nonzero(c > 0)
+        v, n = c[r, k], one["copies"].to_numpy(np.int64)[r] * two["copies"].to_numpy(np.int64)[k]
+        out = [pd.DataFrame({"range": np.empty(0, np.int32), "sim": np.empty(0), "n": np.empty(0, np.int64)})]
+        for i, (lo, hi, step) in enumerate(bounds):
+            some = (v > lo) & (v <= hi)
+            some[some] = _step(v[some], lo, hi, steps) == step
+            out.append(pd.DataFrame({"range": np.full(some.sum(), i, np.int32), "sim": v[some], "n": n[some]}))
+        return pd.concat(out)
+
+    return blocked(found, listed, "range int, sim double, n long").groupBy("range", "sim").agg(F.sum("n").alias("n"))
+
+
+def order_statistics(found: Classes, n: int, ranks: list[int]) -> dict[int, float]:
+    """The similarities of those ranks (from 0) among all pairs of ``n`` docs; pairs that share nothing, and docs without terms, are zeros.
+
+    Each pass counts the pairs of the ranges that ranks are in by steps, until a step holds few, whose values are then looked at.
     """
-    unit = cut(unit)
-    df = F.broadcast(unit.groupBy("term").agg(F.count("*").alias("df")))  # one row a term of the vocabulary
-    order = Window.partitionBy("doc").orderBy(F.desc("df"), "term")
-    rare = unit.join(df, "term").withColumn(
-        "norm",
-        F.sqrt(F.sum(F.col("w") * F.col("w")).over(order)),
-    ).where(F.col("norm") >= above - 1e-9).select("doc", "term")
-    met = rare.toDF("i", "term").join(rare.toDF("j", "term"), "term").where("i < j").select("i", "j").distinct()
-    a, b = unit.toDF("i", "term", "wa"), unit.toDF("j", "term", "wb")
-    sims = met.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
-    return sims.where(F.col("sim") > above)
-
-
-def templates(sims: DataFrame, above: float, least: int) -> DataFrame:
-    near = sims.where(F.col("sim") > above).select("i", "j")
-    return near.union(near.select("j", "i")).groupBy(F.col("i").alias("doc")).agg(F.count("*").alias("neighbours")).where(F.col("neighbours") >= least)
-
-
-def percentiles(sims: DataFrame, n: int, qs: list[float]) -> DataFrame:
-    """Quantiles over all pairs; pairs that share nothing are counted as zeros, not built."""
+    same = int(found.classes.agg(F.sum(F.expr("copies * (copies - 1) div 2"))).first()[0] or 0)
+    inside: dict[int, tuple[float, float, int]] = {r: (0.0, 1.0, 0) for r in ranks}  # range, and pairs below it
+    out: dict[int, float] = {}
+    while inside:
+        bounds = sorted({(lo, hi) for lo, hi, _ in inside.values()})
+        rows = _histogram(found, bounds, STEPS).collect()  # at most STEPS rows a range
+        per = [np.zeros(STEPS, np.int64) for _ in bounds]
+        for row in rows:
+            per[row.range][row.step] = row.n
+        if bounds == [(0.0, 1.0)]:
+            stored = int(per[0].sum()) + same
+            zeros = n * (n - 1) // 2 - stored
+            inside = {r: (lo, hi, zeros) for r, (lo, hi, _) in inside.items()}
+        steps: dict[int, tuple[int, int, int]] = {}
+        for r, (lo, hi, below) in list(inside.items()):
+            counts = per[bounds.index((lo, hi))]
+            ends = below + np.cumsum(counts)
+            step = int(np.searchsorted(ends, r, "right"))
+            if r < below or step == STEPS:
+                out[r] = 0.0 if r < below else 1.0
+                del inside[r]
+            else:
+                steps[r] = bounds.index((lo, hi)), step, int(ends[step] - counts[step])
+        few = {r: s for r, s in steps.items() if per[s[0]][s[1]] <= FEW or _narrow(*bounds[s[0]])}
+        if few:
+            wanted = sorted({(*bounds[k], step) for k, step, _ in few.values()})
+            listed = _values(found, wanted, STEPS)
+            upto = F.sum("n").over(Window.partitionBy("range").orderBy("sim"))
+            asked = found.classes.sparkSession.createDataFrame([(wanted.index((*bounds[k], step)), r, r - below) for r, (k, step, below) in few.items()], "range int, rank long, after long")
+            hit = listed.withColumn("upto", upto).join(F.broadcast(asked), "range").where("upto > after").groupBy("rank").agg(F.min("sim").alias("sim"))
+            for row in hit.collect():  # one a rank
+                out[row["rank"]] = row["sim"]
+                del inside[row["rank"]]
+        for r in list(inside):
+            k, step, below = steps[r]
+            lo, hi = bounds[k]
+            inside[r] = lo + (hi - lo) * step / STEPS, lo + (hi - lo) * (step + 1) / STEPS, below
+    return out
+
+
+def _narrow(lo: float, hi: float) -> bool:
+    """Whether a range has no steps of its own any more."""
+    return (hi - lo) / STEPS < 1e-13
+
+
+def percentiles(found: Classes, n: int, qs: list[float]) -> DataFrame:
+    """Quantiles over all pairs of ``n`` docs, between the two nearest ranks."""
     pairs = n * (n - 1) // 2
-    some = sims.where("sim > 0")
-    stored = some.count()
-    zeros = pairs - stored
-    spark = sims.sparkSession
-    wanted = [(q, min(int(q * (pairs - 1)), pairs - 1), min(int(q * (pairs - 1)) + 1, pairs - 1), q * (pairs - 1) % 1) for q in qs] if pairs else []
-    from .ranks import ranked
-
-    order = ranked(some.select("sim"), ["sim"]).select("sim", (F.col("rank") - 1 + zeros).alias("at"))
-    q = spark.createDataFrame(wanted, "q double, lo long, hi long, part double")
-    value = lambda key: q.join(
-        F.broadcast(order.join(F.broadcast(q.select(F.col(key).alias("at")).distinct()), "at")),
-        F.col(key) == F.col("at"),
-        "left",
-    ).select("q", F.coalesce("sim", F.lit(0.0)).alias(f"v_{key}"))
-    both = q.join(value("lo"), "q").join(value("hi"), "q")
-    return both.select("q", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("part")).alias("sim"))
-
-
-def ranges(sims: DataFrame, n: int) -> DataFrame:
-    """Counts of pairs by similarity, exactly 1 left out, pairs that share nothing in the lowest range."""
-    s = F.col("sim")
-    per = sims.where(s < 1).groupBy(
-        F.when(s < 0.2, "0.0-0.2").when(s < 0.4, "0.2-0.4").when(s < 0.6, "0.4-0.6").when(s < 0.8, "0.6-0.8").otherwise("0.8-1.0").alias("bucket")
-    ).agg(F.count("*").alias("n"))
-    zeros = sims.agg((F.lit(n * (n - 1) // 2) - F.count("*")).alias("n")).select(F.lit("0.0-0.2").alias("bucket"), "n")
-    return per.union(zeros).groupBy("bucket").agg(F.sum("n").cast("long").alias("n")).where("n > 0")
+    at = {q: (min(int(q * (pairs - 1)), pairs - 1), min(int(q * (pairs - 1)) + 1, pairs - 1), q * (pairs - 1) % 1) for q in qs} if pairs else {}
+    value = order_statistics(found, n, sorted({r for lo, hi, _ in at.values() for r in (lo, hi)})) if at else {}
+    rows = [(q, value[lo] + (value[hi] - value[lo]) * part) for q, (lo, hi, part) in at.items()]
+    return found.classes.sparkSession.createDataFrame(rows, "q double, sim double")
+
+
+def ranges(found: Classes, n: int) -> DataFrame:
+    """Counts of all pairs of ``n`` docs by similarity, exactly 1 left out, pairs that share nothing in the lowest range."""
+    names = ("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")
+
+    def counted(c: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        r, k = np.nonzero(c > 0)
+        v, m = c[r, k], one["copies"].to_numpy(np.float64)[r] * two["copies"].to_numpy(np.float64)[k]
+        step = np.where(v == 1, len(names), np.searchsorted([0.2, 0.4, 0.6, 0.8], v, "right"))
+        sums = np.bincount(step, m, len(names) + 1).astype(np.int64)
+        return pd.DataFrame({"step": np.arange(len(sums), dtype=np.int32), "n": sums})
+
+    per = blocked(found, counted, "step int, n long").union(found.classes.select(F.lit(len(names)), F.expr("copies * (copies - 1) div 2")))
+    per = per.groupBy("step").agg(F.sum("n").alias("n"))
+    zeros = per.agg((F.lit(n * (n - 1) // 2) - F.coalesce(F.sum("n"), F.lit(0))).alias("n")).select(F.lit(0).alias("step"), "n")
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("step") + 1).alias("bucket")
+    return per.where(F.col("step") < len(names)).union(zeros).select(named, "n").groupBy("bucket").agg(F.sum("n").cast("long").alias("n")).where("n > 0")

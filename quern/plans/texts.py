@@ -525,22 +525,21 @@ def tfidf(t: Tables):
     return M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text"))).select("doc", "term", r6(F.col("w"), "w"))
 
 
-def _sims(t: Tables):
-    return M.similarities(M.tfidf(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text"))))
+def _items(t: Tables):
+    return M.classes(t.benchmark.select(F.col("item_id").alias("doc"), T.whole("text").alias("text")))
 
 
 TURNS = GRAMS.replace("item_id as doc", "conv_id || ':' || turn as doc").replace("from benchmark", "from conversations")
 
 
-def _turns(t: Tables, above: float):
-    docs = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("doc"), T.whole("text").alias("text"))
-    return M.similar(M.tfidf(docs), above)
+def _turns(t: Tables):
+    return M.classes(t.dealt("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), T.whole("text").alias("text")))
 
 
 @query("near_dups", f"with {TURNS} select i, j, round(sim, 6) as sim from sims where sim > 0.8")
 def near_dups(t: Tables):
     """Turns whose cosine is above 0.8."""
-    return _turns(t, 0.8).select("i", "j", r6(F.col("sim"), "sim"))
+    return M.similar(_turns(t), 0.8).select("i", "j", r6(F.col("sim"), "sim"))
 
 
 @query(
@@ -550,7 +549,7 @@ def near_dups(t: Tables):
 )
 def templates(t: Tables):
     """Turns with five or more others above 0.6."""
-    return M.templates(_turns(t, 0.6), 0.6, 5)
+    return M.templates(_turns(t), 0.6, 5)
 
 
 EVERY = (
@@ -562,13 +561,13 @@ SHARES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 @query("sim_percentiles", f"with {GRAMS}, {EVERY} select unnest({SHARES}) as q, round(unnest(quantile_cont(sim, {SHARES})), 6) as sim from every")
 def sim_percentiles(t: Tables):
-    return M.percentiles(_sims(t), t.benchmark.count(), SHARES).select("q", r6(F.col("sim"), "sim"))
+    return M.percentiles(_items(t), t.benchmark.count(), SHARES).select("q", r6(F.col("sim"), "sim"))
 
 
 @query(
     "sim_ranges",
     f"with {GRAMS}, {EVERY} select case when sim < 0.2 then '0.0-0.2' when sim < 0.4 then '0.2-0.4' when sim < 0.6 then '0.4-0.6' when sim < 0.8 "
-    f"then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 group by 1",
+    f"then '0.6-0.8' else '0.8-1.0' end as bucket, count(*) as n from every where sim < 1 - 1e-12 group by 1",
 )
 def sim_ranges(t: Tables):
-    return M.ranges(_sims(t), t.benchmark.count())
+    return M.ranges(_items(t), t.benchmark.count())

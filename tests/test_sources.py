@@ -87,18 +87,50 @@ def test_streams_go_on(spark, tmp_path):
     assert run() == {1: (4.0, 3), 2: (0.5, None)}
 
 
-def test_pairs_above_a_cosine(spark):
+def sparse_pairs(unit):
+    """All cosines above 0 of tfidf's rows, by brute force."""
+    rows = {}
+    for r in unit.collect():
+        rows.setdefault(r.doc, {})[r.term] = r.w
+    docs = sorted(rows)
+    sims = {(i, j): sum(w * rows[j].get(t, 0) for t, w in rows[i].items()) for k, i in enumerate(docs) for j in docs[k + 1 :]}
+    return {k: v for k, v in sims.items() if v > 0}
+
+
+@pytest.mark.parametrize("block, steps, few", [(4096, 1 << 16, 10**6), (16, 8, 5)])
+def test_blocks_of_cosines(spark, monkeypatch, block, steps, few):
+    """Pairs, neighbours, quantiles and ranges over all pairs of texts, copies and texts without terms among them, in one block and in many."""
+    for name, value in (("BLOCK", block), ("STRIPE", 5), ("STEPS", steps), ("FEW", few)):
+        monkeypatch.setattr(M, name, value)
     rng = random.Random(8)
-    texts = []
+    texts = ["", "? !", None]
     for i in range(60):
-        words = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(30)] if i % 3 or not texts else texts[-1].split()
+        words = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(30)] if i % 3 or len(texts) < 4 else texts[-1].split()
         words[rng.randrange(len(words))] = f"e{i}"
         texts.append(" ".join(words))
-    unit = M.tfidf(spark.createDataFrame(list(enumerate(texts)), "doc int, text string"))
-    every = {(r.i, r.j): r.sim for r in M.similarities(unit).collect()}
+    texts += [texts[10]] * 7
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").where("text is not null or doc >= 0").fillna("")
+    every, n = sparse_pairs(M.tfidf(df)), len(texts)
+    found = M.classes(df)
     for above in (0.2, 0.6, 0.9):
-        got = {(r.i, r.j): r.sim for r in M.similar(unit, above).collect()}
+        got = {(r.i, r.j): r.sim for r in M.similar(found, above).collect()}
         assert got == pytest.approx({k: v for k, v in every.items() if v > above}) and (above > 0.8 or got)
+        near = {}
+        for (i, j), v in every.items():
+            if v > above:
+                near[i], near[j] = near.get(i, 0) + 1, near.get(j, 0) + 1
+        assert {r.doc: r.neighbours for r in M.templates(found, above, 2).collect()} == {k: v for k, v in near.items() if v >= 2}
+    all_ = list(every.values()) + [0.0] * (n * (n - 1) // 2 - len(every))
+    qs = [0.0, 0.01, 0.1, 0.5, 0.75, 0.9, 0.99, 1.0]
+    assert {r.q: r.sim for r in M.percentiles(found, n, qs).collect()} == pytest.approx(dict(zip(qs, np.quantile(all_, qs).tolist(), strict=True)))
+    want = {}
+    for v in all_:
+        if v < 1 - 1e-12:
+            k = f"{min(int(v * 5), 4) / 5:.1f}-{min(int(v * 5), 4) / 5 + 0.2:.1f}"
+            want[k] = want.get(k, 0) + 1
+    assert {r.bucket: r.n for r in M.ranges(found, n).collect()} == want
+    none = M.classes(df.limit(0))
+    assert M.similar(none, 0.5).isEmpty() and M.percentiles(none, 0, qs).isEmpty() and M.ranges(none, 0).isEmpty()
 
 
 def test_kmeans(spark):
