@@ -1,36 +1,47 @@
-"""Spatial graphs: range joins on a grid, accumulation, balance, components."""
+"""Spatial graphs: range joins on a k-d partition, accumulation, balance, components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import physics as P
 from quern.sources.shared import cut
 
-#: Edges that one task of ``accumulate_down`` holds, and that ``stars`` gathers before it joins them.
-BLOCK = 2_000_000
+from . import space as S
+from .components import components  # noqa: F401
+
+#: Nodes of a leaf in which pairs are sought, and of a part of the graph that is contracted.
+PER_LEAF, PART = 4096, 16384
+#: Edges of a contracted graph that one task may hold, and the share of the edges before it beyond which contraction is no help.
+BLOCK, SHRINKS = 2_000_000, 0.7
+#: In place of a link's other part: the link is inside its part, or it is no link but marks an entry.
+INSIDE, ENTRY = -2, -1
 
 
 def within(nodes: DataFrame, reach: float, pair: Column | None = None) -> DataFrame:
     """Ordered pairs of nodes (id, x, y, ...) nearer than ``reach``: a, b prefixes the columns of each side.
 
-    An equi-join on grid cells as wide as the reach: each node stands in its own cell, and looks into the nine around it.
+    Nodes are parted by a k-d tree, and each is copied to the leaves that its reach meets; inside a leaf an equi-join on grid cells as wide as the
+    reach finds the pairs: a node looks into the nine cells around it. A leaf of many nodes in one place is dealt out by id, with the copies repeated.
     """
+    known = S.tree(nodes, PER_LEAF)
     cell = lambda c, d: F.floor(F.col(c) / reach) + d
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
-    a = a.withColumn(
-        "cx",
-        F.explode(F.transform(steps, lambda d: F.col("cx") + d)),
-    ).withColumn("cy", F.explode(F.transform(steps, lambda d: F.col("cy") + d)))
     b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns], cell("x", 0).alias("cx"), cell("y", 0).alias("cy"))
-    near = a.join(b, ["cx", "cy"]).drop("cx", "cy").withColumn("distance", P.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")))
+    on = ["cx", "cy"]
+    if known.depth:
+        on = ["leaf", "deal", *on]
+        a = a.withColumn("leaf", S.leaf(nodes, known, "a_x", "a_y"))
+        deals = a.groupBy("leaf").agg(F.ceil(F.count("*") / (4 * PER_LEAF)).cast("int").alias("deals"))  # at most 65,536 rows
+        a = a.join(F.broadcast(deals), "leaf").withColumn("deal", F.pmod(F.xxhash64("a_id"), F.col("deals")).cast("int")).drop("deals")
+        b = b.withColumn("leaf", F.explode(S.around(nodes, known, reach, "b_x", "b_y"))).join(F.broadcast(deals), "leaf")
+        b = b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    a = a.withColumn("cx", F.explode(F.transform(steps, lambda d: F.col("cx") + d))).withColumn("cy", F.explode(F.transform(steps, lambda d: F.col("cy") + d)))
+    near = a.join(b, on).drop(*on).withColumn("distance", P.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")))
     near = near.where((F.col("a_id") != F.col("b_id")) & (F.col("distance") < reach))
     return near.where(pair) if pair is not None else near
 
@@ -72,63 +83,127 @@ def accumulate(nodes: DataFrame, edges: DataFrame, value: str, most: int | None
 
 
 def accumulate_down(nodes: DataFrame, edges: DataFrame, value: str, height: str) -> DataFrame:
-    """The same for edges that all lead to a lower ``height`` (a_height, b_height), however long the paths are.
+    """The same for edges between places (a_x, a_y, b_x, b_y) that all lead to a lower ``height`` (a_height, b_height), however long the paths are.
 
-    Heights are cut into bands of about ``BLOCK`` edges by their source. From the top band down, a task walks its nodes by height and
-    hands sums on to lower bands, so that each edge is used once.
+    The graph is contracted. Nodes are parted by place. A part's nodes that edges of other parts lead to are its entries; each part works out by itself
+    what reaches the entries of other parts from its own nodes, and how much of one unit at each of its entries does. These sums are a graph of entries
+    alone, whose parts are the old ones put together: it is solved in the same way, and what then enters each part is walked through it once more.
+    What is left in the end fits in one part of at most ``BLOCK`` edges. Where entries are as many as edges were, flow moves level by level instead.
     """
-    top, low = f"a_{height}", f"b_{height}"
-    seen = edges.agg(F.count("*").alias("n"), F.percentile_approx(top, [k / 1000 for k in range(1, 1000)], 10000).alias("q")).first()
-    n = min(-(-seen["n"] // BLOCK), 1000)
-    bounds = [*sorted({seen["q"][round(k * 1000 / n) - 1] for k in range(1, n)}, reverse=True), None]
-    rows = nodes.select(F.lit(0).alias("k"), "id", F.col(height).cast("double").alias("h"), F.col(value).cast("double").alias("v"))
-    links = edges.select(F.lit(0).alias("k"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col(top).alias("top"), F.col(low).alias("low"))
-    done, carried, upper = [], [], None
-    for lower in bounds:
-
-        def band(h: str, upper=upper, lower=lower) -> Column:
-            above = F.lit(True) if lower is None else F.col(h) >= lower
-            return F.coalesce(above, F.lit(True)) if upper is None else above & (F.col(h) < upper)
-
-        here = rows.where(band("h"))
-        for c in carried:
-            here = here.union(c.where(band("h")))
-        walked = here.groupBy("k").cogroup(links.where(band("top")).groupBy("k")).applyInPandas(
-            _walk(lower),
-            "k int, id long, h double, v double, own boolean",
+    known = S.tree(nodes, PART, nodes.sparkSession.sparkContext.defaultParallelism)
+    at = lambda x, y: S.leaf(nodes, known, x, y) if known.depth else F.lit(0)
+    rows = nodes.select("id", F.col(height).cast("double").alias("h"), F.col(value).cast("double").alias("v"), at("x", "y").alias("part"))
+    links = edges.select(
+        F.col("a_id").alias("a"),
+        F.col("b_id").alias("b"),
+        F.lit(1.0).alias("w"),
+        F.col(f"b_{height}").cast("double").alias("low"),
+        at("a_x", "a_y").alias("pa"),
+        at("b_x", "b_y").alias("pb"),
+    )
+    return _solved(cut(rows), cut(links), known.depth)
+
+
+def _solved(rows: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """id, total of nodes (id, h, v, part) with weighted links (a, b, w, low, pa, pb); parts have ``depth`` bits."""
+    inner = links.where("pa = pb").select(F.col("pa").alias("part"), "a", "b", "w")
+    totals = lambda r: r.groupBy("part").cogroup(inner.groupBy("part")).applyInPandas(_walk, "id long, total double")
+    if not depth:
+        return totals(rows)
+    across = links.where("pa != pb")
+    tasks = inner.withColumn("low", F.lit(0.0)).withColumn("pb", F.lit(INSIDE))
+    tasks = tasks.union(across.select(F.col("pa").alias("part"), "a", "b", "w", "low", "pb"))
+    entered = across.select(F.col("pb").alias("part"), F.col("b").alias("a"), "b", F.lit(0.0).alias("w"), F.lit(0.0).alias("low"), F.lit(ENTRY).alias("pb"))
+    tasks = tasks.union(entered.distinct())
+    passed = cut(rows.groupBy("part").cogroup(tasks.groupBy("part")).applyInPandas(_condense, "part int, a long, b long, w double, low double, pb int"))
+    entries = passed.where("a is null").groupBy(F.col("b").alias("id")).agg(F.max("low").alias("h"), F.sum("w").alias("v"), F.max("pb").alias("part"))
+    joins = passed.where("a is not null").select("a", "b", "w", "low", F.col("part").alias("pa"), "pb")
+    n, before, many = joins.count(), links.count(), entries.count()
+    if n > BLOCK and n > before * SHRINKS:
+        arrived = _by_level(entries, joins)
+    else:
+        left = 0 if n <= BLOCK else min(depth - 1, int(-(-many // PART) - 1).bit_length())
+        up = lambda c: F.shiftright(F.col(c), depth - left)
+        arrived = _solved(
+            cut(entries.withColumn("part", up("part"))),
+            joins.withColumn("pa", up("pa")).withColumn("pb", up("pb")),
+            left,
         )
-        walked = cut(walked)
-        done.append(walked.where("own").select("id", F.col("v").alias("total")))
-        carried.append(walked.where("not own").drop("own"))
-        upper = lower
-    every = done[0]
-    for d in done[1:]:
-        every = every.union(d)
-    return every
-
-
-def _walk(lower: float | None):
-    """Totals of a band's nodes, and summed by node what leaves it."""
-
-    def walk(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids, first, at = np.unique(nodes["id"].to_numpy(), return_index=True, return_inverse=True)
-        height = nodes["h"].to_numpy()[first]
-        total = np.bincount(at, nodes["v"].to_numpy(), len(ids))
-        a, b, low = np.searchsorted(ids, links["a"].to_numpy()), links["b"].to_numpy(), links["low"].to_numpy()
-        inside = np.full(len(b), True) if lower is None else low >= lower
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(-height, kind="stable")] = np.arange(len(ids))
-        order = np.argsort(rank[a[inside]], kind="stable")
-        src, dst = a[inside][order], np.searchsorted(ids, b[inside][order])
-        starts = np.flatnonzero(np.diff(src, prepend=-1))
-        for lo, hi in zip(starts, np.append(starts, len(src))[1:], strict=True):
-            np.add.at(total, dst[lo:hi], total[src[lo]])
-        out, at_out, to = np.unique(b[~inside], return_index=True, return_inverse=True)
-        sums = np.bincount(to, total[a[~inside]], len(out))
-        own = pd.DataFrame({"k": 0, "id": ids, "h": height, "v": total, "own": True})
-        return pd.concat([own, pd.DataFrame({"k": 0, "id": out, "h": low[~inside][at_out], "v": sums, "own": False})]) if len(out) else own
-
-    return walk
+    arrived = arrived.select("id", F.col("total").alias("more"))
+    return totals(rows.join(arrived, "id", "left").select("id", "h", (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v"), "part"))
+
+
+def _by_level(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The same by rounds: what arrived in one moves on in the next, until nothing moves."""
+    moving = cut(rows.select("id", F.col("v").alias("total")))
+    rounds = [moving]
+    while True:
+        moved = moving.join(links, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("total") * F.col("w")).alias("total"))
+        moving = cut(moved)
+        if moving.isEmpty():
+            break
+        rounds.append(moving)
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.union(r)
+    return every.groupBy("id").agg(F.sum("total").alias("total"))
+
+
+class _Part:
+    """A part's nodes from the highest down, and its links by source; equal links are one."""
+
+    def __init__(self, nodes: pd.DataFrame, links: pd.DataFrame):
+        nodes = nodes.iloc[np.lexsort((nodes["id"].to_numpy(), -nodes["h"].to_numpy()))]
+        self.ids, self.v = nodes["id"].to_numpy(), nodes["v"].to_numpy(np.float64)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        a, b = self.place(links["a"].to_numpy(np.int64)), self.place(links["b"].to_numpy(np.int64))
+        key, at = np.unique(a * len(self.ids) + b, return_inverse=True)
+        self.w = np.bincount(at, links["w"].to_numpy(np.float64), len(key))
+        self.src, self.dst = (key // len(self.ids), key % len(self.ids)) if len(key) else (key, key)
+        starts = np.flatnonzero(np.diff(self.src, prepend=-1))
+        self.spans = list(zip(starts.tolist(), np.append(starts, len(key))[1:].tolist(), strict=True))
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        return self.by_id[np.searchsorted(self.ids, ids, sorter=self.by_id)] if len(ids) else np.empty(0, np.int64)
+
+    def down(self, total: np.ndarray) -> np.ndarray:
+        """Moves what each node has (a number or a row) along the links, from the highest node down."""
+        wide = (slice(None), None) if total.ndim > 1 else slice(None)
+        for lo, hi in self.spans:
+            now = total[self.src[lo]]
+            if now.any():
+                total[self.dst[lo:hi]] += self.w[lo:hi][wide] * now
+        return total
+
+
+def _walk(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    part = _Part(nodes, links)
+    return pd.DataFrame({"id": part.ids, "total": part.down(part.v.copy())})
+
+
+def _condense(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """What reaches other parts' entries b: from the part's own values (a is null), and of one unit at each entry a."""
+    inner, out, entered = links[links["pb"] == INSIDE], links[links["pb"] >= 0], links[links["pb"] == ENTRY]
+    part = _Part(nodes, inner)
+    entries = np.sort(part.place(entered["b"].to_numpy(np.int64)))
+    goals, first, goal = np.unique(out["b"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    low, pb, w, exit_ = out["low"].to_numpy()[first], out["pb"].to_numpy()[first], out["w"].to_numpy(np.float64), part.place(out["a"].to_numpy(np.int64))
+    own = np.bincount(goal, w * part.down(part.v.copy())[exit_], len(goals))
+    found = [(np.full(len(goals), -1), np.arange(len(goals)), own)]
+    for lo in range(0, len(entries) if len(goals) else 0, 128):
+        some = entries[lo : lo + 128]
+        unit = np.zeros((len(part.ids), len(some)))
+        unit[some, np.arange(len(some))] = 1.0
+        part.down(unit)
+        sums = np.zeros((len(goals), len(some)))
+        np.add.at(sums, goal, w[:, None] * unit[exit_])
+        g, e = np.nonzero(sums)
+        found.append((some[e], g, sums[g, e]))
+    a, g, w = (np.concatenate(c) for c in zip(*found, strict=True))
+    names = pd.array(np.where(a >= 0, part.ids[a], 0) if len(part.ids) else a, dtype="Int64")
+    names[a < 0] = pd.NA
+    k = nodes["part"].iloc[0] if len(nodes) else links["part"].iloc[0] if len(links) else 0
+    return pd.DataFrame({"part": k, "a": names, "b": goals[g], "w": w, "low": low[g], "pb": pb[g].astype(np.int32)})
 
 
 def balance(nodes: DataFrame, edges: DataFrame, flow: str) -> DataFrame:
@@ -140,52 +215,6 @@ def balance(nodes: DataFrame, edges: DataFrame, flow: str) -> DataFrame:
     return both.withColumn("residual", gap).withColumn("relative", gap / (F.col("inflow") + F.col("outflow") + 1e-6))
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """a, b: the same components by fewer edges, each node of a partition to the least id it reaches there."""
-    most = BLOCK
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def reduced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            x, y, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
-            while (label[x] != label[y]).any():
-                least = np.minimum(label[x], label[y])
-                np.minimum.at(label, label[x], least)
-                np.minimum.at(label, label[y], least)
-                while (label[label] != label).any():
-                    label = label[label]
-            some = label != np.arange(len(ids))
-            return ids[some], ids[label[some]]
-
-        kept, parts, n = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
-        for batch in batches:
-            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            n += batch.num_rows
-            if n >= most:
-                kept, parts, n = reduced(*(np.concatenate(c) for c in zip(kept, *parts, strict=True))), [], 0
-        a, b = reduced(*(np.concatenate(c) for c in zip(kept, *parts, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(joined, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """id, component (least id) by least-label propagation with shortcuts."""
-    few = cut(stars(edges))
-    few = cut(stars(few.coalesce(max(1, few.rdd.getNumPartitions() // 16))))
-    both = cut(few.select("a", "b").union(few.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        low = labels.join(near, "id").select("id", F.least("label", "m").alias("label"))
-        up = low.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        after = cut(low.join(up, "label", "left").select("id", F.coalesce("top", "label").alias("label")))
-        same = after.join(labels.withColumnRenamed("label", "old"), "id").where("label != old").isEmpty()
-        labels = after
-        if same:
-            return labels.withColumnRenamed("label", "component")
-
-
 def statistics(n_nodes: int, edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, mean_degree, density of a directed graph in which parallel edges count once."""
     e = edges.select("src", "dst").distinct().agg(F.count("*").alias("n_edges"))

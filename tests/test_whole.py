@@ -51,10 +51,11 @@ def test_every_turn_is_scored(spark, tmp_path):
     assert {(c, t): (e, n) for c, t, e, n in con.execute(catalog.ORACLES["word_errors"]).fetchall()} == want
 
 
-@pytest.mark.parametrize("block", [2_000_000, 60])
-def test_the_whole_river(spark, tmp_path, monkeypatch, block):
-    """Flow and components along every river edge, whatever the ids, in one band of heights and in many."""
-    monkeypatch.setattr(G, "BLOCK", block)
+@pytest.mark.parametrize("part, block, shrinks, leaf", [(16384, 2_000_000, 0.7, 4096), (20, 2_000_000, 0.7, 16), (20, 30, 100, 4096), (20, 30, 0.0, 4096)])
+def test_the_whole_river(spark, tmp_path, monkeypatch, part, block, shrinks, leaf):
+    """Flow and components along every river edge, whatever the ids, in one part, in parts contracted once or again, and by levels."""
+    for name, value in (("PART", part), ("BLOCK", block), ("SHRINKS", shrinks), ("PER_LEAF", leaf)):
+        monkeypatch.setattr(G, name, value)
     rng = random.Random(23)
     at = {
         7 * i: [rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1), rng.uniform(-0.3, 0.3), *(rng.uniform(0, 0.2) for _ in range(3))] for i in range(300)
@@ -82,3 +83,38 @@ def test_no_level_is_left_out(spark):
     assert {r.id: r.total for r in G.accumulate(nodes, edges, "v", most=4).collect()} == {k: k + 1.0 for k in range(5)}
     with pytest.raises(RuntimeError):
         G.accumulate(nodes, edges, "v", most=2)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_a_long_chain(spark, monkeypatch, block):
+    """5,000 levels through all parts of the plane, to and fro along its lines."""
+    monkeypatch.setattr(G, "PART", 200)
+    monkeypatch.setattr(G, "BLOCK", block)
+    n = 5000
+    rows = [(10 * k, float(k % 50 if k // 50 % 2 else 49 - k % 50), float(k // 50), float(-k), 1.0) for k in range(n)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double, h double, v double")
+    pairs = [(k, k + 1) for k in range(n - 1)] + [(k, k + 7) for k in range(0, 700, 100)] + [(3, 4)]
+    at = lambda side, r: {f"{side}_id": r[0], f"{side}_x": r[1], f"{side}_y": r[2], f"{side}_h": r[3]}
+    edges = spark.createDataFrame([at("a", rows[a]) | at("b", rows[b]) for a, b in pairs])
+    want = [1.0] * n
+    for a, b in sorted(pairs):
+        want[b] += want[a]
+    out = G.accumulate_down(nodes, edges, "v", "h")
+    got = {r.id: r.total for r in out.collect()}
+    assert got == pytest.approx({10 * k: v for k, v in enumerate(want)}, rel=1e-9)
+
+
+def test_a_crowded_place(spark, monkeypatch):
+    """Nine nodes of ten in one cell of the grid, some in one spot: pairs are all there, and come from many leaves."""
+    monkeypatch.setattr(G, "PER_LEAF", 16)
+    rng = random.Random(6)
+    rows = [(k, rng.random(), rng.random()) for k in range(180)] + [(k, 9 * rng.random(), 9 * rng.random()) for k in range(180, 250)]
+    rows += [(k, 0.5, 0.5) for k in range(250, 400)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double")
+    far = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and far(a, b) < 1.5}
+    got = [(r.a_id, r.b_id) for r in G.within(nodes, 1.5).select("a_id", "b_id").collect()]
+    assert len(got) == len(want) and set(got) == want
+    known = G.S.tree(nodes, 16)
+    held = nodes.groupBy(G.S.leaf(nodes, known).alias("leaf")).count().collect()
+    assert len(held) > 8 and sum(r["count"] for r in held) == 400
