@@ -1,40 +1,14 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Each step is an aggregate and an equi-join on the edge list, so hub nodes are split by adaptive execution and nothing
-is gathered on the driver but an edge count and checksum. Every round is cut by a staged table.
-"""
+"""Connected components whose rounds are cut by staged tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quern.operators.components import components as joined
 
 from .staging import Stages
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the least node reachable."""
-    now = stages.put(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _sum(now)
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(
-            F.col("v").alias("u"),
-            F.col("m").alias("v"),
-        ).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = stages.put(small, "star")
-        stages.drop(now)
-        now, last = after, seen
-        seen = _sum(now)
-        if seen == last:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    return joined(edges, lambda df: stages.put(df, "star"), stages.drop).withColumnRenamed("id", "node")

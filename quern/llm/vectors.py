@@ -9,8 +9,8 @@ are united. Each leader then searches its home cell greedily from the cell's med
 goes on by joins. Leader pairs are verified: certain by their angle and radii, or by comparing the balls' members.
 
 Recall is audited: a bounded number of linked vectors, chosen by hash, is compared with all vectors in blocks, and each counts alike however
-many links it has, so that a large family hides no small one. Below ``AUDIT_LEAST`` the graph is built again with a wider overlap,
-and a recall that stays below ``LEAST`` at the widest raises. Cells number as many as hold ``CELL`` vectors each, or the root of all
+many links it has, so that a large family hides no small one; a count above the true one lowers it too. Below ``AUDIT_LEAST`` the graph is built again
+with a wider overlap; where recall stays below ``LEAST`` at the widest, all classes are compared in pairs of blocks (``exact_links``). Cells number as many as hold ``CELL`` vectors each, or the root of all
 vectors beyond ``MOST_CELLS``; those above ``PIECE`` rows are salted into pieces, and a query visits all pieces of its home cell.
 Centroids are fitted on ``FIT_ROWS`` vectors, or ``FIT_EACH`` a cell if that is more, chosen by hash.
 
@@ -43,6 +43,8 @@ POOL, RANDOM, DEGREE, ALPHA = 32, 8, 16, 1.2
 BEAM = 16
 AUDIT_QUERIES, AUDIT_LEAST, LEAST = 256, 0.95, 0.9
 SLACK = 1e-9
+#: Classes of a block where all are compared.
+EXACT_BLOCK = 4096
 
 
 def unit(rows) -> np.ndarray:
@@ -58,7 +60,10 @@ def unit(rows) -> np.ndarray:
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows has vec_id, k1, k2 (null if it links with nothing); classes has id, copies, k1, k2, embedding."""
+    """(rows, classes): rows has vec_id, k1, k2 (null if it links with nothing); classes has least (vec_id), copies, k1, k2, embedding.
+
+    A class is known by what its vectors are: rows of one vec_id may be of several classes, and a class may have rows of several.
+    """
     size = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     e = F.col("embedding")
     finite = F.forall(e, lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0)
@@ -69,7 +74,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("valid"), F.xxhash64(F.lit(17), "embedding")),
     )
     found = rows.where("valid").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("id"),
+        F.min("vec_id").alias("least"),
         F.count("*").alias("copies"),
         F.first("embedding").alias("embedding"),
     )
@@ -386,6 +391,52 @@ def links(found: DataFrame, stages: Stages, overlap: int) -> tuple[DataFrame, Da
     return counts, joined
 
 
+def exact_links(found: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """The same (counts, edges) without a graph: blocks of about ``EXACT_BLOCK`` classes, and every pair of blocks meets once.
+
+    The work is quadratic, but what leaves a pair of blocks is not: a count and an edge a class.
+    """
+    n = found.count()
+    blocks = max(1, -(-n // EXACT_BLOCK), min(-(-n // 64), int((2 * found.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = found.select("id", "copies", "embedding", mine.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "copies", "embedding", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    met = stages.put(rows.groupBy("p", "q").applyInPandas(_pair_of_blocks, "a long, b long, n long"), "blocks")
+    every = met.where("n is not null").select(F.col("a").alias("id"), "n").union(found.select("id", (F.col("copies") - 1).alias("n")))
+    counts = every.groupBy("id").agg(F.sum("n").cast("long").alias("n_links"))
+    return counts, met.where("b is not null").select("a", "b").distinct()
+
+
+def _pair_of_blocks(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, null, n): how many vectors of the other block a class links with; (a, b, null): from each class to the first that it reaches here."""
+    p, q = key
+    one = rows[rows["block"] == p]
+    two = rows[rows["block"] == q] if p != q else one
+    x, y = unit(one["embedding"]), unit(two["embedding"])
+    copies = one["copies"].to_numpy(), two["copies"].to_numpy()
+    own, n = len(one), np.zeros(len(one) + (len(two) if p != q else 0), np.int64)
+    label, at = np.arange(len(n)), 0 if p == q else own  # the other block's classes come after the own
+    for lo in range(0, own if len(two) else 0, 512):
+        hit = x[lo : lo + 512] @ y.T >= COSINE
+        if p == q:
+            hit[np.arange(len(hit)), lo + np.arange(len(hit))] = False
+        else:
+            n[at:] += copies[0][lo : lo + 512] @ hit
+        n[lo : lo + len(hit)] += hit @ copies[1]
+        r, c = np.nonzero(hit)
+        r, c = r + lo, c + at
+        while (label[r] != label[c]).any():
+            low = np.minimum(label[r], label[c])
+            np.minimum.at(label, label[r], low)
+            np.minimum.at(label, label[c], low)
+            while (label[label] != label).any():
+                label = label[label]
+    ids = np.concatenate([one["id"].to_numpy(), two["id"].to_numpy()])[: len(n)]
+    some = label != np.arange(len(n))
+    counted = pd.DataFrame({"a": ids[n > 0], "b": pd.NA, "n": n[n > 0]})
+    return pd.concat([counted, pd.DataFrame({"a": ids[some], "b": ids[label[some]], "n": pd.NA})]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
+
+
 def audit(found: DataFrame, counts: DataFrame) -> float:
     """Mean share of their links that ``counts`` has, of a bounded number of linked vectors that are compared with every vector in blocks.
 
@@ -414,14 +465,15 @@ def audit(found: DataFrame, counts: DataFrame) -> float:
     true[rows["k"].to_numpy()] = rows["n"].to_numpy()
     true -= 1
     got = some["n_links"].to_numpy()
-    return float((np.minimum(got, true)[true > 0] / true[true > 0]).mean()) if (true > 0).any() else 1.0
+    met = (true > 0) | (got > 0)
+    return float((np.minimum(got, true)[met] / np.maximum(got, true)[met]).mean()) if met.any() else 1.0
 
 
 def dedup(vectors: DataFrame, overlap: int = OVERLAP, widest: int = 8) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row."""
     stages = Stages(vectors.sparkSession, "vectors")
     rows, found = classes(vectors)
-    found = stages.put(found, "classes")
+    found = stages.put(found.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     while True:
         inner = Stages(vectors.sparkSession, "links")
         counts, edges = links(found, inner, overlap)
@@ -429,18 +481,19 @@ def dedup(vectors: DataFrame, overlap: int = OVERLAP, widest: int = 8) -> DataFr
         recall = audit(found, counts)
         if recall >= AUDIT_LEAST or overlap >= widest:
             if recall < LEAST:
-                raise RuntimeError(f"recall {recall:.3f} at the widest overlap {overlap}")
+                inner.clear()
+                counts, edges = exact_links(found, inner)
+                counts = stages.put(counts, "exact")
+                recall = audit(found, counts)
             break
         overlap += 2
         inner.clear()
     groups = components(edges, stages).withColumnRenamed("node", "id")
     inner.clear()
-    per = found.select("id", "k1", "k2").join(counts, "id").join(groups, "id", "left").select(
-        "k1",
-        "k2",
-        "n_links",
-        F.coalesce("component", "id").alias("component"),
-    )
+    per = found.select("id", "least", "k1", "k2").join(counts, "id").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    per = stages.put(per.select("k1", "k2", "n_links", "group", "least"), "judged")
+    component = per.groupBy("group").agg(F.min("least").alias("component"))
+    per = per.join(component, "group").select("k1", "k2", "n_links", "component")
     out = rows.join(per, ["k1", "k2"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -228,21 +228,45 @@ def test_vectors(spark, kind):
     assert got.loc[205, "component_id"] <= 200 and got["audited_recall"].iloc[0] >= 0.95
 
 
-def test_low_recall_raises(spark, monkeypatch):
-    """Links that the graph does not find are an error and no quiet result."""
+def links_of(rows):
+    """n_links and component of vectors (vec_id, components), each on its own, by brute force."""
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    label = np.array([i for i, _ in rows])
+    while True:
+        least = np.array([min([label[k], *label[hit[k]]]) for k in range(len(rows))])
+        if (least == label).all():
+            return sorted((i, int(n), int(c)) for (i, _), n, c in zip(rows, hit.sum(axis=1), label, strict=True))
+        label = least
+
+
+def test_low_recall_is_made_exact(spark, monkeypatch):
+    """Links that the graph does not find are found by comparing blocks."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8))
     x[::2] = x[1::2] + rng.normal(scale=0.15, size=(30, 8))
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    assert vectors.dedup(df).where("n_links > 0").count() > 20
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(60, x[3].tolist()), (61, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     real = vectors.links
+    monkeypatch.setattr(vectors, "EXACT_BLOCK", 16)
     monkeypatch.setattr(
         vectors,
         "links",
         lambda found, stages, overlap: (lambda c, e: (c.withColumn("n_links", F.lit(0).cast("long")), e.limit(0)))(*real(found, stages, overlap)),
     )
-    with pytest.raises(RuntimeError, match="recall"):
-        vectors.dedup(df, widest=2)
+    got = vectors.dedup(df, widest=2).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == links_of(rows) and got[0].audited_recall == 1.0
+
+
+def test_vectors_of_repeated_ids(spark):
+    """Vectors that share an id are vectors of their own, whatever else links with each."""
+    one, two = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, one), (1, two), (2, [1.0, 0.01, 0.1]), (4, [0.01, 1.0, 0.1]), (5, [1.0, 0.0, 0.1]), (5, [0.0, 0.0, 1.0]), (0, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, id long, cells string")
+    got = vectors.dedup(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == links_of(rows)
 
 
 def labelled(spark, rng, bad):
