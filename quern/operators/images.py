@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def histogram(pixels: DataFrame) -> DataFrame:
+    """img, v, n."""
+    return pixels.groupBy("img", "v").agg(F.count("*").cast("double").alias("n"))
+
+
 def otsu(pixels: DataFrame) -> DataFrame:
     """img, threshold: the grey value that best separates dark from light, from a histogram and running sums."""
-    h = pixels.groupBy("img", "v").agg(F.count("*").cast("double").alias("n"))
+    return otsu_of(histogram(pixels))
+
+
+def otsu_of(h: DataFrame) -> DataFrame:
     run, all_ = Window.partitionBy("img").orderBy("v"), Window.partitionBy("img")
     c = h.select(
         "img",
@@ -30,7 +38,10 @@ def dark_tiles(pixels: DataFrame, height: int, width: int, below: float) -> Data
 
 def contrast(pixels: DataFrame) -> DataFrame:
     """img, entropy of the histogram, contrast: Michelson contrast and entropy, half each, 0 for a black image."""
-    h = pixels.groupBy("img", "v").agg(F.count("*").cast("double").alias("n"))
+    return contrast_of(histogram(pixels))
+
+
+def contrast_of(h: DataFrame) -> DataFrame:
     share = F.col("n") / F.sum("n").over(Window.partitionBy("img"))
     per = h.withColumn("p", share).groupBy("img").agg(
         (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
@@ -43,8 +54,16 @@ def contrast(pixels: DataFrame) -> DataFrame:
 
 def ink_fade(pixels: DataFrame) -> DataFrame:
     """img, fade: how little dark and light differ across Otsu's threshold; 100 where there is none."""
-    both = pixels.join(otsu(pixels), "img", "left")
-    side = lambda dark: F.avg(F.when((F.col("v") < F.col("threshold")) == F.lit(dark), F.col("v")))
+    return fade_of(histogram(pixels))
+
+
+def fade_of(h: DataFrame) -> DataFrame:
+    both = h.join(otsu_of(h), "img", "left")
+
+    def side(dark: bool) -> Column:
+        own = lambda x: F.sum(F.when((F.col("v") < F.col("threshold")) == F.lit(dark), x))
+        return own(F.col("n") * F.col("v")) / own(F.col("n"))
+
     gap = both.groupBy("img").agg(side(True).alias("dark"), side(False).alias("light"))
     fade = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - (F.col("light") - F.col("dark")) * 0.8))
     return gap.select("img", F.when(F.col("dark").isNull() | F.col("light").isNull(), 100.0).otherwise(fade).alias("fade"))
@@ -66,29 +85,9 @@ def blur(pixels: DataFrame) -> DataFrame:
     return laplacian(pixels).withColumn("blur", F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - F.col("edges") / 10.0)))
 
 
-def noise(pixels: DataFrame, reach: int = 2) -> DataFrame:
-    """img, level, noise: mean distance to the median of the square around (the rim repeated), and the Laplacian's variance.
-
-    A place meets the places of its square by an equi-join on their coordinates.
-    """
-    box = pixels.groupBy("img").agg(*[f(c).alias(f"{c}_{n}") for c in "yx" for n, f in (("lo", F.min), ("hi", F.max))])
-    steps = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
-    held = lambda c: F.least(F.col(f"{c}_hi"), F.greatest(F.col(f"{c}_lo"), F.col(c) + F.col(f"d{c}")))
-    wide = pixels.join(box, "img").withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    wide = wide.select("img", "y", "x", "v", held("y").alias("ny"), held("x").alias("nx"))
-    around = wide.join(pixels.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv")), ["img", "ny", "nx"])
-    listed = F.sort_array(F.collect_list("nv"))  # at most as many as the square has places
-    middle = around.groupBy("img", "y", "x").agg(F.first("v").alias("v"), listed.alias("near"))
-    level = middle.select(
-        "img",
-        F.abs(F.col("v") - F.col("near")[((F.size("near") + 1) / 2).cast("int") - 1]).alias("off"),
-    ).groupBy("img").agg(F.avg("off").alias("level"))
-    return level.join(laplacian(pixels), "img").withColumn("noise", F.least(F.lit(100.0), F.col("edges") / 50.0 + F.col("level") * 5))
-
-
 def image_difficulty(dark: Column, contrast: Column, noise: Column, fade: Column, blur: Column, skew: Column) -> Column:
     return 0.25 * dark + 0.30 * (100 - contrast) + 0.15 * noise + 0.20 * fade + 0.05 * blur + 0.05 * skew
 
 
 def condition_score(contrast: Column, paper: Column, tears: Column, texture: Column, stains: Column) -> Column:
-    return 0.35 * contrast + 0.25 * paper + 0.20 * tears + 0.10 * texture + 0.10 * stains
+    return 0.35 * contrast + 0.20 * paper + 0.25 * tears + 0.10 * texture + 0.10 * stains

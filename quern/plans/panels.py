@@ -425,7 +425,7 @@ def edge_sql(k: int, q: int) -> str:
     return f"(select quantile_cont(n_chars::double, {k} / {q}) from documents)"
 
 
-BIN3 = f"case when n_chars <= {edge_sql(1, 3)} then 'easy' when n_chars <= {edge_sql(2, 3)} then 'medium' else 'hard' end"
+BIN3 = f"case when n_chars is null then null when n_chars <= {edge_sql(1, 3)} then 'easy' when n_chars <= {edge_sql(2, 3)} then 'medium' else 'hard' end"
 DIGIT, NAME = "case when coalesce(regexp_matches(text, '[0-9]'), false) then 'has_nums' else 'no_nums' end", "case when coalesce(regexp_matches(text, '[A-Z]'), false) then 'has_names' else 'no_names' end"
 
 
@@ -453,7 +453,7 @@ def strata_rows(t: Tables):
         "n_chars",
         "bin",
         F.concat_ws("_", nums, names).alias("pair"),
-        F.concat_ws("_", "bin", nums, names).alias("stratum"),
+        F.concat("bin", F.lit("_"), nums, F.lit("_"), names).alias("stratum"),
     )
 
 
@@ -504,16 +504,20 @@ def kfold(t: Tables):
 
 @query(
     "group_split",
-    "with g as (select source, row_number() over (order by md5(source || '|42'), source) <= ceil(count(*) over () * 0.2) as in_val from (select "
-    "distinct source from documents)) select doc_id, in_val from documents join g using (source)",
+    "with g as (select source, row_number() over (order by md5(concat_ws('|', source, '42')), source) <= ceil(count(*) over () * 0.2) as in_val from "
+    "(select distinct source from documents)) select doc_id, in_val from documents d join g on d.source is not distinct from g.source",
 )
 def group_split(t: Tables):
     return X.group_holdout(t.documents.select("doc_id", "source"), "doc_id", "source", 0.2).select("doc_id", "in_val")
 
 
-@query("group_kfold")
+@query("group_kfold", f"""
+with per as (select source, bin, count(*) as n from {STRATA} group by all),
+sized as (select source, sum(n) as size, arg_min(coalesce(bin, ''), {{'a': -n, 'b': coalesce(bin, '')}}) as kind from per group by source),
+line as (select source, row_number() over (order by kind, size desc, source nulls first) - 1 as place from sized)
+select doc_id, d.source, case when place // 5 % 2 = 0 then place % 5 else 4 - place % 5 end::int as fold from documents d join line l on d.source is not distinct from l.source""")
 def group_kfold(t: Tables):
-    """Greedy and sequential over groups: invariants are tested."""
+    """Whole sources, by their commonest length and size, to and fro over five folds."""
     return X.group_kfold(strata_rows(t).select("doc_id", "source", "bin"), "source", "bin", 5).select("doc_id", "source", "fold")
 
 
@@ -788,17 +792,8 @@ def image_blur(t: Tables):
     return I.blur(grey(t)).select("img", F.round("edges", 4).alias("edges"), F.round("blur", 4).alias("blur"))
 
 
-@query("image_noise", f"""
-with g as {GREY}, box as (select img, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from g group by img),
-near as (select g.img, g.y, g.x, any_value(g.v) as v, quantile_disc(n.v, 0.5) as m from g join box using (img), (select unnest([-2, -1, 0, 1, 2]) as dy) a, (select unnest([-2, -1, 0, 1, 2]) as dx) b, g n
-  where n.img = g.img and n.y = least(y1, greatest(y0, g.y + dy)) and n.x = least(x1, greatest(x0, g.x + dx)) group by g.img, g.y, g.x)
-select img, round(avg(abs(v - m)), 5) as level, round(least(100, edges / 50.0 + avg(abs(v - m)) * 5), 4) as noise from near join (select img, var_pop(edge) as edges from {LAPLACE} group by img) using (img) group by img, edges""")
-def image_noise(t: Tables):
-    return I.noise(grey(t)).select("img", F.round("level", 5).alias("level"), F.round("noise", 4).alias("noise"))
-
-
 @query("image_scores", """
-select doc_id, round(0.25 * a + 0.30 * (100 - b) + 0.15 * a + 0.20 * b + 0.05 * a + 0.05 * b, 6) as difficulty, round(0.35 * a + 0.25 * b + 0.20 * a + 0.10 * b + 0.10 * a, 6) as condition
+select doc_id, round(0.25 * a + 0.30 * (100 - b) + 0.15 * a + 0.20 * b + 0.05 * a + 0.05 * b, 6) as difficulty, round(0.35 * a + 0.20 * b + 0.25 * a + 0.10 * b + 0.10 * a, 6) as condition
 from (select doc_id, n_chars % 100 as a, doc_id % 100 as b from documents)""")
 def image_scores(t: Tables):
     a, b = F.col("n_chars") % 100, F.col("doc_id") % 100
