@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from quern.sources.shared import cut
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -37,28 +40,32 @@ def mean_pool(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 42, starts: int = 10, rounds: int = 100, least: float = 1e-4) -> DataFrame:
-    """id, cluster_id of the best of several starts, on unit vectors.
+    """id, cluster_id of the best of several starts, on unit vectors of the commonest length.
 
-    Starting centres are drawn from a bounded sample, each far from those before it. All starts move in the same pass over the vectors: a task
-    sums its vectors by start and centre, and only those sums leave it. Rows whose vector is null are left out.
+    Starting centres are drawn from a bounded sample, each far from those before it, and first move on that sample until they rest. Then all starts move in
+    the same passes over the vectors, which are written once: a task sums its vectors by start and centre, and only those sums leave it. A start that rests
+    takes part no more. Rows whose vector is null, or of another length, are left out.
     """
-    ready = df.where(F.col(vector).isNotNull()).select(id_, unit(F.col(vector)).alias("v"))
+    size = common_size(df, vector)
+    ready = cut(df.where(F.size(vector) == size).select(id_, unit(F.col(vector)).alias("v")))
     n = ready.count()
     part = F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(1 << 20))
     some = ready.where(part < int(min(1.0, START_ROWS / max(n, 1)) * (1 << 20))).orderBy(id_).select("v").toArrow()["v"].combine_chunks()
     x = _matrix(some)
     k = min(k, len(x)) or 1
-    centres = np.stack([_spread_out(x, k, np.random.default_rng(seed + i)) for i in range(starts)]) if len(x) else np.zeros((starts, 1, 1))
-    cost = np.full(starts, np.inf)
+    if not len(x):
+        return ready.select(id_, F.lit(0).alias("cluster_id")).limit(0)
+    centres = np.stack([_rested(x, _spread_out(x, k, np.random.default_rng(seed + i)), rounds, least) for i in range(starts)])
+    cost, live = np.full(starts, np.inf), np.arange(starts)
     for _ in range(rounds):
-        sums = _moved(ready, centres)
-        before, total = centres, np.zeros(starts)
-        centres = centres.copy()
-        for start, cluster, count, off, total_vector in sums:
-            centres[start, cluster] = np.array(total_vector) / count
-            total[start] += off
-        cost = total
-        if not len(x) or ((centres - before) ** 2).sum(axis=2).max() <= least**2:
+        now, off = centres[live].copy(), np.zeros(len(live))
+        for start, cluster, count, far, total in _moved(ready, centres[live]):
+            now[start, cluster] = np.array(total) / count
+            off[start] += far
+        moved = ((now - centres[live]) ** 2).sum(axis=2).max(axis=1) > least**2
+        centres[live], cost[live] = now, off
+        live = live[moved]
+        if not len(live):
             break
     best = centres[int(cost.argmin())]
     shared = df.sparkSession.sparkContext.broadcast(best)
@@ -73,6 +80,26 @@ def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 42, starts:
     return ready.mapInArrow(near, StructType([df.schema[id_], StructField("cluster_id", IntegerType())]))
 
 
+def _rested(x: np.ndarray, centres: np.ndarray, rounds: int, least: float) -> np.ndarray:
+    """Centres moved to the means of what is nearest to them until they rest."""
+    for _ in range(rounds):
+        near = _distances(x, centres).argmin(axis=1)
+        total, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(total, near, x)
+        now = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+        moved = ((now - centres) ** 2).sum(axis=1).max() > least**2
+        centres = now
+        if not moved:
+            break
+    return centres
+
+
+def common_size(df: DataFrame, vector: str) -> int:
+    """The commonest length of the vectors, the least of several; -1 where there are none."""
+    found = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found.n if found else -1
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
@@ -124,11 +151,13 @@ def _moved(ready: DataFrame, centres: np.ndarray) -> list[tuple]:
 
 
 def nearest(df: DataFrame, id_: str, vector: str, centroids: DataFrame) -> DataFrame:
-    """id, label, distance of the nearest centroid (label_c, centroid), the least label on ties; null vectors have none.
+    """id, label, distance of the nearest centroid (label_c, centroid), the least label on ties; null vectors, and those of another length than the
+    centroids commonly have, have none.
 
     Centroids go to every task, at most ``CENTROID_BYTES`` of them, and a vector meets them inside its Arrow batch: no row is multiplied.
     """
-    few = centroids.where("centroid is not null").orderBy("label_c").toArrow()
+    size = common_size(centroids, "centroid")
+    few = centroids.where(F.size("centroid") == size).orderBy("label_c").limit(CENTROID_BYTES // (8 * max(size, 1)) + 1).toArrow()
     if few.nbytes > CENTROID_BYTES:
         raise ValueError("too many centroids to send to every task")
     labels, shared = few["label_c"].combine_chunks(), df.sparkSession.sparkContext.broadcast(_matrix(few["centroid"]).astype(np.float64))
@@ -136,7 +165,7 @@ def nearest(df: DataFrame, id_: str, vector: str, centroids: DataFrame) -> DataF
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = batch.column(1).is_valid().to_numpy(zero_copy_only=False) & (len(labels) > 0)
+            there = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), size), False).to_numpy(zero_copy_only=False) & (len(labels) > 0)
             x = _matrix(batch.column(1).filter(pa.array(there))).astype(np.float64)
             best, far = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
             for k, c in enumerate(shared.value if len(x) else []):

@@ -112,41 +112,29 @@ def manifest(t: Tables):
     return t.spark.read.text(path)
 
 
-CONFIG = """# training
-model: vlm-8b
-training:
-  folds: 5
-  learning_rate: 0.0002
-  shuffle: true
-  schedule: [1, 2, 3]
-inference:
-  output_csv: "out.csv"
-  strategies:
-    - rover
-    - mbr
-"""
-
-
-@query("config_scan", """
-select * from (values ('inference.output_csv', 'out.csv'), ('inference.strategies', '["rover", "mbr"]'), ('model', '"vlm-8b"'), ('training.folds', '5'), ('training.learning_rate', '0.0002'),
-  ('training.schedule', '[1, 2, 3]'), ('training.shuffle', 'true')) v(name, value)""".replace("'out.csv'", "'\"out.csv\"'"))
-def config_scan(t: Tables):
-    """A YAML configuration, and where it is missing the newest summary that a run left behind."""
-    import json
+RUNS = "(select (p_partkey % 40)::int as run, count(*) as n, list_sort(list(distinct p_size)) as sizes, max(p_name) as best, min(p_retailprice) as price from part group by 1)"
+
 
+@query("config_scan", f"""
+select run::varchar as run, unnest(['name', 'parts.count', 'parts.sizes', 'parts.whole', 'price']) as name,
+  unnest(['"' || best || '"', n::varchar, '[' || array_to_string(sizes, ', ') || ']', case when n % 2 = 0 then 'true' else 'false' end, '"' || printf('%.2f', price) || '"']) as value from {RUNS}""")
+def config_scan(t: Tables):
+    """Configurations of runs over parts, of even runs as YAML, of odd ones in the summaries that they left behind; all of them read back."""
+    ship(t.spark)
     path = fresh(t.spark, "config")
-    one = lambda text, at: t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(at)
-    one(CONFIG, f"{path}/config.yaml")
-    found = Q.configuration(t.spark, f"{path}/config.yaml", path)
-    writer = t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run/summary.json")
-    stream = writer.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(writer)
-    stream.write(bytearray(json.dumps({"config": found, "results": []}).encode()))
-    stream.close()
-    found = Q.configuration(t.spark, f"{path}/absent.yaml", f"{path}/run")
-    flat = lambda x, at="": [
-        y for k, v in x.items() for y in flat(v, f"{at}{k}.")
-    ] if isinstance(x, dict) else [(at[:-1], json.dumps(x))]
-    return t.spark.createDataFrame(flat(found), "name string, value string")
+    runs = t.part.groupBy((F.col("p_partkey") % 40).cast("int").alias("run")).agg(
+        F.count("*").alias("n"),
+        F.array_join(F.sort_array(F.collect_set("p_size")), ", ").alias("sizes"),
+        F.max("p_name").alias("best"),
+        F.format_string("%.2f", F.min("p_retailprice")).alias("price"),
+    )
+    whole = F.when(F.col("n") % 2 == 0, "true").otherwise("false")
+    yaml = F.format_string('# a run\nname: "%s"\nparts:\n  count: %d\n  sizes: [%s]\n  whole: %s\nprice: "%s"\n', "best", "n", "sizes", whole, "price")
+    summary = F.format_string('{"config": {"name": "%s", "parts": {"count": %d, "sizes": [%s], "whole": %s}, "price": "%s"}, "results": []}', "best", "n", "sizes", whole, "price")
+    even = F.col("run") % 2 == 0
+    files = runs.select(F.when(even, F.concat("run", F.lit(".yaml"))).otherwise(F.concat("run", F.lit("/summary_1.json"))).alias("name"), F.when(even, yaml).otherwise(summary).alias("text"))
+    Q.write_files(files, path).count()
+    return Q.configurations(t.spark, path)
 
 
 @query(

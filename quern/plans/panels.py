@@ -125,17 +125,19 @@ def early_stop(t: Tables):
 
 @query("early_stop_stream", EARLY)
 def early_stop_stream(t: Tables):
-    """The same by a stateful stream over files of steps."""
+    """The same by a stateful stream over files of steps that come one by one and in no order: lateness is the span of all steps."""
     from quern.plans.ship import ship
     from quern.sources.shared import fresh
     from quern.streaming.patience import stopped
 
     ship(t.spark)
     path = fresh(t.spark, "steps")
-    steps = panel(t).select("station", F.datediff("day", F.lit("2024-01-01")).alias("step"), F.col("q").alias("val"))
-    steps.write.parquet(path)
-    rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
-    return stopped(rows, 3, 0.5).select("station", r6(F.col("best"), "best"), "stop")
+    steps = panel(t).select("station", F.to_timestamp("day").alias("ts"), F.datediff("day", F.lit("2024-01-01")).alias("step"), F.col("q").alias("val"))
+    steps.repartition(3, F.xxhash64("station", "step")).write.parquet(path)
+    back = t.spark.read.parquet(path)
+    span = back.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    rows = t.spark.readStream.schema(back.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stopped(rows, 3, 0.5, f"{span + 1} days").select("station", r6(F.col("best"), "best"), "stop")
 
 
 @query(
@@ -202,16 +204,17 @@ def chrono_split(t: Tables):
 
 
 @query("synthetic_panel", """
-with grid as (select (i // 2000)::int as s, i % 2000 as t, i from (select unnest(generate_series(0, 53999)) as i)),
+with days as (select unnest(range(0, date_diff('day', a, b) + 1))::int as t, a from (select min(ts)::date as a, max(ts)::date as b from events)),
+grid as (select s_suppkey as s, t, a, s_suppkey::bigint * 100000 + t as i from supplier cross join days),
 u as (select *, list_transform([1, 2, 3, 4, 5], lambda k: (('0x' || substr(md5(i || '|42|' || k), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) as u from grid),
 w as (select *, -ln(u[1]) * 3 as rain, sqrt(-2 * ln(u[2])) * cos(2 * pi() * u[3]) as n1, sqrt(-2 * ln(u[4])) * cos(2 * pi() * u[5]) as n2, sin(2 * pi() * t / 365.25) as wave from u),
 f as (select *, greatest(0.1, 5 + s * 0.5 + 3 * wave + 0.4 * rain + 0.3 * n1) as flow from w)
-select s as station_id, (date '2020-01-01' + t::int)::varchar as day, round(flow, 6) as q, round(0.3 + 0.08 * flow ** 0.6, 6) as h, round(rain, 6) as rain, round(12 - 8 * wave + n2, 6) as temperature from f""")
+select s as station_id, (a + t)::varchar as day, round(flow, 6) as q, round(0.3 + 0.08 * flow ** 0.6, 6) as h, round(rain, 6) as rain, round(12 - 8 * wave + n2, 6) as temperature from f""")
 def synthetic_panel(t: Tables):
-    """27 stations by 2,000 days: seasonal flow, exponential rain, noise; the draws follow from the row and a seed."""
+    """Every supplier a station, on every day of the events: seasonal flow, exponential rain, noise; the draws follow from the row and a seed."""
     from quern.sources.generate import river_panel
 
-    p = river_panel(t.spark)
+    p = river_panel(t.supplier.select(F.col("s_suppkey").alias("station_id")), t.events.select(F.to_date("ts").alias("date")))
     return p.select(
         "station_id",
         F.col("date").cast("string").alias("day"),

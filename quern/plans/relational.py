@@ -98,10 +98,15 @@ select conv_id as id, list(coalesce(p.text, '') order by f.turn) as preds
 from (select distinct conv_id from conversations) i cross join (select distinct turn from conversations) f left join conversations p using (conv_id, turn) group by conv_id""")
 def keyed_lookup_default(t: Tables):
     c = t.conversations
-    every = c.select("conv_id").distinct().crossJoin(F.broadcast(c.select("turn").distinct()))  # ids by the few folds
-    found = every.join(c.select("conv_id", "turn", "text"), ["conv_id", "turn"], "left")
-    listed = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
-    return found.groupBy(F.col("conv_id").alias("id")).agg(F.transform(listed, lambda x: x["text"]).alias("preds"))
+    turns = c.agg(F.sort_array(F.collect_set("turn")).alias("turns"))  # the folds, one row
+    said = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    own = c.groupBy(F.col("conv_id").alias("id")).agg(said.alias("said")).crossJoin(F.broadcast(turns))
+
+    def of(turn):
+        found = F.transform(F.filter("said", lambda x: x["turn"] == turn), lambda x: x["text"])
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+    return own.select("id", F.flatten(F.transform("turns", of)).alias("preds"))
 
 
 @query(
@@ -443,7 +448,7 @@ def prefix_lookup(t: Tables):
     from quern.sources.tables import resolve_files
 
     files = t.customer.select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, "").otherwise("_scan")).alias("file"))
-    return resolve_files(t.customer.select("c_custkey", F.col("c_name").alias("name")), files, "c_custkey", 18)
+    return resolve_files(t.customer.select("c_custkey", F.col("c_name").alias("name")), files, "c_custkey")
 
 
 @query("revenue_by_nation", """

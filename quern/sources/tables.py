@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
+from quern.sources.shared import cut
 
 ID_ALIASES = ["ID", "new_id", "new id", "id", "trapp_id"]
 TEXT_ALIASES = ["Target", "text", "label"]
@@ -90,20 +91,24 @@ def existing(df: DataFrame, name: str, files: DataFrame) -> DataFrame:
     return df.join(files.select(F.col("file").alias(name)).distinct(), name, "left_semi")
 
 
-def resolve_files(df: DataFrame, files: DataFrame, key: str, head: int) -> DataFrame:
-    """The file of each name: the exact one, else the first that starts with it.
+def resolve_files(df: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """key, file of rows (key, name): the file of that very name, else the first in order that begins with it, else null; null names have none.
 
-    They meet on their first ``head`` characters; a shorter name meets a file on its own length, of which there are less than ``head``.
+    Names and files stand in one order, dealt by ranges: the first file at or after a name is the one that begins with it, if any does. Where a range
+    holds none after a name, the first file of a later range is carried over; no two rows need a common head to meet.
     """
-    listed = files.select(
-        "file",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length("file"))), lambda n: F.substring("file", F.lit(1), n))).alias("_h"),
-    )
-    near = df.withColumn("_h", F.substring("name", 1, head)).join(listed, "_h", "left").where(
-        F.col("file").isNull() | F.col("file").startswith(F.col("name"))
-    )
-    found = near.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("file") == F.col("name"), F.col("file"))), F.min("file")).alias("file"))
-    return df.select(key).join(found, key, "left")
+    part, at, file, kind = "part", "at", "file", "kind"
+    both = df.where("name is not null").select(F.col("name").alias(at), F.lit(0).alias(kind)).distinct()
+    both = both.union(files.where("file is not null").select(F.col("file").alias(at), F.lit(1).alias(kind)).distinct())
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(both.repartitionByRange(n, at).withColumn(part, F.spark_partition_id()))
+    own = F.when(F.col(kind) == 1, F.col(at))
+    firsts = dealt.groupBy(part).agg(F.min(own).alias("first"))  # one row a range
+    later = firsts.select(part, F.min("first").over(Window.orderBy(part).rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    after = F.first(own, ignorenulls=True).over(Window.partitionBy(part).orderBy(at, kind).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = dealt.withColumn("after", after).where(F.col(kind) == 0).join(F.broadcast(later), part)
+    near = near.select(at, F.coalesce("after", "later").alias(file)).where(F.col(file).startswith(F.col(at)))
+    return df.select(key, F.col("name").alias(at)).join(near, at, "left").select(key, file)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:
@@ -141,6 +146,23 @@ def label_files(df: DataFrame, folder: str, most: int | None = None) -> DataFram
     return rows.select(F.col("id").cast("string"), "target").mapInArrow(written, "path string, id string")
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Texts (name, text) as files of those names, folders in them included; returns the names written."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode())
+            yield batch.select([0])
+
+    return rows.select("name", "text").mapInArrow(written, "name string")
+
+
 def read_label_files(spark: SparkSession, folder: str) -> DataFrame:
     """stem, target of the label files of a folder."""
     whole = spark.read.option("pathGlobFilter", "*.gt.txt").text(folder, wholetext=True)
@@ -199,6 +221,41 @@ def _scalar(text: str):
             return text
 
 
+def flattened(found: object, at: str = "") -> list[tuple[str, str]]:
+    """Paths of names joined by points, and the values there as JSON, in order."""
+    import json
+
+    if not isinstance(found, dict):
+        return [(at[:-1], json.dumps(found))]
+    return [pair for name, value in found.items() for pair in flattened(value, f"{at}{name}.")]
+
+
+def configurations(spark: SparkSession, folder: str) -> DataFrame:
+    """run, name, value of every run under ``folder``: of its ``<run>.yaml`` (or ``.json``), else of its newest ``<run>/summary*.json``, at the top level there
+    or under ``config``. Files are read and parsed where they are found, one row a file; a text that is no configuration raises."""
+    import json
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{yaml,json}").load(folder)
+    path = F.col("path")
+    summary = path.rlike(r"/summary[^/]*\.json$")
+    run = F.when(summary, F.element_at(F.split(path, "/"), -2)).otherwise(F.regexp_extract(path, r"([^/]+)\.[a-z]+$", 1))
+    order = F.struct((~summary).alias("own"), "modificationTime", "path")
+    newest = found.groupBy(run.alias("run")).agg(F.max_by(F.struct("path", "content"), order).alias("file"))
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = file["content"].decode()
+                said = json.loads(text) if file["path"].endswith(".json") else parse_yaml(text)
+                said = said.get("config", said) if re.search(r"/summary[^/]*\.json$", file["path"]) else said
+                rows += [(name, *pair) for pair in flattened(said)]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["run", "name", "value"])
+
+    return newest.mapInArrow(parsed, "run string, name string, value string")
+
+
 def configuration(spark: SparkSession, path: str, folder: str) -> dict:
     """The configuration at ``path`` (YAML or JSON), else that of the newest summary under ``folder``."""
     import json

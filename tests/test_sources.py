@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,10 +41,49 @@ def test_json_maps(spark, tmp_path):
         assert {r.id: r.pred for r in Q.read_json_map(spark, str(tmp_path / f"m{entries}")).collect()} == {str(i): t.strip() for i, t in rows}
 
 
-def test_names_shorter_than_the_head(spark):
-    df = spark.createDataFrame([(1, "ab"), (2, "abcdef"), (3, "zz"), (4, "abc")], "k int, name string")
-    files = spark.createDataFrame([("abcdef",), ("abc_2",), ("abc",), ("y",)], "file string")
-    assert {r.k: r.file for r in Q.resolve_files(df, files, "k", 4).collect()} == {1: "abc", 2: "abcdef", 3: None, 4: "abc"}
+def test_files_by_name(spark):
+    """The file of that name, else the first that begins with it, whatever heads names share and however many ranges hold no file."""
+    df = spark.createDataFrame([(1, "ab"), (2, "abcdef"), (3, "zz"), (4, "abc"), (5, None), (6, "abc")], "k int, name string")
+    files = spark.createDataFrame([("abcdef",), ("abc_2",), ("abc",), ("y",), (None,), ("y",)], "file string")
+    assert {r.k: r.file for r in Q.resolve_files(df, files, "k").collect()} == {1: "abc", 2: "abcdef", 3: None, 4: "abc", 5: None, 6: "abc"}
+    rng = random.Random(3)
+    names = [f"shared_head_of_18__{rng.randrange(400):03d}" for _ in range(300)]
+    held = sorted({f"{rng.choice(names)[: rng.randrange(19, 22)]}{rng.choice(['', '_a', 'x'])}" for _ in range(60)} | {"shared_head_of_18__9999"})
+    df = spark.createDataFrame(list(enumerate(names)) + [(900, "shared_head"), (901, "t")], "k int, name string")
+    for some in (held, held[-1:], []):
+        files = spark.createDataFrame([(f,) for f in some], "file string")
+        want = {k: next((f for f in some if f.startswith(n)), None) for k, n in [*enumerate(names), (900, "shared_head"), (901, "t")]}
+        assert {r.k: r.file for r in Q.resolve_files(df, files, "k").collect()} == want
+
+
+def test_configurations_of_runs(spark, tmp_path):
+    """A run's own file, else its newest summary."""
+    import os
+
+    for name, text, at in (
+        ("a.yaml", "x: 1\ny:\n  z: [1, b]\n", 1),
+        ("a/summary_9.json", '{"x": 5}', 9),
+        ("b/summary_1.json", '{"config": {"x": "old"}}', 1),
+        ("b/summary_2.json", '{"config": {"x": "new", "w": {"v": null}}, "results": []}', 2),
+        ("c.json", '{"q": true}', 1),
+    ):
+        file = tmp_path / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_text(text)
+        os.utime(file, (at * 1000, at * 1000))
+    got = {(r.run, r.name): r.value for r in Q.configurations(spark, str(tmp_path)).collect()}
+    assert got == {("a", "x"): "1", ("a", "y.z"): '[1, "b"]', ("b", "x"): '"new"', ("b", "w.v"): "null", ("c", "q"): "true"}
+
+
+def test_vectors_of_several_lengths(spark):
+    """Ragged vectors are left out, or have no centroid."""
+    ship(spark)
+    rows = [(i, [float(i % 2), 1.0, 0.0]) for i in range(20)] + [(90, [1.0]), (91, None), (92, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), (93, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert sorted(r.id for r in V.kmeans(df, "id", "v", 2, starts=2).collect()) == list(range(20))
+    centres = spark.createDataFrame([(7, [0.0, 1.0, 0.0]), (8, [1.0, 1.0, 0.0]), (9, [1.0])], "label_c int, centroid array<double>")
+    got = {r.id: r.label for r in V.nearest(df, "id", "v", centres).collect()}
+    assert len(got) == 24 and all(got[i] == 7 + i % 2 for i in range(20)) and got[90] is got[91] is got[92] is got[93] is None
 
 
 def test_streams_go_on(spark, tmp_path):
@@ -71,20 +111,71 @@ def test_streams_go_on(spark, tmp_path):
     two.write.mode("append").parquet(str(folder))
     assert get() == {("a", 1): (4.0, 1.0, 8.0, 3), ("b", 1): (5.0, 5.0, 5.0, 1), ("b", 2): (6.0, 6.0, 6.0, 1)}
 
-    steps = tmp_path / "steps"
-    schema = "station int, step long, val double"
-    spark.createDataFrame([(1, 0, 5.0), (1, 1, 4.0), (1, 2, 4.5), (2, 0, 1.0)], schema).write.parquet(str(steps))
-    run = lambda: {
-        r.station: (r.best, r.stop) for r in patience.stopped(
-            spark.readStream.schema(schema).parquet(str(steps)),
-            2,
-            0.1,
-            to=f"file://{tmp_path}/patience",
-        ).collect()
-    }
-    assert run() == {1: (4.0, None), 2: (1.0, None)}
-    spark.createDataFrame([(1, 3, 4.4), (1, 4, 0.0), (2, 1, 0.5)], schema).write.mode("append").parquet(str(steps))
-    assert run() == {1: (4.0, 3), 2: (0.5, None)}
+
+
+def test_months_are_given_up(spark, tmp_path):
+    """A stream by month holds no more months than can still change, and its rows are right after late ones."""
+    at = lambda m, d: datetime.datetime(2024, m, d, 12)
+    for m in range(1, 11):
+        rows = [("a", at(m, 3), 1.0), ("a", at(m, 20), 3.0), *([("a", at(m - 1, 28), 10.0)] if m > 1 else [])]
+        spark.createDataFrame(rows, "event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(0.02)
+    to = f"file://{tmp_path}/state"
+    run = rollup.follow(spark, str(tmp_path), "events", "month", "1 hour", to, files=1)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert len(held) >= 10 and max(held) <= 3
+    got = {r.month.month: (r.mean, r.n) for r in rollup.streamed(spark, str(tmp_path), "events", "month", to=to).collect()}
+    assert got == {m: (14 / 3, 3) if m < 10 else (2.0, 2) for m in range(1, 11)}
+
+
+STEPS = "station int, ts timestamp, step long, val double"
+
+
+def steps_of(rows):
+    return [(s, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d), d, float(v)) for s, d, v in rows]
+
+
+def stop_of(values, patience, delta):
+    """best, stop by walking the steps in order."""
+    best, bad = float("inf"), 0
+    for d, v in sorted(values):
+        if v < best - delta:
+            best, bad = v, 0
+        else:
+            bad += 1
+            if bad >= patience:
+                return best, d
+    return best, None
+
+
+def test_steps_in_any_order(spark, tmp_path):
+    """Files of steps in any order, one a batch and over two runs: as if they had come in order."""
+    ship(spark)
+    rng = random.Random(5)
+    rows = [(s, d, rng.choice([5, 4, 3, 2, 1]) + s / 10 - d / 20) for s in range(4) for d in range(40)]
+    rng.shuffle(rows)
+    read = lambda: spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
+    to = f"file://{tmp_path}/patience"
+    for lo, hi in ((0, 90), (90, 160)):
+        for k in range(lo, hi, 35):
+            spark.createDataFrame(steps_of(rows[k : min(k + 35, hi)]), STEPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "steps"))
+        got = {r.station: (r.best, r.stop) for r in patience.stopped(read(), 3, 0.5, "60 days", to=to).collect()}
+        assert got == {s: stop_of([(d, v) for t, d, v in rows[:hi] if t == s], 3, 0.5) for s in range(4)}
+
+
+def test_state_of_steps_is_bounded(spark, tmp_path):
+    """Steps behind the watermark are released; one that comes later still is left out."""
+    ship(spark)
+    files = [[(1, d, 100 - d) for d in range(k, k + 5)] for k in range(0, 60, 5)] + [[(1, 2, -500)], [(1, 60, 41), (1, 59, 0)]]
+    for rows in files:
+        spark.createDataFrame(steps_of(rows), STEPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "steps"))
+        time.sleep(0.02)
+    rows = spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "steps"))
+    run = patience.follow(rows, 50, 0.5, "6 days", f"file://{tmp_path}/patience")
+    custom = [p["stateOperators"][0] for p in run.recentProgress if p["stateOperators"]]
+    assert max(p["numRowsTotal"] for p in custom) < 40 and sum(p["numRowsDroppedByWatermark"] for p in custom) == 1
+    got = spark.read.parquet(f"{tmp_path}/patience/rows").orderBy(F.desc("batch")).first()
+    assert (got.best, got.stop) == (0.0, None)
 
 
 def sparse_pairs(unit):
