@@ -13,11 +13,11 @@ from .ship import ship
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
 STRIPPED = f"regexp_replace(coalesce(text, ''), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')"
-FIRST = f"(select conv_id::varchar as id, arg_min({STRIPPED}, turn) as pred from conversations group by conv_id)"
+TURNS = f"(select conv_id || ':' || turn as id, {STRIPPED} as pred from conversations)"
 
 
-def first_turns(t: Tables):
-    return t.conversations.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.min_by(T.whole("text"), "turn").alias("pred"))
+def turns(t: Tables):
+    return t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), T.whole("text").alias("pred"))
 
 
 @query(
@@ -35,35 +35,38 @@ def csv_round_trip(t: Tables):
     return Q.resolve(Q.read_csv(t.spark, path, "ID string, Target string"))
 
 
-@query("json_maps", f"select id, pred from {FIRST}")
+@query("json_maps", f"select id, pred from {TURNS}")
 def json_maps(t: Tables):
     """A fold cache in several objects of at most 30 or so texts."""
     path = fresh(t.spark, "maps")
-    Q.write_json_map(first_turns(t), path, "id", "pred", entries=30)
+    Q.write_json_map(turns(t), path, "id", "pred", entries=30)
     return Q.read_json_map(t.spark, path)
 
 
-@query("cached_fold", f"select id, pred from {FIRST}")
+@query("cached_fold", f"select id, pred from {TURNS}")
 def cached_fold(t: Tables):
     """Predictions computed once, and then read from their cache by the second call."""
     path = fresh(t.spark, "cache")
-    Q.cached(t.spark, f"{path}/fold_1.json", f"{path}/fold_1.csv", lambda: first_turns(t))
+    Q.cached(t.spark, f"{path}/fold_1.json", f"{path}/fold_1.csv", lambda: turns(t))
     return Q.cached(t.spark, f"{path}/fold_1.json", f"{path}/fold_1.csv", lambda: 1 / 0)
 
 
 @query(
     "resumed_folds",
-    f"select turn::int as fold, conv_id::varchar as id, {STRIPPED} as pred from conversations where turn in (0, 1, 2)",
+    f"select turn::int as fold, conv_id::varchar as id, {STRIPPED} as pred from conversations where turn is not null",
 )
 def resumed_folds(t: Tables):
-    """Three folds of which the second was done before the run stopped: it is read, the others are computed."""
+    """Every turn a fold, of which the second was done before the run stopped: it is read, the others are computed."""
     path = fresh(t.spark, "resumed")
     fold = lambda k: t.conversations.where(F.col("turn") == k).select(
         F.col("conv_id").cast("string").alias("id"),
         T.whole("text").alias("pred"),
     )
-    Q.write_json_map(fold(1), f"{path}/fold_1_predictions.json", "id", "pred")
-    return Q.resumed(t.spark, path, {0: lambda: fold(0), 1: lambda: 1 / 0, 2: lambda: fold(2)})
+    folds = sorted(r.turn for r in t.conversations.where("turn is not null").select("turn").distinct().collect())  # a name a fold
+    done = folds[1:2]
+    for k in done:
+        Q.write_json_map(fold(k), f"{path}/fold_{k}_predictions.json", "id", "pred")
+    return Q.resumed(t.spark, path, {k: (lambda: 1 / 0) if k in done else (lambda k=k: fold(k)) for k in folds})
 
 
 @query(
@@ -137,6 +140,13 @@ def config_scan(t: Tables):
     return Q.configurations(t.spark, path)
 
 
+@query("checked_turns", f"select conv_id, turn, {STRIPPED} as said from conversations where text is not null")
+def checked_turns(t: Tables):
+    """Turns that were said, or an error if none was."""
+    said = t.conversations.where("text is not null").select("conv_id", "turn", T.whole("text").alias("said"))
+    return Q.nonempty(said, "conversations")
+
+
 @query(
     "fixed_decimals",
     "select source, printf('%.4f', avg(n_chars)) as mean, printf('%.2f%%', 100 * count(*) / (select count(*) from documents)::double) as share "

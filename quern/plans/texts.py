@@ -443,13 +443,11 @@ def two_model(t: Tables):
 
 @query(
     "json_cache",
-    f"select conv_id::varchar as id, coalesce(t, '') as pred from (select conv_id, arg_min(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', "
-    f"'g'), turn) as t from conversations group by conv_id)",
+    f"select conv_id || ':' || turn as id, coalesce(regexp_replace(text, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), '') as pred from conversations",
 )
 def json_cache(t: Tables):
     """A fold's predictions through the shape of their JSON cache: one object, and back to rows."""
-    first = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    object_ = first.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), T.strip(F.col("text")))).alias("j"))
+    object_ = t.conversations.select(F.to_json(F.create_map(F.concat_ws(":", "conv_id", "turn"), T.strip(F.col("text")))).alias("j"))
     back = object_.select(F.explode(F.from_json("j", "map<string,string>")).alias("id", "pred"))
     return back.select("id", T.whole("pred").alias("pred"))
 
