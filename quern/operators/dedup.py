@@ -79,8 +79,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def with_keys(groups: DataFrame, df: DataFrame, order: str) -> DataFrame:
-    """Adds to groups (first: the id of one of their rows) the key of that row."""
-    return groups.join(df.select(F.col(order).alias("first"), "key"), "first")
+    """Adds to groups (first: the id of one of their rows) the key of that row, which is made of its text once the row is found."""
+    return groups.join(df.select(F.col(order).alias("first"), "text"), "first").withColumn("key", T.key(T.whole("text"))).drop("text")
 
 
 def keep_first(df: DataFrame, order: str) -> DataFrame:

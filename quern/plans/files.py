@@ -183,3 +183,30 @@ def decoded_images(t: Tables):
     J.write_images(made, path).count()
     back = J.read_images(t.spark, path).withColumn("img", F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long"))
     return J.pixels(back, "img")
+
+
+@query("decoded_colours", """
+with e as (select vec_id as img, unnest(embedding)::double as e, unnest(generate_series(0, len(embedding) - 1)) as k from embeddings),
+c as (select img, greatest(0, least(255, floor(128 + 400 * e)))::int as r, (greatest(0, least(255, floor(128 + 400 * e)))::int * 7 + 31) % 256 as g, 255 - greatest(0, least(255, floor(128 + 400 * e)))::int as b from e)
+select img, sum(r)::bigint as red, sum(g)::bigint as green, sum(b)::bigint as blue, sum(round_even(0.299::double * r + 0.587::double * g + 0.114::double * b, 0))::bigint as grey from c group by img""")
+def decoded_colours(t: Tables):
+    """Vectors as coloured image files, decoded again: sums of each colour and of the grey made of them."""
+    from quern.operators.pages import by_rows
+    from quern.sources import images as J
+
+    ship(t.spark)
+    path = fresh(t.spark, "colours")
+    value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * e.cast("double")))).cast("long")
+    plane = lambda change: F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(change(value(e))), 2, "0")), ""))
+    made = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("name"),
+        F.lit(8).alias("width"),
+        (F.size("embedding") / 8).cast("int").alias("height"),
+        plane(lambda v: v).alias("red"),
+        plane(lambda v: (v * 7 + 31) % 256).alias("green"),
+        plane(lambda v: 255 - v).alias("blue"),
+    )
+    J.write_images(made, path).count()
+    back = J.read_images(t.spark, path).withColumn("img", F.regexp_extract("path", r"([^/]+)\.png$", 1).cast("long"))
+    sums = lambda row: [(row["img"], *[sum(row[c]) for c in ("red", "green", "blue", "grey")])]
+    return by_rows(back.select("img", "red", "green", "blue", "grey"), sums, "img long, red long, green long, blue long, grey long")

@@ -1,4 +1,4 @@
-"""Image files as grey pixels, and back: PNG and binary netpbm, by zlib and array operations alone."""
+"""Image files as grey or coloured pixels, and back: PNG and binary netpbm, by zlib and array operations alone."""
 
 from __future__ import annotations
 
@@ -23,8 +23,18 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return np.rint(pixels[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
+def colours(pixels: np.ndarray) -> np.ndarray:
+    """Red, green and blue; one or two channels are grey, a fourth is not looked at."""
+    return pixels[..., :3] if pixels.shape[-1] > 2 else np.repeat(pixels[..., :1], 3, axis=-1)
+
+
 def decode(data: bytes) -> np.ndarray:
-    """Height by width of grey values; what is no 8-bit PNG without interlacing, and no P5 or P6 file, is an error."""
+    """Height by width of grey values."""
+    return grey(channels(data))
+
+
+def channels(data: bytes) -> np.ndarray:
+    """Height by width by channels; what is no 8-bit PNG without interlacing, and no P5 or P6 file, is an error."""
     if data[:2] in (b"P5", b"P6"):
         return _netpbm(data)
     if not data.startswith(SIGNATURE):
@@ -46,10 +56,10 @@ def decode(data: bytes) -> np.ndarray:
             break
     if head is None or head[2] != 8 or head[6] != 0 or head[3] not in CHANNELS:
         raise ValueError("unsupported kind of PNG")
-    width, height, channels = head[0], head[1], CHANNELS[head[3]]
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
-    pixels = _unfiltered(rows, channels).reshape(height, width, channels)
-    return grey(palette[pixels[..., 0]] if head[3] == 3 else pixels)
+    width, height, n = head[0], head[1], CHANNELS[head[3]]
+    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
+    pixels = _unfiltered(rows, n).reshape(height, width, n)
+    return palette[pixels[..., 0]] if head[3] == 3 else pixels
 
 
 def _unfiltered(rows: np.ndarray, channels: int) -> np.ndarray:
@@ -90,43 +100,46 @@ def _netpbm(data: bytes) -> np.ndarray:
     body = np.frombuffer(data, np.uint8, width * height * channels, at + 1)
     if most != 255:
         raise ValueError("not 8 bits deep")
-    return grey(body.reshape(height, width, channels))
+    return body.reshape(height, width, channels)
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A grey PNG, its rows filtered by the row above."""
-    height, width = pixels.shape
-    above = np.vstack([np.zeros((1, width), np.int64), pixels[:-1].astype(np.int64)])
+    """A PNG of height by width grey values, or by three colours, its rows filtered by the row above."""
+    height, width = pixels.shape[:2]
+    kind = 2 if pixels.ndim == 3 else 0
+    pixels = pixels.reshape(height, -1)
+    above = np.vstack([np.zeros((1, pixels.shape[1]), np.int64), pixels[:-1].astype(np.int64)])
     rows = np.hstack([np.full((height, 1), 2, np.uint8), ((pixels.astype(np.int64) - above) & 255).astype(np.uint8)])
-    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(rows.tobytes())), (b"IEND", b"")]
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)), (b"IDAT", zlib.compress(rows.tobytes())), (b"IEND", b"")]
     return SIGNATURE + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in parts)
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.{png,pgm,ppm}") -> DataFrame:
-    """path, width, height, grey (a byte a pixel, row by row), error: null but for files that can't be decoded."""
+    """path, width, height, grey (a byte a pixel, row by row), red, green, blue (likewise), error: null but for files that can't be decoded."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    names = ["path", "width", "height", "grey", "red", "green", "blue", "error"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.string())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    pixels = decode(content.as_py())
-                    rows.append((path, pixels.shape[1], pixels.shape[0], pixels.tobytes(), None))
+                    pixels = channels(content.as_py())
+                    planes = [grey(pixels), *np.moveaxis(colours(pixels), -1, 0)]
+                    rows.append((path, pixels.shape[1], pixels.shape[0], *[np.ascontiguousarray(p).tobytes() for p in planes], None))
                 except (ValueError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((path, None, None, None, str(e)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["path", "width", "height", "grey", "error"],
-            )
+                    rows.append((path, *[None] * 6, str(e)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return files.select("path", "content").mapInArrow(decoded, "path string, width int, height int, grey binary, error string")
+    schema = "path string, width int, height int, grey binary, red binary, green binary, blue binary, error string"
+    return files.select("path", "content").mapInArrow(decoded, schema)
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """name, width, height, grey as grey PNG files of those names; returns the names written."""
+    """name, width, height, and grey, or red, green and blue, as PNG files of those names; returns the names written."""
+    planes = ["grey"] if "grey" in images.columns else ["red", "green", "blue"]
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -136,10 +149,11 @@ def write_images(images: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with system.open_output_stream(f"{base}/{row['name']}.png") as out:
-                    out.write(encode(np.frombuffer(row["grey"], np.uint8).reshape(row["height"], row["width"])))
+                    held = [np.frombuffer(row[p], np.uint8).reshape(row["height"], row["width"]) for p in planes]
+                    out.write(encode(held[0] if len(held) == 1 else np.stack(held, -1)))
             yield batch.select(["name"])
 
-    return images.select("name", "width", "height", "grey").mapInArrow(written, "name string")
+    return images.select("name", "width", "height", *planes).mapInArrow(written, "name string")
 
 
 def pixels(images: DataFrame, key: str) -> DataFrame:

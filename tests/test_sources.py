@@ -298,9 +298,12 @@ def test_images(spark, tmp_path):
             continue
         raw = rng.integers(0, 256, (11, 7, channels))
         want = raw[..., 0] if channels < 3 else np.rint(raw[..., :3] @ [0.299, 0.587, 0.114])
-        assert (J.decode(png(raw.reshape(11, -1), colour, channels)) == want).all(), colour
+        file = png(raw.reshape(11, -1), colour, channels)
+        assert (J.decode(file) == want).all() and (J.colours(J.channels(file)) == (raw[..., :3] if channels > 2 else raw[..., :1])).all(), colour
     grey = rng.integers(0, 256, (5, 6)).astype(np.uint8)
     assert (J.decode(J.encode(grey)) == grey).all()
+    mixed = rng.integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    assert (J.channels(J.encode(mixed)) == mixed).all()
     assert (J.decode(b"P5\n# made\n6 5\n255\n" + grey.tobytes()) == grey).all()
     ship(spark)
     (tmp_path / "a.png").write_bytes(J.encode(grey))
