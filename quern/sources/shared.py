@@ -20,9 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """A folder of this session in the shared one, which goes when the driver ends."""
+    context, shared = spark.sparkContext, shared_dir(spark)
+    known = context.__dict__.setdefault("_quern_folders", {})
+    if shared not in known:
+        known[shared] = f"{shared}/quern/session-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(known[shared])
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return known[shared]
+
+
 def fresh(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has written to."""
-    return f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
+    """A path in the session's folder that nothing has written to."""
+    return f"{session_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,3 +34,19 @@ def test_nothing_else_imports_them():
     for file in (ROOT / "quern").rglob("*.py"):
         if "llm" not in file.parts:
             assert "quern.llm" not in file.read_text() and "corpus_pipeline" not in file.read_text(), file
+
+
+def test_what_a_session_leaves(tmp_path):
+    """What queries write for themselves goes when the driver ends; nothing else in the shared folder does."""
+    (tmp_path / "own").mkdir()
+    code = f"""
+from pyspark.sql import SparkSession
+from quern.sources.shared import fresh
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+spark.range(3).write.parquet(fresh(spark, "some"))
+spark.range(3).write.parquet(fresh(spark, "some"))
+print(len(list(__import__("pathlib").Path("{tmp_path}").rglob("some-*"))))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=ROOT)
+    assert out.stdout.strip().endswith("2"), out.stderr
+    assert not list(tmp_path.rglob("*.parquet")) and (tmp_path / "own").is_dir()
