@@ -200,7 +200,8 @@ def totals(data: np.ndarray, at: np.ndarray, known: Tables, machine: tuple[np.nd
 def _evidence(sampled: DataFrame) -> DataFrame:
     """(term, whole, toxic, clean): labelled documents with each word or stem, stems of repeated words counted once."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0))))
-    each = sampled.select("label", F.monotonically_increasing_id().alias("row"), word.alias("word"))
+    numbered = sampled.select("label", "text", F.monotonically_increasing_id().alias("row"))  # before words are rows
+    each = numbered.select("label", "row", word.alias("word"))
     stems = F.filter(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS]), lambda x: x.isNotNull())
     terms = F.concat(
         F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole"))),

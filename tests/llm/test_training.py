@@ -290,3 +290,73 @@ def test_bayes_by_hand(spark):
         assert got[key].posterior == pytest.approx(max(posterior), abs=1e-3), key
         assert sorted(posterior)[-1] - sorted(posterior)[-2] < 1e-3 or got[key].lang == names[posterior.index(max(posterior))], key
     assert len(got) == len(rows)
+
+
+def labelled_texts():
+    """Texts with rare toxic words and families of them, seeds, other cases and repeated words."""
+    rng = random.Random(31)
+    said = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    bad = ["zurblic", "Zurblics", "zurbling", "quonkish", "vrex", "hurt"]
+    rows = []
+    for i in range(160):
+        words = said(12) + ([rng.choice(bad)] * rng.randrange(1, 3) if i % 2 else [])
+        rng.shuffle(words)
+        rows.append((" ".join(words) + rng.choice(["", ".", " Ünïcode"]), i % 2))
+    return [*rows, ("", 1), (" . ", 0), ("stem stemmed stems", 1)]
+
+
+def words_of(text):
+    return set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+
+def test_evidence_restated(spark):
+    """Documents with each word, and with some longer word of each stem, by label."""
+    rows = labelled_texts()
+    want = {}
+    for text, label in rows:
+        words = words_of(text)
+        for key in {(w, True) for w in words} | {(w[:k], False) for w in words for k in toxicity.STEMS if len(w) > k}:
+            want.setdefault(key, [0, 0])[1 - label] += 1
+    got = toxicity._evidence(spark.createDataFrame(rows, "text string, label int")).collect()
+    assert {(r.term, r.whole): [r.toxic, r.clean] for r in got} == want
+
+
+@pytest.mark.parametrize("seeds", [[], [("hurt", True), ("w1", True)]])
+def test_cover_restated(spark, monkeypatch, seeds):
+    """Each time the candidate that explains most of what is left, the longest and then the first of several, until it is too few."""
+    monkeypatch.setattr(toxicity, "LEAST_NEW", 3)
+    rows = labelled_texts()
+    candidates = [("zurb", False), ("zurblic", True), ("zurbli", False), ("quon", False), ("quonkish", True), ("vrex", True), ("w2", True), ("stem", False)]
+    df = spark.createDataFrame(rows, "text string, label int").coalesce(1)
+
+    def terms(text):
+        return {(t, whole) for t, whole in [*seeds, *candidates] if any(w == t if whole else w.startswith(t) for w in words_of(text))}
+
+    left = [t for t in (terms(text) for text, label in rows if label) if not t & set(seeds)]
+    want = []
+    while True:
+        counts = [sum(c in t for t in left) for c in candidates]
+        best = max(range(len(candidates)), key=lambda k: (counts[k], len(candidates[k][0]), -k))
+        if counts[best] < 3:
+            break
+        want.append(candidates[best])
+        left = [t for t in left if candidates[best] not in t]
+    entries = {key: (toxicity.INSULT, 2.0) for key in seeds}
+    assert toxicity._cover(df, entries, candidates) == want and len(want) >= 3
+
+
+def test_learned_weights_restated(spark):
+    """Seeds by their smoothed log ratio, learned terms by theirs without the prior, both within their bounds."""
+    rows = labelled_texts()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    marked = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, marked, F.lit(False)).lexicon
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+
+    def weight(term, whole, prior):
+        hit = [y for t, y in rows if any(w == term if whole else len(w) > len(term) and w.startswith(term) for w in words_of(t))]
+        return math.log((sum(hit) + prior + 0.5) / (n[1] + prior + 1)) - math.log((len(hit) - sum(hit) + 0.5) / (n[0] + 1))
+
+    seeds = set(" ".join(toxicity.SEEDS[k] for k in ("insult", "threat")).split())
+    learned = [(t, whole, w) for t, whole, kind, w in lexicon.entries if kind == toxicity.INSULT and t not in seeds]
+    assert learned and all(w == pytest.approx(min(max(weight(t, whole, 0.0), 1.0), 8.0)) for t, whole, w in learned)
