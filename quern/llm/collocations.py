@@ -10,7 +10,7 @@ sketch thus decides how much is shuffled, never what is found. Its width grows w
 
 A phrase's parts are at least as frequent as itself, so the counts of the survivors are all that scores need. A score is the lowest over a phrase's cuts of
 count**2 / (left * right) in millionths, floored, in decimals of 38 digits: exact for counts up to 10**16. Phrases that a longer one holds at least
-``SHARE`` percent of are dropped. Each language's first rows are taken in two levels, so that no task sorts a language.
+``SHARE`` percent of are dropped. Each language's first rows are taken in rounds, part by part, so that no task sorts a language.
 
 Defined cases: null and empty texts hold no words; a null language is ``und``; repeated rows count each; ties go by count and phrase; an empty table
 gives an empty result; other columns are ignored. Words are bytes, hence texts of any length and language are read alike.
@@ -36,8 +36,10 @@ LEAST, SHARE, FIRST = 10, 50, 2000
 UNKNOWN = "und"
 #: Rows of a sketch, bounds of a row's counters, and counters of a slice. Bits of both rows take 16 MB at most.
 DEPTH, LEAST_WIDTH, MOST_WIDTH, SLICE = 2, 1 << 20, 1 << 26, 1 << 20
+#: Bytes of text that a task of the first pass reads, where that makes more tasks than cores.
+TASK_BYTES = 4 << 30
 #: Bytes of text that are worked on at once.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Parts that a language's candidates are ranked in, each time the best of those before.
 PARTS = (256, 16, 1)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -192,8 +194,9 @@ def sketch(texts: DataFrame, least: int, stages: Stages) -> Sketch:
             bits = np.packbits(counters >= least, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits], pa.binary())], ["slice", "bits"])
 
-    # few tasks, one sketch each: what is shuffled grows with the cores, not with the files
-    few = texts.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(counted, "slice int, counters binary")
+    # few tasks, one sketch each, so that what is shuffled is a small share of the texts
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    few = texts.coalesce(tasks).mapInArrow(counted, "slice int, counters binary")
     slices = DEPTH * width // per
     bits = stages.put(few.repartition(slices, "slice").mapInArrow(merged, "slice int, bits binary"), "sketch")
     out = np.zeros(DEPTH * width >> 3, np.uint8)
