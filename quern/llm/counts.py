@@ -7,7 +7,7 @@ Texts of a byte-level tokenizer are cut into pieces that no token reaches across
 3. else the library encodes the piece, many at once.
 
 The frequent pieces come from a first pass: every task keeps a summary of at most ``FREQUENT`` counters (Misra and Gries), and summaries, one row a task
-and not one a piece, are merged in two rounds; a piece that makes up more than 1/FREQUENT of all pieces is in the table whatever the partitions.
+and not one a piece, are merged round by round; a piece that makes up more than 1/FREQUENT of all pieces is in the table whatever the partitions.
 What the table holds decides where a length is looked up, never what it is: both tables compare all bytes of a piece.
 
 Tokenizers with a normalizer or another pre-tokenizer, and ``.model`` files, encode whole texts by their library.
@@ -33,6 +33,8 @@ from .tokens import MASK, PLAIN, pieces
 
 #: Counters of a summary, which is also the most that the broadcast table holds: 33 bytes each.
 FREQUENT = 1 << 15
+#: Summaries, about, that a task merges after the first round.
+FAN = 16
 #: Entries of a worker's own table.
 OWN = 600_000
 LIMIT = 1024
@@ -267,8 +269,13 @@ def frequent(docs: DataFrame, tokenizer: str) -> bytes:
 
     spark = docs.sparkSession
     some = docs.select("text").mapInArrow(summed, "packed binary")
-    some = some.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(merged, "packed binary")
-    rows = some.where(F.length("packed") > 0).repartition(1).mapInArrow(merged, "packed binary").collect()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:  # no task merges all summaries of a large table
+        some = some.where(F.length("packed") > 0).repartition(n).mapInArrow(merged, "packed binary")
+        if n == 1:
+            break
+        n = -(-n // FAN)
+    rows = some.collect()
     return bytes(rows[0].packed) if rows else b""
 
 
