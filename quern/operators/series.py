@@ -27,6 +27,14 @@ def sliding(
     return out.where((F.size("x") == past) & (F.size("y") == ahead) & (F.col("_more") > 0)).drop("_more")
 
 
+def means_in_order(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """The mean of each group, its values added one by one in order: equal to the last bit however the rows are parted."""
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.sum(F.col(value)).over(upto) / F.count(value).over(upto)
+    last = F.lead(F.lit(1)).over(Window.partitionBy(*by).orderBy(order)).isNull()
+    return df.select(*by, F.when(F.count(value).over(upto) > 0, mean).alias(name), last.alias("_last")).where("_last").drop("_last")
+
+
 def mean_row(x: Column, k: int) -> Column:
     """Mean over a window's rows of its k-th feature."""
     return F.aggregate(x, F.lit(0.0), lambda a, r: a + r[k]) / F.size(x)
