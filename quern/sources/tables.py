@@ -104,8 +104,10 @@ def resolve_files(df: DataFrame, files: DataFrame, key: str) -> DataFrame:
     dealt = cut(both.repartitionByRange(n, at).withColumn(part, F.spark_partition_id()))
     own = F.when(F.col(kind) == 1, F.col(at))
     firsts = dealt.groupBy(part).agg(F.min(own).alias("first"))  # one row a range
-    later = firsts.select(part, F.min("first").over(Window.orderBy(part).rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    after = F.first(own, ignorenulls=True).over(Window.partitionBy(part).orderBy(at, kind).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    later = firsts.select(part, F.min("first").over(Window.orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    # from the last row back, as a frame that ends with its range is worked out anew for every row
+    back = Window.partitionBy(part).orderBy(F.desc(at), F.desc(kind)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.last(own, ignorenulls=True).over(back)
     near = dealt.withColumn("after", after).where(F.col(kind) == 0).join(F.broadcast(later), part)
     near = near.select(at, F.coalesce("after", "later").alias(file)).where(F.col(file).startswith(F.col(at)))
     return df.select(key, F.col("name").alias(at)).join(near, at, "left").select(key, file)
