@@ -67,18 +67,20 @@ def by_rows(df: DataFrame, work: Callable[[dict[str, Any]], Iterable[tuple]], sc
     return df.mapInArrow(run, schema)
 
 
-def text_pages(docs: DataFrame, key: str, value: Callable[[np.ndarray], np.ndarray], width: int = 80) -> DataFrame:
+def text_pages(docs: DataFrame, key: str, value: Callable[[np.ndarray], Any], width: int = 80, more: tuple[str, ...] = ()) -> DataFrame:
     """Texts laid out in lines of ``width`` places as pages, a place's grey by its code point; the last line is filled with spaces. Null and empty texts
-    have no page."""
+    have no page. With the names of ``more`` columns ``value`` gives one array for v and each of them."""
 
     def laid(row: dict[str, Any]) -> Iterable[tuple]:
         points = np.frombuffer(row["text"].encode("utf-32-le", "surrogatepass"), "<u4")
         height = -(-len(points) // width)
         full = np.full(height * width, 32, np.uint32)
         full[: len(points)] = points
-        yield row["img"], height, width, value(full).astype(np.uint8).tobytes()
+        of = value(full) if more else (value(full),)
+        yield row["img"], height, width, *[x.astype(np.uint8).tobytes() for x in of]
 
-    return by_rows(docs.where("length(text) > 0").select(F.col(key).alias("img"), "text"), laid, "img long, height int, width int, v binary")
+    schema = "img long, height int, width int, v binary" + "".join(f", {name} binary" for name in more)
+    return by_rows(docs.where("length(text) > 0").select(F.col(key).alias("img"), "text"), laid, schema)
 
 
 def kept(pages: DataFrame) -> DataFrame:
@@ -165,38 +167,40 @@ def edges(pages: DataFrame, low: int = 50, high: int = 150) -> DataFrame:
     return kept_regions(ridges, lambda r: F.col("most") == P.STRONG)
 
 
+def parts(t: Tile) -> Iterable[tuple]:
+    """What ``region_parts`` says of one tile."""
+    label = P.regions(t.v > 0)
+    n = int(label.max()) + 1
+    if n == 1:
+        return
+    own = t.core(label)
+    rows, columns = np.nonzero(own)
+    of = own[rows, columns]
+    area = np.bincount(of, minlength=n)
+    box = [np.full(n, k) for k in (1 << 30, -1, 1 << 30, -1)]
+    for out, at, far in zip(box, (rows, rows, columns, columns), (np.minimum, np.maximum) * 2, strict=True):
+        far.at(out, of, at)
+    least, most = np.full(n, 1 << 62), np.zeros(n, np.int64)
+    np.minimum.at(least, of, (rows + t.y) * t.width + columns + t.x)
+    np.maximum.at(most, of, t.core()[rows, columns])
+    straight, diagonal = P.contour(t.v > 0)
+    lead = np.maximum(np.maximum(label[:-1, :-1], label[:-1, 1:]), np.maximum(label[1:, :-1], label[1:, 1:]))
+    first = slice(0 if t.y == 0 else 1, None), slice(0 if t.x == 0 else 1, None)  # windows up and left belong to the tile there
+    steps = [np.bincount(lead[first].ravel(), s[first].ravel(), n).astype(np.int64) for s in (straight, diagonal)]
+    rim = np.concatenate([label[:2].ravel(), label[-2:].ravel(), label[:, :2].ravel(), label[:, -2:].ravel()])
+    cut_ = np.zeros(n, bool)
+    cut_[rim] = t.h < t.height or t.w < t.width
+    for k in range(1, n):
+        if area[k] or cut_[k]:
+            there = area[k] > 0
+            sides = [int(b[k] + o) if there else None for b, o in zip(box, (t.y, t.y, t.x, t.x), strict=True)]
+            yield (t.img, t.y, t.x, k, int(least[k]) if there else None, int(area[k]), int(most[k]), *sides, int(steps[0][k]), int(steps[1][k]), bool(cut_[k]))
+
+
 def region_parts(tiles: DataFrame) -> DataFrame:
     """What each tile (rim 1, beyond the page 0) holds of each region of places that are not 0: img, y, x (the tile), part (a number inside the tile),
     least (the least place of the page in it, row by row), area, most (the greatest value), its box, steps along its rim, and whether it goes on."""
 
-    def parts(t: Tile) -> Iterable[tuple]:
-        label = P.regions(t.v > 0)
-        n = int(label.max()) + 1
-        if n == 1:
-            return
-        own = t.core(label)
-        rows, columns = np.nonzero(own)
-        of = own[rows, columns]
-        area = np.bincount(of, minlength=n)
-        box = [np.full(n, k) for k in (1 << 30, -1, 1 << 30, -1)]
-        for out, at, far in zip(box, (rows, rows, columns, columns), (np.minimum, np.maximum) * 2, strict=True):
-            far.at(out, of, at)
-        least, most = np.full(n, 1 << 62), np.zeros(n, np.int64)
-        np.minimum.at(least, of, (rows + t.y) * t.width + columns + t.x)
-        np.maximum.at(most, of, t.core()[rows, columns])
-        straight, diagonal = P.contour(t.v > 0)
-        lead = np.maximum(np.maximum(label[:-1, :-1], label[:-1, 1:]), np.maximum(label[1:, :-1], label[1:, 1:]))
-        first = slice(0 if t.y == 0 else 1, None), slice(0 if t.x == 0 else 1, None)  # windows up and left belong to the tile there
-        steps = [np.bincount(lead[first].ravel(), s[first].ravel(), n).astype(np.int64) for s in (straight, diagonal)]
-        rim = np.concatenate([label[:2].ravel(), label[-2:].ravel(), label[:, :2].ravel(), label[:, -2:].ravel()])
-        cut_ = np.zeros(n, bool)
-        cut_[rim] = t.h < t.height or t.w < t.width
-        for k in range(1, n):
-            if area[k] or cut_[k]:
-                there = area[k] > 0
-                sides = [int(b[k] + o) if there else None for b, o in zip(box, (t.y, t.y, t.x, t.x), strict=True)]
-                yield (t.img, t.y, t.x, k, int(least[k]) if there else None, int(area[k]), int(most[k]), *sides, int(steps[0][k]), int(steps[1][k]), bool(cut_[k]))
-
     return per_tile(
         tiles,
         1,

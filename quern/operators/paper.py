@@ -13,6 +13,7 @@ from quern.functions import pixels as P
 
 from . import images as I
 from . import pages as G
+from . import whole as W
 
 #: Angles of lines, votes that a line takes, and the most lines that a page's angle is read from (a limit that is the feature).
 ANGLES, VOTES, LINES = 180, 100, 50
@@ -43,14 +44,24 @@ def _lines(votes: np.ndarray, width: int, height: int) -> tuple[int, float | Non
     return len(best), middle, min(100.0, abs(middle) * 10) if len(best) else 0.0
 
 
+def turns() -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and sines of the angles, the same everywhere."""
+    turn = np.arange(ANGLES) * np.pi / ANGLES
+    return np.round(np.cos(turn), 12), np.round(np.sin(turn), 12)
+
+
 def skew(pages: DataFrame) -> DataFrame:
-    """img, lines, angle, skew: the median angle of the lines that most edges lie on, by votes for angle and distance.
+    """img, lines, angle, skew: the median angle of the lines that most edges lie on, by votes for angle and distance."""
+    return W.measured(pages, W.skew, "img long, lines long, angle double, skew double", _skew)
+
+
+def _skew(pages: DataFrame) -> DataFrame:
+    """The same by tiles.
 
     A tile votes for all its edges; the votes of tiles are added page by page, and a line is a cell with more votes than the cells around it. Lines come by
     votes, then by angle and distance.
     """
-    turn = np.arange(ANGLES) * np.pi / ANGLES
-    cos, sin = np.round(np.cos(turn), 12), np.round(np.sin(turn), 12)  # the same everywhere
+    cos, sin = turns()
     schema = "img long, lines long, angle double, skew double"
 
     def distances(t: G.Tile) -> np.ndarray:
@@ -103,6 +114,23 @@ def noise(pages: DataFrame) -> DataFrame:
     return per.join(blur(pages), "img").select("img", "level", _capped(F.col("edges") / 50.0 + F.col("level") * 5).alias("noise"))
 
 
+def patches(t: G.Tile) -> Iterable[tuple]:
+    """img, row, column, sum and places of the patches in a tile, or of their parts there."""
+    down, across = t.height // 16, t.width // 16
+    if down < 10 or across < 10:
+        down, across = t.height // 4, t.width // 4
+    if not down or not across:
+        return
+    y, x = (np.arange(t.y, t.y + t.h), np.arange(t.x, t.x + t.w))
+    rows, columns = np.flatnonzero(y // down * down < t.height - down), np.flatnonzero(x // across * across < t.width - across)
+    if len(rows) and len(columns):
+        row, at_row = np.unique(y[rows] // down, return_index=True)
+        col, at_col = np.unique(x[columns] // across, return_index=True)
+        part = np.add.reduceat(np.add.reduceat(t.v[np.ix_(rows, columns)].astype(np.int64), at_row, axis=0), at_col, axis=1)
+        for i, j in np.ndindex(part.shape):
+            yield t.img, int(row[i]), int(col[j]), int(part[i, j]), down * across
+
+
 def dark_patches(pages: DataFrame) -> DataFrame:
     """img, patches, spread (standard deviation of their means), share (of those darker than the median less one deviation), dark.
 
@@ -110,22 +138,7 @@ def dark_patches(pages: DataFrame) -> DataFrame:
     page's end, are left out. Pages too small for any have 0.
     """
 
-    def sums(t: G.Tile) -> Iterable[tuple]:
-        down, across = t.height // 16, t.width // 16
-        if down < 10 or across < 10:
-            down, across = t.height // 4, t.width // 4
-        if not down or not across:
-            return
-        y, x = (np.arange(t.y, t.y + t.h), np.arange(t.x, t.x + t.w))
-        rows, columns = np.flatnonzero(y // down * down < t.height - down), np.flatnonzero(x // across * across < t.width - across)
-        if len(rows) and len(columns):
-            row, at_row = np.unique(y[rows] // down, return_index=True)
-            col, at_col = np.unique(x[columns] // across, return_index=True)
-            part = np.add.reduceat(np.add.reduceat(t.v[np.ix_(rows, columns)].astype(np.int64), at_row, axis=0), at_col, axis=1)
-            for i, j in np.ndindex(part.shape):
-                yield t.img, int(row[i]), int(col[j]), int(part[i, j]), down * across
-
-    per = G.per_tile(G.tiled(pages, 0, P.ZERO), 0, sums, "img long, i int, j int, s long, places long")
+    per = G.per_tile(G.tiled(pages, 0, P.ZERO), 0, patches, "img long, i int, j int, s long, places long")
     means = per.groupBy("img", "i", "j").agg((F.sum("s") / F.first("places")).alias("v"), F.lit(1).alias("n"))
     line = G.quantile_columns(means.select("img", "v", "n"), "v", {"middle": 0.5}, F.count("*").alias("patches"), F.stddev_pop("v").alias("spread"))
     dark = means.join(line, "img").groupBy("img").agg(
@@ -139,9 +152,14 @@ def dark_patches(pages: DataFrame) -> DataFrame:
 
 def difficulty(pages: DataFrame) -> DataFrame:
     """img, the six measures and their sum by weight."""
+    return W.measured(pages, W.difficulty, "img long, dark double, contrast double, noise double, fade double, blur double, skew double, difficulty double", _difficulty)
+
+
+def _difficulty(pages: DataFrame) -> DataFrame:
+    """The same by tiles."""
     h = G.counts(pages).select("img", "v", F.col("n").cast("double").alias("n"))
     every = dark_patches(pages).select("img", "dark")
-    for part in (I.contrast_of(h).drop("entropy"), noise(pages).drop("level"), I.fade_of(h), blur(pages).drop("edges"), skew(pages).select("img", "skew")):
+    for part in (I.contrast_of(h).drop("entropy"), noise(pages).drop("level"), I.fade_of(h), blur(pages).drop("edges"), _skew(pages).select("img", "skew")):
         every = every.join(part, "img")
     weighed = I.image_difficulty(*[F.col(c) for c in ("dark", "contrast", "noise", "fade", "blur", "skew")])
     return every.withColumn("difficulty", weighed)
@@ -154,6 +172,11 @@ def paper_bounds(pages: DataFrame) -> DataFrame:
 
 def text_contrast(pages: DataFrame) -> DataFrame:
     """img, gradient (the 90th percentile of its size where a page is no brighter than at nine places of ten), contrast: high where edges are soft."""
+    return W.measured(pages, W.text_contrast, "img long, gradient double, text_contrast double", _text_contrast)
+
+
+def _text_contrast(pages: DataFrame) -> DataFrame:
+    """The same by tiles."""
     bright = G.quantile_columns(G.counts(pages), "v", {"top": 0.9})
 
     def sizes(t: G.Tile) -> Iterable[tuple]:
@@ -192,27 +215,29 @@ def perceived(rgb: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.int64)
 
 
+def colour_sums(row: dict) -> Iterable[tuple]:
+    """img, places of paper (between lo and hi), and sums and sums of squares of what is perceived there."""
+    v, r, g, b = (np.frombuffer(row[c], np.uint8) for c in ("v", "r", "g", "b"))
+    total = np.zeros((3, 2), np.int64)
+    n = 0
+    for lo in range(0, len(v), 1 << 20):
+        some = slice(lo, lo + (1 << 20))
+        paper = (v[some] >= row["lo"]) & (v[some] <= row["hi"])
+        code = (r[some][paper].astype(np.int64) << 16) | (g[some][paper].astype(np.int64) << 8) | b[some][paper]
+        code, many = np.unique(code, return_counts=True)
+        seen = perceived(np.stack([code >> 16, code >> 8 & 255, code & 255], 1).astype(np.float64))
+        total += np.stack([many @ seen, many @ (seen * seen)], 1)
+        n += int(many.sum())
+    yield row["img"], n, *[int(k) for k in total.ravel()]
+
+
 def paper_colour(pages: DataFrame) -> DataFrame:
     """img, spread_l, spread_a, spread_b (standard deviations of what is perceived on paper), paper_colour.
 
     Pages have their colours too: r, g, b, bytes as v is. Colours are counted, and each is looked at once.
     """
 
-    def sums(row: dict) -> Iterable[tuple]:
-        v, r, g, b = (np.frombuffer(row[c], np.uint8) for c in ("v", "r", "g", "b"))
-        total = np.zeros((3, 2), np.int64)
-        n = 0
-        for lo in range(0, len(v), 1 << 20):
-            some = slice(lo, lo + (1 << 20))
-            paper = (v[some] >= row["lo"]) & (v[some] <= row["hi"])
-            code = (r[some][paper].astype(np.int64) << 16) | (g[some][paper].astype(np.int64) << 8) | b[some][paper]
-            code, many = np.unique(code, return_counts=True)
-            seen = perceived(np.stack([code >> 16, code >> 8 & 255, code & 255], 1).astype(np.float64))
-            total += np.stack([many @ seen, many @ (seen * seen)], 1)
-            n += int(many.sum())
-        yield row["img"], n, *[int(k) for k in total.ravel()]
-
-    per = G.by_rows(pages.join(paper_bounds(pages), "img"), sums, "img long, n long, l long, ll long, a long, aa long, b long, bb long")
+    per = G.by_rows(pages.join(paper_bounds(pages), "img"), colour_sums, "img long, n long, l long, ll long, a long, aa long, b long, bb long")
     spread = [F.sqrt(F.greatest(F.lit(0.0), F.col(c + c) / F.col("n") - (F.col(c) / F.col("n")) * (F.col(c) / F.col("n")))).alias(f"spread_{c}") for c in "lab"]
     return per.select("img", *spread).withColumn("paper_colour", _capped((F.col("spread_l") + F.col("spread_a") + F.col("spread_b")) / 0.5))
 
@@ -252,6 +277,12 @@ def tears(pages: DataFrame, side: int = 3) -> DataFrame:
 
     Openings are bright places beside edges, and large regions above 230 away from edges; spots narrower than ``side`` are taken away.
     """
+    schema = "img long, tear_area long, hole_area long, tears double"
+    return W.measured(pages, lambda row: W.tears(row, side), schema, lambda large: _tears(large, side))
+
+
+def _tears(pages: DataFrame, side: int = 3) -> DataFrame:
+    """The same by tiles."""
     zones = G.dilated(G.edges(pages), 3)
     bright = masked(pages, bright_limits(pages), lambda v, row: v > row["limit"])
     ragged = together(bright, zones, lambda v, u: v & u)
@@ -274,9 +305,30 @@ def window_side(height: Column, width: Column) -> Column:
     return F.greatest(F.lit(20), F.least(F.lit(100), F.floor(F.least(height, width) / 10))).cast("int")
 
 
+def window_sums(v: np.ndarray, top: int, left: int, h: int, w: int, height: int, width: int, lo: float, hi: float) -> tuple[int, float]:
+    """Windows that begin in the ``h`` by ``w`` places from (top, left) on: how many hold paper enough, and the sum of its deviations there. ``v``: these
+    places, and those behind and below that the windows reach."""
+    side = max(20, min(100, min(height, width) // 10))
+    step = side // 2
+    v = v.astype(np.int64)
+    paper = (v >= lo) & (v <= hi)
+    total = [np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1) for x in (paper.astype(np.int64), v * paper, v * v * paper)]
+    y = np.arange(-(-top // step) * step, min(top + h, height - side), step) - top
+    x = np.arange(-(-left // step) * step, min(left + w, width - side), step) - left
+    n, s, ss = (c[np.ix_(y + side, x + side)] - c[np.ix_(y, x + side)] - c[np.ix_(y + side, x)] + c[np.ix_(y, x)] for c in total)
+    some = n >= side * side * 0.3
+    off = np.sqrt(np.maximum(0.0, ss[some] / n[some] - (s[some] / n[some]) ** 2))
+    return int(some.sum()), float(off.sum())
+
+
 def stains(pages: DataFrame) -> DataFrame:
     """img, uneven (mean deviation of the paper in windows over that of the page's), dark (share of paper that stays dark without its text), tint (as
     ``paper_colour`` without lightness), stains. Pages of less than 50 places a side have 0."""
+    return W.measured(pages, W.stains, "img long, uneven double, dark double, tint double, stains double", _stains)
+
+
+def _stains(pages: DataFrame) -> DataFrame:
+    """The same by tiles."""
     every, pages = pages, pages.where("height >= 50 and width >= 50")
     bounds = paper_bounds(pages)
     h = G.counts(pages).join(bounds, "img").where("v between lo and hi")
@@ -285,18 +337,7 @@ def stains(pages: DataFrame) -> DataFrame:
     known = h.groupBy("img").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), mean.alias("mean"), spread.alias("spread"), F.sum("n").alias("paper"))
 
     def windows(t: G.Tile) -> Iterable[tuple]:
-        """Windows that begin in the tile: how many hold paper enough, and the sum of its deviations there."""
-        side = max(20, min(100, min(t.height, t.width) // 10))
-        step = side // 2
-        v = t.v[t.rim :, t.rim :].astype(np.int64)
-        paper = (v >= t.more["lo"]) & (v <= t.more["hi"])
-        total = [np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1) for x in (paper.astype(np.int64), v * paper, v * v * paper)]
-        y = np.arange(-(-t.y // step) * step, min(t.y + t.h, t.height - side), step) - t.y
-        x = np.arange(-(-t.x // step) * step, min(t.x + t.w, t.width - side), step) - t.x
-        n, s, ss = (c[np.ix_(y + side, x + side)] - c[np.ix_(y, x + side)] - c[np.ix_(y + side, x)] + c[np.ix_(y, x)] for c in total)
-        some = n >= side * side * 0.3
-        off = np.sqrt(np.maximum(0.0, ss[some] / n[some] - (s[some] / n[some]) ** 2))
-        yield t.img, int(some.sum()), float(off.sum())
+        yield t.img, *window_sums(t.v[t.rim :, t.rim :], t.y, t.x, t.h, t.w, t.height, t.width, t.more["lo"], t.more["hi"])
 
     tiles = G.tiled(pages, 100, P.ZERO).join(known, "img")
     per = G.per_tile(tiles, 100, windows, "img long, windows long, off double").groupBy("img").agg(F.sum("windows").alias("windows"), F.sum("off").alias("off"))
@@ -332,7 +373,12 @@ def stains(pages: DataFrame) -> DataFrame:
 
 def condition(pages: DataFrame) -> DataFrame:
     """img, the five measures of a page in colour and their sum by weight."""
-    every = text_contrast(pages).select("img", "text_contrast")
-    for part in (paper_colour(pages).select("img", "paper_colour"), tears(pages).select("img", "tears"), texture(pages).select("img", "texture"), stains(pages).select("img", "stains")):
+    return W.measured(pages, W.condition, "img long, text_contrast double, paper_colour double, tears double, texture double, stains double, condition double", _condition)
+
+
+def _condition(pages: DataFrame) -> DataFrame:
+    """The same by tiles."""
+    every = _text_contrast(pages).select("img", "text_contrast")
+    for part in (paper_colour(pages).select("img", "paper_colour"), _tears(pages).select("img", "tears"), texture(pages).select("img", "texture"), _stains(pages).select("img", "stains")):
         every = every.join(part, "img")
     return every.withColumn("condition", I.condition_score(*[F.col(c) for c in ("text_contrast", "paper_colour", "tears", "texture", "stains")]))

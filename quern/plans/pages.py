@@ -48,17 +48,12 @@ def pages(t: Tables):
 def colour_pages(t: Tables):
     """With r, g and b beside the grey made of them."""
 
-    def mixed(points: np.ndarray) -> np.ndarray:
+    def mixed(points: np.ndarray) -> tuple[np.ndarray, ...]:
         r, g, b = colours(points)
-        return np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)
+        return np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5), r, g, b
 
     ship(t.spark)
-    docs = t.dealt("documents")
-    out = G.text_pages(docs, "doc_id", mixed, WIDTH)
-    for k, name in enumerate("rgb"):
-        channel = G.text_pages(docs, "doc_id", lambda points, k=k: colours(points)[k], WIDTH)
-        out = out.join(channel.select("img", F.col("v").alias(name)), "img")
-    return out
+    return G.text_pages(t.dealt("documents"), "doc_id", mixed, WIDTH, ("r", "g", "b"))
 
 
 def colours(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +182,7 @@ select img, round(contrast, 7) as contrast, round(fade, 7) as fade, round(blur,
   round(0.25 * dark + 0.30 * (100 - contrast) + 0.15 * noise + 0.20 * fade + 0.05 * blur + 0.05 * skew, 7) as difficulty from every""")
 def page_difficulty(t: Tables):
     """Six measures of every page, weighed."""
-    d = M.difficulty(G.kept(pages(t)))
+    d = M.difficulty(pages(t))
     return d.select("img", *[F.round(c, 7).alias(c) for c in ("contrast", "fade", "blur", "difficulty")])
 
 
@@ -301,4 +296,4 @@ def image_stains(t: Tables):
 @query("page_condition")
 def page_condition(t: Tables):
     """Five measures of every page in colour, weighed; its measures have queries of their own."""
-    return M.condition(G.kept(colour_pages(t))).select("img", *[F.round(c, 4).alias(c) for c in ("text_contrast", "paper_colour", "tears", "texture", "stains", "condition")])
+    return M.condition(colour_pages(t)).select("img", *[F.round(c, 4).alias(c) for c in ("text_contrast", "paper_colour", "tears", "texture", "stains", "condition")])
