@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import physics as P
-from quern.sources.shared import cut
+from quern.sources.shared import cut, fresh
 
 from . import space as S
 from .components import components  # noqa: F401
@@ -17,6 +17,8 @@ from .components import components  # noqa: F401
 PER_LEAF, PART = 4096, 16384
 #: Edges of a contracted graph that one task may hold, and the share of the edges before it beyond which contraction is no help.
 BLOCK, SHRINKS = 2_000_000, 0.7
+#: Links a node from which on a graph is dense: most nodes of a part are entries then. Totals up to which they are broadcast, 16 bytes each.
+DENSE, SMALL = 16, 1_000_000
 #: In place of a link's other part: the link is inside its part, or it is no link but marks an entry.
 INSIDE, ENTRY = -2, -1
 
@@ -88,20 +90,52 @@ def accumulate_down(nodes: DataFrame, edges: DataFrame, value: str, height: str)
     The graph is contracted. Nodes are parted by place. A part's nodes that edges of other parts lead to are its entries; each part works out by itself
     what reaches the entries of other parts from its own nodes, and how much of one unit at each of its entries does. These sums are a graph of entries
     alone, whose parts are the old ones put together: it is solved in the same way, and what then enters each part is walked through it once more.
-    What is left in the end fits in one part of at most ``BLOCK`` edges. Where entries are as many as edges were, flow moves level by level instead.
+    Where nodes have more than ``DENSE`` links on average, the graph is walked by bands of heights instead. What is left in the end fits in one part of at most ``BLOCK`` edges. Where entries are as many as edges were, flow moves level by level instead.
     """
-    known = S.tree(nodes, PART, nodes.sparkSession.sparkContext.defaultParallelism)
+    rows = cut(nodes.select("id", "x", "y", F.col(height).cast("double").alias("h"), F.col(value).cast("double").alias("v")))
+    path = fresh(nodes.sparkSession, "links")
+    ends = [F.col(f"{k}_{c}").alias(f"{k}{c}") for k in "ab" for c in "xy"]
+    high, low = (F.col(f"{k}_{height}").cast("double").alias(name) for k, name in (("a", "high"), ("b", "low")))
+    edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), high, low, *ends).write.parquet(path)
+    links = nodes.sparkSession.read.schema(f"a {dict(nodes.dtypes)['id']}, b {dict(nodes.dtypes)['id']}, high double, low double, ax double, ay double, bx double, by double").parquet(path)
+    n, many = links.count(), rows.count()
+    if n > DENSE * many:
+        return _by_bands(rows.select("id", "h", "v"), links.select("a", "b", "high", "low"), n, many)
+    known = S.tree(rows, PART, nodes.sparkSession.sparkContext.defaultParallelism)
     at = lambda x, y: S.leaf(nodes, known, x, y) if known.depth else F.lit(0)
-    rows = nodes.select("id", F.col(height).cast("double").alias("h"), F.col(value).cast("double").alias("v"), at("x", "y").alias("part"))
-    links = edges.select(
-        F.col("a_id").alias("a"),
-        F.col("b_id").alias("b"),
-        F.lit(1.0).alias("w"),
-        F.col(f"b_{height}").cast("double").alias("low"),
-        at("a_x", "a_y").alias("pa"),
-        at("b_x", "b_y").alias("pb"),
-    )
-    return _solved(cut(rows), cut(links), known.depth)
+    rows = cut(rows.select("id", "h", "v", at("x", "y").alias("part")))
+    return _solved(rows, cut(links.select("a", "b", F.lit(1.0).alias("w"), "low", at("ax", "ay").alias("pa"), at("bx", "by").alias("pb"))), known.depth)
+
+
+def _by_bands(rows: DataFrame, links: DataFrame, n: int, many: int) -> DataFrame:
+    """The same for ``n`` links (a, b, high, low: the heights of both) of ``many`` nodes (id, h, v), band by band of heights from the highest down.
+
+    What the bands above send down is summed by node, by all tasks; inside a band, which holds at most ``BLOCK`` links, one task walks down. Of k bands
+    each holds about one link in k * k, so that there are few.
+    """
+    k, kind = max(1, int(np.ceil((n / BLOCK) ** 0.5)), -(-many // BLOCK)), dict(rows.dtypes)["id"]
+    while True:
+        cuts = sorted(set(rows.approxQuantile("h", [i / k for i in range(1, k)], 0.05 / k)), reverse=True) if k > 1 else []
+        band = lambda h, cuts=cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(h))) if cuts else F.lit(0)
+        inside = links.where(band("high") == band("low")).groupBy(band("high")).count().agg(F.max("count")).first()[0] or 0
+        if inside <= BLOCK or k > 2 * many:  # bands of one height hold no link
+            break
+        k *= 2
+    done: DataFrame | None = None
+    for i in range(len(cuts) + 1):
+        # the band's heights as bounds, which readers of files know to skip by; nodes without a height stand in the last band
+        below = lambda h, i=i: F.col(h) < F.lit(cuts[i - 1]) if i else F.lit(True)
+        there = lambda h, i=i, below=below: below(h) & (F.col(h) >= F.lit(cuts[i])) if i < len(cuts) else below(h) | F.col(h).isNull()
+        own = rows.where(there("h"))
+        if done is not None:
+            above = F.broadcast(done) if many <= SMALL else done
+            sent = links.where(there("low") & (F.col("high") >= cuts[i - 1])).select("a", "b").join(above, F.col("a") == F.col("id"))
+            sent = sent.groupBy(F.col("b").alias("id")).agg(F.sum("total").alias("more"))
+            own = own.join(sent, "id", "left").select("id", "h", (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v"))
+        inner = links.where(there("low") & there("high")).select("a", "b", F.lit(1.0).alias("w"), F.lit(0).alias("pa"), F.lit(0).alias("pb"))
+        found = cut(_solved(own.withColumn("part", F.lit(0)), inner, 0).select(F.col("id").cast(kind).alias("id"), "total"))
+        done = found if done is None else done.union(found)
+    return done
 
 
 def _solved(rows: DataFrame, links: DataFrame, depth: int) -> DataFrame:
