@@ -10,9 +10,11 @@ neighbour and the first group under every prefix shingle, in order of its place,
 position filters are verified on whole sets, and links merged into components. Then all other group pairs that pass the filters and
 are not yet in one component are expanded to their classes and verified. Pairs inside a component need no
 check: they could not change it. Before whole sets are read, whole prefixes of a pair bound its overlap. Frequent shingles are
-salted by their sketch count in the first round. In the second, groups under a shingle of more than ``SMALL`` are compared block by
-block, bounded by signatures (counts of a set's shingles in ``SIGNATURE`` buckets), and only pairs that pass leave the task. Blocks are cut inside
-steps of size, each the threshold's ratio above the one before, and only those of one step or of neighbouring steps meet.
+salted by their sketch count in the first round. In the second, a component with more than half of the groups under a shingle is its family, whose
+groups meet those strange to it and not one another. Groups meet by a join where a shingle has at most ``SMALL`` pairs of different components
+a group. Elsewhere they are compared block by block, bounded by signatures (counts of a set's shingles in ``SIGNATURE`` buckets), and only
+pairs that pass leave the task. A shingle's groups are cut into blocks inside steps of size where they are more than ``BLOCK``, each step the
+threshold's ratio above the one before, and only blocks of one step or of neighbouring steps meet.
 
 Defined cases: null and empty texts have no shingles, stand alone and have their own id as component; texts of fewer words than a
 shingle are one shingle; rows that repeat an id are separate rows of that id; a null id is never linked and gets a null
@@ -38,9 +40,11 @@ PERCENT = 80
 SKETCH_BITS = 18
 #: A shingle is salted into as many parts as its sketch count holds this many mean counts.
 SALT_AT = 4
-#: Shingles of more groups than this are paired block by block in Python, under a signature bound, instead of by a join.
+#: Shingles with more pairs of different components than this a group are paired block by block in Python, under a signature bound, instead of by a join.
 SMALL = 32
 BLOCK = 512
+#: Pairs whose signatures are compared at once.
+SIGNED = 4096
 #: A signature counts a set's shingles in so many buckets; larger sets than its counters hold have none.
 SIGNATURE, COUNTED = 128, 60_000
 BLANK = word_bytes("blank")
@@ -177,50 +181,80 @@ def _blocks(percent: int):
     def paired(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key[-2:]
         a, b = rows[rows["block"] == i], rows[rows["block"] == j]
-        cols = {k: (a[k].to_numpy(), b[k].to_numpy()) for k in ("g", "n", "at", "lo", "hi", "classes")}
-        marks = [
-            np.stack(
-                [np.frombuffer(m, "<u2") if m is not None else np.full(SIGNATURE, 65535, np.uint16) for m in x["signature"]]
-            ) if len(x) else np.empty((0, SIGNATURE), np.uint16) for x in (a, b)
-        ]
-        exact = [np.array([m is not None for m in x["signature"]], bool) for x in (a, b)]
-        out = []
-        for r in range(len(a)):
-            (g, n, at, lo, hi, classes) = (cols[k][0][r] for k in ("g", "n", "at", "lo", "hi", "classes"))
-            g2, n2, at2, lo2, hi2, classes2 = (cols[k][1] for k in ("g", "n", "at", "lo", "hi", "classes"))
-            need = -((n + n2) * -percent // (100 + percent))
-            ok = (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent) & (np.minimum(n - at, n2 - at2) >= need)
-            ok &= ~((lo == hi) & (lo2 == hi2) & (lo == lo2)) & ((g < g2) if i == j else (g != g2))
-            k = np.flatnonzero(ok)
-            most = np.minimum(marks[0][r], marks[1][k]).sum(axis=1, dtype=np.int64)
-            sure = exact[0][r] & exact[1][k] & (classes == 1) & (classes2[k] == 1)  # a signature is that of one class
-            k = k[~sure | (most >= need[k])]
-            out.append(np.stack([np.full(len(k), g), g2[k]]))
-        found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        (g, n, at, lo, hi), (g2, n2, at2, lo2, hi2) = ([x[k].to_numpy() for k in ("g", "n", "at", "lo", "hi")] for x in (a, b))
+        g, n, at, lo, hi = (x[:, None] for x in (g, n, at, lo, hi))
+        need = -((n + n2) * -percent // (100 + percent))
+        ok = (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent) & (np.minimum(n - at, n2 - at2) >= need)
+        ok &= ~((lo == hi) & (lo2 == hi2) & (lo == lo2)) & ((g < g2) if i == j else (g != g2))
+        r, k = np.nonzero(ok)
+        if len(r):
+            marks, exact = zip(*(_marks(x["signature"], x["classes"].to_numpy()) for x in (a, b)), strict=True)
+            keep = []
+            for p in range(0, len(r), SIGNED):
+                x, y = r[p : p + SIGNED], k[p : p + SIGNED]
+                most = np.minimum(marks[0][x], marks[1][y]).sum(axis=1, dtype=np.int64)
+                keep.append(~(exact[0][x] & exact[1][y]) | (most >= need[x, y]))
+            keep = np.concatenate(keep)
+            r, k = r[keep], k[keep]
         if len(rows) >= BLOCK:
             free()
-        return pd.DataFrame({"g": found[0].astype(np.int64), "g2": found[1].astype(np.int64)})
+        return pd.DataFrame({"g": g[r, 0].astype(np.int64), "g2": g2[k].astype(np.int64)})
 
     return paired
 
 
+def _marks(signatures: pd.Series, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures as rows, and whether each stands for its whole group: a signature is that of one class."""
+    none = np.full(SIGNATURE, 65535, "<u2").tobytes()
+    marks = np.frombuffer(b"".join(none if m is None else m for m in signatures), "<u2").reshape(-1, SIGNATURE)
+    return marks, np.array([m is not None for m in signatures], bool) & (classes == 1)
+
+
 def _crossing(entries: DataFrame, signatures: DataFrame, percent: int, stages: Stages) -> DataFrame:
     """g, g2 of the group pairs not yet in one component that pass the filters."""
-    other = entries.where(F.col("members") <= SMALL).select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "n", "at", "lo", "hi")])
     apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2")))
     ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("g") < F.col("g2")))
-    few = entries.where(F.col("members") <= SMALL).join(other, "token").where(ordered & apart & _fits(percent)).select("g", "g2")
+    second = lambda df, *more: df.select("token", *more, *[F.col(c).alias(f"{c}2") for c in ("g", "n", "at", "lo", "hi")])
+    small = entries.where(F.col("members") <= SMALL)
+    few = small.join(second(small), "token").where(ordered & apart & _fits(percent)).select("g", "g2")
+
+    # a group is of one component, or apart from all
+    hot = entries.where(F.col("members") > SMALL).withColumn("own", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    of = hot.groupBy("token", "own").agg(F.count("*").alias("k")).groupBy("token").agg(
+        F.sum("k").alias("k"),
+        F.sum(F.when(F.col("own").isNotNull(), F.col("k") * F.col("k"))).alias("inside"),
+        F.max(F.when(F.col("own").isNotNull(), F.struct("k", "own"))).alias("most"),
+    )
+    crossing = (F.col("k") * F.col("k") - F.coalesce("inside", F.lit(0))) / 2
+    of = of.select(
+        "token",
+        F.when(F.col("most.k") * 2 > F.col("k"), F.col("most.own")).alias("family"),
+        (crossing <= F.col("k") * SMALL).alias("thin"),
+    )
+    hot = hot.join(small_side(stages.put(of, "hot")), "token").withColumn("stranger", ~F.coalesce(F.col("own") == F.col("family"), F.lit(False)))
+    thin = hot.where("thin")
+    strangers = small_side(stages.put(thin.where("stranger").select("token", "g", "n", "at", "lo", "hi"), "strangers"))
+    met = second(thin, "stranger").join(strangers, "token").where((~F.col("stranger") | ordered) & apart & _fits(percent))
+    few = few.union(met.select("g", "g2"))
+
     # two sizes within the ratio are in one step or in neighbouring ones
-    many = entries.where(F.col("members") > SMALL).withColumn(
-        "step",
-        F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n"),
+    steps = F.floor(F.ln(F.col("n").cast("double")) / (float(np.log(100 / percent)) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n")
+    many = hot.where("not thin").withColumn("step", F.when(F.col("members") <= BLOCK, 0).otherwise(steps))
+    # one row a hot shingle and step: where few, no row of a hot shingle moves to meet it; blocks of strangers come before those of the family
+    counted = lambda whom: F.ceil(F.count_if(whom) / BLOCK).cast("int")
+    per = many.groupBy("token", "step").agg(
+        counted(F.col("stranger")).alias("strange"),
+        (counted(F.col("stranger")) + counted(~F.col("stranger"))).alias("blocks"),
+    )
+    per = small_side(stages.put(per, "steps"))
+    above, below = (
+        per.select("token", (F.col("step") + by).alias("step"), *[F.col(c).alias(f"{c}_{name}") for c in ("strange", "blocks")])
+        for by, name in ((-1, "above"), (1, "below"))
     )
-    # one row a hot shingle and step: where few, no row of a hot shingle moves to meet it
-    per = small_side(stages.put(many.groupBy("token", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "steps"))
-    above = per.select("token", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
-    below = per.select("token", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
     many = many.join(per, ["token", "step"]).join(above, ["token", "step"], "left").join(below, ["token", "step"], "left").join(signatures, "g", "left")
-    many = many.withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    dealt = lambda count: F.pmod(F.xxhash64("g"), F.greatest(count, F.lit(1))).cast("int")
+    many = many.withColumn("block", F.when(F.col("stranger"), dealt(F.col("strange"))).otherwise(F.col("strange") + dealt(F.col("blocks") - F.col("strange"))))
+    faced = lambda at="": F.when(F.col("stranger"), F.col(f"blocks{at}")).otherwise(F.col(f"strange{at}"))
     none = F.array().cast("array<struct<step:int,i:int,j:int,across:boolean>>")
     met = lambda step, i, j, across: F.struct(
         step.cast("int").alias("step"),
@@ -229,9 +263,9 @@ def _crossing(entries: DataFrame, signatures: DataFrame, percent: int, stages: S
         F.lit(across).alias("across"),
     )
     listed = lambda count, to: F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), count - 1), to)).otherwise(none)
-    own = listed(F.col("blocks"), lambda k: met(F.col("step"), F.least("block", k), F.greatest("block", k), False))
-    up = listed(F.col("blocks_above"), lambda k: met(F.col("step"), F.col("block"), k, True))
-    down = listed(F.col("blocks_below"), lambda k: met(F.col("step") - 1, k, F.col("block"), True))
+    own = listed(faced(), lambda k: met(F.col("step"), F.least("block", k), F.greatest("block", k), False))
+    up = listed(faced("_above"), lambda k: met(F.col("step"), F.col("block"), k, True))
+    down = listed(faced("_below"), lambda k: met(F.col("step") - 1, k, F.col("block"), True))
     many = many.withColumn("home", F.col("step")).withColumn("met", F.explode(F.concat(own, up, down)))
     side = F.when(F.col("met.across"), F.col("home") - F.col("met.step")).otherwise(F.col("block"))  # which of the two blocks a row is of
     many = many.select(

@@ -164,6 +164,35 @@ def test_jaccard(spark, size, percent, monkeypatch):
     assert jaccard.keep_one(docs_of(spark, texts), size, percent).count() == len(set(component))
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_jaccard_family_meets_only_strangers(spark, small, monkeypatch):
+    """Near copies that are one component are not compared with each other where others share their shingles."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    plain = jaccard._blocks
+
+    def watched(percent):
+        paired = plain(percent)
+
+        def checked(key, rows):
+            assert small == 2 and (rows["block"].nunique() == 1 or set(rows["lo"]) != {0})
+            return paired(key, rows)
+
+        return checked
+
+    monkeypatch.setattr(jaccard, "_blocks", watched)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(130)]
+    texts = []
+    for k in range(60):
+        texts.append(" ".join(base[: 2 * k] + [f"e{k}"] + base[2 * k + 1 :]))
+    texts += [" ".join(base[: 100 - k]) for k in range(0, 36, 3)]  # shorter ones link with each other only
+    texts += [" ".join(w if i % 30 != k else f"s{i}" for i, w in enumerate(base)) for k in range(6)]
+    n, component = near_brute(texts, 3, 90)
+    got = jaccard.join(docs_of(spark, texts), 3, 90).toPandas().sort_values("doc_id")
+    assert got["n_shingles"].tolist() == n and got["component_id"].tolist() == component and len(set(component)) > 1
+
+
 def test_tokens(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
