@@ -337,9 +337,13 @@ def _survive(pairs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int
     return pairs.join(left, "a").join(right, "b").where(most >= need).select("a", "b")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets reach the threshold."""
-    pairs = stages.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
+    """Those of the pairs (a, b) of class ids, ordered and staged, whose sets reach the threshold."""
     pairs = stages.put(_survive(pairs, rows, classes, percent, stages).distinct(), "survivors")
     ids = stages.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = stages.put(_sets(docs, classes, ids, size), "sets")
@@ -401,14 +405,15 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     first = chained.select(F.col("g").alias("a"), F.col("g2").alias("b")).union(
         kept.where("before is not null").select(F.col("id").alias("a"), F.col("before").alias("b"))
     )
+    first = stages.put(_ordered(first), "pairs")
     tried = _verified(first, docs, rows, kept, size, percent, stages)
     found = stages.put(components(tried, stages), "components")
 
-    label = lambda df, key: df.join(
-        small_side(found).select(F.col("node").alias(key), "component"),
+    label = lambda df, key, found=found: df.join(
+        small_side(found).select(F.col("node").alias(key), F.col("component").alias("_component")),
         key,
         "left",
-    ).withColumn("component", F.coalesce("component", key))
+    ).withColumn("component", F.coalesce("_component", key)).drop("_component")
     labelled = stages.put(label(kept.select("id", "n", "g"), "id"), "labelled")
     mixed = labelled.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("classes"))
     entries = shared.drop("near", "salts", "salt").join(mixed, "g")
@@ -425,22 +430,20 @@ def join(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
         members.select(F.col("g").alias("g2"), F.col("a").alias("b"), F.col("c").alias("c2")),
         "g2",
     ).where("c != c2").select("a", "b")
-    wide = stages.put(
-        wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-            first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-            ["a", "b"],
-            "left_anti",
-        ),
-        "others",
-    )
+    wide = stages.put(_ordered(wide).join(first, ["a", "b"], "left_anti"), "others")
+    final = label(kept.select("id", "n", "d1", "d2"), "id")
     if not wide.isEmpty():
         more = _verified(wide, docs, rows, kept, size, percent, stages)
         if not more.isEmpty():
-            found = stages.put(components(tried.union(more), stages), "components")
-
-    for done in (shared, labelled, entries, wide):
+            # links between components are fewer than those inside them: only the components are joined
+            more = label(more, "a").select(F.col("component").alias("a"), "b")
+            more = label(more, "b").select("a", F.col("component").alias("b"))
+            joined = stages.put(components(more, stages), "components")
+            final = label(final.drop("id").withColumnRenamed("component", "id"), "id", joined)
+    final = final.select("n", "d1", "d2", "component")
+
+    for done in (shared, first, labelled, entries, wide):
         stages.drop(done)
-    final = label(kept.select("id", "n", "d1", "d2"), "id").select("n", "d1", "d2", "component")
     out = rows.select("doc_id", "n", "d1", "d2").join(final, ["n", "d1", "d2"], "left")
     return out.select(
         "doc_id",

@@ -193,6 +193,41 @@ def test_jaccard_family_meets_only_strangers(spark, small, monkeypatch):
     assert got["n_shingles"].tolist() == n and got["component_id"].tolist() == component and len(set(component)) > 1
 
 
+def test_jaccard_joins_components_only(spark, monkeypatch):
+    """What the second round links is components, not all their members once more."""
+    asked, linked, plain, verified = [], [], jaccard.components, jaccard._verified
+
+    def watched(edges, stages):
+        asked.append({(r.a, r.b) for r in edges.collect()})
+        return plain(edges, stages)
+
+    def some(pairs, *more):
+        links = verified(pairs, *more)
+        links = links if asked else links.where("(a + b) % 3 = 0")  # so that the second round has links to find
+        linked.extend((r.a, r.b) for r in links.collect())
+        return links
+
+    monkeypatch.setattr(jaccard, "components", watched)
+    monkeypatch.setattr(jaccard, "_verified", some)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(150)]
+        for _ in range(8):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    least = list(range(len(texts)))
+    got = jaccard.join(docs_of(spark, texts), 3, 90).toPandas().sort_values("doc_id")
+    for _ in least:
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got["component_id"].tolist() == least
+    first, second = asked
+    inner = {max(e) for e in first}  # none of these is the least of its component
+    assert second and not inner & {x for e in second for x in e}
+
+
 def test_tokens(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

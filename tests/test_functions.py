@@ -164,6 +164,24 @@ def test_diamond(spark):
     assert {r.id: r.component for r in parts.collect()} == {5: 5, 6: 5, 7: 5, 1: 1, 2: 1}
 
 
+def test_components_end_with_stars(spark):
+    """Stars take no round, and other graphs none after they have become stars."""
+    made = []
+
+    def put(df):
+        made.append(df.localCheckpoint())
+        return made[-1]
+
+    def parts(edges):
+        made.clear()
+        return {r.id: r.component for r in G.components(spark.createDataFrame(edges, "a long, b long"), put).collect()}
+
+    assert parts([(k, 0) for k in range(1, 30)] + [(50, 40), (50, 40), (7, 7)]) == {k: 0 for k in range(30)} | {40: 40, 50: 40} and len(made) == 1
+    assert parts([]) == {} and len(made) == 1
+    assert parts([(0, 2), (1, 2)]) == {0: 0, 1: 0, 2: 0} and len(made) == 2
+    assert parts([(k, k + 1) for k in range(40)]) == {k: 0 for k in range(41)}
+
+
 def test_group_folds(spark):
     df = spark.createDataFrame([(i, f"g{i % 17}" if i % 17 else None, str(i % 3) if i % 5 else None) for i in range(300)], "i int, g string, y string")
     out = X.group_kfold(df, "g", "y", 5)
