@@ -117,7 +117,8 @@ def _by_bands(rows: DataFrame, links: DataFrame, n: int, many: int) -> DataFrame
     while True:
         cuts = sorted(set(rows.approxQuantile("h", [i / k for i in range(1, k)], 0.05 / k)), reverse=True) if k > 1 else []
         band = lambda h, cuts=cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(h))) if cuts else F.lit(0)
-        inside = links.where(band("high") == band("low")).groupBy(band("high")).count().agg(F.max("count")).first()[0] or 0
+        # by a column, as a literal would be taken for a position where there are no cuts
+        inside = links.where(band("high") == band("low")).select(band("high").alias("band")).groupBy("band").count().agg(F.max("count")).first()[0] or 0
         if inside <= BLOCK or k > 2 * many:  # bands of one height hold no link
             break
         k *= 2
