@@ -547,6 +547,9 @@ def near_dups(t: Tables):
 )
 def templates(t: Tables):
     """Turns with five or more others above 0.6."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
     return M.templates(_turns(t), 0.6, 5)
 
 
