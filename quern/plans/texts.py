@@ -537,6 +537,9 @@ def _turns(t: Tables):
 @query("near_dups", f"with {TURNS} select i, j, round(sim, 6) as sim from sims where sim > 0.8")
 def near_dups(t: Tables):
     """Turns whose cosine is above 0.8."""
+    from quern.plans.ship import ship
+
+    ship(t.spark)
     return M.similar(_turns(t), 0.8).select("i", "j", r6(F.col("sim"), "sim"))
 
 
